@@ -61,7 +61,7 @@ amounts AS (
   FROM etl
 ),
 flagged AS (
-  SELECT ok, ln, reqdate, userid, appuser, userip, deviceid, amount, ts, dt,
+  SELECT ok, ln, reqdate, userid, appuser, userip, deviceid, platform, amount, ts, dt,
     ((amount % 1000) + 1000) % 1000 AS amount_tail3,
     CAST((((amount % 1000) + 1000) % 1000) IN (11, 12) AS INT) AS is_bet_tail,
     CAST(regexp_matches(desc_clean, '\\bwin\\d+') AS INT) AS desc_has_win,
@@ -264,9 +264,9 @@ ORACLES = {
       recv_send_tx_ratio FROM labeled""",
     "str_ip_change": f"WITH {FLAGGED}{STR} SELECT userid, str_ip_change FROM str",
     "str_device_share": f"WITH {FLAGGED}{STR} SELECT userid, str_device_share FROM str",
-    "smurf_in_days": f"WITH {FLAGGED}{STR} SELECT appuser, dt, senders FROM smurf_in",
+    "smurf_in_days": f"WITH {FLAGGED}{STR} SELECT appuser, CAST(dt AS VARCHAR) AS dt, senders FROM smurf_in",
     "str_smurfing": f"WITH {FLAGGED}{STR} SELECT userid FROM smurfs",
-    "rapid_pairs": f"WITH {FLAGGED}{STR} SELECT userid, dt, pairs FROM pairs",
+    "rapid_pairs": f"WITH {FLAGGED}{STR} SELECT userid, CAST(dt AS VARCHAR) AS dt, pairs FROM pairs",
     "str_rapid_tx": f"WITH {FLAGGED}{STR} SELECT userid FROM rapid",
     "str_flags": f"WITH {FLAGGED}{STR} SELECT userid, {_STR} FROM str",
     "str_summary": f"WITH {LABELED} "
@@ -292,3 +292,245 @@ ORACLES = {
       UNION ALL SELECT 'gambler', count(DISTINCT userid), count(*)
       FROM labeled WHERE is_gambler_tx = 1""",
 }
+
+_GROUPS = {
+    "bookie": ("is_bookie_tx", "appuser", "recv"),
+    "gambler": ("is_gambler_tx", "userid", "sent"),
+    "recipient1": ("is_recipient1_tx", "appuser", "recv"),
+    "depositor1": ("is_depositor1_tx", "userid", "sent"),
+    "recipient2": ("is_recipient2_tx", "appuser", "recv"),
+    "depositor2": ("is_depositor2_tx", "userid", "sent"),
+}
+_COUNTS = ", ".join(f"{g}_tx_count" for g in _GROUPS)
+
+REPORT = (
+    LABELED
+    + """,
+users AS (SELECT userid AS user_id FROM labeled UNION SELECT appuser FROM labeled),
+"""
+    + ",\n".join(
+        f"c_{g} AS (SELECT {key} AS user_id, count(*) AS {g}_tx_count FROM labeled"
+        f" WHERE {flag} = 1 GROUP BY {key})"
+        for g, (flag, key, _) in _GROUPS.items()
+    )
+    + """,
+s_ml AS (SELECT userid AS user_id, avg(ml_score) AS ml_s FROM labeled
+  WHERE ml_score IS NOT NULL GROUP BY userid),
+r_ml AS (SELECT appuser AS user_id, avg(ml_score) AS ml_r FROM labeled
+  WHERE ml_score IS NOT NULL GROUP BY appuser),
+sent AS (SELECT userid AS user_id, count(amount) AS total_sent_tx, sum(amount) AS total_sent_amount,
+  count(DISTINCT appuser) AS unique_receivers, count(*) AS sent_rows FROM labeled GROUP BY userid),
+recv AS (SELECT appuser AS user_id, count(amount) AS total_recv_tx, sum(amount) AS total_recv_amount,
+  count(DISTINCT userid) AS unique_senders, count(*) AS recv_rows FROM labeled GROUP BY appuser),
+report0 AS (
+  SELECT user_id, """
+    + ", ".join(f"coalesce({g}_tx_count, 0) AS {g}_tx_count" for g in _GROUPS)
+    + """,
+    coalesce(total_sent_tx, 0) AS total_sent_tx,
+    CAST(coalesce(total_sent_amount, 0) AS BIGINT) AS total_sent_amount,
+    coalesce(unique_receivers, 0) AS unique_receivers,
+    coalesce(total_recv_tx, 0) AS total_recv_tx,
+    CAST(coalesce(total_recv_amount, 0) AS BIGINT) AS total_recv_amount,
+    coalesce(unique_senders, 0) AS unique_senders,
+    coalesce(sent_rows, 0) AS sent_rows, coalesce(recv_rows, 0) AS recv_rows,
+    ml_s, ml_r
+  FROM users """
+    + " ".join(f"LEFT JOIN c_{g} USING (user_id)" for g in _GROUPS)
+    + """ LEFT JOIN s_ml USING (user_id) LEFT JOIN r_ml USING (user_id)
+    LEFT JOIN sent USING (user_id) LEFT JOIN recv USING (user_id)
+),
+report AS (
+  SELECT *, """
+    + " + ".join(f"{g}_tx_count" for g in _GROUPS)
+    + """ AS total_flagged_tx,
+    CAST(round(CAST(CASE WHEN ml_s IS NULL AND ml_r IS NULL THEN 0
+      WHEN ml_s IS NULL THEN ml_r WHEN ml_r IS NULL THEN ml_s
+      ELSE (ml_s + ml_r) / 2 END AS DECIMAL(20, 10)), 2) AS DOUBLE) AS ml_score,
+    coalesce(nullif(concat_ws('|', """
+    + ", ".join(f"CASE WHEN {g}_tx_count > 0 THEN '{g}' END" for g in _GROUPS)
+    + """), ''), 'normal') AS user_group
+  FROM report0
+),
+bookie_rep AS (
+  SELECT user_id, recv_rows AS recv_tx_count, unique_senders AS recv_unique_senders,
+    total_recv_amount, sent_rows AS send_tx_count, unique_receivers AS send_unique_receivers,
+    total_sent_amount AS total_send_amount,
+    CAST(round(CAST(total_recv_amount / (total_sent_amount + 1) AS DECIMAL(30, 12)), 4) AS DOUBLE)
+      AS recv_send_ratio
+  FROM report WHERE bookie_tx_count > 0
+)"""
+)
+_REPORT_COLUMNS = f"""user_id, user_group, total_flagged_tx, ml_score, {_COUNTS}, total_sent_tx,
+  total_sent_amount, unique_receivers, total_recv_tx, total_recv_amount, unique_senders, ml_s, ml_r"""
+
+_SCALER_FEATURES = """sender_tx_count sender_unique_receivers sender_total_sent sender_avg_amount
+sender_max_amount sender_std_amount sender_unique_ips sender_bet_tail_ratio sender_win_desc_ratio
+sender_b1_ratio sender_b2_ratio recv_tx_count recv_unique_senders recv_total_received
+recv_avg_amount recv_max_amount recv_std_amount recv_bet_tail_ratio recv_win_desc_ratio
+recv_b1_ratio recv_b2_ratio recv_send_tx_ratio amount is_bet_tail desc_has_win str_ip_change
+str_device_share str_smurfing str_rapid_tx""".split()
+
+
+def _sig(expr: str) -> str:
+    return f"CAST(format('{{:.6e}}', CAST({expr} AS DOUBLE)) AS DOUBLE)"
+
+
+def _scaler(feature: str) -> str:
+    v = f"CAST(CAST(coalesce({feature}, 0) AS FLOAT) AS DOUBLE)"
+    std = f"stddev_pop({v})"
+    return (
+        f"SELECT '{feature}' AS feature, {_sig(f'avg({v})')} AS mean,"
+        f" {_sig(f'CASE WHEN {std} > 0 THEN {std} ELSE 1 END')} AS scale"
+        " FROM labeled WHERE hit_any_rule = 0"
+    )
+
+
+_ACCENT_FREE = (
+    "lower(replace(replace(strip_accents(coalesce(text, '')), 'đ', 'd'), 'Đ', 'D'))"
+)
+_PLAIN = f"trim(regexp_replace({_ACCENT_FREE}, '\\s+', ' ', 'g'))"
+
+
+def _says(text: str, *phrases: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in phrases) + ")"
+
+
+INTENT = f"""
+turns AS (
+  SELECT conv_id, turn, trim(text, E' \\t\\n\\r') AS raw, lower(trim(text, E' \\t\\n\\r')) AS lo,
+    {_PLAIN} AS plain
+  FROM conversations WHERE role = 'user'
+),
+tags AS (
+  SELECT conv_id, turn, CASE
+    WHEN starts_with(raw, '?') THEN 'question'
+    WHEN starts_with(lo, '[query]') THEN 'sql'
+    WHEN {_says("lo", "help", "thre")} THEN 'meta'
+    WHEN {_says("plain", "der ", "die ")} AND {_says("plain", "ung", "ver")} THEN 'complaint'
+    WHEN trim(plain, ' .!?,') IN ('the be', 'the the') THEN 'next'
+    WHEN {_says("lo", "ble ", "ea of")} THEN 'pipeline:etl'
+    WHEN {_says("lo", "queeau")} THEN 'pipeline:features'
+    WHEN {_says("lo", "ción")} THEN 'pipeline:reports'
+    WHEN {_says("lo", "ou ")} THEN 'report'
+    WHEN {_says("lo", "th", "é")} THEN 'transaction'
+    WHEN {_says("lo", "en")} THEN 'correction'
+    ELSE 'other' END AS intent
+  FROM turns
+)"""
+
+_FLAG_NAMES = ("is_bet_tail", "desc_has_win", "desc_match_b1", "desc_match_b2", *_RULE_NAMES)
+
+ORACLES |= {
+    "scaler_stats": f"WITH {LABELED} " + " UNION ALL ".join(_scaler(f) for f in _SCALER_FEATURES),
+    "score_normalize": f"""WITH {LABELED},
+      raw AS (SELECT ok, ln, ml_score / 404 + 0.3 AS raw FROM labeled),
+      ends AS (SELECT min(raw) AS low, max(raw) AS high FROM raw)
+      SELECT ok, ln, round_even(least(greatest((raw - low) / (high - low + 1e-9) * 100, 0), 100), 2)
+        + CASE WHEN raw IS NULL THEN NULL ELSE 0 END AS ml_score FROM raw, ends""",
+    "score_p95": f"""WITH {LABELED} SELECT count(ml_score) AS rows, avg(ml_score) AS mean,
+      quantile_cont(ml_score, 0.95) AS p95, max(ml_score) AS max FROM labeled""",
+    "user_report": f"WITH {REPORT} SELECT {_REPORT_COLUMNS} FROM report",
+    "flagged_users": f"""WITH {REPORT} SELECT {_REPORT_COLUMNS} FROM report
+      WHERE user_group NOT IN ('normal', 'depositor1', 'depositor2', 'gambler')""",
+    "high_score_users": f"""WITH {REPORT} SELECT {_REPORT_COLUMNS} FROM report
+      WHERE user_group = 'normal' AND ml_score > 70""",
+    "flagged_txns": f"""WITH {LABELED} SELECT reqdate, userid, appuser, amount, platform,
+      userip, {_RULES}, ml_score, is_bet_tail, CAST(amount_tail3 AS INT) AS amount_tail3,
+      desc_has_win, desc_match_b1, desc_match_b2
+      FROM labeled WHERE hit_any_rule = 1""",
+    "bookie_report": f"WITH {REPORT} SELECT * FROM bookie_rep",
+    "score_histogram": f"""WITH {LABELED},
+      ends AS (SELECT min(ml_score) AS low, max(ml_score) AS high FROM labeled),
+      filled AS (SELECT least(CAST(floor((ml_score - low) / (high - low) * 60) AS INT), 59) AS bin,
+        count(*) AS transfers FROM labeled, ends WHERE ml_score IS NOT NULL GROUP BY 1)
+      SELECT CAST(b AS INT) AS bin, round(low + b * ((high - low) / 60), 6) AS bin_start,
+        round(low + (b + 1) * ((high - low) / 60), 6) AS bin_end, coalesce(transfers, 0) AS transfers
+      FROM range(60) t(b) CROSS JOIN ends LEFT JOIN filled ON filled.bin = b""",
+    "risk_scatter": f"""WITH {REPORT} SELECT user_id, total_flagged_tx, ml_score, total_sent_amount,
+      user_group FROM report WHERE user_group <> 'normal'""",
+    "top_bookies": f"""WITH {REPORT} SELECT user_id, unique_senders FROM report
+      WHERE bookie_tx_count > 0 ORDER BY unique_senders DESC, user_id LIMIT 20""",
+    "group_volume": f"WITH {REPORT} "
+    + " UNION ALL ".join(
+        f"SELECT '{g}' AS user_group, CAST(coalesce(sum(total_{side}_amount), 0) AS BIGINT) AS amount"
+        f" FROM report WHERE {g}_tx_count > 0"
+        for g, (_, _, side) in _GROUPS.items()
+    ),
+    "bookie_flow": f"""WITH {REPORT} SELECT sum(total_recv_amount) / 1e9 AS total_in_bil,
+      sum(total_send_amount) / 1e9 AS total_out_bil, count(*) AS num_bookies,
+      CAST(sum(recv_unique_senders) AS BIGINT) AS total_gamblers,
+      sum(total_recv_amount) / (sum(total_send_amount) + 1) AS avg_in_out_ratio FROM bookie_rep""",
+    "bookie_pnl_bands": f"""WITH {REPORT}, lowered AS (
+        SELECT CAST(round(CAST(recv_send_ratio / 15 AS DECIMAL(30, 12)), 4) AS DOUBLE) AS r
+        FROM bookie_rep)
+      SELECT CASE WHEN r < 0.80 THEN '1. Significantly lose (<0.8x)'
+        WHEN r BETWEEN 0.81 AND 0.99 THEN '2. Slightly lose (0.81x-0.99x)'
+        WHEN r BETWEEN 1.00 AND 1.10 THEN '3. Slightly win (1.0x-1.10x)'
+        WHEN r BETWEEN 1.10 AND 1.20 THEN '4. Significantly win (1.10x-1.20x)'
+        ELSE '5. Substantially win  (>1.20x)' END AS behavior_group, count(*) AS bookies
+      FROM lowered GROUP BY 1""",
+    "gambler_tails": f"""WITH {LABELED} SELECT CASE WHEN amount_tail3 = 11 THEN '011' ELSE '012' END
+      AS bet_tail_type, count(amount) AS tx_count, CAST(sum(amount) AS BIGINT) AS total_amount,
+      count(DISTINCT userid) AS unique_gamblers, avg(amount) AS avg_amount
+      FROM labeled WHERE is_gambler_tx = 1 GROUP BY 1""",
+    "users_in_group": f"""WITH {REPORT} SELECT user_id, user_group, ml_score, total_flagged_tx
+      FROM report WHERE user_group LIKE '%bookie%'""",
+    "top_receivers": f"""WITH {REPORT} SELECT user_id, total_recv_amount FROM report
+      ORDER BY total_recv_amount DESC, user_id LIMIT 10""",
+    "top_senders": f"""WITH {FLAGGED} SELECT userid, CAST(sum(amount) AS BIGINT) AS total_sent
+      FROM flagged GROUP BY userid ORDER BY total_sent DESC NULLS LAST, userid LIMIT 10""",
+    "risky_gamblers": f"""WITH {REPORT} SELECT user_id, ml_score, gambler_tx_count FROM report
+      WHERE ml_score > 40 AND gambler_tx_count > 0 ORDER BY ml_score DESC, user_id LIMIT 50""",
+    "flagged_by_day": f"""WITH {LABELED} SELECT CAST(dt AS VARCHAR) AS dt, count(*) AS transfers,
+      CAST(sum(amount) AS BIGINT) AS amount FROM labeled WHERE hit_any_rule = 1 GROUP BY dt""",
+    "user_txn_join": f"""WITH {REPORT} SELECT ok, ln, l.userid, amount, user_group,
+      r.ml_score AS user_score FROM labeled l JOIN report r ON r.user_id = l.userid
+      WHERE hit_any_rule = 1""",
+    "user_profile_360": f"""WITH {LABELED},
+      s AS (SELECT count(*) AS sender_tx_count, count(DISTINCT appuser) AS sender_unique_receivers,
+        CAST(sum(amount) AS BIGINT) AS sender_total_sent, avg(amount) AS sender_avg_amount,
+        max(amount) AS sender_max_amount, avg(is_bet_tail) AS sender_bet_tail_ratio,
+        avg(desc_has_win) AS sender_win_desc_ratio, max(str_ip_change) AS str_ip_change,
+        max(str_device_share) AS str_device_share, max(str_smurfing) AS str_smurfing,
+        max(str_rapid_tx) AS str_rapid_tx FROM labeled WHERE userid = 'u10'),
+      r AS (SELECT count(*) AS recv_tx_count, count(DISTINCT userid) AS recv_unique_senders,
+        CAST(sum(amount) AS BIGINT) AS recv_total_received, avg(amount) AS recv_avg_amount,
+        max(amount) AS recv_max_amount, avg(is_bet_tail) AS recv_bet_tail_ratio,
+        avg(desc_has_win) AS recv_win_desc_ratio, max(is_bookie_tx) AS is_bookie,
+        max(is_gambler_tx) AS is_gambler, max(hit_any_rule) AS hit_any_rule
+        FROM labeled WHERE appuser = 'u10')
+      SELECT * FROM s CROSS JOIN r""",
+    "user_assessment": f"""WITH {REPORT} SELECT user_id, user_group,
+      CASE WHEN user_group = 'normal' THEN ml_r ELSE ml_s END AS score,
+      CASE WHEN user_group = 'normal' THEN 'receiver' ELSE 'sender' END AS judged_as FROM report""",
+    "foreign_ip_txns": f"""WITH {TXN}{RANGES} SELECT coalesce(country, '') AS iploc,
+      count(*) AS transfers FROM txn LEFT JOIN located ON located.userip = txn.userip
+      WHERE coalesce(country, '') <> 'C3' GROUP BY 1""",
+    "bet_tail_share": f"WITH {FLAGGED} SELECT avg(is_bet_tail) AS share FROM flagged",
+    "transfers_per_flag": f"WITH {LABELED} " + _long("labeled", _FLAG_NAMES, "flag", "transfers"),
+    "group_counts": f"WITH {REPORT} SELECT user_group, count(*) AS users FROM report GROUP BY 1",
+    "validate_outputs": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, true AS ok, count(*) AS rows FROM {t}"
+        for t in ("customer", "lineitem", "nation", "orders", "supplier")
+    ),
+    "stream_etl": ORACLES["etl_transfers"],
+    "stream_smurf_days": ORACLES["smurf_in_days"],
+    "stream_rapid_pairs": ORACLES["rapid_pairs"],
+    "intent_tags": f"WITH {INTENT} SELECT * FROM tags",
+    "intent_counts": f"WITH {INTENT} SELECT intent, count(*) AS turns FROM tags GROUP BY intent",
+    "recent_turns": """SELECT conv_id, turn, role, content FROM (
+        SELECT conv_id, turn, role, substr(trim(text, E' \\t\\n\\r'), 1, 200) AS content,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+      WHERE k <= 4 AND role IN ('user', 'assistant') AND content <> ''""",
+    "last_step": f"""WITH t AS (SELECT conv_id, turn, role, {_ACCENT_FREE} AS c FROM conversations),
+      steps AS (SELECT conv_id, turn, CASE
+        WHEN ({_says("c", "shre")} AND {_says("c", "the")}) OR {_says("c", "thble")} THEN 3
+        WHEN ({_says("c", "of a")} AND {_says("c", "the")})
+          OR ({_says("c", "eau")} AND NOT {_says("c", "ing")}) THEN 2
+        WHEN ({_says("c", "in")} AND {_says("c", "the")})
+          OR ({_says("c", "on")} AND NOT {_says("c", "ing")}) THEN 1 END AS step
+        FROM t WHERE role = 'assistant')
+      SELECT t.conv_id, CAST(coalesce((SELECT arg_max(step, turn) FROM steps s
+        WHERE s.conv_id = t.conv_id AND step IS NOT NULL), 0) AS INT) AS last_step
+      FROM (SELECT DISTINCT conv_id FROM t) t""",
+}

@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.config import PATTERN_FLAGS, RULE_FLAGS, STR_FLAGS, Config
+from tidewatch.operators import charts as C
+from tidewatch.operators import chatlog as G
 from tidewatch.operators import etl as E
 from tidewatch.operators import labels as L
 from tidewatch.operators import patterns as P
 from tidewatch.operators import profiles as R
+from tidewatch.operators import reports as RP
+from tidewatch.operators import scoring as M
 from tidewatch.operators import str_flags as S
+from tidewatch.operators.forest import scaler_stats as forest_scaler_stats
+from tidewatch.operators.forest import training_rows
 from tidewatch.operators.ip_country import add_country
-from tidewatch.sources import fixtures
+from tidewatch.plans import canned
+from tidewatch.plans.stages import label_stored
+from tidewatch.sources import fixtures, tables
+from tidewatch.sources.storage import materialize, new_path
+from tidewatch.streaming import streams
 
 CFG = Config()
 ROW_ID = ("l_orderkey AS ok", "l_linenumber AS ln")
@@ -34,6 +44,10 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+def day_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("dt", F.col("dt").cast("string"))
+
+
 def etl(spark: SparkSession, sf: str) -> DataFrame:
     """Clean transfers without the country, which no later step reads."""
     raw = fixtures.transfers(spark, sf, *ROW_ID)
@@ -44,23 +58,51 @@ def flagged(spark: SparkSession, sf: str) -> DataFrame:
     return P.add_patterns(etl(spark, sf), CFG)
 
 
-def edge(spark: SparkSession, sf: str) -> DataFrame:
-    return R.edges(flagged(spark, sf))
-
-
 def ids(spark: SparkSession, sf: str) -> DataFrame:
     raw = fixtures.transfers(spark, sf)
     return R.identifiers(E.fill_device_id(raw))
 
 
-def flags(spark: SparkSession, sf: str) -> DataFrame:
-    return S.user_flags(flagged(spark, sf), ids(spark, sf), CFG)
+def stored_etl(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned transfers as a table, for queries that read them more than once."""
+    return materialize(etl(spark, sf), "etl")
 
 
 def labeled(spark: SparkSession, sf: str) -> DataFrame:
-    return L.label_transfers(
-        flagged(spark, sf), edge(spark, sf), ids(spark, sf), flags(spark, sf), CFG
-    )
+    return label_stored(stored_etl(spark, sf), CFG)
+
+
+def receivers(spark: SparkSession, sf: str) -> DataFrame:
+    clean = stored_etl(spark, sf)
+    return R.receiver_profile(P.add_patterns(clean, CFG), R.pairs(clean))
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.add_patterns(stored_etl(spark, sf), CFG)
+    return L.bookie_scores(L.received_stats(rows, R.pairs(rows)), L.sent_stats(rows), CFG)
+
+
+def ruled(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.add_patterns(stored_etl(spark, sf), CFG)
+    return L.rule_labels(rows, R.pairs(rows), CFG)
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule labels with the deterministic stand-in score."""
+    return fixtures.standin_score(ruled(spark, sf))
+
+
+def report_of(rows: DataFrame) -> DataFrame:
+    stored = materialize(rows, "scored")
+    return RP.user_report(stored, R.pairs(stored))
+
+
+def report(spark: SparkSession, sf: str) -> DataFrame:
+    return report_of(scored(spark, sf))
+
+
+def bookie_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.bookie_report(report(spark, sf))
 
 
 # --- cleaning
@@ -110,24 +152,30 @@ def flag_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sender_profile(spark: SparkSession, sf: str) -> DataFrame:
-    profile = R.sender_profile(edge(spark, sf), ids(spark, sf)).drop("sender_rows")
+    clean = stored_etl(spark, sf)
+    rows = P.add_patterns(clean, CFG)
+    profile = R.sender_profile(rows, R.pairs(clean), R.identifiers(clean)).drop("sender_rows")
     return rounded(profile, {"sender_std_amount": 0})
 
 
 def receiver_profile(spark: SparkSession, sf: str) -> DataFrame:
-    profile = R.receiver_profile(edge(spark, sf)).drop("recv_rows")
+    profile = receivers(spark, sf).drop("recv_rows")
     return rounded(profile, {"recv_std_amount": 0})
 
 
 def receiver_count(spark: SparkSession, sf: str) -> DataFrame:
-    return R.receiver_profile(edge(spark, sf)).agg(F.count(F.lit(1)).alias("receivers"))
+    receivers_only = fixtures.transfers(spark, sf).select("appuser").distinct()
+    return receivers_only.agg(F.count(F.lit(1)).alias("receivers"))
 
 
 def txn_features(spark: SparkSession, sf: str) -> DataFrame:
+    clean = stored_etl(spark, sf)
+    rows = P.add_patterns(clean, CFG)
+    pair = materialize(R.pairs(clean), "pairs")
     featured = R.add_profiles(
-        flagged(spark, sf).select("ok", "ln", "userid", "appuser"),
-        R.sender_profile(edge(spark, sf), ids(spark, sf)),
-        R.receiver_profile(edge(spark, sf)),
+        rows.select("ok", "ln", "userid", "appuser"),
+        materialize(R.sender_profile(rows, pair, R.identifiers(clean)), "senders"),
+        materialize(R.receiver_profile(rows, pair), "receivers"),
         CFG,
     )
     return rounded(featured, {"sender_std_amount": 0, "recv_std_amount": 0})
@@ -145,7 +193,7 @@ def str_device_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def smurf_in_days(spark: SparkSession, sf: str) -> DataFrame:
-    return S.smurf_in_days(flagged(spark, sf), CFG)
+    return day_text(S.smurf_in_days(flagged(spark, sf), CFG))
 
 
 def str_smurfing(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +201,7 @@ def str_smurfing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rapid_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return S.rapid_pairs(S.rapid_slots(flagged(spark, sf), CFG), CFG)
+    return day_text(S.rapid_pairs(S.rapid_slots(flagged(spark, sf), CFG), CFG))
 
 
 def str_rapid_tx(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +209,8 @@ def str_rapid_tx(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def str_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(flags(spark, sf))
+    clean = stored_etl(spark, sf)
+    return plain(S.user_flags(P.add_patterns(clean, CFG), R.identifiers(clean), CFG))
 
 
 def str_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,11 +221,11 @@ def str_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bookie_score(spark: SparkSession, sf: str) -> DataFrame:
-    return L.bookie_scores(edge(spark, sf), CFG)
+    return scores(spark, sf).drop("recv_rows")
 
 
 def bookies(spark: SparkSession, sf: str) -> DataFrame:
-    return L.bookies(edge(spark, sf), CFG).select("appuser", "bookie_score")
+    return L.bookies(scores(spark, sf), CFG).select("appuser", "bookie_score")
 
 
 def txn_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,11 +238,256 @@ def labeled_transfers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.label_summary(labeled(spark, sf)), {"percent": 6})
+    return rounded(L.label_summary(ruled(spark, sf)), {"percent": 6})
 
 
 def label_user_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return L.rule_user_counts(labeled(spark, sf))
+    return L.rule_user_counts(ruled(spark, sf))
+
+
+# --- anomaly model
+
+
+def scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven significant digits, as sums of doubles depend on their order."""
+    rows = training_rows(labeled(spark, sf), CFG, F.lit(0))
+    stats = forest_scaler_stats(rows, CFG.features)
+    return stats.withColumns(
+        {c: F.format_string("%.6e", c).cast("double") for c in ("mean", "scale")}
+    )
+
+
+def _trained(spark: SparkSession, sf: str) -> tuple[DataFrame, M.Model]:
+    rows = materialize(labeled(spark, sf), "labeled")
+    key = F.xxhash64("ok", "ln", "reqdate", "userid", "appuser", "amount")
+    return rows, M.train(rows, CFG, key)
+
+
+def iforest_train_stats(spark: SparkSession, sf: str) -> DataFrame:
+    rows, model = _trained(spark, sf)
+    return M.train_stats(M.score_fixed(rows, model))
+
+
+def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows, model = _trained(spark, sf)
+    return M.score(rows, model).select("ok", "ln", "hit_any_rule", "ml_score")
+
+
+def score_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """The 0-100 scale on a stand-in for the raw anomaly."""
+    raw = scored(spark, sf).withColumn("raw", F.col("ml_score") / 404 + 0.3).drop("ml_score")
+    return M.normalize(raw).select("ok", "ln", "ml_score")
+
+
+def score_p95(spark: SparkSession, sf: str) -> DataFrame:
+    return M.train_stats(scored(spark, sf))
+
+
+# --- reports
+
+
+def user_report(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.ranked_users(report(spark, sf))
+
+
+def flagged_users(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.flagged_users(report(spark, sf))
+
+
+def high_score_users(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.high_score_users(report(spark, sf), CFG)
+
+
+def flagged_txns(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(RP.flagged_transfers(scored(spark, sf)))
+
+
+def bookie_report(spark: SparkSession, sf: str) -> DataFrame:
+    return bookie_rows(spark, sf)
+
+
+# --- chart datasets
+
+
+def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    histogram = C.score_histogram(materialize(scored(spark, sf).select("ml_score"), "scores"))
+    return rounded(histogram, {"bin_start": 6, "bin_end": 6})
+
+
+def risk_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    return C.risk_scatter(report(spark, sf))
+
+
+def top_bookies(spark: SparkSession, sf: str) -> DataFrame:
+    return C.top_bookies(report(spark, sf))
+
+
+def group_volume(spark: SparkSession, sf: str) -> DataFrame:
+    return C.group_volume(report(spark, sf))
+
+
+def bookie_flow(spark: SparkSession, sf: str) -> DataFrame:
+    return C.bookie_flow(bookie_rows(spark, sf))
+
+
+def bookie_pnl_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """The ratio is divided by 15, because undivided all bookies here win."""
+    lowered = bookie_rows(spark, sf).withColumn(
+        "recv_send_ratio", F.round(F.col("recv_send_ratio") / 15, 4)
+    )
+    return C.pnl_bands(lowered)
+
+
+def gambler_tails(spark: SparkSession, sf: str) -> DataFrame:
+    return C.gambler_tails(scored(spark, sf))
+
+
+# --- questions
+
+
+def users_in_group(spark: SparkSession, sf: str) -> DataFrame:
+    return canned.users_in_group(report(spark, sf), "bookie")
+
+
+def top_receivers(spark: SparkSession, sf: str) -> DataFrame:
+    return canned.top_receivers(report(spark, sf))
+
+
+def top_senders(spark: SparkSession, sf: str) -> DataFrame:
+    return canned.top_senders(flagged(spark, sf))
+
+
+def risky_gamblers(spark: SparkSession, sf: str) -> DataFrame:
+    return canned.risky_gamblers(report(spark, sf), 40.0)
+
+
+def flagged_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return day_text(canned.flagged_by_day(scored(spark, sf)))
+
+
+def user_txn_join(spark: SparkSession, sf: str) -> DataFrame:
+    rows = materialize(scored(spark, sf), "scored")
+    joined = canned.flagged_with_users(RP.user_report(rows, R.pairs(rows)), rows, CFG)
+    return joined.select("ok", "ln", "userid", "amount", "user_group", "user_score")
+
+
+def user_profile_360(spark: SparkSession, sf: str) -> DataFrame:
+    rows = materialize(labeled(spark, sf), "labeled")
+    return plain(canned.profile_of(rows, "u10"))
+
+
+def user_assessment(spark: SparkSession, sf: str) -> DataFrame:
+    return canned.user_assessment(report(spark, sf))
+
+
+def foreign_ip_txns(spark: SparkSession, sf: str) -> DataFrame:
+    raw = fixtures.transfers(spark, sf)
+    return canned.foreign_transfers(add_country(raw, fixtures.ip_ranges(spark, sf), CFG), "C3")
+
+
+def bet_tail_share(spark: SparkSession, sf: str) -> DataFrame:
+    return canned.bet_tail_share(flagged(spark, sf))
+
+
+def transfers_per_flag(spark: SparkSession, sf: str) -> DataFrame:
+    return canned.transfers_per_flag(ruled(spark, sf))
+
+
+def group_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return canned.group_counts(report(spark, sf))
+
+
+# --- table health
+
+GIVEN = ("customer", "lineitem", "nation", "orders", "supplier")
+
+
+def validate_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.validate_outputs(spark, {t: f"{sf}/{t}.parquet" for t in GIVEN})
+
+
+def table_freshness(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table_freshness(spark, {t: f"{sf}/{t}.parquet" for t in GIVEN})
+
+
+# --- streams
+
+
+def raw_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Transfers with line items read as a stream of files."""
+    schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    return fixtures.transfers_from(lines, spark.read.parquet(f"{sf}/orders.parquet"), *ROW_ID)
+
+
+def flagged_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return P.add_patterns(E.add_time(E.clean_description(raw_stream(spark, sf))), CFG)
+
+
+def stream_etl(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "stream-etl")
+    ranges = materialize(fixtures.ip_ranges(spark, sf), "ip-ranges")
+    raw = raw_stream(spark, sf).drop("ok", "ln")
+    streams.stream_clean(raw, ranges, path, new_path(spark, "state"), CFG).awaitTermination()
+    return spark.read.parquet(path).drop("ts", "dt")
+
+
+def stream_smurf_days(spark: SparkSession, sf: str) -> DataFrame:
+    path, state = new_path(spark, "stream-smurf"), new_path(spark, "state")
+    streams.stream_small_senders(flagged_stream(spark, sf), path, state, CFG).awaitTermination()
+    return day_text(streams.smurf_in_days_seen(spark, path, CFG))
+
+
+def stream_rapid_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    path, state = new_path(spark, "stream-rapid"), new_path(spark, "state")
+    streams.stream_rapid_slots(flagged_stream(spark, sf), path, state, CFG).awaitTermination()
+    return day_text(streams.rapid_pairs_seen(spark, path, CFG))
+
+
+def stream_score(spark: SparkSession, sf: str) -> DataFrame:
+    rows, model = _trained(spark, sf)
+    path, state = new_path(spark, "stream-score"), new_path(spark, "state")
+    source = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    streams.stream_score(source, model, path, state).awaitTermination()
+    return spark.read.parquet(path).select("ok", "ln", "hit_any_rule", "ml_score")
+
+
+# --- chat log
+
+# Phrases that occur in the given conversations.
+SPOKEN = G.Vocabulary(
+    meta=("help", "thre"),
+    complaint_steps=("der ", "die "),
+    complaint_marks=("ung", "ver"),
+    next=("the be", "the the"),
+    pipeline=(("etl", ("ble ", "ea of")), ("features", ("queeau",)), ("reports", ("ción",))),
+    report=("ou ",),
+    transaction=("th", "é"),
+    correction=("en",),
+    done=("the",),
+    negative=("ing",),
+    steps=((3, ("shre",), (), ("thble",)), (2, ("of a",), ("eau",), ()), (1, ("in",), ("on",), ())),
+)
+
+
+def chats(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/conversations.parquet")
+
+
+def intent_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return G.intent_tags(chats(spark, sf), SPOKEN)
+
+
+def intent_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return G.intent_counts(G.intent_tags(chats(spark, sf), SPOKEN))
+
+
+def recent_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return G.recent_turns(chats(spark, sf), limit=4, max_chars=200)
+
+
+def last_step(spark: SparkSession, sf: str) -> DataFrame:
+    return G.last_step(chats(spark, sf), SPOKEN)
 
 
 QUERIES = {
@@ -224,5 +518,44 @@ QUERIES = {
         labeled_transfers,
         label_summary,
         label_user_counts,
+        scaler_stats,
+        iforest_train_stats,
+        iforest_scores,
+        score_normalize,
+        score_p95,
+        user_report,
+        flagged_users,
+        high_score_users,
+        flagged_txns,
+        bookie_report,
+        score_histogram,
+        risk_scatter,
+        top_bookies,
+        group_volume,
+        bookie_flow,
+        bookie_pnl_bands,
+        gambler_tails,
+        users_in_group,
+        top_receivers,
+        top_senders,
+        risky_gamblers,
+        flagged_by_day,
+        user_txn_join,
+        user_profile_360,
+        user_assessment,
+        foreign_ip_txns,
+        bet_tail_share,
+        transfers_per_flag,
+        group_counts,
+        validate_outputs,
+        table_freshness,
+        stream_etl,
+        stream_smurf_days,
+        stream_rapid_pairs,
+        stream_score,
+        intent_tags,
+        intent_counts,
+        recent_turns,
+        last_step,
     )
 }

@@ -13,12 +13,6 @@ def sum0(col: Column | str) -> Column:
     return F.coalesce(F.sum(col), F.lit(0))
 
 
-def n_unique(col: Column | str) -> Column:
-    """Distinct count in which NULL counts as one value."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))
-
-
 def ratio(part: Column | str, whole: Column | str) -> Column:
     """``part / whole`` as double; NULL where ``whole`` is 0."""
     part = F.col(part) if isinstance(part, str) else part
@@ -26,20 +20,6 @@ def ratio(part: Column | str, whole: Column | str) -> Column:
     return part.cast("double") / F.when(whole != 0, whole.cast("double"))
 
 
-def exact_std(n: Column, total: Column, squares: Column) -> Column:
-    """Sample standard deviation from integer power sums.
-
-    Centred on the integer mean, so all large terms stay exact and the result
-    does not depend on the order in which partitions were merged.
-    """
-    d = "decimal(38,0)"
-    mean = F.floor(F.try_divide(total, n)).cast("bigint")
-    rest = (total - n * mean).cast("double")
-    centred = squares - F.lit(2) * mean.cast(d) * total.cast(d) + n.cast(d) * mean.cast(d) * mean.cast(d)
-    m2 = centred.cast("double") - F.try_divide(rest * rest, n)
-    return F.when(n > 1, F.sqrt(F.try_divide(F.greatest(m2, F.lit(0.0)), n - 1)))
-
-
 def parse_reqdate(col: Column | str) -> Column:
     """Request time text to TIMESTAMP_NTZ; anything else, date-only included, is NULL."""
     c = F.col(col) if isinstance(col, str) else col

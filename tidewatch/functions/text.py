@@ -58,16 +58,19 @@ def _split_hangul(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """Canonical decomposition without combining marks; letters such as đ stay."""
+    """Canonical decomposition without combining marks; letters such as đ stay.
+
+    One translation settles composed letters.  Only texts that still hold
+    marks, Hangul or a letter with several parts pay for the rest.
+    """
     source, target, longer = _decompositions()
     folded = F.translate(text, source, target)
-    if longer:
-        wide = f"[{''.join(longer)}]"
-        expanded = folded
-        for ch, base in longer.items():
-            expanded = F.replace(expanded, F.lit(ch), F.lit(base))
-        folded = F.when(folded.rlike(wide), expanded).otherwise(folded)
-    return F.regexp_replace(_split_hangul(folded), r"\p{Mn}+", "")
+    rare = rf"[\p{{Mn}}{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}{''.join(longer)}]"
+    expanded = folded
+    for ch, base in longer.items():
+        expanded = F.replace(expanded, F.lit(ch), F.lit(base))
+    unmarked = F.regexp_replace(_split_hangul(expanded), r"\p{Mn}+", "")
+    return F.when(folded.rlike(rare), unmarked).otherwise(folded)
 
 
 def normalize_description(text: Column | str) -> Column:

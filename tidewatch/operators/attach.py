@@ -27,7 +27,7 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str, cfg: Config
         keyed.where(F.col(key).isNotNull() & (F.col(weight) >= cfg.hot_key_rows))
         .orderBy(F.col(weight).desc(), F.col(key))
         .limit(cfg.hot_keys)
-        .select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in values])
+        .select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
     )
     spread = F.col("_hot_key").isNotNull() | F.col(key).isNull()
     # the partition id keeps equal copies of a row apart and is the same on a retry
@@ -45,5 +45,5 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str, cfg: Config
     )
     return tagged.join(cold, "_join_key", "left").select(
         *[F.col(c) for c in rows.columns],
-        *[F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")).alias(c) for c in values],
+        *[F.coalesce(F.col("_hot")[c], F.col(f"_cold_{c}")).alias(c) for c in values],
     )

@@ -30,7 +30,8 @@ class Vocabulary:
     correction: Phrases
     done: Phrases
     negative: Phrases
-    steps: tuple[tuple[int, Phrases, Phrases], ...]
+    # stage number, its names, its files, and marks that need no further proof
+    steps: tuple[tuple[int, Phrases, Phrases, Phrases], ...]
 
 
 # Phrases that decide the intent and the finished stage.
@@ -103,9 +104,9 @@ DEFAULT = Vocabulary(
     done=("hoan tat", "hoan thanh"),
     negative=("chua co", "cu hon", "vui long chay", "hay bat dau"),
     steps=(
-        (3, ("buoc 3",), ()),
-        (2, ("buoc 2",), ("labeled.parquet",)),
-        (1, ("buoc 1",), ("etl.parquet",)),
+        (3, ("buoc 3",), (), ("f1-f6 charts",)),
+        (2, ("buoc 2",), ("labeled.parquet",), ()),
+        (1, ("buoc 1",), ("etl.parquet",), ()),
     ),
 )
 
@@ -172,8 +173,8 @@ def finished_step(text: Column, words: Vocabulary) -> Column:
     plain = fold_for_matching(text)
     done, negative = _any(plain, words.done), _any(plain, words.negative)
     result = F.lit(None).cast("int")
-    for number, names, files in reversed(words.steps):
-        said = (_any(plain, names) & done) | (_any(plain, files) & ~negative)
+    for number, names, files, marks in reversed(words.steps):
+        said = (_any(plain, names) & done) | (_any(plain, files) & ~negative) | _any(plain, marks)
         result = F.when(said, number).otherwise(result)
     return result
 

@@ -11,17 +11,22 @@ there are, which bounds what is sent to the executors.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.config import Config
 
+# functions travel with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _EULER = 0.5772156649015329
 _NODES = "tree int, feature array<int>, threshold array<float>, path array<double>"
 
@@ -162,23 +167,22 @@ class Forest:
             rows_per_tree,
         )
 
-    @property
-    def depth(self) -> int:
-        return int(self.path.shape[1]).bit_length() - 1
-
-    def anomaly(self, x: np.ndarray) -> np.ndarray:
-        """2^(-E[path] / c(n)): near 1 for outliers, below 0.5 for the crowd."""
-        total = np.zeros(len(x))
-        row = np.arange(len(x))
-        flat, width = np.ascontiguousarray(x).ravel(), x.shape[1]
-        base = row * width
-        for feature, threshold, path in zip(self.feature, self.threshold, self.path):
-            node = np.zeros(len(x), dtype=np.int32)
-            for _ in range(self.depth):
-                right = flat[base + feature[node]] > threshold[node]
-                node = 2 * node + 1 + right
-            total += path[node - (len(path) - 1)]
-        return 2.0 ** (-(total / len(self.path)) / max(mean_path(self.rows_per_tree), 1e-12))
+
+def anomaly(
+    trees: tuple[np.ndarray, np.ndarray, np.ndarray], norm: float, x: np.ndarray
+) -> np.ndarray:
+    """2^(-E[path] / c(n)): near 1 for outliers, below 0.5 for the crowd."""
+    depth = trees[2].shape[1].bit_length() - 1
+    total = np.zeros(len(x))
+    values = np.ascontiguousarray(x).ravel()
+    base = np.arange(len(x)) * x.shape[1]
+    for feature, threshold, path in zip(*trees):
+        node = np.zeros(len(x), dtype=np.int32)
+        for _ in range(depth):
+            right = values[base + feature[node]] > threshold[node]
+            node = 2 * node + 1 + right
+        total += path[node - (len(path) - 1)]
+    return 2.0 ** (-(total / len(trees[2])) / norm)
 
 
 def raw_score(forest: Forest, spark: SparkSession, x: Column) -> Column:
@@ -186,17 +190,19 @@ def raw_score(forest: Forest, spark: SparkSession, x: Column) -> Column:
 
     Only that array crosses to Python; the other columns stay in the JVM.
     """
-    shared = spark.sparkContext.broadcast(forest)
+    trees = (forest.feature, forest.threshold, forest.path)
+    shared = spark.sparkContext.broadcast(trees)
+    norm = max(mean_path(forest.rows_per_tree), 1e-12)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        trees = shared.value
         for batch in batches:
             known = batch.is_valid().to_numpy(zero_copy_only=False)
             out = np.full(len(batch), np.nan)
             if known.any():
                 values = batch.drop_null().flatten().to_numpy(zero_copy_only=False)
-                out[known] = model.anomaly(values.reshape(int(known.sum()), -1))
+                out[known] = anomaly(trees, norm, values.reshape(int(known.sum()), -1))
             yield pa.array(out, mask=~known)
 
     return score(x)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ipaddress
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from tidewatch.config import Config
 from tidewatch.functions.ip import V4_DIGITS, V6_DIGITS, ip_bucket, parse_ip
 from tidewatch.operators.attach import attach
 
+# functions travel with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _BOUNDS = "country string, seq bigint, first string, last string"
 
 

@@ -8,33 +8,31 @@ from pyspark.sql import functions as F
 from tidewatch.config import RULE_FLAGS, Config
 from tidewatch.functions.columns import ratio
 from tidewatch.operators.attach import attach
-from tidewatch.operators.profiles import (
-    flow_ratio,
-    receiver_profile,
-    receiver_sums,
-    sender_profile,
-    sender_sums,
-)
+from tidewatch.operators.profiles import add_profiles, fold
 
 
 def _weighted(condition: Column, weight: float) -> Column:
     return condition.cast("double") * F.lit(float(weight))
 
 
-def bookie_scores(edge: DataFrame, cfg: Config) -> DataFrame:
-    """One row per receiver with the weighted score of the four conditions."""
-    received = receiver_sums(edge).select(
-        "appuser",
-        F.col("n_amount").alias("recv_tx"),
-        F.col("partners").alias("recv_src"),
-        ratio("is_bet_tail", "n_tail").alias("recv_bet_tail"),
-    )
-    sent = sender_sums(edge).select(
-        F.col("userid").alias("appuser"),
-        F.col("n_amount").alias("send_tx"),
-        ratio("desc_has_win", "n").alias("send_win_desc"),
-        ratio(F.col("n_tail") - F.col("is_bet_tail"), "n_tail").alias("non_bet_tail_ratio"),
+def received_stats(flagged: DataFrame, pair: DataFrame) -> DataFrame:
+    """What the score needs of a receiver."""
+    rows = flagged.select("appuser", "amount", "is_bet_tail")
+    measures = [F.count("amount").alias("recv_tx"), F.avg("is_bet_tail").alias("recv_bet_tail")]
+    return fold(rows, "appuser", {"recv_src": pair}, *measures).withColumnRenamed("n", "recv_rows")
+
+
+def sent_stats(flagged: DataFrame) -> DataFrame:
+    """What the score needs of a sender."""
+    return flagged.groupBy("userid").agg(
+        F.count("amount").alias("send_tx"),
+        F.avg("desc_has_win").alias("send_win_desc"),
+        F.avg(1 - F.col("is_bet_tail")).alias("non_bet_tail_ratio"),
     )
+
+
+def bookie_scores(received: DataFrame, sent: DataFrame, cfg: Config) -> DataFrame:
+    """One row per receiver with the weighted score of the four conditions."""
     win_not_bet = (F.col("send_win_desc") > cfg.bookie_win_desc) & (
         F.col("non_bet_tail_ratio") > cfg.bookie_non_bet
     )
@@ -45,20 +43,25 @@ def bookie_scores(edge: DataFrame, cfg: Config) -> DataFrame:
         + _weighted(win_not_bet, cfg.weight_win_non_bet)
     )
     return (
-        received.join(sent, "appuser", "left")
+        received.join(sent.withColumnRenamed("userid", "appuser"), "appuser", "left")
         .fillna({"send_tx": 0, "send_win_desc": 0.0, "non_bet_tail_ratio": 0.0})
         .withColumn("recv_send_ratio", F.col("recv_tx") / (F.col("send_tx") + 1))
         .withColumn("bookie_score", score)
     )
 
 
-def bookies(edge: DataFrame, cfg: Config) -> DataFrame:
+def bookies(scores: DataFrame, cfg: Config) -> DataFrame:
     """Receivers whose score reaches the limit."""
-    return bookie_scores(edge, cfg).where(F.col("bookie_score") >= cfg.bookie_min_score)
+    return scores.where(F.col("bookie_score") >= cfg.bookie_min_score)
+
+
+def _is_bookie(cfg: Config) -> Column:
+    reached = F.coalesce(F.col("bookie_score") >= cfg.bookie_min_score, F.lit(False))
+    return reached.alias("is_bookie")
 
 
-def rule_columns() -> dict[str, Column]:
-    """Rule flags of a transfer whose receiver carries ``is_bookie``."""
+def _with_rules(rows: DataFrame) -> DataFrame:
+    """Rule flags of transfers whose receiver carries ``is_bookie``, which is dropped."""
     bookie = F.col("is_bookie")
     flags = {
         "is_bookie_tx": bookie.cast("byte"),
@@ -67,35 +70,53 @@ def rule_columns() -> dict[str, Column]:
     for side in ("recipient", "depositor"):
         for kind in ("1", "2"):
             flags[f"is_{side}{kind}_tx"] = F.col(f"desc_match_b{kind}")
-    return {name: flags[name] for name in RULE_FLAGS}
+    return (
+        rows.withColumns({name: flags[name] for name in RULE_FLAGS})
+        .withColumn("hit_any_rule", F.greatest(*RULE_FLAGS))
+        .drop("is_bookie")
+    )
+
+
+def rule_labels(flagged: DataFrame, pair: DataFrame, cfg: Config) -> DataFrame:
+    """Rule labels alone, without profiles: one join with the receivers."""
+    scores = bookie_scores(received_stats(flagged, pair), sent_stats(flagged), cfg)
+    receivers = scores.select("appuser", "recv_rows", _is_bookie(cfg))
+    return _with_rules(attach(flagged, receivers, "appuser", "recv_rows", cfg).drop("recv_rows"))
+
+
+def scores_from_profiles(senders: DataFrame, receivers: DataFrame, cfg: Config) -> DataFrame:
+    """The bookie score from profiles that exist already; the transfers are not read again."""
+    received = receivers.select(
+        "appuser",
+        F.col("recv_tx_count").alias("recv_tx"),
+        F.col("recv_unique_senders").alias("recv_src"),
+        F.col("recv_bet_tail_ratio").alias("recv_bet_tail"),
+    )
+    sent = senders.select(
+        "userid",
+        F.col("sender_tx_count").alias("send_tx"),
+        F.col("sender_win_desc_ratio").alias("send_win_desc"),
+        (1 - F.col("sender_bet_tail_ratio")).alias("non_bet_tail_ratio"),
+    )
+    return bookie_scores(received, sent, cfg)
 
 
 def label_transfers(
-    flagged: DataFrame, edge: DataFrame, ids: DataFrame, str_flags: DataFrame, cfg: Config
+    flagged: DataFrame, senders: DataFrame, receivers: DataFrame, str_flags: DataFrame, cfg: Config
 ) -> DataFrame:
     """Profiles, suspicious-activity flags and rule labels on every transfer.
 
     Everything known about a user is put into one sender row and one receiver
     row first, so the transfers themselves are joined exactly twice.
     """
-    senders = sender_profile(edge, ids)
-    senders = senders.join(str_flags, "userid", "left")
-    score = bookie_scores(edge, cfg).select("appuser", "bookie_score")
-    reached = F.coalesce(F.col("bookie_score") >= cfg.bookie_min_score, F.lit(False))
-    receivers = (
-        receiver_profile(edge)
-        .join(score, "appuser", "left")
-        .withColumn("is_bookie", reached)
-        .drop("bookie_score")
-    )
-    rows = attach(flagged, senders, "userid", "sender_rows", cfg).drop("sender_rows")
-    rows = attach(rows, receivers, "appuser", "recv_rows", cfg).drop("recv_rows")
-    return (
-        rows.withColumn("recv_send_tx_ratio", flow_ratio())
-        .withColumns(rule_columns())
-        .withColumn("hit_any_rule", F.greatest(*RULE_FLAGS))
-        .drop("is_bookie")
+    marks = scores_from_profiles(senders, receivers, cfg).select("appuser", _is_bookie(cfg))
+    rows = add_profiles(
+        flagged,
+        senders.join(str_flags, "userid", "left"),
+        receivers.join(marks, "appuser", "left"),
+        cfg,
     )
+    return _with_rules(rows)
 
 
 def label_summary(labeled: DataFrame) -> DataFrame:
@@ -113,12 +134,16 @@ def label_summary(labeled: DataFrame) -> DataFrame:
 
 def rule_user_counts(labeled: DataFrame) -> DataFrame:
     """Distinct bookies and gamblers with the transfers behind them."""
+
     def count(label: str, flag: str, user: str) -> DataFrame:
         return (
             labeled.where(F.col(flag) == 1)
             .groupBy(user)
             .agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.count(F.lit(1)).alias("users"), F.coalesce(F.sum("n"), F.lit(0)).alias("transfers"))
+            .agg(
+                F.count(F.lit(1)).alias("users"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("transfers"),
+            )
             .select(F.lit(label).alias("label"), "users", "transfers")
         )
 

@@ -1,9 +1,9 @@
 """Sender and receiver profiles.
 
-Both come from one edge table with a row per (sender, receiver) pair, so the
-transfers are aggregated and shuffled once for the two of them.  Counting
-edges gives the distinct partners, NULL included, and a user with a third of
-all transfers is already combined before anything is grouped by user alone.
+Distinct partners and addresses are counted from tables of distinct pairs, in
+which NULL is a value like any other.  The pairs join the plain sums in one
+grouping per side, so nobody's transfers are ever gathered: a user with a third
+of all transfers arrives as one partial row per task.
 """
 
 from __future__ import annotations
@@ -12,62 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import PATTERN_FLAGS, RECEIVER_FEATURES, SENDER_FEATURES, Config
-from tidewatch.functions.columns import exact_std, ratio, sum0
+from tidewatch.functions.columns import sum0
 from tidewatch.operators.attach import attach
 
-_SUMS = ("n", "n_amount", "amount", "squares", "n_tail", *PATTERN_FLAGS)
-_RATIOS = {
-    "bet_tail_ratio": ("is_bet_tail", "n_tail"),
-    "win_desc_ratio": ("desc_has_win", "n"),
-    "b1_ratio": ("desc_match_b1", "n"),
-    "b2_ratio": ("desc_match_b2", "n"),
-}
-
-
-def edges(flagged: DataFrame) -> DataFrame:
-    """Power sums and flag counts per (userid, appuser) pair."""
-    square = F.col("amount").cast("decimal(19,0)") * F.col("amount").cast("decimal(19,0)")
-    return flagged.groupBy("userid", "appuser").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("amount").alias("n_amount"),
-        sum0("amount").alias("amount"),
-        F.max("amount").alias("max_amount"),
-        F.coalesce(F.sum(square), F.lit(0)).cast("decimal(38,0)").alias("squares"),
-        F.count("is_bet_tail").alias("n_tail"),
-        *[sum0(c).alias(c) for c in PATTERN_FLAGS],
-    )
-
-
-def _side(edge: DataFrame, key: str, *extra: str) -> DataFrame:
-    """Edges folded to one row per user; ``partners`` counts the other side."""
-    return edge.groupBy(key).agg(
-        F.count("n").alias("partners"),
-        F.max("max_amount").alias("max_amount"),
-        *[F.sum(c).alias(c) for c in (*_SUMS, *extra)],
-    )
-
-
-def _measures(side: str, partners: str, total: str) -> dict[str, Column]:
-    n, amount, squares = F.col("n_amount"), F.col("amount"), F.col("squares")
-    return {
-        f"{side}_tx_count": n,
-        partners: F.col("partners"),
-        total: amount,
-        f"{side}_avg_amount": ratio(amount, n),
-        f"{side}_max_amount": F.col("max_amount"),
-        f"{side}_std_amount": F.coalesce(
-            exact_std(n, amount, squares.cast("decimal(38,0)")), F.lit(0.0)
-        ),
-        **{f"{side}_{name}": ratio(part, whole) for name, (part, whole) in _RATIOS.items()},
-    }
 
-
-def sender_sums(edge: DataFrame) -> DataFrame:
-    return _side(edge, "userid")
-
-
-def receiver_sums(edge: DataFrame) -> DataFrame:
-    return _side(edge, "appuser")
+def pairs(txn: DataFrame) -> DataFrame:
+    """Distinct (userid, appuser): the edges of the transfer graph."""
+    return txn.select("userid", "appuser").distinct()
 
 
 def identifiers(etl: DataFrame) -> DataFrame:
@@ -85,25 +36,51 @@ def identifiers(etl: DataFrame) -> DataFrame:
     )
 
 
-def sender_profile(edge: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row per sender with the eleven sender measures.
+def fold(rows: DataFrame, key: str, counted: dict[str, DataFrame], *measures: Column) -> DataFrame:
+    """``measures`` of ``rows`` per ``key``, and how often each key occurs in ``counted``."""
+    both = rows.withColumn("_of", F.lit(""))
+    for name, table in counted.items():
+        tagged = table.select(key, F.lit(name).alias("_of"))
+        both = both.unionByName(tagged, allowMissingColumns=True)
+    return both.groupBy(key).agg(
+        F.count_if(F.col("_of") == "").alias("n"),
+        *measures,
+        *[F.count_if(F.col("_of") == name).alias(name) for name in counted],
+    )
+
 
-    Edges and address pairs are folded by one grouping instead of being joined.
-    """
-    ips = ids.where(F.col("kind") == "ip").select("userid", F.lit(1).alias("ips"))
-    both = edge.withColumn("ips", F.lit(0)).unionByName(ips, allowMissingColumns=True)
-    measures = _measures("sender", "sender_unique_receivers", "sender_total_sent")
-    measures["sender_unique_ips"] = F.col("ips")
-    return _side(both, "userid", "ips").select(
-        "userid", *[measures[c].alias(c) for c in SENDER_FEATURES], F.col("n").alias("sender_rows")
+def _measures(side: str, total: str) -> list[Column]:
+    return [
+        F.count("amount").alias(f"{side}_tx_count"),
+        sum0("amount").alias(total),
+        F.avg("amount").alias(f"{side}_avg_amount"),
+        F.max("amount").alias(f"{side}_max_amount"),
+        F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias(f"{side}_std_amount"),
+        F.avg("is_bet_tail").alias(f"{side}_bet_tail_ratio"),
+        F.avg("desc_has_win").alias(f"{side}_win_desc_ratio"),
+        F.avg("desc_match_b1").alias(f"{side}_b1_ratio"),
+        F.avg("desc_match_b2").alias(f"{side}_b2_ratio"),
+    ]
+
+
+def sender_profile(flagged: DataFrame, pair: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row per sender: eleven measures and ``sender_rows``."""
+    counted = {
+        "sender_unique_receivers": pair,
+        "sender_unique_ips": ids.where(F.col("kind") == "ip"),
+    }
+    rows = flagged.select("userid", "amount", *PATTERN_FLAGS)
+    return fold(rows, "userid", counted, *_measures("sender", "sender_total_sent")).select(
+        "userid", *SENDER_FEATURES, F.col("n").alias("sender_rows")
     )
 
 
-def receiver_profile(edge: DataFrame) -> DataFrame:
-    """One row per receiver with the ten receiver measures."""
-    measures = _measures("recv", "recv_unique_senders", "recv_total_received")
-    return receiver_sums(edge).select(
-        "appuser", *[measures[c].alias(c) for c in RECEIVER_FEATURES], F.col("n").alias("recv_rows")
+def receiver_profile(flagged: DataFrame, pair: DataFrame) -> DataFrame:
+    """One row per receiver: ten measures and ``recv_rows``."""
+    rows = flagged.select("appuser", "amount", *PATTERN_FLAGS)
+    measures = _measures("recv", "recv_total_received")
+    return fold(rows, "appuser", {"recv_unique_senders": pair}, *measures).select(
+        "appuser", *RECEIVER_FEATURES, F.col("n").alias("recv_rows")
     )
 
 

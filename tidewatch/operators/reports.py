@@ -1,7 +1,7 @@
 """Per-user report, flagged transfers and the bookie report.
 
-Scored transfers are folded to (sender, receiver) edges once; both sides of
-every user come from those edges.
+Each side of a user is one grouping of the scored transfers; the bookie report
+is a selection of the result.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import Config
 from tidewatch.functions.columns import ratio, sum0
+from tidewatch.operators.profiles import fold
 
 # Group names in the fixed order in which a user's groups are listed, with the
 # flag that puts a user there and the side of the transfer the user is on.
@@ -65,43 +66,28 @@ FLAGGED_COLUMNS = (
 QUIET_GROUPS = ("normal", "depositor1", "depositor2", "gambler")
 
 
-def scored_edges(scored: DataFrame) -> DataFrame:
-    """Counts, amounts and scores per (userid, appuser)."""
-    return scored.groupBy("userid", "appuser").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("amount").alias("tx"),
-        sum0("amount").alias("amount"),
-        F.sum("ml_score").alias("score"),
-        F.count("ml_score").alias("n_score"),
-        *[F.count_if(F.col(flag) == 1).alias(GROUP_COUNTS[g]) for g, (flag, _) in GROUPS.items()],
-    )
-
-
-def _side(edges: DataFrame, key: str, side: str, partners: str, score: str) -> DataFrame:
+def _side(scored: DataFrame, pair: DataFrame, key: str, side: str) -> DataFrame:
     """One side of every user; a NULL id is listed but owns nothing."""
-    mine = [GROUP_COUNTS[g] for g, (_, s) in GROUPS.items() if s == side]
-    folded = edges.groupBy(key).agg(
-        F.count(F.lit(1)).alias(partners),
-        F.sum("n").alias(f"{side}_rows"),
-        F.sum("tx").alias(f"total_{side}_tx"),
-        F.sum("amount").alias(f"total_{side}_amount"),
-        F.sum("score").alias("_score"),
-        F.sum("n_score").alias("_n_score"),
-        *[F.sum(c).alias(c) for c in mine],
-    )
-    known = F.col(key).isNotNull()
-    values = [partners, f"{side}_rows", f"total_{side}_tx", f"total_{side}_amount", *mine]
+    partners, score = ("unique_receivers", "ml_s") if side == "sent" else ("unique_senders", "ml_r")
+    flags = {GROUP_COUNTS[g]: flag for g, (flag, s) in GROUPS.items() if s == side}
+    measures = [
+        F.count("amount").alias(f"total_{side}_tx"),
+        sum0("amount").alias(f"total_{side}_amount"),
+        F.avg("ml_score").alias(score),
+        *[F.count_if(F.col(flag) == 1).alias(name) for name, flag in flags.items()],
+    ]
+    rows = scored.select(key, "amount", "ml_score", *flags.values())
+    folded = fold(rows, key, {partners: pair}, *measures).withColumnRenamed("n", f"{side}_rows")
     return folded.select(
         F.col(key).alias("user_id"),
-        *[F.when(known, F.col(c)).alias(c) for c in values],
-        F.when(known, ratio("_score", "_n_score")).alias(score),
+        *[F.when(F.col(key).isNotNull(), F.col(c)).alias(c) for c in folded.columns if c != key],
     )
 
 
-def user_report(edges: DataFrame) -> DataFrame:
+def user_report(scored: DataFrame, pair: DataFrame) -> DataFrame:
     """One row per id seen on either side, unsorted, with rows sent and received."""
-    sent = _side(edges, "userid", "sent", "unique_receivers", "ml_s")
-    received = _side(edges, "appuser", "recv", "unique_senders", "ml_r")
+    sent = _side(scored, pair, "userid", "sent")
+    received = _side(scored, pair, "appuser", "recv")
     both = sent.unionByName(received, allowMissingColumns=True)
     totals = [c for c in both.columns if c not in ("user_id", "ml_s", "ml_r")]
     merged = both.groupBy("user_id").agg(

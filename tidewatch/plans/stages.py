@@ -24,7 +24,7 @@ from tidewatch.operators.etl import add_time, clean_transfers
 from tidewatch.operators.forest import file_row_key
 from tidewatch.operators.labels import label_summary, label_transfers, rule_user_counts
 from tidewatch.operators.patterns import add_patterns, flag_summary
-from tidewatch.operators.profiles import edges, identifiers
+from tidewatch.operators.profiles import identifiers, pairs, receiver_profile, sender_profile
 from tidewatch.operators.scoring import Model, score, train, train_stats
 from tidewatch.sources.landing import read_ip_ranges, read_raw
 from tidewatch.sources.storage import materialize
@@ -46,6 +46,21 @@ REPORTS = ("transactions_flagged", "report_users", "report_high_score_users", "r
 STAGES = ("etl", "features", "reports", "training")
 
 
+def label_stored(etl: DataFrame, cfg: Config) -> DataFrame:
+    """Labelled transfers from a stored table of cleaned ones.
+
+    The user level frames are written first: each is used several times and is
+    far smaller than the transfers.
+    """
+    flagged = add_patterns(etl, cfg)
+    pair = materialize(pairs(etl), "pairs")
+    ids = materialize(identifiers(etl), "identifiers")
+    senders = materialize(sender_profile(flagged, pair, ids), "senders")
+    receivers = materialize(receiver_profile(flagged, pair), "receivers")
+    flags = materialize(S.user_flags(flagged, ids, cfg), "user-flags")
+    return label_transfers(flagged, senders, receivers, flags, cfg)
+
+
 class Pipeline:
     """Raw transfers to reports, one stage at a time."""
 
@@ -107,18 +122,10 @@ class Pipeline:
         return {"rows_in": read.get["rows"], "rows_out": written.get["rows"]}
 
     def features(self) -> str:
-        """Cleaned transfers to labelled transfers.
-
-        The user level frames are written first: each is used several times and
-        is far smaller than the transfers.
-        """
+        """Cleaned transfers to labelled transfers."""
         self._require("features")
         started = time.time()
-        flagged = add_patterns(self.table("etl"), self.cfg)
-        edge = materialize(edges(flagged), "edges")
-        ids = materialize(identifiers(flagged), "identifiers")
-        flags = materialize(S.user_flags(flagged, ids, self.cfg), "user-flags")
-        labeled = label_transfers(flagged, edge, ids, flags, self.cfg).drop(*DROPPED)
+        labeled = label_stored(self.table("etl"), self.cfg).drop(*DROPPED)
         path = publish(labeled, self.path("labeled"), ["dt"])
         log.info("features took %.1f s", time.time() - started)
         return path
@@ -164,7 +171,7 @@ class Pipeline:
         self._require("reports")
         started = time.time()
         scored = materialize(score(self.table("labeled"), self.active_model()), "scored")
-        report = materialize(RP.user_report(RP.scored_edges(scored)), "user-report")
+        report = materialize(RP.user_report(scored, materialize(pairs(scored), "pairs")), "user-report")
         high = RP.high_score_users(report, self.cfg).withColumn(
             "threshold", F.lit(float(self.cfg.score_threshold))
         )

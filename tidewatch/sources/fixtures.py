@@ -41,6 +41,12 @@ _COLUMNS = {
 TXN_COLUMNS = tuple(_COLUMNS)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small file with few row groups to all cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *df.columns[:3])
+
+
 def transfers_from(lineitem: DataFrame, orders: DataFrame, *extra: str) -> DataFrame:
     """One line item is one transfer; works on a streaming ``lineitem`` too."""
     joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
@@ -49,7 +55,11 @@ def transfers_from(lineitem: DataFrame, orders: DataFrame, *extra: str) -> DataF
 
 def transfers(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return transfers_from(
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
+        spread(
+            spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+                "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
+            )
+        ),
         spark.read.parquet(f"{sf_dir}/orders.parquet"),
         *extra,
     )

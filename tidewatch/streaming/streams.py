@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.config import Config
 from tidewatch.operators.etl import add_time, clean_transfers
 from tidewatch.operators.scoring import Model, score_fixed
-from tidewatch.operators.str_flags import rapid_pairs, rapid_slots
+from tidewatch.operators.str_flags import rapid_pairs, rapid_slot
 
 WATERMARK = "1 day"
 
@@ -51,11 +51,12 @@ def stream_small_senders(
     are dropped by state that the watermark clears.
     """
     small = (
-        txn.where((F.col("amount") < cfg.smurf_in_amount) & F.col("ts").isNotNull())
-        .withColumn("day", F.date_trunc("day", "ts").cast("timestamp"))
+        txn.where(F.col("amount") < cfg.smurf_in_amount)
+        .where(F.col("dt").isNotNull())
+        .select("appuser", "dt", "userid", F.col("dt").cast("timestamp").alias("day"))
         .withWatermark("day", watermark)
-        .dropDuplicates(["appuser", "day", "userid"])
-        .select("appuser", F.col("day").cast("date").alias("dt"), "userid")
+        .dropDuplicates(["appuser", "dt", "userid", "day"])
+        .drop("day")
     )
     return _append(small, path, checkpoint)
 
@@ -77,16 +78,17 @@ def stream_rapid_slots(
 
     Each batch owns a folder, so a repeated batch replaces its own output.
     """
-    timed = txn.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     slots = (
-        timed.where(F.col("ts").isNotNull())
-        .groupBy("userid", F.window("ts", f"{cfg.rapid_seconds} seconds").alias("w"))
+        txn.where(F.col("ts").isNotNull())
+        .select("userid", "ts", "dt", F.col("dt").cast("timestamp").alias("day"))
+        .withWatermark("day", watermark)
+        .groupBy("userid", "dt", "day", rapid_slot(cfg).alias("slot"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
         )
-        .drop("w")
+        .drop("day")
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -102,13 +104,13 @@ def stream_rapid_slots(
 
 
 def rapid_pairs_seen(spark: SparkSession, path: str, cfg: Config) -> DataFrame:
-    """Close pairs per (userid, dt) among everything streamed so far."""
-    from tidewatch.operators.str_flags import rapid_slot
+    """Close pairs per (userid, dt) among everything streamed so far.
 
+    A slot only grows, so its latest state is its largest count and widest span.
+    """
     slots = (
         spark.read.parquet(path)
-        .withColumn("ts", F.col("first_ts"))
-        .groupBy("userid", F.col("ts").cast("date").alias("dt"), rapid_slot(cfg).alias("slot"))
+        .groupBy("userid", "dt", "slot")
         .agg(
             F.max("n").alias("n"),
             F.min("first_ts").alias("first_ts"),
@@ -116,14 +118,3 @@ def rapid_pairs_seen(spark: SparkSession, path: str, cfg: Config) -> DataFrame:
         )
     )
     return rapid_pairs(slots, cfg)
-
-
-__all__ = [
-    "rapid_pairs_seen",
-    "rapid_slots",
-    "smurf_in_days_seen",
-    "stream_clean",
-    "stream_rapid_slots",
-    "stream_score",
-    "stream_small_senders",
-]
