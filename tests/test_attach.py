@@ -1,0 +1,58 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.config import Config
+from tidewatch.operators.attach import attach
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A third of the rows share one key, a third of those are copies, some keys are NULL."""
+    rnd = random.Random(1)
+    rows = []
+    for i in range(6000):
+        key = "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"k{rnd.randrange(400)}")
+        rows.append((key, 0 if i % 9 == 0 else i))
+    return spark.createDataFrame(rows, "key string, v int").repartition(8)
+
+
+def keyed_of(rows):
+    return rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("v").alias("top"), F.lit(None).cast("int").alias("none")
+    )
+
+
+@pytest.mark.parametrize("hot_rows", [1, 100, 10**9])
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_equals_a_plain_left_join(spark, skewed, hot_rows, broadcast):
+    keyed = keyed_of(skewed).where("key <> 'k7' or key is null")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = attach(skewed, keyed, "key", "n", Config(hot_key_rows=hot_rows, hot_keys=5))
+        want = skewed.join(keyed, "key", "left").select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_rows_are_spread_over_partitions(spark, skewed):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = attach(skewed, keyed_of(skewed), "key", "n", Config(hot_key_rows=500))
+        sizes = (
+            joined.where("key = 'hot'").groupBy(F.spark_partition_id()).count().select("count").collect()
+        )
+        counts = [r[0] for r in sizes]
+        assert sum(counts) == 2000 and max(counts) < 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_broadcast_is_bounded_by_hot_keys(skewed):
+    plan = attach(skewed, keyed_of(skewed), "key", "n", Config(hot_key_rows=1, hot_keys=5))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit 5" in text
