@@ -1,0 +1,182 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tests.helpers import by
+from tests.test_patterns_profiles import flagged_frame
+from tidewatch.config import RULE_FLAGS, Config
+from tidewatch.operators import charts as C
+from tidewatch.operators import labels as L
+from tidewatch.operators import reports as RP
+from tidewatch.operators import str_flags as S
+from tidewatch.operators.profiles import identifiers, pairs, receiver_profile, sender_profile
+from tidewatch.plans import canned
+
+CFG = Config()
+
+ROWS = (
+    # bet: paid with bet tails by 3 users; win: sends "win" texts, then gets paid
+    [{"userid": f"g{i}", "appuser": "bet", "amount": "1011"} for i in range(3)]
+    + [{"userid": "g0", "appuser": "bet", "amount": "1000"}]
+    + [{"userid": "win", "appuser": "g1", "amount": "900", "description": "win88"}]
+    + [{"userid": "g2", "appuser": "win", "amount": "12"}]
+    # many: enough senders and flow, but those two weights stay below the limit
+    + [{"userid": f"m{i}", "appuser": "many", "amount": "100"} for i in range(12)]
+    + [{"userid": "p", "appuser": "q", "amount": "5", "description": "chuyen khoan 123456"}]
+    + [{"userid": "p", "appuser": "q", "amount": "6", "description": "chuyen tien 12345"}]
+    + [{"userid": None, "appuser": "bet", "amount": "2011"}]
+    + [{"userid": "n", "appuser": None, "amount": "7"}]
+    + [{"userid": "n", "appuser": "o", "amount": "bad"}]
+)
+
+
+@pytest.fixture(scope="module")
+def labeled(spark):
+    txn = flagged_frame(spark, ROWS)
+    pair, ids = pairs(txn), identifiers(txn)
+    return L.label_transfers(
+        txn,
+        sender_profile(txn, pair, ids),
+        receiver_profile(txn, pair),
+        S.user_flags(txn, ids, CFG),
+        CFG,
+    ).cache()
+
+
+def test_bookie_score(spark):
+    txn = flagged_frame(spark, ROWS)
+    scores = L.bookie_scores(L.received_stats(txn, pairs(txn)), L.sent_stats(txn), CFG)
+    got = {u: r["bookie_score"] for u, r in by(scores, "appuser").items()}
+    assert got["bet"] == 7.0 and got["many"] == 3.0
+    assert got["win"] == 10.0, "bet tail share of the one transfer in, and win texts out"
+    assert got["q"] == 2.0
+    assert {r["appuser"] for r in L.bookies(scores, CFG).collect()} == {"bet", "win"}
+    assert got["o"] is None, "no known amount: the score is unknown and nobody is accused"
+
+
+def test_labels_agree_with_rule_only_labels(spark, labeled):
+    txn = flagged_frame(spark, ROWS)
+    rules = L.rule_labels(txn, pairs(txn), CFG)
+    cols = ["userid", "appuser", "amount", *RULE_FLAGS, "hit_any_rule"]
+    assert sorted(map(str, rules.select(cols).collect())) == sorted(
+        map(str, labeled.select(cols).collect())
+    )
+
+
+def test_rule_flags_of_single_transfers(labeled):
+    got = {(r["userid"], r["appuser"], r["amount"]): r for r in labeled.collect()}
+    assert len(got) == len(ROWS)
+    assert got["g0", "bet", 1011]["is_gambler_tx"] == 1
+    assert (got["g0", "bet", 1000]["is_bookie_tx"], got["g0", "bet", 1000]["is_gambler_tx"]) == (1, 0)
+    b1 = got["p", "q", 5]
+    assert (b1["is_recipient1_tx"], b1["is_depositor1_tx"], b1["is_recipient2_tx"]) == (1, 1, 0)
+    assert b1["hit_any_rule"] == 1
+    lost = got["n", None, 7]
+    assert lost["is_bookie_tx"] is None and lost["is_gambler_tx"] == 0 and lost["hit_any_rule"] == 0
+    assert got["n", "o", None]["hit_any_rule"] == 0
+    assert got[None, "bet", 2011]["str_ip_change"] is None
+
+
+def test_label_summary_adds_up(labeled):
+    got = by(L.label_summary(labeled), "label")
+    assert got["hit_any_rule"]["transfers"] + got["non_rule"]["transfers"] == len(ROWS)
+    assert got["is_recipient1_tx"]["transfers"] == got["is_depositor1_tx"]["transfers"] == 1
+    users = by(L.rule_user_counts(labeled), "label")
+    assert users["bookie"]["users"] == 2 and users["gambler"]["transfers"] == 5
+
+
+@pytest.fixture(scope="module")
+def scored(labeled):
+    score = F.when(F.col("hit_any_rule") == 0, F.coalesce(F.col("amount"), F.lit(50)).cast("double"))
+    return labeled.withColumn("ml_score", score)
+
+
+@pytest.fixture(scope="module")
+def report(scored):
+    return RP.user_report(scored, pairs(scored)).cache()
+
+
+def test_user_report(report):
+    got = by(report, "user_id")
+    bet = got["bet"]
+    assert bet["user_group"] == "bookie" and bet["bookie_tx_count"] == 5
+    assert bet["unique_senders"] == 4 and bet["total_recv_amount"] == 3033 + 1000 + 2011
+    assert got["g2"]["user_group"] == "gambler" and got["g2"]["gambler_tx_count"] == 2
+    assert got["p"]["user_group"] == "depositor1|depositor2"
+    assert got["q"]["user_group"] == "recipient1|recipient2" and got["q"]["total_flagged_tx"] == 2
+    many = got["many"]
+    assert many["user_group"] == "normal" and many["ml_score"] == 100 and many["ml_s"] is None
+    assert got["n"]["ml_s"] == pytest.approx((7 + 50) / 2)
+    assert got["o"]["total_recv_tx"] == 0 and got["o"]["ml_r"] == 50
+    assert got["bet"]["ml_score"] == 0, "only flagged transfers: no score"
+
+
+def test_a_null_id_is_listed_but_owns_nothing(report):
+    row = by(report, "user_id")[None]
+    assert row["user_group"] == "normal" and row["ml_score"] == 0 and row["ml_s"] is None
+    assert row["total_sent_tx"] == row["total_recv_tx"] == row["total_flagged_tx"] == 0
+
+
+def test_report_selections(report, scored):
+    names = [r["user_id"] for r in RP.flagged_users(report).collect()]
+    assert set(names) == {"bet", "win", "p", "q"}, "a lone gambler stays out, combinations stay in"
+    high = {r["user_id"] for r in RP.high_score_users(report, CFG).collect()}
+    assert high == {"many", *(f"m{i}" for i in range(12))}
+    flagged = RP.flagged_transfers(scored)
+    assert flagged.where("ml_score is not null").count() == 0
+    assert flagged.count() + scored.where("hit_any_rule = 0").count() == len(ROWS)
+    ranked = [r["total_flagged_tx"] for r in RP.ranked_users(report).collect()]
+    assert ranked == sorted(ranked, reverse=True)
+    assert RP.ranked_users(report).columns == list(RP.REPORT_COLUMNS)
+
+
+def test_bookie_report(report):
+    got = by(RP.bookie_report(report), "user_id")
+    assert set(got) == {"bet", "win"}
+    assert got["win"]["send_tx_count"] == 1 and got["win"]["total_send_amount"] == 900
+    assert got["win"]["recv_send_ratio"] == round(12 / 901, 4)
+    assert got["bet"]["send_unique_receivers"] == 0
+
+
+def test_questions(report, scored):
+    assert {r[0] for r in canned.users_in_group(report, "depositor1").collect()} == {"p"}
+    judged = by(canned.user_assessment(report), "user_id")
+    assert judged["many"]["judged_as"] == "receiver" and judged["p"]["judged_as"] == "sender"
+    joined = canned.flagged_with_users(report, scored, CFG)
+    assert joined.count() == scored.where("hit_any_rule = 1 and userid is not null").count()
+    one = canned.profile_of(scored, "win").first()
+    assert (one["sender_tx_count"], one["recv_tx_count"], one["is_bookie"]) == (1, 1, 1)
+    assert canned.top_receivers(report, 1).first()["user_id"] == "bet"
+
+
+def test_profit_bands_keep_the_published_gaps(spark):
+    ratios = [0.79, 0.80, 0.805, 0.81, 0.99, 0.995, 1.00, 1.10, 1.1001, 1.20, 1.21, None]
+    df = spark.createDataFrame([(r,) for r in ratios], "recv_send_ratio double")
+    got = {r[0][0]: r[1] for r in C.pnl_bands(df).collect()}
+    assert got == {"1": 1, "2": 2, "3": 2, "4": 2, "5": 5}
+    closed = {r[0][0]: r[1] for r in C.pnl_bands(df, gapless=True).collect()}
+    assert closed == {"1": 1, "2": 5, "3": 2, "4": 2, "5": 2}
+
+
+def test_histogram(spark):
+    def frame(values):
+        return spark.createDataFrame([(v,) for v in values], "ml_score double")
+
+    rows = C.score_histogram(frame([0.0, 0.0, 50.0, 100.0, 99.9, None])).orderBy("bin").collect()
+    counts = {r["bin"]: r["transfers"] for r in rows if r["transfers"]}
+    assert len(rows) == 60 and counts == {0: 2, 30: 1, 59: 2}
+    equal = C.score_histogram(frame([7.0, 7.0])).collect()
+    assert [r["bin"] for r in equal if r["transfers"] == 2] == [30]
+    assert C.score_histogram(frame([None])).count() == 0
+
+
+def test_chart_datasets(spark, report, scored):
+    volume = {r["user_group"]: r["amount"] for r in C.group_volume(report).collect()}
+    assert volume["bookie"] == 3033 + 1000 + 2011 + 12 and volume["depositor1"] == 11
+    assert [r["user_id"] for r in C.top_bookies(report).collect()] == ["bet", "win"]
+    tails = by(C.gambler_tails(scored), "bet_tail_type")
+    assert tails["011"]["tx_count"] == 4 and tails["011"]["unique_gamblers"] == 4
+    assert tails["012"]["total_amount"] == 12
+    flow = C.bookie_flow(RP.bookie_report(report)).first()
+    assert flow["num_bookies"] == 2 and flow["total_gamblers"] == 5
+    assert C.chart_catalog(spark).count() == 6
+    assert by(C.risk_scatter(report), "user_id").keys() >= {"bet", "win", "p", "q"}

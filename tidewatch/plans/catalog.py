@@ -12,10 +12,15 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.sources.tables import modified, publish_csv, read_table, table_error
+from tidewatch.sources.tables import (
+    SPARK_ERRORS,
+    modified,
+    publish_csv,
+    read_table,
+    table_error,
+)
 
 log = logging.getLogger(__name__)
 
@@ -108,7 +113,7 @@ class Catalog:
     def register_safe(self, name: str, path: str, overwrite: bool = False) -> Result:
         try:
             self.register(name, path, overwrite)
-        except (ValueError, PySparkException) as e:
+        except (ValueError, *SPARK_ERRORS) as e:
             return Result(False, error=f"{type(e).__name__}: {e}")
         return Result(True)
 
@@ -170,7 +175,7 @@ class Catalog:
         try:
             data = self.spark.sql(query)
             return Result(True, data, self._count(data, timeout) if count else None)
-        except PySparkException as e:
+        except SPARK_ERRORS as e:
             return Result(False, error=self._explain(query, e))
         except TimeoutError as e:
             return Result(False, error=str(e))
@@ -178,24 +183,28 @@ class Catalog:
     def _count(self, data: DataFrame, timeout: float | None) -> int:
         if timeout is None:
             return data.count()
-        tag, expired = f"tidewatch-{uuid.uuid4().hex}", threading.Event()
-
-        def cancel() -> None:
-            expired.set()
-            self.spark.interruptTag(tag)
-
-        timer = threading.Timer(timeout, cancel)
-        self.spark.addTag(tag)
-        timer.start()
+        tag, finished, expired = f"tidewatch-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+        context = self.spark.sparkContext
+
+        def watch() -> None:
+            wait = timeout
+            # again each second: a job may start just after the first try
+            while not finished.wait(wait):
+                expired.set()
+                context.cancelJobsWithTag(tag)
+                wait = 1.0
+
+        context.addJobTag(tag)
+        threading.Thread(target=watch, daemon=True).start()
         try:
             return data.count()
-        except Exception as e:
+        except SPARK_ERRORS as e:
             if expired.is_set():
                 raise TimeoutError(f"query ran longer than {timeout:g} s") from e
             raise
         finally:
-            timer.cancel()
-            self.spark.removeTag(tag)
+            finished.set()
+            context.removeJobTag(tag)
 
     def _explain(self, query: str, error: Exception) -> str:
         text = f"{type(error).__name__}: {error}"
@@ -214,7 +223,7 @@ class Catalog:
             return checked
         try:
             checked.data.write.mode("overwrite").parquet(path)
-        except PySparkException as e:
+        except SPARK_ERRORS as e:
             return Result(False, error=self._explain(query, e))
         return Result(True)
 

@@ -89,7 +89,7 @@ class Pipeline:
             return "no labelled transfers yet: run features first"
         if modified(self.spark, self.path("labeled")) < modified(self.spark, self.path("etl")):
             return "labelled transfers are older than the cleaned ones: run features first"
-        if stage == "reports" and not exists(self.spark, self.path("models/active/_CURRENT")):
+        if stage == "reports" and not exists(self.spark, self.path("models/active/CURRENT")):
             return "no active model: run training and promote it"
         return None
 

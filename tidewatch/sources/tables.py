@@ -1,6 +1,6 @@
 """Published tables: validated runs behind a pointer, and their health.
 
-A table is a folder with one sub-folder per run and a small ``_CURRENT`` file
+A table is a folder with one sub-folder per run and a small ``CURRENT`` file
 that names the run readers see.  A run becomes visible only after its files
 were read back, so a failed job never replaces good data, and no step depends
 on an atomic rename.
@@ -13,11 +13,14 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "_CURRENT"
+_POINTER = "CURRENT"
+# what Spark raises for a failed job or a file it cannot read
+SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
 
 def _fs_path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
@@ -69,7 +72,7 @@ def table_error(spark: SparkSession, table: str) -> str | None:
         return f"{table} does not exist"
     try:
         read_table(spark, table).limit(1).collect()
-    except PySparkException as e:
+    except SPARK_ERRORS as e:
         return f"{table} is not readable Parquet: {str(e).splitlines()[0]}"
     return None
 
