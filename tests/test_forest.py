@@ -107,7 +107,7 @@ def test_copies_of_a_row_are_sampled_one_by_one(spark, tmp_path):
 def test_paths_match_a_plain_walk():
     rng = np.random.default_rng(2)
     depth, trees = 4, 6
-    feature = rng.integers(0, 3, (trees, 15)).astype(np.int32)
+    feature = rng.integers(0, 3, (trees, 15)).astype(np.intp)
     threshold = rng.normal(size=(trees, 15)).astype(np.float32)
     path = rng.uniform(1, 9, (trees, 16))
     x = rng.normal(size=(50, 3)).astype(np.float32)

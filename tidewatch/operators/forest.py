@@ -28,6 +28,7 @@ from tidewatch.config import Config
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _EULER = 0.5772156649015329
+_CHUNK = 2_048  # rows walked together, so that their features stay in cache
 _NODES = "tree int, feature array<int>, threshold array<float>, path array<double>"
 
 
@@ -161,7 +162,7 @@ class Forest:
         table = nodes.orderBy("tree").toPandas()
         stack = {c: np.stack(table[c].to_numpy()) for c in ("feature", "threshold", "path")}
         return cls(
-            stack["feature"].astype(np.int32),
+            stack["feature"].astype(np.intp),
             stack["threshold"].astype(np.float32),
             stack["path"].astype(np.float64),
             rows_per_tree,
@@ -174,14 +175,23 @@ def anomaly(
     """2^(-E[path] / c(n)): near 1 for outliers, below 0.5 for the crowd."""
     depth = trees[2].shape[1].bit_length() - 1
     total = np.zeros(len(x))
-    values = np.ascontiguousarray(x).ravel()
-    base = np.arange(len(x)) * x.shape[1]
-    for feature, threshold, path in zip(*trees):
-        node = np.zeros(len(x), dtype=np.int32)
-        for _ in range(depth):
-            right = values[base + feature[node]] > threshold[node]
-            node = 2 * node + 1 + right
-        total += path[node - (len(path) - 1)]
+    for start in range(0, len(x), _CHUNK):
+        part = x[start : start + _CHUNK]
+        values, base = part.ravel(), np.arange(len(part)) * x.shape[1]
+        at = np.empty_like(base)
+        value, cut = np.empty((2, len(part)), dtype=values.dtype)
+        for feature, threshold, path in zip(*trees):
+            node = np.zeros_like(base)
+            for _ in range(depth):
+                # "clip" skips the bounds check; every index is in range anyway
+                np.take(feature, node, out=at, mode="clip")
+                at += base
+                np.take(values, at, out=value, mode="clip")
+                np.take(threshold, node, out=cut, mode="clip")
+                node *= 2
+                node += 1
+                node += value > cut
+            total[start : start + _CHUNK] += path[node - (len(path) - 1)]
     return 2.0 ** (-(total / len(trees[2])) / norm)
 
 
