@@ -84,6 +84,14 @@ def test_labelled_table(run):
     assert totals == {"flags": 4, "suspicious": 4, "labels": 8, "users": 2}
 
 
+def test_labelled_table_by_day(run, tmp_path):
+    pipe = Pipeline(run["pipe"].spark, str(tmp_path), CFG)
+    publish(run["pipe"].table("etl"), pipe.path("etl"))
+    path = pipe.features(by_day=True)
+    assert len(list((tmp_path / "labeled").glob("run-*/dt=*"))) == 3 and path
+    assert pipe.table("labeled").count() == 500
+
+
 def test_reports_are_published(run):
     assert set(run["checked"]) == set(REPORTS) and all(ok for ok, _ in run["checked"].values())
     flagged = run["pipe"].table("transactions_flagged")

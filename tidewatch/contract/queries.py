@@ -276,7 +276,7 @@ def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
 def score_normalize(spark: SparkSession, sf: str) -> DataFrame:
     """The 0-100 scale on a stand-in for the raw anomaly."""
     raw = scored(spark, sf).withColumn("raw", F.col("ml_score") / 404 + 0.3).drop("ml_score")
-    return M.normalize(raw).select("ok", "ln", "ml_score")
+    return M.normalize(materialize(raw.select("ok", "ln", "raw"), "raw"))
 
 
 def score_p95(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,14 +39,12 @@ def scaled(raw: Column, low: Column, high: Column) -> Column:
 def normalize(scored: DataFrame) -> DataFrame:
     """``raw`` to ``ml_score`` relative to the batch's own extremes.
 
-    ``raw`` grows with the anomaly, so the lowest value becomes 0.
+    ``raw`` grows with the anomaly, so the lowest value becomes 0.  The two
+    extremes are the only values fetched; ``scored`` should be a stored table.
     """
-    bounds = scored.agg(F.min("raw").alias("_low"), F.max("raw").alias("_high"))
-    return (
-        scored.crossJoin(F.broadcast(bounds))
-        .withColumn("ml_score", scaled(F.col("raw"), F.col("_low"), F.col("_high")))
-        .drop("_low", "_high", "raw")
-    )
+    low, high = scored.agg(F.min("raw"), F.max("raw")).first()
+    bounds = [F.lit(v).cast("double") for v in (low, high)]
+    return scored.withColumn("ml_score", scaled(F.col("raw"), *bounds)).drop("raw")
 
 
 @dataclass(frozen=True)
@@ -137,13 +136,15 @@ def raw_scores(labeled: DataFrame, model: Model) -> DataFrame:
     return labeled.withColumn("raw", raw_score(model.forest(), labeled.sparkSession, x))
 
 
-def score(labeled: DataFrame, model: Model) -> DataFrame:
-    """``labeled`` plus ``ml_score``, relative to this batch.
+def score(labeled: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
+    """``keep`` columns (default all) plus ``ml_score``, relative to this batch.
 
     The raw scores are written once, because the scale needs their extremes
     before the first row can be answered.
     """
-    return normalize(materialize(raw_scores(labeled, model), "raw-scores"))
+    columns = labeled.columns if keep is None else [c for c in keep if c in labeled.columns]
+    raw = raw_scores(labeled, model).select(*columns, "raw")
+    return normalize(materialize(raw, "raw-scores"))
 
 
 def score_fixed(labeled: DataFrame, model: Model) -> DataFrame:

@@ -121,12 +121,20 @@ class Pipeline:
         log.info("etl took %.1f s", time.time() - started)
         return {"rows_in": read.get["rows"], "rows_out": written.get["rows"]}
 
-    def features(self) -> str:
-        """Cleaned transfers to labelled transfers."""
+    def features(self, by_day: bool = False) -> str:
+        """Cleaned transfers to labelled transfers.
+
+        ``by_day`` writes one folder per day.  It costs a shuffle that splits
+        large days and merges small ones; without it every task would write a
+        file per day.
+        """
         self._require("features")
         started = time.time()
         labeled = label_stored(self.table("etl"), self.cfg).drop(*DROPPED)
-        path = publish(labeled, self.path("labeled"), ["dt"])
+        if by_day:
+            path = publish(labeled.hint("rebalance", "dt"), self.path("labeled"), ["dt"])
+        else:
+            path = publish(labeled, self.path("labeled"))
         log.info("features took %.1f s", time.time() - started)
         return path
 
@@ -170,7 +178,7 @@ class Pipeline:
         """Score the labelled transfers and publish all reports and chart datasets."""
         self._require("reports")
         started = time.time()
-        scored = materialize(score(self.table("labeled"), self.active_model()), "scored")
+        scored = score(self.table("labeled"), self.active_model(), keep=RP.FLAGGED_COLUMNS)
         report = materialize(RP.user_report(scored, materialize(pairs(scored), "pairs")), "user-report")
         high = RP.high_score_users(report, self.cfg).withColumn(
             "threshold", F.lit(float(self.cfg.score_threshold))
