@@ -9,7 +9,7 @@ from tidewatch.operators.ip_country import add_country, disjoint_ranges
 
 RANGE = "country string, type string, start string, value bigint, seq bigint"
 BROADCAST = Config()
-SHUFFLED = Config(broadcast_ranges=0, hot_key_rows=3)
+SHUFFLED = Config(broadcast_buckets=0, hot_key_rows=3)
 
 
 def expected(ranges, ip, prefix=False):

@@ -103,7 +103,7 @@ class Config:
     # sources
     ipv6_value: str = "count"
     # physical limits: what may be broadcast, and when a key counts as hot
-    broadcast_ranges: int = 1_000_000
+    broadcast_buckets: int = 1_000_000
     hot_key_rows: int = 1_000_000
     hot_keys: int = 2_000
     salts: int = 4_096

@@ -241,6 +241,9 @@ _RULE_NAMES = (
 ORACLES = {
     "etl_device_fill": f"WITH {ETL} SELECT ok, ln, deviceid FROM etl",
     "etl_desc_clean": f"WITH {ETL} SELECT ok, ln, desc_clean FROM etl",
+    "etl_desc_documents": """SELECT doc_id, md5(clean) AS digest, CAST(length(clean) AS INT) AS n_chars
+      FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))),
+        '[^\\w\\s\\p{L}\\p{N}]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM documents)""",
     "etl_ip_country": f"""WITH {TXN}{RANGES}
       SELECT ok, ln, txn.userip, coalesce(country, '') AS iploc
       FROM txn LEFT JOIN located ON located.userip = txn.userip""",

@@ -120,8 +120,9 @@ def etl_desc_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def etl_desc_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The description cleaner on the long multi-lingual texts."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("text", "description")
-    return E.clean_description(docs.select("doc_id", "description")).select(
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = fixtures.spread(docs, "doc_id").withColumnRenamed("text", "description")
+    return E.clean_description(docs).select(
         "doc_id", F.md5("desc_clean").alias("digest"), F.length("desc_clean").alias("n_chars")
     )
 

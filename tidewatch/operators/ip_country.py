@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import Config
 from tidewatch.functions.ip import V4_DIGITS, V6_DIGITS, ip_bucket, parse_ip
 from tidewatch.operators.attach import attach
+from tidewatch.sources.storage import materialize
 
 # functions travel with the task, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,12 +100,12 @@ def _lookup(rows: DataFrame, buckets: DataFrame, address: Column) -> DataFrame:
 def add_country(txn: DataFrame, ranges: DataFrame, cfg: Config, ip: str = "userip") -> DataFrame:
     """Add ``iploc``, the country of ``ip`` or ''.
 
-    With a range table of checked size the ranges are broadcast and transfers
+    With a bucket table of checked size the buckets are broadcast and transfers
     are not shuffled at all.  A larger one is joined with the distinct
     addresses, and the answers are attached to the transfers by address.
     """
-    buckets = bucketed_ranges(ranges, cfg)
-    if ranges.limit(cfg.broadcast_ranges + 1).count() <= cfg.broadcast_ranges:
+    buckets = materialize(bucketed_ranges(ranges, cfg), "ip-buckets")
+    if buckets.count() <= cfg.broadcast_buckets:
         return _lookup(txn, F.broadcast(buckets), parse_ip(ip))
     if txn.isStreaming:
         return _lookup(txn, buckets, parse_ip(ip))

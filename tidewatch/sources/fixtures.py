@@ -41,10 +41,10 @@ _COLUMNS = {
 TXN_COLUMNS = tuple(_COLUMNS)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small file with few row groups to all cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *df.columns[:3])
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def transfers_from(lineitem: DataFrame, orders: DataFrame, *extra: str) -> DataFrame:
@@ -58,7 +58,9 @@ def transfers(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         spread(
             spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
                 "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
-            )
+            ),
+            "l_orderkey",
+            "l_partkey",
         ),
         spark.read.parquet(f"{sf_dir}/orders.parquet"),
         *extra,
