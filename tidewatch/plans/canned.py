@@ -67,7 +67,7 @@ def profile_of(labeled: DataFrame, user: str) -> DataFrame:
     """One user seen as sender and as receiver, in one row."""
     ratios = {"bet_tail": "is_bet_tail", "win_desc": "desc_has_win"}
 
-    def side(key: str, other: str, prefix: str, partners: str, total: str) -> list:
+    def side(other: str, prefix: str, partners: str, total: str) -> list:
         return [
             F.count(F.lit(1)).alias(f"{prefix}_tx_count"),
             F.count_distinct(other).alias(partners),
@@ -78,11 +78,11 @@ def profile_of(labeled: DataFrame, user: str) -> DataFrame:
         ]
 
     sent = labeled.where(F.col("userid") == user).agg(
-        *side("userid", "appuser", "sender", "sender_unique_receivers", "sender_total_sent"),
+        *side("appuser", "sender", "sender_unique_receivers", "sender_total_sent"),
         *[F.max(c).alias(c) for c in STR_FLAGS],
     )
     received = labeled.where(F.col("appuser") == user).agg(
-        *side("appuser", "userid", "recv", "recv_unique_senders", "recv_total_received"),
+        *side("userid", "recv", "recv_unique_senders", "recv_total_received"),
         F.max("is_bookie_tx").alias("is_bookie"),
         F.max("is_gambler_tx").alias("is_gambler"),
         F.max("hit_any_rule").alias("hit_any_rule"),

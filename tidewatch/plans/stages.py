@@ -95,13 +95,10 @@ class Pipeline:
 
     def next_stage(self) -> str:
         """The first of etl, features, reports whose input is newer than its output."""
-        if not exists(self.spark, self.path("etl")):
+        etl, labeled = (modified(self.spark, self.path(t)) for t in ("etl", "labeled"))
+        if etl is None:
             return "etl"
-        if not exists(self.spark, self.path("labeled")) or self.blocked("reports") in (
-            "labelled transfers are older than the cleaned ones: run features first",
-        ):
-            return "features"
-        return "reports"
+        return "features" if labeled is None or labeled < etl else "reports"
 
     def _require(self, stage: str) -> None:
         if reason := self.blocked(stage):
