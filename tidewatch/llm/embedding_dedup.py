@@ -51,7 +51,14 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("id").alias("first_id"),
     )
     stored = materialize(
-        grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "classes"
+        grouped.withColumns(
+            {
+                "node": F.monotonically_increasing_id(),
+                "dim": F.size("vector"),
+                "top": F.expr("array_max(transform(vector, x -> abs(CAST(x AS DOUBLE))))"),
+            }
+        ),
+        "classes",
     )
     return members, stored
 
@@ -109,13 +116,15 @@ def _tiles(classes: DataFrame, turns: dict[int, np.ndarray], tile_rows: int) ->
     """One row per tile: vectors of a label that are close in the first turned dimension."""
     first = {size: t[:, 0].tolist() for size, t in turns.items()}
     axes = classes.sparkSession.createDataFrame(list(first.items()) or [(0, [0.0])], "axis_dim int, axis array<double>")
-    length = F.expr("sqrt(aggregate(vector, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x))")
-    lead = F.expr("aggregate(zip_with(vector, axis, (x, y) -> x * y), 0D, (s, x) -> s + x)") / length
+    # divided by the largest component first: squares then neither overflow nor vanish
+    scaled = "transform(vector, x -> CAST(x AS DOUBLE) / top)"
+    length = F.expr("sqrt(aggregate(scaled, 0D, (s, x) -> s + x * x))")
+    lead = F.expr("aggregate(zip_with(scaled, axis, (x, y) -> x * y), 0D, (s, x) -> s + x)") / length
     # one axis per dimension in the bounded sample
-    along = classes.join(F.broadcast(axes), F.col("dim") == F.col("axis_dim"), "left").select(
-        "node", "label", "dim", "vector", "weight", F.coalesce(lead, F.lit(0.0)).alias("lead")
-    )
-    along = materialize(along.withColumn("lead", F.when(F.isnan("lead"), 0.0).otherwise(F.col("lead"))), "along")
+    along = classes.withColumn("scaled", F.expr(scaled)).join(F.broadcast(axes), F.col("dim") == F.col("axis_dim"), "left")
+    # a dimension outside the sample has no axis; all its tiles then meet
+    along = along.select("node", "label", "dim", "vector", "weight", F.coalesce(lead, F.lit(0.0)).alias("lead"))
+    along = materialize(along, "along")
     # borders between tiles of about half the limit, from a quantile sketch for each label
     borders = materialize(
         along.groupBy("label", "dim")
@@ -150,7 +159,7 @@ def _tiles(classes: DataFrame, turns: dict[int, np.ndarray], tile_rows: int) ->
         "part", F.pmod(F.xxhash64("node"), F.col("parts"))
     )
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         matrix = np.array(pdf["vector"].tolist(), dtype=np.float64)
         return pd.DataFrame(
             {

@@ -63,7 +63,8 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
     langs = tuple(sorted(counts))
     seen = np.zeros(256, dtype=bool)
     seen[0] = True
-    for grams, _ in counts.values():
+    ordered = [counts[name] for name in langs]
+    for grams, _ in ordered:
         seen[(grams & 255).astype(np.int64)] = True
     symbol = np.full(256, seen.sum(), dtype=np.int64)
     symbol[seen] = np.arange(seen.sum())
@@ -71,7 +72,7 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
     nodes, costs = [], []
     for length in range(order + 1):
         parts = []
-        for grams, n in counts.values():
+        for grams, n in ordered:
             context = np.zeros(len(grams), dtype=np.int64)
             for k in range(length, 0, -1):
                 context = context * base + symbol[((grams >> (8 * k)) & 255).astype(np.int64)]
