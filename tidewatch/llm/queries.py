@@ -33,7 +33,9 @@ def _held_out(n: int, rest: int):
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that later occurrences of three-line windows cover."""
     found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.select(
+        F.col("id").alias("doc_id"), "text", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines")
+    )
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

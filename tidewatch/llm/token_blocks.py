@@ -15,6 +15,10 @@ makes each part appear whole or not at all, in any store that Spark can write.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +36,7 @@ SCHEMA = (
 #: A block is closed once it holds so many ids; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 16
 #: Past so many remembered words or letters the memory starts anew.
-_WORDS, _LETTERS = 200_000, 4_000_000
+_WORDS, _LETTERS = 1_000_000, 12_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -70,46 +74,143 @@ def unpack(payload: bytes, width: int, first: int, count: int) -> np.ndarray:
     return out
 
 
+class TextEncoder:
+    """Encodes whole texts with the tokenizers library, for any tokenizer file."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.uint32) for e in found]
+
+
+#: The normalizer and splitter whose work :class:`WordEncoder` can do by words.
+_BY_WORDS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+#: Letters whose lower case depends on the neighbours or has several characters.
+_CONTEXT = ("\u03a3", "\u0130")
+
+
+@functools.cache
+def _letters() -> dict[int, int]:
+    """Byte-level alphabet: visible Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+def _byte_letters(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_letters())
+
+
 class WordEncoder:
-    """Encodes whole texts; words between blanks are encoded once and remembered.
+    """The same ids, for tokenizers that lower-case, drop white space and split by a pattern.
 
-    Right for tokenizers that drop white space and never join text across it.
+    Texts are normalized, words between blanks split by the tokenizer file's own pattern,
+    and the pieces given to the library's model, once for each distinct word.  Texts with
+    special tokens or letters of ``_CONTEXT`` go to the library whole.
     """
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+    def __init__(self, path: str, config: dict) -> None:
+        import regex
+        from tokenizers import Tokenizer, models
+
+        self.whole = TextEncoder(path)
+        model = config["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        # words come once each, so the model's own memory would only cost time
+        self.pieces = Tokenizer(
+            models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
+        )
+        self.pattern = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.odd = (*_CONTEXT, *[t["content"] for t in config["added_tokens"]])
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.starts: list[int] = [0]
+        self.flat, self.starts = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
         self.letters = 0
 
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for word, encoding in zip(words, found, strict=True):
-            ids = encoding.ids
-            end = self.starts[-1] + len(ids)
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.starts[-1] : end] = ids
-            self.known[word] = len(self.starts) - 1
-            self.starts.append(end)
-            self.letters += len(word)
+    def _learn(self, new: set[str]) -> None:
+        # a word with one stop or comma is put together from its parts
+        tailed = [w for w in new if w[-1:] in (",", ".") and w[:-1].isalpha()]
+        plain = new.difference(tailed).union([w[:-1] for w in tailed], (",", "."))
+        plain = [w for w in plain if w not in self.known]
+        split = [[w] if w.isalpha() else self.pattern.findall(w) for w in plain]
+        pieces = [p if p.isascii() and p.isprintable() else _byte_letters(p) for parts in split for p in parts]
+        found = [np.zeros(0, np.uint32)]
+        sizes = [np.zeros(0, np.int64)]
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            encoding = self.pieces.encode(some, is_pretokenized=True, add_special_tokens=False)
+            found.append(np.array(encoding.ids, np.uint32))
+            sizes.append(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(some)))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        ends = ends[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        self._add(plain, np.concatenate(found), ends)
+        if tailed:
+            parts = np.empty((len(tailed), 2), np.int64)
+            parts[:, 0] = np.fromiter((self.known[w[:-1]] for w in tailed), np.int64, len(tailed))
+            parts[:, 1] = np.fromiter((self.known[w[-1]] for w in tailed), np.int64, len(tailed))
+            ids, sizes = self._gather(parts.ravel())
+            self._add(tailed, ids, np.cumsum(sizes)[1::2])
+
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, base = len(self.known), int(self.starts[len(self.known)])
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while base + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[base : base + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(words)] = base + ends
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.letters += sum(map(len, words))
+
+    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words by number, one after the other, and how many each has."""
+        begin = self.starts[words]
+        length = self.starts[words + 1] - begin
+        place = np.repeat(begin - np.cumsum(length) + length, length)
+        place += np.arange(len(place))
+        return self.flat[place], length
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.known) > _WORDS or self.letters > _LETTERS:
-            self.__init__(self.tokenizer)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(sorted(set().union(*split).difference(self.known)))
-        starts = np.array(self.starts)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-            begin, length = starts[at], starts[at + 1] - starts[at]
-            total = int(length.sum())
-            place = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(total)
-            out.append(self.flat[place])
-        return out
+            self._forget()
+        odd = [any(c in t for c in self.odd) for t in texts]
+        # the library's splitter never joins text across blanks
+        split = [
+            [] if o else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().replace("\n", " ").split(" ")
+            for t, o in zip(texts, odd, strict=True)
+        ]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(new)
+        flat = list(itertools.chain.from_iterable(split))
+        ids, length = self._gather(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)))
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *map(len, split)])]
+        return [
+            self.whole([text])[0] if o else ids[ends[k] : ends[k + 1]] for k, (text, o) in enumerate(zip(texts, odd, strict=True))
+        ]
+
+
+@functools.cache
+def encoder(path: str) -> TextEncoder | WordEncoder:
+    """One per worker process and tokenizer file, so that words stay known between tasks."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    model = config["model"]
+    steps = tuple(
+        [s.get("type") for s in (config.get(part) or {}).get(name, [])]
+        for part, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
+    )
+    plain = model.get("type", "BPE") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+    )
+    return WordEncoder(path, config) if plain and steps == _BY_WORDS else TextEncoder(path)
 
 
 def write_blocks(
@@ -125,12 +226,13 @@ def write_blocks(
     """Write the ids of all documents, in ascending order of ``id_col``, to the block table ``path``.
 
     ``end_id`` follows each document.  NULL texts are empty.  NULL ids come first; rows that
-    share an id are in the order of their texts.  ``tokenizer_path`` must be readable on every
+    share an id are in the order of a hash of their texts.  ``tokenizer_path`` must be readable on every
     executor.  An empty table gives a table without blocks.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -139,8 +241,7 @@ def write_blocks(
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        encoder, width = WordEncoder(tokenizer), bits_for(tokenizer.get_vocab_size())
+        encode_all, width = encoder(tokenizer_path), bits_for(Tokenizer.from_file(tokenizer_path).get_vocab_size())
         part, block, first = TaskContext.get().partitionId(), 0, 0
         ids, ends, held, size = [], [], [], 0
 
@@ -153,9 +254,9 @@ def write_blocks(
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                for doc, found in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                for doc, found in zip(some.column(0).to_pylist(), encode_all(some.column(1).to_pylist()), strict=True):
                     if ids and size + len(found) + 1 > block_tokens:
                         yield close()
                     held += [found, end]

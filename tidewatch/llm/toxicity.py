@@ -5,7 +5,7 @@ label.  With class prior p the risk is p R+ + max(0, Ru- - p Rp-), where R+ is t
 the positives as toxic, Rp- their loss as clean and Ru- the loss of the unlabelled as
 clean.  When the corrected part turns negative on a batch, its gradient is reversed, which
 stops the model from fitting the unlabelled texts as clean.  The classifier is linear over
-hashed words that a text contains, trained in numpy by several seeds and averaged.
+those hashed words whose shares of the positive and the unlabelled texts clearly differ.
 """
 
 from __future__ import annotations
@@ -25,32 +25,35 @@ _STRIP = b".,;:!?\"'()[]{}<>*&%$#@-_/\\|~`^+="
 @dataclass(frozen=True)
 class Settings:
     #: at most about so many texts of each kind are used for training
-    positives: int = 3_000
-    unlabelled: int = 9_000
-    features: int = 1 << 18
-    #: a word must occur in so many training texts
+    positives: int = 5_000
+    unlabelled: int = 15_000
+    #: a word must occur in so many training texts, and its shares of the positive and of the
+    #: unlabelled ones must differ by this log-likelihood ratio
     min_texts: int = 4
-    rounds: int = 30
-    batch: int = 512
+    evidence: float = 20.0
+    rounds: int = 1_000
+    #: unlabelled texts of a step; positives are dealt out to as many steps
+    batch: int = 16_384
     rate: float = 0.03
-    #: strength of the pull of small weights to zero
-    sparsity: float = 3e-4
-    models: int = 3
+    #: the corrected part of the risk may be so far below zero, for noise in prior and sample
+    tolerance: float = 0.0
+    #: strength of the pull of all weights to zero
+    ridge: float = 0.0
     seed: int = 11
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: np.ndarray
+    #: by word hash; words without a weight count nothing
+    weights: dict[int, float]
     bias: float
 
 
-def word_ids(text: str | None, features: int) -> np.ndarray:
-    """The distinct hashed words of a whole text, without outer punctuation or case."""
+def word_ids(text: str | None) -> set[int]:
+    """32-bit hashes of the distinct words of a whole text, without outer punctuation or case."""
     words = {w.strip(_STRIP) for w in (text or "").lower().encode().split()}
     words.discard(b"")
-    crc = zlib.crc32
-    return np.unique(np.fromiter((crc(w) % features for w in words), dtype=np.int64, count=len(words)))
+    return set(map(zlib.crc32, words))
 
 
 def _rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,32 +69,48 @@ def _pick(flat: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple[np.
     return flat[np.repeat(starts[chosen], lengths) + within], row
 
 
+def _evidence(k: np.ndarray, n: int, j: np.ndarray, m: int) -> np.ndarray:
+    """Log-likelihood ratio of k of n texts and j of m texts against one common share."""
+
+    def part(hits, all_):
+        share = np.clip(hits / all_, 1e-12, 1 - 1e-12)
+        return lambda p: hits * np.log(share / p) + (all_ - hits) * np.log((1 - share) / (1 - p))
+
+    common = np.clip((k + j) / (n + m), 1e-12, 1 - 1e-12)
+    return 2 * (part(k, n)(common) + part(j, m)(common))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, cfg: Settings) -> Model:
-    """Train on the feature ids of texts; without positives or unlabelled texts every score is low."""
+    """Train on arrays of word hashes; without positives or unlabelled texts every score is low."""
     if not positive or not unlabelled:
-        return Model(np.zeros(cfg.features), -10.0)
+        return Model({}, -10.0)
     prior = float(np.clip(prior, 1e-4, 0.9))
-    texts = np.bincount(np.concatenate(positive + unlabelled), minlength=cfg.features)
-    used = np.flatnonzero(texts >= cfg.min_texts)
-    place = np.full(cfg.features, -1)
-    place[used] = np.arange(len(used))
-    p_flat, p_at = _rows([k[k >= 0] for k in (place[i] for i in positive)])
-    u_flat, u_at = _rows([k[k >= 0] for k in (place[i] for i in unlabelled)])
-    total, bias = np.zeros(len(used)), 0.0
-    for model in range(cfg.models):
-        w, b = _one(p_flat, p_at, u_flat, u_at, len(used), prior, cfg, np.random.default_rng(cfg.seed + model))
-        total, bias = total + w / cfg.models, bias + b / cfg.models
-    weights = np.zeros(cfg.features)
-    weights[used] = total
-    return Model(weights, bias)
-
-
-def _one(p_flat, p_at, u_flat, u_at, n, prior, cfg, rng) -> tuple[np.ndarray, float]:
-    """Adam steps on the non-negative risk with a soft threshold on the weights."""
+    (p_flat, p_at), (u_flat, u_at) = _rows(positive), _rows(unlabelled)
+    words, place = np.unique(np.concatenate([p_flat, u_flat]), return_inverse=True)
+    in_p = np.bincount(place[: len(p_flat)], minlength=len(words))
+    in_u = np.bincount(place[len(p_flat) :], minlength=len(words))
+    telling = (in_p + in_u >= cfg.min_texts) & (_evidence(in_p, len(positive), in_u, len(unlabelled)) >= cfg.evidence)
+    number = np.where(telling, np.cumsum(telling) - 1, -1)[place]
+    split = len(p_flat)
+    p_flat, p_at = _only(number[:split], p_at)
+    u_flat, u_at = _only(number[split:], u_at)
+    weights, bias = _descend(p_flat, p_at, u_flat, u_at, int(telling.sum()), prior, cfg)
+    return Model(dict(zip(words[telling].tolist(), weights.tolist(), strict=True)), bias)
+
+
+def _only(numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the words numbered -1."""
+    kept = numbers >= 0
+    return numbers[kept], np.concatenate([[0], np.cumsum(kept)])[starts]
+
+
+def _descend(p_flat, p_at, u_flat, u_at, n, prior, cfg) -> tuple[np.ndarray, float]:
+    """Adam steps on the non-negative risk."""
+    rng = np.random.default_rng(cfg.seed)
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     m, v, mb, vb, step = np.zeros(n), np.zeros(n), 0.0, 0.0, 0
     p_n, u_n = len(p_at) - 1, len(u_at) - 1
@@ -105,24 +124,20 @@ def _one(p_flat, p_at, u_flat, u_at, n, prior, cfg, rng) -> tuple[np.ndarray, fl
             p_size, u_size = len(pos), len(u_order[k::per_round])
             zp = np.bincount(pr, w[pf], p_size) + b
             zu = np.bincount(ur, w[uf], u_size) + b
-            # logistic losses; clean part of the risk: unlabelled less positives
-            clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp = prior * (_sigmoid(zp) - 1) / p_size
-            gu = np.zeros(u_size)
-            if clean >= 0:
-                gp = gp - prior * _sigmoid(zp) / p_size
-                gu = _sigmoid(zu) / u_size
+            # the loss is the sigmoid of the wrong side; slopes are those of a text as toxic
+            sp, su = _sigmoid(zp), _sigmoid(zu)
+            gp, gu = prior * sp * (1 - sp) / p_size, su * (1 - su) / u_size
+            if su.mean() - prior * sp.mean() >= -cfg.tolerance:
+                gp, gu = -2 * gp, gu
             else:
-                gp, gu = prior * _sigmoid(zp) / p_size, -_sigmoid(zu) / u_size
-            g = np.bincount(pf, gp[pr], n) + np.bincount(uf, gu[ur], n)
+                gu = -gu
+            g = np.bincount(pf, gp[pr], n) + np.bincount(uf, gu[ur], n) + cfg.ridge * w
             gb = gp.sum() + gu.sum()
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            scale = cfg.rate * fix / (np.sqrt(v) + 1e-8)
-            w = w - scale * m
-            w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(scale * cfg.sparsity, cfg.rate), 0)
+            w = w - cfg.rate * fix * m / (np.sqrt(v) + 1e-8)
             b -= cfg.rate * fix * mb / (np.sqrt(vb) + 1e-8)
     return w, b
 
@@ -134,12 +149,12 @@ def _share(frame: DataFrame, bound: int, cfg: Settings) -> DataFrame:
     return frame.where(picked).limit(int(1.2 * bound) + 100)
 
 
-def _ids(texts: DataFrame, cfg: Settings) -> list[np.ndarray]:
+def _ids(texts: DataFrame) -> list[np.ndarray]:
     """Feature ids of a bounded frame ``id, text``; made on the executors, and only they reach the driver."""
 
     @arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array([word_ids(t.as_py(), cfg.features).astype("<u4").tobytes() for t in texts], pa.binary())
+        return pa.array([np.array(sorted(word_ids(t.as_py())), "<u4").tobytes() for t in texts], pa.binary())
 
     rows = texts.select("id", ids("text").alias("f")).collect()
     return [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in sorted(rows, key=lambda r: (r["id"], r["f"]))]
@@ -147,18 +162,14 @@ def _ids(texts: DataFrame, cfg: Settings) -> list[np.ndarray]:
 
 def score(text: Column, model: Model) -> Column:
     """The probability that a whole text is toxic; NULL and empty texts get that of no words."""
-    weights, bias, features = model.weights.astype(np.float32), model.bias, len(model.weights)
-    strip = _STRIP
+    weights, bias = model.weights, model.bias
 
     @arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        crc, out = zlib.crc32, np.empty(len(texts))
+        out = np.empty(len(texts))
         for k, t in enumerate(texts):
-            words = {w.strip(strip) for w in (t.as_py() or "").lower().encode().split()}
-            words.discard(b"")
-            ids = np.unique(np.fromiter(map(crc, words), dtype=np.int64, count=len(words)) % features)
-            out[k] = weights[ids].sum(dtype=np.float64) + bias
-        return pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -60, 60))))
+            out[k] = bias + sum(sorted(weights[w] for w in word_ids(t.as_py()) if w in weights))
+        return pa.array(_sigmoid(out))
 
     return of(text)
 
@@ -191,4 +202,4 @@ def learn(
     toxic = _share(asked.where("toxic = 1").select("id").distinct(), cfg.positives, cfg)
     # the bound above keeps this broadcast small
     positive = open_.join(F.broadcast(toxic), "id", "left_semi").limit(2 * cfg.positives)
-    return fit(_ids(positive, cfg), _ids(_share(open_, cfg.unlabelled, cfg), cfg), prior_of(asked), cfg)
+    return fit(_ids(positive), _ids(_share(open_, cfg.unlabelled, cfg)), prior_of(asked), cfg)
