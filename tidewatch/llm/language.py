@@ -128,7 +128,7 @@ def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
     executors; the driver gets the distinct ones of the sample.
     """
     cfg = cfg or Settings()
-    known = rated.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    known = rated.select("id", "text", "lang").where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     share = known.groupBy("lang").count().select("lang", (F.lit(cfg.texts) / F.col("count")).alias("share"))
     chance = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(1 << 20)) / (1 << 20)
     chosen = known.join(F.broadcast(share), "lang").where(chance < F.col("share"))

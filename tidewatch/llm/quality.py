@@ -135,7 +135,7 @@ def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
     Texts become features on the executors; only those of the sample reach the driver.
     """
     cfg = cfg or Settings()
-    known = rated.where("grade IS NOT NULL AND id IS NOT NULL")
+    known = rated.select("id", "text", "grade").where("grade IS NOT NULL AND id IS NOT NULL")
     share = min(1.0, cfg.texts / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
