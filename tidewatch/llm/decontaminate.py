@@ -20,35 +20,83 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
 SEED_ROWS = 500_000
 
 
+#: Slots of the tables that say which hashes the benchmark has; more slots only save time.
+_SLOTS = 1 << 16
+
+
+# Hashes of the lower-cased runs of letters, marks and digits, with an empty word where the
+# text begins or ends with another sign.
+_WORDS = r"transform(split(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', -1), w -> xxhash64(w))"
+
+
 def words(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters, marks and digits; empty for NULL."""
+    """Hashes of the words of a text without empty ones; empty for NULL."""
     split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+")
     return F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(frame: DataFrame, tokens: str, *keep: str) -> DataFrame:
-    """``keep``, ``seed, at``: a row per mask and place in the array ``tokens``."""
-    masked = [
-        f"transform(sequence(0, size({tokens}) - {mask[-1] + 1}), i -> struct("
-        f"xxhash64({m}, {', '.join(f'{tokens}[i + {k}]' for k in mask)}) AS seed, i AS at))"
+def _seed(mask: tuple[int, ...], number: int, tokens: str) -> str:
+    return f"xxhash64({number}, {', '.join(f'{tokens}[i + {k}]' for k in mask)})"
+
+
+def _seeds(frame: DataFrame, tokens: str, *keep: str, where: str = "true") -> DataFrame:
+    """``keep``, ``seed, at``: a row per mask and each place in the array ``t`` that passes ``where``.
+
+    ``tokens`` is SQL for the array.  It is bound to ``t`` by a lambda, because a column could
+    be replaced by its definition and then be evaluated for every element.
+    """
+    least = MASKS[0][-1] + 1
+    per_place = ", ".join(
+        f"IF(i + {mask[-1]} < size(t), {_seed(mask, m, 't')}, NULL)" if mask[-1] >= least else _seed(mask, m, "t")
         for m, mask in enumerate(MASKS)
-    ]
-    guarded = [f"IF(size({tokens}) > {mask[-1]}, {sql}, array())" for mask, sql in zip(MASKS, masked, strict=True)]
-    each = frame.select(*keep, F.explode(F.expr(f"concat({', '.join(guarded)})")).alias("s"))
-    return each.select(*keep, "s.seed", "s.at")
+    )
+    places = f"filter(sequence(0, size(t) - {least}), i -> {where})"
+    found = f"""transform(array({tokens}), t -> IF(size(t) < {least}, NULL,
+        transform({places}, i -> struct(i AS i, array({per_place}) AS seeds))))[0]"""
+    each = frame.select(*keep, F.explode(F.expr(found)).alias("at"))
+    return each.select(*keep, F.col("at.i").alias("at"), F.explode("at.seeds").alias("seed")).where("seed IS NOT NULL")
+
+
+def _present(values: DataFrame) -> str:
+    """SQL of a bytes literal with a 1 in the slot of each hash ``h``; its length is fixed."""
+    found = bytearray(_SLOTS)
+    for row in values.select(F.pmod("h", F.lit(_SLOTS)).alias("slot")).distinct().collect():
+        found[row["slot"]] = 1
+    return f"X'{found.hex()}'"
+
+
+def _plausible(items: DataFrame) -> str:
+    """Whether a seed of an item can begin at ``t[i]``: its first word, then its first three, occur there."""
+    word = items.select(F.explode("item_words").alias("h"))
+    run = "xxhash64({0}[i], {0}[i + 1], {0}[i + 2])"
+    runs = f"transform(sequence(0, size(item_words) - {MASKS[0][-1] + 1}), i -> {run.format('item_words')})"
+    three = items.select(F.explode(F.expr(runs)).alias("h"))
+    slot = "substring({0}, CAST(pmod({1}, " + str(_SLOTS) + ") AS INT) + 1, 1) = X'01'"
+    return f"{slot.format(_present(word), 't[i]')} AND {slot.format(_present(three), run.format('t'))}"
 
 
 # Slides a stretch of ``least`` words over an alignment.  ``best`` is the largest number of
 # equal words in a stretch, ``covered`` the number of words in stretches that are good enough.
-_SLIDE = """
+_NOW = "s.equal + hits[i] - IF(i < least, 0, hits[i - least])"
+_GOOD = f"i >= least - 1 AND 5 * ({_NOW}) >= 4 * least"
+_SLIDE = f"""
 aggregate(sequence(0, size(hits) - 1),
   named_struct('equal', 0, 'best', 0, 'covered', 0, 'until', -1),
   (s, i) -> named_struct(
-    'equal', s.equal + hits[i] - IF(i < least, 0, hits[i - least]),
-    'best', IF(i < least - 1, s.best, greatest(s.best, s.equal + hits[i] - IF(i < least, 0, hits[i - least]))),
-    'covered', s.covered + IF(i >= least - 1 AND 5 * (s.equal + hits[i] - IF(i < least, 0, hits[i - least])) >= 4 * least,
-      array_min(array(least, i - s.until)), 0),
-    'until', IF(i >= least - 1 AND 5 * (s.equal + hits[i] - IF(i < least, 0, hits[i - least])) >= 4 * least, i, s.until)))
+    'equal', {_NOW},
+    'best', IF(i < least - 1, s.best, greatest(s.best, {_NOW})),
+    'covered', s.covered + IF({_GOOD}, array_min(array(least, i - s.until)), 0),
+    'until', IF({_GOOD}, i, s.until)))
+"""
+# The aligned parts of document and item, word by word.  Every array is bound to a name by a
+# lambda.  Only good alignments are exploded, so no filter can be moved below the join.
+_VERIFY = f"""
+filter(transform(transform(array({_WORDS}), d -> struct(
+    slice(d, greatest(shift, 0) + 1, greatest(size(item_words) + least(shift, 0), 0)) AS there,
+    slice(item_words, greatest(-shift, 0) + 1, greatest(size(d) - greatest(shift, 0), 0)) AS ours)),
+  p -> transform(array(zip_with(p.there, slice(p.ours, 1, size(p.there)), (x, y) -> IF(x = y, 1, 0))),
+    hits -> IF(size(hits) < least, NULL, {_SLIDE}))[0]),
+  found -> found.covered > 0)
 """
 
 
@@ -78,11 +126,9 @@ def overlaps(
         "items",
     )
     seeds = materialize(_seeds(items, "item_words", "item_key").withColumnRenamed("at", "item_at"), "item-seeds")
-    tokens = docs.select(
-        F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("doc_words")
-    )
+    named = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     hits = materialize(
-        _seeds(tokens, "doc_words", "id", "key")
+        _seeds(named, _WORDS, "id", "key", where=_plausible(items))
         .join(small(seeds, SEED_ROWS), "seed")
         .select("id", "key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct(),
@@ -92,33 +138,11 @@ def overlaps(
         F.col("id").alias("_id"), F.col("key").alias("_key"), "item", "item_words", "shift"
     )
     here = small(materialize(here, "hit-items"))
-    aligned = (
-        docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-        .join(here, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-        .withColumn("doc_words", words(F.col("text")))
-        .select(
-            "id",
-            "key",
-            "item",
-            "shift",
-            F.least(F.lit(min_words), F.size("item_words")).alias("least"),
-            F.expr("slice(doc_words, greatest(shift, 0) + 1, size(item_words) + least(shift, 0))").alias("there"),
-            F.expr("slice(item_words, greatest(-shift, 0) + 1, size(doc_words) - greatest(shift, 0))").alias("ours"),
-        )
-        .where(F.least(F.size("there"), F.size("ours")) >= F.col("least"))
-        .withColumn("hits", F.expr("zip_with(there, slice(ours, 1, size(there)), (x, y) -> IF(x = y, 1, 0))"))
-    )
     return (
-        aligned.withColumn("found", F.expr(_SLIDE))
-        .where("found.covered > 0")
-        .select(
-            "id",
-            "key",
-            "item",
-            "shift",
-            F.col("found.covered").alias("overlap_words"),
-            F.col("found.best").alias("best_equal"),
-        )
+        named.join(here, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+        .withColumn("least", F.least(F.lit(min_words), F.size("item_words")))
+        .select("id", "key", "item", "shift", F.explode(F.expr(_VERIFY)).alias("found"))
+        .select("id", "key", "item", "shift", F.col("found.covered").alias("overlap_words"), F.col("found.best").alias("best_equal"))
         .distinct()
     )
 

@@ -13,20 +13,26 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import materialize, text_key
 
-# One array per row: the places of the non-blank lines, then a window for each run of them.
-_FILLED = "filter(sequence(0, size(lines) - 1), i -> trim(lines[i]) != '')"
-_WINDOWS = """transform(sequence(0, size(filled) - {n}), j -> struct(
-    filled[j] AS first, filled[j + {n} - 1] AS last,
-    transform(slice(filled, j + 1, {n}), i -> trim(lines[i])) AS run))"""
+# A window for each run of non-blank lines; ``filled`` holds their places.  Both arrays are
+# bound to a name by a lambda: a column could be replaced by its definition and then be
+# evaluated for every element.
+_WINDOWS = r"""
+transform(array(split(text, '\n', -1)), lines ->
+  transform(array(filter(sequence(0, size(lines) - 1), i -> trim(lines[i]) != '')), filled ->
+    IF(size(filled) < {n}, NULL, transform(sequence(0, size(filled) - {n}), j -> struct(
+      filled[j] AS first, filled[j + {n} - 1] AS last,
+      transform(slice(filled, j + 1, {n}), i -> trim(lines[i])) AS run))))[0])[0]
+"""
+_KEPT = r"""
+transform(array(split(text, '\n', -1)), lines ->
+  array_join(transform(array_except(sequence(0, size(lines) - 1), removed), i -> lines[i]), '\n'))[0]
+"""
 
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """``id, key, first, last, a, b``: a row per window; a and b are a 128-bit hash of its lines."""
-    lines = docs.select(
-        F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.split(text_col, "\n", -1).alias("lines")
-    )
-    filled = lines.withColumn("filled", F.expr(_FILLED)).where(F.size("filled") >= window)
-    each = filled.select("id", "key", F.explode(F.expr(_WINDOWS.format(n=window))).alias("w"))
+    named = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    each = named.select("id", "key", F.explode(F.expr(_WINDOWS.format(n=window))).alias("w"))
     return each.select(
         "id",
         "key",
@@ -65,15 +71,11 @@ def remove_repeated_lines(
     return (
         rows.join(covered, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
         .withColumn("removed", F.coalesce("covered", none))
-        .withColumn("lines", F.split("text", "\n", -1))
         .select(
             "id",
-            F.when(F.size("removed") == 0, F.col("text"))
-            .otherwise(
-                F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), removed), i -> lines[i]), '\n')")
-            )
-            .alias("text"),
-            F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
+            F.when(F.size("removed") == 0, F.col("text")).otherwise(F.expr(_KEPT)).alias("text"),
+            # lines are separated by single bytes
+            F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).alias("n_lines"),
             F.size("removed").alias("n_removed"),
             "removed",
         )
