@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize
 
 
-def _stored(least: DataFrame) -> DataFrame:
-    """Stored, so that the join deals out both sides anew and a hub's rows can be split."""
-    return materialize(least, "least")
+#: Rows of a stored file; a small graph is written in few files, whatever the shuffle partitions.
+_FILE_ROWS = 200_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _stored(table: DataFrame, rows: int, name: str) -> DataFrame:
+    """Stored in files sized by ``rows``; a join on it deals out both sides anew, so that a hub's rows can be split."""
+    return materialize(table.coalesce(4 + rows // _FILE_ROWS), name)
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _stored(least, rows, "least")
     return (
         both.join(least, "u")
         .where("v > u")
@@ -30,9 +35,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _stored(down.groupBy("u").agg(F.min("v").alias("m")))
+    least = _stored(down.groupBy("u").agg(F.min("v").alias("m")), rows, "least")
     return (
         down.join(least, "u")
         .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
@@ -60,8 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = _digest(now)
     while True:
-        large = materialize(_large_star(now), "large-star")
-        now = materialize(_small_star(large), "small-star")
+        large = _stored(_large_star(now, state[0]), state[0], "large-star")
+        now = _stored(_small_star(large, state[0]), state[0], "small-star")
         after = _digest(now)
         if after == state:
             break

@@ -86,11 +86,11 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     """
     if not 0 <= bits <= 3:
         raise ValueError("two segments cover at most 3 differing bits")
-    variants = _variants(prints)
-    shared = materialize(
-        variants.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "shared"
-    )
-    members = materialize(variants.join(shared, "key").select("key", "fp", "pivot"), "variants")
+    # one exchange serves the counts and the join; a bucket has at most one variant in 64
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = _variants(prints).repartition(parts, "key")
+    shared = variants.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(variants.join(shared.hint("merge"), "key").select("key", "fp", "pivot"), "variants")
     star = materialize(
         members.where(f"fp != pivot AND bit_count(fp ^ pivot) <= {bits}")
         .select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
