@@ -24,13 +24,13 @@ def keyed_of(rows):
     )
 
 
-@pytest.mark.parametrize("hot_rows", [1, 100, 10**9])
+@pytest.mark.parametrize("share", [1e-6, 0.2, 1.0, 10**9])
 @pytest.mark.parametrize("broadcast", ["-1", "10485760"])
-def test_equals_a_plain_left_join(spark, skewed, hot_rows, broadcast):
+def test_equals_a_plain_left_join(spark, skewed, share, broadcast):
     keyed = keyed_of(skewed).where("key <> 'k7' or key is null")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        got = attach(skewed, keyed, "key", "n", Config(hot_key_rows=hot_rows, hot_keys=5))
+        got = attach(skewed, keyed, "key", "n", Config(hot_share=share))
         want = skewed.join(keyed, "key", "left").select(*got.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     finally:
@@ -41,7 +41,7 @@ def test_hot_rows_are_spread_over_partitions(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = attach(skewed, keyed_of(skewed), "key", "n", Config(hot_key_rows=500))
+        joined = attach(skewed, keyed_of(skewed), "key", "n", Config())
         sizes = (
             joined.where("key = 'hot'").groupBy(F.spark_partition_id()).count().select("count").collect()
         )
@@ -52,7 +52,10 @@ def test_hot_rows_are_spread_over_partitions(spark, skewed):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-def test_broadcast_is_bounded_by_hot_keys(skewed):
-    plan = attach(skewed, keyed_of(skewed), "key", "n", Config(hot_key_rows=1, hot_keys=5))
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "GlobalLimit 5" in text
+def test_broadcast_holds_only_keys_above_an_average_partition(spark, skewed):
+    keyed = keyed_of(skewed)
+    attach(skewed, keyed, "key", "n", Config())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = skewed.where("key is not null").count()
+    hot = keyed.where(F.col("key").isNotNull() & (F.col("n") >= rows / partitions)).collect()
+    assert [r["key"] for r in hot] == ["hot"] and len(hot) <= partitions

@@ -85,7 +85,8 @@ def test_a_constant_feature_is_never_split(model):
     assert forest.path.shape == (40, 64)
 
 
-@pytest.mark.parametrize("n", [1, 50, 2_000, 40_000])
+# 2,560 rows fill 40 trees of 64; with 3,840 every row has one chance
+@pytest.mark.parametrize("n", [1, 50, 63, 64, 65, 96, 2_000, 2_559, 2_560, 2_561, 3_072, 3_840, 3_841, 40_000])
 def test_every_tree_gets_its_rows(spark, n):
     rows = spark.range(n).select(F.xxhash64("id").alias("key"), F.array(F.lit(1.0)).alias("x"))
     counts = sample_for_trees(rows, n, SMALL).groupBy("tree").count().collect()

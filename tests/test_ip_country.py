@@ -9,7 +9,7 @@ from tidewatch.operators.ip_country import add_country, disjoint_ranges
 
 RANGE = "country string, type string, start string, value bigint, seq bigint"
 BROADCAST = Config()
-SHUFFLED = Config(broadcast_buckets=0, hot_key_rows=3)
+SHUFFLED = Config(broadcast_buckets=0, hot_share=0.01)
 
 
 def expected(ranges, ip, prefix=False):
@@ -93,3 +93,31 @@ def test_disjoint_ranges_never_overlap(spark):
     cut = disjoint_ranges(spark.createDataFrame(ranges, RANGE), Config()).orderBy("first").collect()
     for one, two in zip(cut, cut[1:]):
         assert one["first"] < two["first"] and one["next"] <= two["first"]
+
+
+@pytest.mark.parametrize("mode", ["count", "prefix"])
+def test_range_file_with_ranges_larger_than_64_bits(spark, tmp_path, mode):
+    from tidewatch.sources.landing import read_ip_ranges
+
+    sizes = {"count": (2**96, 2**64), "prefix": (32, 64)}[mode]
+    path = tmp_path / "ranges.csv"
+    path.write_text(
+        f"country,type,start,value\nAA,ipv6,2001:db8::,{sizes[0]}\nBB,ipv6,2001:db9:0:1::,{sizes[1]}\nCC,ipv4,1.0.0.0,256\n"
+    )
+    rows = [(n, ip) for n, ip in enumerate(
+        ["2001:db8::1", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "2001:db9::1", "2001:db9:0:1:ffff::", "2001:db9:0:2::", "1.0.0.255", "1.0.1.0"]
+    )]
+    df = spark.createDataFrame(rows, "i int, userip string")
+    got = {r["i"]: r["iploc"] for r in add_country(df, read_ip_ranges(spark, str(path)), Config(ipv6_value=mode)).collect()}
+    assert [got[i] for i in range(7)] == ["AA", "AA", "", "BB", "", "CC", ""]
+
+
+@pytest.mark.parametrize("row", ["XX,ipv6,1.2.3.4,5", "XX,ipv4,2001:db8::,5", "XX,ipv4,1.2.3.4,many", "XX,ipv6,2001:db8::,"])
+def test_unreadable_range_is_named(spark, tmp_path, row):
+    from tidewatch.sources.landing import read_ip_ranges
+
+    path = tmp_path / "ranges.csv"
+    path.write_text(f"country,type,start,value\n{row}\n")
+    df = spark.createDataFrame([("1.2.3.4",)], "userip string")
+    with pytest.raises(Exception, match="unreadable IP range: XX"):
+        add_country(df, read_ip_ranges(spark, str(path)), Config()).collect()

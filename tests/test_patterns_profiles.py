@@ -140,7 +140,7 @@ def test_a_hot_sender_gets_the_same_features(spark):
     rows = [{"userid": "hot", "appuser": f"r{i % 50}", "amount": str(i % 5)} for i in range(600)]
     rows += [{"userid": f"u{i}", "appuser": "hot", "amount": str(i)} for i in range(300)]
     flagged, senders, receivers = profiles(spark, rows)
-    tiny = Config(hot_key_rows=50, hot_keys=3)
+    tiny = Config(hot_share=0.1)
     normal = add_profiles(flagged, senders, receivers, CFG)
     split = add_profiles(flagged, senders, receivers, tiny)
     assert sorted(map(str, normal.collect())) == sorted(map(str, split.collect()))

@@ -95,6 +95,7 @@ class Config:
     features: tuple[str, ...] = MODEL_FEATURES
     trees: int = 200
     tree_rows: int = 256
+    # kept for saved settings; it moves a cut-off that the 0-100 scale cancels
     contamination: float = 0.05
     seed: int = 42
     min_train_rows: int = 1_000
@@ -104,9 +105,8 @@ class Config:
     ipv6_value: str = "count"
     # physical limits: what may be broadcast, and when a key counts as hot
     broadcast_buckets: int = 1_000_000
-    hot_key_rows: int = 1_000_000
-    hot_keys: int = 2_000
-    salts: int = 4_096
+    # a key is hot if it has this many times the rows of an average shuffle partition
+    hot_share: float = 1.0
 
     def __post_init__(self) -> None:
         if self.ipv6_value not in ("count", "prefix"):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+
+from tidewatch.operators.chatlog import DEFAULT, Vocabulary, phrases
+
 TXN = """
 txn AS (
   SELECT
@@ -282,9 +286,10 @@ ORACLES = {
     "bookies": f"""WITH {PROFILES}{BOOKIES} SELECT appuser, bookie_score FROM scored_bk
       WHERE bookie_score >= 5.0""",
     "txn_labels": f"WITH {LABELED} SELECT ok, ln, {_STR}, {_RULES} FROM labeled",
-    "labeled_transfers": f"""WITH {LABELED} SELECT ok, ln, reqdate, userid, appuser, amount,
-      CAST(amount_tail3 AS INT) AS amount_tail3, is_bet_tail, desc_has_win, desc_match_b1,
-      desc_match_b2, {_FEATURES}, {_RECV}, recv_send_tx_ratio, {_STR}, {_RULES} FROM labeled""",
+    "labeled_transfers": f"""WITH {LABELED}{RANGES} SELECT ok, ln, reqdate, userid, appuser, amount,
+      coalesce(country, '') AS iploc, CAST(amount_tail3 AS INT) AS amount_tail3, is_bet_tail, desc_has_win, desc_match_b1,
+      desc_match_b2, {_FEATURES}, {_RECV}, recv_send_tx_ratio, {_STR}, {_RULES}
+      FROM labeled LEFT JOIN located ON located.userip = labeled.userip""",
     "label_summary": f"WITH {LABELED} SELECT label, transfers, round(transfers * 100.0 / n, 6) AS percent FROM ("
     + _long("labeled", _RULE_NAMES, "label", "transfers", ", count(*) AS n")
     + """ UNION ALL SELECT 'non_rule', CAST(count(*) - sum(hit_any_rule) AS BIGINT), count(*)
@@ -398,29 +403,60 @@ def _says(text: str, *phrases: str) -> str:
     return "(" + " OR ".join(f"contains({text}, '{p}')" for p in phrases) + ")"
 
 
-INTENT = f"""
+def _quoted(phrases) -> tuple[str, ...]:
+    return tuple(p.replace("'", "''") for p in phrases)
+
+
+def _intent(words: Vocabulary, chats: str) -> str:
+    """CTEs ``turns`` and ``tags`` over the relation ``chats``."""
+    pipeline = " ".join(
+        f"WHEN {_says('lo', *_quoted(phrases))} THEN 'pipeline:{stage}'" for stage, phrases in words.pipeline
+    )
+    following = ", ".join(f"'{p}'" for p in _quoted(words.next))
+    return f"""
 turns AS (
   SELECT conv_id, turn, trim(text, E' \\t\\n\\r') AS raw, lower(trim(text, E' \\t\\n\\r')) AS lo,
     {_PLAIN} AS plain
-  FROM conversations WHERE role = 'user'
+  FROM {chats} WHERE role = 'user'
 ),
 tags AS (
   SELECT conv_id, turn, CASE
     WHEN starts_with(raw, '?') THEN 'question'
     WHEN starts_with(lo, '[query]') THEN 'sql'
-    WHEN {_says("lo", "help", "thre")} THEN 'meta'
-    WHEN {_says("plain", "der ", "die ")} AND {_says("plain", "ung", "ver")} THEN 'complaint'
-    WHEN trim(plain, ' .!?,') IN ('the be', 'the the') THEN 'next'
-    WHEN {_says("lo", "ble ", "ea of")} THEN 'pipeline:etl'
-    WHEN {_says("lo", "queeau")} THEN 'pipeline:features'
-    WHEN {_says("lo", "ción")} THEN 'pipeline:reports'
-    WHEN {_says("lo", "ou ")} THEN 'report'
-    WHEN {_says("lo", "th", "é")} THEN 'transaction'
-    WHEN {_says("lo", "en")} THEN 'correction'
+    WHEN {_says("lo", *_quoted(words.meta))} THEN 'meta'
+    WHEN {_says("plain", *_quoted(words.complaint_steps))}
+      AND {_says("plain", *_quoted(words.complaint_marks))} THEN 'complaint'
+    WHEN trim(plain, ' .!?,') IN ({following}) THEN 'next'
+    {pipeline}
+    WHEN {_says("lo", *_quoted(words.report))} THEN 'report'
+    WHEN {_says("lo", *_quoted(words.transaction))} THEN 'transaction'
+    WHEN {_says("lo", *_quoted(words.correction))} THEN 'correction'
     ELSE 'other' END AS intent
   FROM turns
 )"""
 
+
+# Phrases that occur in the given conversations; only their lists for the intent matter here.
+_SPOKEN = dataclasses.replace(
+    DEFAULT,
+    meta=("help", "thre"),
+    complaint_steps=("der ", "die "),
+    complaint_marks=("ung", "ver"),
+    next=("the be", "the the"),
+    pipeline=(("etl", ("ble ", "ea of")), ("features", ("queeau",)), ("reports", ("ción",))),
+    report=("ou ",),
+    transaction=("th", "é"),
+    correction=("en",),
+)
+INTENT = _intent(_SPOKEN, "conversations")
+_PHRASES = phrases(DEFAULT)
+_WORDED = f"""worded AS (
+  SELECT * REPLACE (coalesce(text, '') || ' '
+    || [{", ".join(f"'{p}'" for p in _quoted(_PHRASES))}][(conv_id * 31 + turn * 7) % {len(_PHRASES)} + 1] AS text)
+  FROM conversations)"""
+
+# The report on the table ``paid`` instead of ``labeled``.
+_PAID_REPORT = REPORT.removeprefix(LABELED).replace("FROM labeled", "FROM paid")
 _FLAG_NAMES = ("is_bet_tail", "desc_has_win", "desc_match_b1", "desc_match_b2", *_RULE_NAMES)
 
 ORACLES |= {
@@ -437,10 +473,10 @@ ORACLES |= {
       WHERE user_group NOT IN ('normal', 'depositor1', 'depositor2', 'gambler')""",
     "high_score_users": f"""WITH {REPORT} SELECT {_REPORT_COLUMNS} FROM report
       WHERE user_group = 'normal' AND ml_score > 70""",
-    "flagged_txns": f"""WITH {LABELED} SELECT reqdate, userid, appuser, amount, platform,
-      userip, {_RULES}, ml_score, is_bet_tail, CAST(amount_tail3 AS INT) AS amount_tail3,
+    "flagged_txns": f"""WITH {LABELED}{RANGES} SELECT reqdate, userid, appuser, amount,
+      coalesce(country, '') AS iploc, {_RULES}, ml_score, is_bet_tail, CAST(amount_tail3 AS INT) AS amount_tail3,
       desc_has_win, desc_match_b1, desc_match_b2
-      FROM labeled WHERE hit_any_rule = 1""",
+      FROM labeled LEFT JOIN located ON located.userip = labeled.userip WHERE hit_any_rule = 1""",
     "bookie_report": f"WITH {REPORT} SELECT * FROM bookie_rep",
     "score_histogram": f"""WITH {LABELED},
       ends AS (SELECT min(ml_score) AS low, max(ml_score) AS high FROM labeled),
@@ -463,15 +499,15 @@ ORACLES |= {
       sum(total_send_amount) / 1e9 AS total_out_bil, count(*) AS num_bookies,
       CAST(sum(recv_unique_senders) AS BIGINT) AS total_gamblers,
       sum(total_recv_amount) / (sum(total_send_amount) + 1) AS avg_in_out_ratio FROM bookie_rep""",
-    "bookie_pnl_bands": f"""WITH {REPORT}, lowered AS (
-        SELECT CAST(round(CAST(recv_send_ratio / 15 AS DECIMAL(30, 12)), 4) AS DOUBLE) AS r
-        FROM bookie_rep)
+    "bookie_pnl_bands": f"""WITH {LABELED}, paid AS (
+        SELECT * REPLACE (amount * coalesce((SELECT 4 + s_suppkey % 21 FROM supplier
+          WHERE 'u' || s_suppkey = userid), 1) AS amount) FROM labeled){_PAID_REPORT}
       SELECT CASE WHEN r < 0.80 THEN '1. Significantly lose (<0.8x)'
         WHEN r BETWEEN 0.81 AND 0.99 THEN '2. Slightly lose (0.81x-0.99x)'
         WHEN r BETWEEN 1.00 AND 1.10 THEN '3. Slightly win (1.0x-1.10x)'
         WHEN r BETWEEN 1.10 AND 1.20 THEN '4. Significantly win (1.10x-1.20x)'
         ELSE '5. Substantially win  (>1.20x)' END AS behavior_group, count(*) AS bookies
-      FROM lowered GROUP BY 1""",
+      FROM (SELECT recv_send_ratio AS r FROM bookie_rep) GROUP BY 1""",
     "gambler_tails": f"""WITH {LABELED} SELECT CASE WHEN amount_tail3 = 11 THEN '011' ELSE '012' END
       AS bet_tail_type, count(amount) AS tx_count, CAST(sum(amount) AS BIGINT) AS total_amount,
       count(DISTINCT userid) AS unique_gamblers, avg(amount) AS avg_amount
@@ -516,15 +552,42 @@ ORACLES |= {
         f"SELECT '{t}' AS table_name, true AS ok, count(*) AS rows FROM {t}"
         for t in ("customer", "lineitem", "nation", "orders", "supplier")
     ),
+    "str_device_share_hot": ORACLES["str_device_share"],
+    "etl_ip6_country": """WITH users AS (
+        SELECT c_custkey, CASE WHEN c_custkey % 50 <> 7 THEN printf('2001:%x:%x:%x::%x', c_custkey % 30,
+          c_custkey % 3, c_custkey % 5, c_custkey) END AS userip,
+          CAST(c_custkey % 30 AS HUGEINT) * 281474976710656 * 281474976710656
+          + CAST(c_custkey % 3 AS HUGEINT) * 4294967296 * 281474976710656
+          + CAST(c_custkey % 5 AS HUGEINT) * 65536 * 281474976710656 + c_custkey AS ip FROM customer),
+      starts AS (
+        SELECT 'C' || n_nationkey AS country, CAST(n_nationkey AS HUGEINT) * 281474976710656 * 281474976710656
+          + CAST(n_nationkey % 2 AS HUGEINT) * 4294967296 * 281474976710656 AS first,
+          CASE WHEN n_nationkey % 3 = 0 THEN CAST(18446744073709551616 AS HUGEINT)
+            ELSE CAST(1208925819614629174706176 AS HUGEINT) END AS size FROM nation)
+      SELECT c_custkey, userip, coalesce((SELECT CASE WHEN u.ip < max(first) + arg_max(size, first)
+        THEN arg_max(country, first) END FROM starts WHERE first <= u.ip AND u.userip IS NOT NULL), '') AS iploc
+      FROM users u""",
+    "iforest_train_rows": f"""WITH {LABELED} SELECT count(*) AS rows, true AS mean_below_p95,
+      true AS p95_in_range FROM labeled WHERE hit_any_rule = 0""",
+    "iforest_scored_rows": f"WITH {LABELED} SELECT ok, ln, hit_any_rule = 0 AS scored FROM labeled",
+    "iforest_scale": "SELECT true AS lowest_is_0, true AS highest_is_100",
+    "stream_score_agrees": f"WITH {TXN} SELECT count(*) AS equal, count(*) AS rows FROM txn",
+    "table_freshness_verdicts": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) > 0 AS has_files, true AS older FROM {t}"
+        for t in ("customer", "lineitem", "nation", "orders", "supplier")
+    ),
     "stream_etl": ORACLES["etl_transfers"],
     "stream_smurf_days": ORACLES["smurf_in_days"],
     "stream_rapid_pairs": ORACLES["rapid_pairs"],
     "intent_tags": f"WITH {INTENT} SELECT * FROM tags",
     "intent_counts": f"WITH {INTENT} SELECT intent, count(*) AS turns FROM tags GROUP BY intent",
+    "intent_tags_worded": f"WITH {_WORDED}, {_intent(DEFAULT, 'worded')} SELECT * FROM tags",
+    "ambiguous_turns": f"""WITH {_WORDED} SELECT conv_id, turn, {_says("lower(text)", *_quoted(DEFAULT.general))}
+      AND NOT {_says("lower(text)", *_quoted(DEFAULT.specific))} AS ambiguous FROM worded WHERE role = 'user'""",
     "recent_turns": """SELECT conv_id, turn, role, content FROM (
-        SELECT conv_id, turn, role, substr(trim(text, E' \\t\\n\\r'), 1, 200) AS content,
+        SELECT conv_id, turn, role, substr(trim(text, E' \\t\\n\\r'), 1, 4000) AS content,
           row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
-      WHERE k <= 4 AND role IN ('user', 'assistant') AND content <> ''""",
+      WHERE k <= 8 AND role IN ('user', 'assistant') AND content <> ''""",
     "last_step": f"""WITH t AS (SELECT conv_id, turn, role, {_ACCENT_FREE} AS c FROM conversations),
       steps AS (SELECT conv_id, turn, CASE
         WHEN ({_says("c", "shre")} AND {_says("c", "the")}) OR {_says("c", "thble")} THEN 3

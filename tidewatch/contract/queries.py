@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from tidewatch.operators.forest import scaler_stats as forest_scaler_stats
 from tidewatch.operators.forest import training_rows
 from tidewatch.operators.ip_country import add_country
 from tidewatch.plans import canned
-from tidewatch.plans.stages import label_stored
+from tidewatch.plans.stages import DROPPED, label_stored
 from tidewatch.sources import fixtures, tables
 from tidewatch.sources.storage import materialize, new_path
 from tidewatch.streaming import streams
@@ -54,13 +54,20 @@ def etl(spark: SparkSession, sf: str) -> DataFrame:
     return E.add_time(E.clean_description(E.fill_device_id(raw)))
 
 
+def located(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean transfers as the pipeline stores them, with row ids."""
+    raw = fixtures.transfers(spark, sf, *ROW_ID)
+    return E.add_time(E.clean_transfers(raw, fixtures.ip_ranges(spark, sf), CFG))
+
+
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     return P.add_patterns(etl(spark, sf), CFG)
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored, as owners and users both come from them."""
     raw = fixtures.transfers(spark, sf)
-    return R.identifiers(E.fill_device_id(raw))
+    return materialize(R.identifiers(E.fill_device_id(raw)), "identifiers")
 
 
 def stored_etl(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,6 +141,12 @@ def etl_ip_country(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def etl_ip6_country(spark: SparkSession, sf: str) -> DataFrame:
+    """IPv6 addresses by customer, ranges of 2^64 and 2^80 addresses by nation."""
+    users = fixtures.ip6_users(spark, sf)
+    return add_country(users, fixtures.ip6_ranges(spark, sf), CFG).select("c_custkey", "userip", "iploc")
+
+
 def etl_transfers(spark: SparkSession, sf: str) -> DataFrame:
     raw = fixtures.transfers(spark, sf)
     return E.clean_transfers(raw, fixtures.ip_ranges(spark, sf), CFG)
@@ -189,6 +202,12 @@ def str_ip_change(spark: SparkSession, sf: str) -> DataFrame:
     return plain(S.identifier_flags(ids(spark, sf), CFG).select("userid", "str_ip_change"))
 
 
+def str_device_share_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a limit so low that most keys go the way of hot ones."""
+    hot = Config(hot_share=0.001)
+    return plain(S.identifier_flags(ids(spark, sf), hot).select("userid", "str_device_share"))
+
+
 def str_device_share(spark: SparkSession, sf: str) -> DataFrame:
     return plain(S.identifier_flags(ids(spark, sf), CFG).select("userid", "str_device_share"))
 
@@ -234,7 +253,9 @@ def txn_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labeled_transfers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = labeled(spark, sf).drop("ts", "dt", "userip", "deviceid", "platform")
+    """The labelled table as the pipeline publishes it, with the country."""
+    clean = materialize(located(spark, sf), "etl")
+    rows = label_stored(clean, CFG).drop(*DROPPED, "dt")
     return plain(rounded(rows, {"sender_std_amount": 0, "recv_std_amount": 0}))
 
 
@@ -252,26 +273,42 @@ def label_user_counts(spark: SparkSession, sf: str) -> DataFrame:
 def scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Seven significant digits, as sums of doubles depend on their order."""
     rows = training_rows(labeled(spark, sf), CFG, F.lit(0))
-    stats = forest_scaler_stats(rows, CFG.features)
+    stats = forest_scaler_stats(rows, CFG.features).drop("rows")
     return stats.withColumns(
         {c: F.format_string("%.6e", c).cast("double") for c in ("mean", "scale")}
     )
 
 
-def _trained(spark: SparkSession, sf: str) -> tuple[DataFrame, M.Model]:
+def _trained(spark: SparkSession, sf: str) -> tuple[DataFrame, M.Model, DataFrame]:
+    """Stored labelled transfers, a model of them, and their raw scores from the training."""
     rows = materialize(labeled(spark, sf), "labeled")
     key = F.xxhash64("ok", "ln", "reqdate", "userid", "appuser", "amount")
-    return rows, M.train(rows, CFG, key)
+    return rows, *M.fit(rows, CFG, key, keep=("ok", "ln", "hit_any_rule"))
 
 
 def iforest_train_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows, model = _trained(spark, sf)
-    return M.train_stats(M.score_fixed(rows, model))
+    return _trained(spark, sf)[1].stats
+
+
+def iforest_train_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """How many transfers the model was trained on, and whether its statistics are in order."""
+    stats = iforest_train_stats(spark, sf)
+    return stats.select("rows", (F.col("mean") < F.col("p95")).alias("mean_below_p95"), (F.col("p95") <= F.col("max")).alias("p95_in_range"))
 
 
 def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows, model = _trained(spark, sf)
-    return M.score(rows, model).select("ok", "ln", "hit_any_rule", "ml_score")
+    return M.normalize(_trained(spark, sf)[2])
+
+
+def iforest_scored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Which transfers get a score."""
+    return iforest_scores(spark, sf).select("ok", "ln", F.col("ml_score").isNotNull().alias("scored"))
+
+
+def iforest_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the batch's scores fill the scale from 0 to 100."""
+    ends = iforest_scores(spark, sf).agg(F.min("ml_score").alias("low"), F.max("ml_score").alias("high"))
+    return ends.select((F.col("low") == 0).alias("lowest_is_0"), (F.col("high") >= 99.99).alias("highest_is_100"))
 
 
 def score_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +337,11 @@ def high_score_users(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagged_txns(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(RP.flagged_transfers(scored(spark, sf)))
+    """From the columns the labelled table has, as the pipeline publishes them."""
+    clean = materialize(located(spark, sf), "etl")
+    rows = P.add_patterns(clean, CFG)
+    ruled_rows = L.rule_labels(rows, R.pairs(rows), CFG).drop(*DROPPED)
+    return plain(RP.flagged_transfers(fixtures.standin_score(ruled_rows)))
 
 
 def bookie_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,11 +373,9 @@ def bookie_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bookie_pnl_bands(spark: SparkSession, sf: str) -> DataFrame:
-    """The ratio is divided by 15, because undivided all bookies here win."""
-    lowered = bookie_rows(spark, sf).withColumn(
-        "recv_send_ratio", F.round(F.col("recv_send_ratio") / 15, 4)
-    )
-    return C.pnl_bands(lowered)
+    """On transfers of which suppliers pay out more, so that bookies fall into all bands."""
+    rows = fixtures.generous_suppliers(spark, sf, scored(spark, sf))
+    return C.pnl_bands(RP.bookie_report(report_of(rows)))
 
 
 def gambler_tails(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,7 +407,8 @@ def flagged_by_day(spark: SparkSession, sf: str) -> DataFrame:
 
 def user_txn_join(spark: SparkSession, sf: str) -> DataFrame:
     rows = materialize(scored(spark, sf), "scored")
-    joined = canned.flagged_with_users(RP.user_report(rows, R.pairs(rows)), rows, CFG)
+    users = materialize(RP.user_report(rows, R.pairs(rows)), "user-report")
+    joined = canned.flagged_with_users(users, rows, CFG)
     return joined.select("ok", "ln", "userid", "amount", "user_group", "user_score")
 
 
@@ -411,13 +451,27 @@ def table_freshness(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table_freshness(spark, {t: f"{sf}/{t}.parquet" for t in GIVEN})
 
 
+def table_freshness_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each table has files, and is older than a table derived from it just now."""
+    path = new_path(spark, "derived")
+    spark.read.parquet(f"{sf}/nation.parquet").write.parquet(path)
+    seen = tables.table_freshness(spark, {"derived": path, **{t: f"{sf}/{t}.parquet" for t in GIVEN}})
+    newest = F.max(F.when(F.col("table_name") == "derived", F.col("modified"))).over(Window.partitionBy())
+    verdicts = seen.select("table_name", (F.col("files") > 0).alias("has_files"), (F.col("modified") < newest).alias("older"))
+    return verdicts.where("table_name != 'derived'")
+
+
 # --- streams
 
 
 def raw_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Transfers with line items read as a stream of files."""
-    schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
-    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    """Transfers with line items read as a stream of files, day by day in several batches."""
+    streams.use_rocksdb(spark)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    path = new_path(spark, "line-items")
+    for days in ((0, 1), (2, 3), (4, 5, 6)):
+        lines.where((F.col("l_orderkey") % 7).isin(*days)).write.mode("append").parquet(path)
+    lines = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return fixtures.transfers_from(lines, spark.read.parquet(f"{sf}/orders.parquet"), *ROW_ID)
 
 
@@ -445,12 +499,29 @@ def stream_rapid_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return day_text(streams.rapid_pairs_seen(spark, path, CFG))
 
 
+def _stream_scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, M.Model]:
+    """Labelled transfers scored as a stream of their files; the transfers and the model."""
+    rows, model, _ = _trained(spark, sf)
+    source, path = new_path(spark, "labeled-parts"), new_path(spark, "stream-score")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    streams.stream_score(stream, model, path, new_path(spark, "state")).awaitTermination()
+    return spark.read.parquet(path), rows, model
+
+
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
-    rows, model = _trained(spark, sf)
-    path, state = new_path(spark, "stream-score"), new_path(spark, "state")
-    source = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
-    streams.stream_score(source, model, path, state).awaitTermination()
-    return spark.read.parquet(path).select("ok", "ln", "hit_any_rule", "ml_score")
+    return _stream_scored(spark, sf)[0].select("ok", "ln", "hit_any_rule", "ml_score")
+
+
+def stream_score_agrees(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose streamed score equals the batch's on the same scale, and all rows."""
+    streamed, rows, model = _stream_scored(spark, sf)
+    batch = M.score_fixed(rows, model)
+    told = [df.select("ok", "ln", "ml_score", F.lit(sign).alias("sign")) for df, sign in ((streamed, 1), (batch, -1))]
+    apart = told[0].unionByName(told[1]).groupBy("ok", "ln", "ml_score").agg(
+        F.count_if(F.col("sign") == 1).alias("n"), F.sum("sign").alias("more")
+    )
+    return apart.agg(F.sum(F.col("n") - F.greatest("more", F.lit(0))).alias("equal"), F.sum("n").alias("rows"))
 
 
 # --- chat log
@@ -465,6 +536,8 @@ SPOKEN = G.Vocabulary(
     report=("ou ",),
     transaction=("th", "é"),
     correction=("en",),
+    general=("the",),
+    specific=("ing",),
     done=("the",),
     negative=("ing",),
     steps=((3, ("shre",), (), ("thble",)), (2, ("of a",), ("eau",), ()), (1, ("in",), ("on",), ())),
@@ -484,7 +557,23 @@ def intent_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recent_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return G.recent_turns(chats(spark, sf), limit=4, max_chars=200)
+    return G.recent_turns(chats(spark, sf))
+
+
+def worded_chats(spark: SparkSession, sf: str) -> DataFrame:
+    """The given turns, each with one of the real phrases put behind its text."""
+    phrases = F.array(*[F.lit(p) for p in G.phrases(G.DEFAULT)])
+    pick = F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(len(G.phrases(G.DEFAULT))))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.get(phrases, pick.cast("int")))
+    return chats(spark, sf).withColumn("text", said)
+
+
+def intent_tags_worded(spark: SparkSession, sf: str) -> DataFrame:
+    return G.intent_tags(worded_chats(spark, sf))
+
+
+def ambiguous_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return G.ambiguous_turns(worded_chats(spark, sf))
 
 
 def last_step(spark: SparkSession, sf: str) -> DataFrame:
@@ -498,6 +587,7 @@ QUERIES = {
         etl_desc_clean,
         etl_desc_documents,
         etl_ip_country,
+        etl_ip6_country,
         etl_transfers,
         pattern_flags,
         flag_summary,
@@ -507,6 +597,7 @@ QUERIES = {
         txn_features,
         str_ip_change,
         str_device_share,
+        str_device_share_hot,
         smurf_in_days,
         str_smurfing,
         rapid_pairs,
@@ -521,7 +612,10 @@ QUERIES = {
         label_user_counts,
         scaler_stats,
         iforest_train_stats,
+        iforest_train_rows,
         iforest_scores,
+        iforest_scored_rows,
+        iforest_scale,
         score_normalize,
         score_p95,
         user_report,
@@ -550,13 +644,17 @@ QUERIES = {
         group_counts,
         validate_outputs,
         table_freshness,
+        table_freshness_verdicts,
         stream_etl,
         stream_smurf_days,
         stream_rapid_pairs,
         stream_score,
+        stream_score_agrees,
         intent_tags,
         intent_counts,
         recent_turns,
+        intent_tags_worded,
+        ambiguous_turns,
         last_step,
     )
 }

@@ -30,6 +30,9 @@ class Vocabulary:
     correction: Phrases
     done: Phrases
     negative: Phrases
+    # general words that need a more specific one beside them
+    general: Phrases
+    specific: Phrases
     # stage number, its names, its files, and marks that need no further proof
     steps: tuple[tuple[int, Phrases, Phrases, Phrases], ...]
 
@@ -101,6 +104,14 @@ DEFAULT = Vocabulary(
         "sai rồi", "sai roi", "không đúng", "khong dung", "nhầm rồi", "nham roi", "ý tôi là",
         "y toi la", "không phải", "khong phai", "hiểu sai", "hieu sai",
     ),
+    general=(
+        "từng nhóm", "tung nhom", "các nhóm", "cac nhom", "thống kê chung", "thong ke chung",
+        "tổng quan", "tong quan", "mọi thứ", "tất cả", "tat ca",
+    ),
+    specific=(
+        "bookie", "gambler", "bet_tail", "win", "iploc", "userid", "appuser", "amount",
+        "giao dịch", "giao dich", "is_", "hit_any", "sender", "recv",
+    ),
     done=("hoan tat", "hoan thanh"),
     negative=("chua co", "cu hon", "vui long chay", "hay bat dau"),
     steps=(
@@ -111,6 +122,14 @@ DEFAULT = Vocabulary(
 )
 
 
+def phrases(words: Vocabulary) -> list[str]:
+    """All phrases that decide an intent, in the order of their lists."""
+    lists = [words.meta, words.complaint_steps, words.complaint_marks, words.next]
+    lists += [p for _, p in words.pipeline]
+    lists += [words.report, words.transaction, words.correction, words.general, words.specific]
+    return [p for one in lists for p in one]
+
+
 def _any(text: Column, phrases: Phrases) -> Column:
     """Whether any phrase occurs; one pass over the text for the whole list."""
     if not phrases:
@@ -148,6 +167,13 @@ def intent_tags(chats: DataFrame, words: Vocabulary = DEFAULT) -> DataFrame:
     )
 
 
+def ambiguous_turns(chats: DataFrame, words: Vocabulary = DEFAULT) -> DataFrame:
+    """Whether a user turn asks in general words without any specific one."""
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    vague = _any(lower, words.general) & ~_any(lower, words.specific)
+    return chats.where(F.col("role") == "user").select("conv_id", "turn", vague.alias("ambiguous"))
+
+
 def intent_counts(tags: DataFrame) -> DataFrame:
     return tags.groupBy("intent").agg(F.count(F.lit(1)).alias("turns"))
 

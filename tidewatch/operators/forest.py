@@ -64,22 +64,35 @@ def _share(*parts: Column) -> Column:
 
 
 def sample_for_trees(rows: DataFrame, n: int, cfg: Config) -> DataFrame:
-    """(tree, x) with ``min(tree_rows, n)`` rows per tree.
-
-    Rows are chosen by a hash of their key, so neither partitioning nor a
-    retried task changes the sample.  A share of rows half as large again as
-    needed passes a filter inside the scan; only those are shuffled and ranked.
+    """(tree, rank, x) with ``min(tree_rows, n)`` rows per tree, by one rule for every ``n``.
+
+    Each tree is offered half as many rows again as it needs.  For that a row has
+    ``copies`` chances (one, once there are enough rows), each for another tree: the
+    trees follow from the row's hash in steps that share no divisor with their number.
+    A chance passes by a hash, inside the scan; only those that pass are shuffled and
+    ranked.  Rows are told apart by their key, so neither partitioning nor a retried
+    task changes the sample.
     """
+    wanted = 1.5 * cfg.trees * cfg.tree_rows
+    copies = max(1, min(cfg.trees, math.ceil(wanted / n)))
+    share = min(1.0, wanted / (n * copies))
     seed = F.lit(cfg.seed)
-    rate = min(1.0, 1.5 * cfg.tree_rows / n)
-    if n >= cfg.trees * cfg.tree_rows:
-        candidates = rows.where(
-            _share(F.col("key"), seed) < min(1.0, rate * cfg.trees)
-        ).withColumn("tree", F.pmod(F.xxhash64("key", seed, F.lit("tree")), F.lit(cfg.trees)))
-    else:
-        candidates = rows.withColumn(
-            "tree", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1)))
-        ).where(_share(F.col("key"), F.col("tree"), seed) < rate)
+    steps = [k for k in range(1, cfg.trees + 1) if math.gcd(k, cfg.trees) == 1]
+    step = F.element_at(
+        F.array(*[F.lit(k) for k in steps]),
+        (F.pmod(F.xxhash64("key", seed, F.lit("step")), F.lit(len(steps))) + 1).cast("int"),
+    )
+    first = F.pmod(F.xxhash64("key", seed, F.lit("tree")), F.lit(cfg.trees))
+    passed = F.filter(
+        F.sequence(F.lit(0), F.lit(copies - 1)), lambda c: _share(F.col("key"), c, seed) < share
+    )
+    candidates = (
+        rows.withColumns({"_first": first, "_step": step})
+        .withColumn("_copy", F.explode(passed))
+        .select(
+            "key", "x", F.pmod(F.col("_first") + F.col("_step") * F.col("_copy"), F.lit(cfg.trees)).alias("tree")
+        )
+    )
     ranked = candidates.withColumn("rank", F.xxhash64("key", "tree", seed, F.lit("rank")))
     lowest = (
         ranked.groupBy(F.col("tree").cast("int").alias("tree"))
@@ -131,7 +144,7 @@ def grow_trees(sample: DataFrame, cfg: Config, rows_per_tree: int) -> DataFrame:
 
 
 def scaler_stats(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """Mean and population deviation per feature; the scale of a constant is 1."""
+    """Mean and population deviation per feature, and the number of rows; the scale of a constant is 1."""
     stats = []
     for i, name in enumerate(features):
         v = F.get("x", F.lit(i)).cast("double")
@@ -141,10 +154,10 @@ def scaler_stats(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
             )
         )
     return (
-        rows.agg(F.array(*stats).alias("stats"))
-        .select(F.inline("stats"))
+        rows.agg(F.array(*stats).alias("stats"), F.count(F.lit(1)).alias("rows"))
+        .select("rows", F.inline("stats"))
         .withColumn("scale", F.when(F.col("std") > 0, F.col("std")).otherwise(1.0))
-        .drop("std")
+        .select("feature", "mean", "scale", "rows")
     )
 
 

@@ -19,28 +19,58 @@ from tidewatch.sources.storage import materialize
 # functions travel with the task, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Adaptive skew splitting does not reach streams, so a bucket's rows are dealt out by hand.
+_STREAM_SALTS = 16
 _BOUNDS = "country string, seq bigint, first string, last string"
 
 
 def _bounds(ranges: DataFrame, ipv6_value: str) -> DataFrame:
-    """First and last address of each range as hex; ``seq`` is the file order."""
+    """First and last address of each range as hex; ``seq`` is the file order.
+
+    ``value`` is a count (or a prefix length) as a number or as text.  A row of a known
+    type that cannot be read is an error that shows the row; other types are left out.
+    """
+    rows = ranges.select("country", "type", "start", F.col("value").cast("string").alias("value"), "seq")
+    return _bounds_v4(rows.where("type = 'ipv4'")).unionByName(
+        _bounds_v6(rows.where("type = 'ipv6'"), ipv6_value)
+    )
+
+
+def _bounds_v4(ranges: DataFrame) -> DataFrame:
+    first, size = parse_ip("start"), F.col("value").try_cast("decimal(38,0)")
+    # a later filter may be evaluated before the one on the type
+    bad = (F.col("type") == "ipv4") & (first.isNull() | (F.length(first) != V4_DIGITS) | size.isNull())
+    text = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in ("country", "type", "start", "value")])
+    end = F.least(F.conv(first, 16, 10).cast("decimal(38,0)") + size, F.lit(1 << 32)).cast("bigint") - 1
+    # an empty range at the first address has no last one; it still cuts the range before
+    last = F.when(end < 0, F.lit("")).otherwise(F.lpad(F.lower(F.hex(end)), V4_DIGITS, "0"))
+    return ranges.select(
+        "country",
+        "seq",
+        F.when(bad, F.raise_error(F.concat(F.lit("unreadable IP range: "), text))).otherwise(first).alias("first"),
+        last.alias("last"),
+    )
+
+
+def _bounds_v6(ranges: DataFrame, ipv6_value: str) -> DataFrame:
+    """In Python, whose integers hold counts up to 2^128; one row per range of a reference file."""
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for country, kind, start, value, seq in batch.itertuples(index=False):
-                if kind not in ("ipv4", "ipv6"):
-                    continue
-                address = ipaddress.ip_address(start.strip())
-                size = int(value)
-                if kind == "ipv6" and ipv6_value == "prefix":
-                    size = 1 << (128 - size)
-                digits, top = (V4_DIGITS, 2**32) if kind == "ipv4" else (V6_DIGITS, 2**128)
-                end = min(int(address) + size, top) - 1
-                rows.append((country, seq, f"{int(address):0{digits}x}", f"{end:0{digits}x}"))
+                try:
+                    address, size = int(ipaddress.IPv6Address(start.strip())), int(value)
+                    if ipv6_value == "prefix":
+                        size = 1 << (128 - size)
+                except (ValueError, AttributeError, TypeError) as e:
+                    raise ValueError(f"unreadable IP range: {country},{kind},{start},{value}") from e
+                end = min(address + size, 2**128) - 1
+                last = f"{end:0{V6_DIGITS}x}" if end >= 0 else ""
+                rows.append((country, seq, f"{address:0{V6_DIGITS}x}", last))
             yield pd.DataFrame(rows, columns=["country", "seq", "first", "last"])
 
-    return ranges.select("country", "type", "start", "value", "seq").mapInPandas(convert, _BOUNDS)
+    return ranges.mapInPandas(convert, _BOUNDS)
 
 
 def disjoint_ranges(ranges: DataFrame, cfg: Config) -> DataFrame:
@@ -83,11 +113,26 @@ def bucketed_ranges(ranges: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def _lookup(rows: DataFrame, buckets: DataFrame, address: Column) -> DataFrame:
-    """``rows`` plus ``iploc``; a row matches at most one disjoint range."""
+def _lookup(rows: DataFrame, buckets: DataFrame, address: Column, salts: int = 1) -> DataFrame:
+    """``rows`` plus ``iploc``; a row matches at most one disjoint range.
+
+    With ``salts`` the buckets are repeated so often and the rows of one bucket dealt out
+    among the copies; rows without an address get buckets that no range has.
+    """
     keyed = rows.withColumn("_ip", address).withColumn("_bucket", ip_bucket("_ip"))
+    same = F.col("_bucket") == F.col("ip_bucket")
+    if salts > 1:
+        row = F.xxhash64(*[F.col(c) for c in rows.columns])
+        keyed = keyed.withColumns(
+            {
+                "_salt": F.pmod(row, F.lit(salts)).cast("int"),
+                "_bucket": F.coalesce("_bucket", -1 - F.pmod(row, F.lit(4096))),
+            }
+        )
+        buckets = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        same = same & (F.col("_salt") == F.col("salt"))
     inside = (
-        (F.col("_bucket") == F.col("ip_bucket"))
+        same
         & (F.col("_ip") >= F.col("first"))
         & (F.col("_ip") <= F.col("last"))
         & (F.col("next").isNull() | (F.col("_ip") < F.col("next")))
@@ -108,7 +153,7 @@ def add_country(txn: DataFrame, ranges: DataFrame, cfg: Config, ip: str = "useri
     if buckets.count() <= cfg.broadcast_buckets:
         return _lookup(txn, F.broadcast(buckets), parse_ip(ip))
     if txn.isStreaming:
-        return _lookup(txn, buckets, parse_ip(ip))
+        return _lookup(txn, buckets, parse_ip(ip), _STREAM_SALTS)
     addresses = txn.groupBy(ip).agg(F.count(F.lit(1)).alias("_ip_rows"))
     answers = _lookup(addresses, buckets, parse_ip(ip))
     return (

@@ -23,7 +23,7 @@ from tidewatch.operators.forest import (
 from tidewatch.sources.storage import materialize
 
 log = logging.getLogger(__name__)
-__all__ = ["Model", "normalize", "score", "score_fixed", "train", "train_stats"]
+__all__ = ["Model", "fit", "normalize", "score", "score_fixed", "train", "train_stats"]
 
 _EPS = 1e-9
 _META = "rows bigint, rows_per_tree int, low double, high double, trained_at string, config string"
@@ -49,11 +49,12 @@ def normalize(scored: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """A trained model as tables: nodes, scaler, bookies and one row of metadata."""
+    """A trained model as tables: nodes, scaler, bookies, statistics and one row of metadata."""
 
     nodes: DataFrame
     scaler: DataFrame
     bookies: DataFrame
+    stats: DataFrame
     rows: int
     rows_per_tree: int
     low: float
@@ -73,6 +74,7 @@ class Model:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
         self.bookies.write.mode("overwrite").parquet(f"{path}/bookies")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         self.meta(self.nodes.sparkSession).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
@@ -84,6 +86,7 @@ class Model:
             spark.read.parquet(f"{path}/nodes"),
             spark.read.parquet(f"{path}/scaler"),
             spark.read.parquet(f"{path}/bookies"),
+            spark.read.parquet(f"{path}/stats"),
             meta["rows"],
             meta["rows_per_tree"],
             meta["low"],
@@ -96,14 +99,25 @@ class Model:
 def train(labeled: DataFrame, cfg: Config, row_key: Column) -> Model:
     """Fit the forest on the transfers no rule hits.
 
-    ``labeled`` is scanned once for the statistics, once for the sample and once
-    for the extremes, so it should be a stored table.  ``row_key`` must tell
-    rows apart, equal ones too; see ``file_row_key``.
+    ``labeled`` is scanned once for row count and scaler, once for the sample and once
+    for the raw scores, from which extremes and statistics follow, so it should be a
+    stored table.  ``row_key`` must tell rows apart, equal ones too; see ``file_row_key``.
+    """
+    return fit(labeled, cfg, row_key)[0]
+
+
+def fit(
+    labeled: DataFrame, cfg: Config, row_key: Column, keep: Sequence[str] = ()
+) -> tuple[Model, DataFrame]:
+    """The model, and the stored raw scores of its own batch with the ``keep`` columns.
+
+    The second serves to score the training batch without another walk of the forest.
     """
     spark = labeled.sparkSession
     rows = training_rows(labeled, cfg, row_key)
-    n = rows.count()
-    if n == 0:
+    scaler = materialize(scaler_stats(rows, cfg.features), "scaler")
+    n = scaler.first()["rows"]
+    if not n:
         raise ValueError("every transfer is hit by a rule: nothing to train on")
     if n < cfg.min_train_rows:
         log.warning("only %d transfers to train on", n)
@@ -111,16 +125,17 @@ def train(labeled: DataFrame, cfg: Config, row_key: Column) -> Model:
     trees = grow_trees(sample_for_trees(rows, n, cfg), cfg, rows_per_tree)
     nodes = materialize(trees, "forest-nodes")
     forest = Forest.from_nodes(nodes, rows_per_tree)
-    low, high, now = (
-        rows.select(raw_score(forest, spark, F.col("x")).alias("raw"))
-        .agg(F.min("raw"), F.max("raw"), F.current_timestamp().cast("string"))
-        .first()
-    )
+    x = F.when(F.col("hit_any_rule") == 0, feature_array(cfg.features))
+    raw = labeled.withColumn("raw", raw_score(forest, spark, x)).select(*keep, "raw")
+    raw = materialize(raw, "training-scores")
+    low, high, now = raw.agg(F.min("raw"), F.max("raw"), F.current_timestamp().cast("string")).first()
+    scores = raw.select(scaled(F.col("raw"), F.lit(low), F.lit(high)).alias("ml_score"))
     bookies = labeled.where(F.col("is_bookie_tx") == 1).select(F.col("appuser").alias("user_id"))
-    return Model(
+    model = Model(
         nodes,
-        scaler_stats(rows, cfg.features),
+        scaler.drop("rows"),
         bookies.distinct(),
+        materialize(train_stats(scores), "training-stats"),
         n,
         rows_per_tree,
         low,
@@ -128,6 +143,7 @@ def train(labeled: DataFrame, cfg: Config, row_key: Column) -> Model:
         now,
         cfg,
     )
+    return model, raw
 
 
 def raw_scores(labeled: DataFrame, model: Model) -> DataFrame:

@@ -8,12 +8,14 @@ import os
 import re
 import threading
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewatch.sources.storage import materialize
 from tidewatch.sources.tables import (
     SPARK_ERRORS,
     modified,
@@ -73,6 +75,13 @@ def show(result: DataFrame, rows: int, preview: int = 50) -> str:
     return f"{rows} rows\n" + "\n".join(lines)
 
 
+def _store(data: DataFrame) -> DataFrame:
+    """The rows as a stored table, whatever the names and types of the columns."""
+    plain = data.toDF(*[f"c{i}" for i in range(len(data.columns))])
+    empty = {n: F.col(n).cast("string") for n, kind in plain.dtypes if kind == "void"}
+    return materialize(plain.withColumns(empty), "query-result").toDF(*data.columns)
+
+
 class Catalog:
     """Named tables below one root folder."""
 
@@ -168,21 +177,37 @@ class Catalog:
         return self.spark.sql(query)
 
     def sql_safe(self, query: str, count: bool = True, timeout: float | None = None) -> Result:
-        """Checked execution; ``count`` runs the query, ``timeout`` cancels it after seconds."""
+        """Checked execution; ``timeout`` cancels it after seconds.
+
+        With ``count`` the query runs here, once: its result is stored, and ``data`` reads the
+        stored rows.  Otherwise ``data`` is lazy.
+        """
+
+        def run() -> Result:
+            data = self.spark.sql(query)
+            if not count:
+                return Result(True, data)
+            stored = _store(data)
+            return Result(True, stored, stored.count())
+
+        return self._checked(query, run, timeout)
+
+    def _checked(self, query: str, action: Callable[[], Result], timeout: float | None) -> Result:
+        """Run an action on a query after the preflight; errors and time-outs become results."""
         problem = self.preflight(query)
         if problem:
             return Result(False, error=problem)
         try:
-            data = self.spark.sql(query)
-            return Result(True, data, self._count(data, timeout) if count else None)
+            return self._guarded(action, timeout)
         except SPARK_ERRORS as e:
             return Result(False, error=self._explain(query, e))
         except TimeoutError as e:
             return Result(False, error=str(e))
 
-    def _count(self, data: DataFrame, timeout: float | None) -> int:
+    def _guarded(self, action: Callable[[], Result], timeout: float | None) -> Result:
+        """Cancel the jobs of ``action`` once it has run for ``timeout`` seconds."""
         if timeout is None:
-            return data.count()
+            return action()
         tag, finished, expired = f"tidewatch-{uuid.uuid4().hex}", threading.Event(), threading.Event()
         context = self.spark.sparkContext
 
@@ -197,7 +222,7 @@ class Catalog:
         context.addJobTag(tag)
         threading.Thread(target=watch, daemon=True).start()
         try:
-            return data.count()
+            return action()
         except SPARK_ERRORS as e:
             if expired.is_set():
                 raise TimeoutError(f"query ran longer than {timeout:g} s") from e
@@ -217,18 +242,22 @@ class Catalog:
         """Result as Parquet; never passes through the driver."""
         self.spark.sql(query).write.mode("overwrite").parquet(path)
 
-    def save_safe(self, query: str, path: str) -> Result:
-        checked = self.sql_safe(query, count=False)
-        if not checked.success:
-            return checked
-        try:
-            checked.data.write.mode("overwrite").parquet(path)
-        except SPARK_ERRORS as e:
-            return Result(False, error=self._explain(query, e))
-        return Result(True)
+    def save_safe(self, query: str, path: str, timeout: float | None = None) -> Result:
+        def run() -> Result:
+            self.save(query, path)
+            return Result(True)
 
-    def export_csv(self, query: str, now: datetime) -> str:
-        """Result as CSV below ``query/``, named after the time."""
+        return self._checked(query, run, timeout)
+
+    def export_csv(self, query: str, now: datetime, timeout: float | None = None) -> str:
+        """Result as CSV below ``query/``, named after the time; a failed check is an error."""
         path = f"{self.root}/query/export_{now:%Y%m%d_%H%M%S}"
-        publish_csv(self.spark.sql(query), path)
+
+        def run() -> Result:
+            publish_csv(self.spark.sql(query), path)
+            return Result(True)
+
+        done = self._checked(query, run, timeout)
+        if not done.success:
+            raise ValueError(done.error)
         return path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 import time
 
@@ -27,13 +28,13 @@ from tidewatch.operators.patterns import add_patterns, flag_summary
 from tidewatch.operators.profiles import identifiers, pairs, receiver_profile, sender_profile
 from tidewatch.operators.scoring import Model, score, train, train_stats
 from tidewatch.sources.landing import read_ip_ranges, read_raw
-from tidewatch.sources.storage import materialize
+from tidewatch.sources.storage import materialize, scratch
 from tidewatch.sources.tables import (
     current_path,
-    exists,
     modified,
     publish,
     publish_csv,
+    published,
     read_table,
     table_error,
     validate_outputs,
@@ -49,10 +50,11 @@ STAGES = ("etl", "features", "reports", "training")
 def label_stored(etl: DataFrame, cfg: Config) -> DataFrame:
     """Labelled transfers from a stored table of cleaned ones.
 
-    The user level frames are written first: each is used several times and is
-    far smaller than the transfers.
+    Amounts and pattern flags are evaluated once and stored, for they are read five times.
+    The user level frames are written, too: each is used several times and is far smaller
+    than the transfers.
     """
-    flagged = add_patterns(etl, cfg)
+    flagged = materialize(add_patterns(etl, cfg), "flagged")
     pair = materialize(pairs(etl), "pairs")
     ids = materialize(identifiers(etl), "identifiers")
     senders = materialize(sender_profile(flagged, pair, ids), "senders")
@@ -61,6 +63,17 @@ def label_stored(etl: DataFrame, cfg: Config) -> DataFrame:
     return label_transfers(flagged, senders, receivers, flags, cfg)
 
 
+def _stage(method):
+    """A stage leaves its published tables only."""
+
+    @functools.wraps(method)
+    def run(self, *args, **kwargs):
+        with scratch(self.spark):
+            return method(self, *args, **kwargs)
+
+    return run
+
+
 class Pipeline:
     """Raw transfers to reports, one stage at a time."""
 
@@ -89,7 +102,7 @@ class Pipeline:
             return "no labelled transfers yet: run features first"
         if modified(self.spark, self.path("labeled")) < modified(self.spark, self.path("etl")):
             return "labelled transfers are older than the cleaned ones: run features first"
-        if stage == "reports" and not exists(self.spark, self.path("models/active/CURRENT")):
+        if stage == "reports" and not published(self.spark, self.path("models/active")):
             return "no active model: run training and promote it"
         return None
 
@@ -106,6 +119,7 @@ class Pipeline:
 
     # --- stages
 
+    @_stage
     def etl(self, raw_dir: str, ip_ranges: str) -> dict[str, int]:
         """Raw folder to cleaned transfers; returns the row counts in and out."""
         started = time.time()
@@ -118,6 +132,7 @@ class Pipeline:
         log.info("etl took %.1f s", time.time() - started)
         return {"rows_in": read.get["rows"], "rows_out": written.get["rows"]}
 
+    @_stage
     def features(self, by_day: bool = False) -> str:
         """Cleaned transfers to labelled transfers.
 
@@ -145,6 +160,7 @@ class Pipeline:
             "users": rule_user_counts(labeled),
         }
 
+    @_stage
     def training(self) -> Model:
         """Fit a candidate model; it is used only after ``promote``."""
         self._require("training")
@@ -156,7 +172,7 @@ class Pipeline:
             self.spark.createDataFrame([(run,)], "run string").coalesce(1),
             self.path("models/latest"),
         )
-        return model
+        return Model.load(self.spark, self.path(f"models/candidates/{run}"))
 
     def promote(self) -> str:
         """Make the latest candidate the active model."""
@@ -171,6 +187,7 @@ class Pipeline:
         run = self.table("models/active").first()["run"]
         return Model.load(self.spark, self.path(f"models/candidates/{run}"))
 
+    @_stage
     def reports(self) -> DataFrame:
         """Score the labelled transfers and publish all reports and chart datasets."""
         self._require("reports")

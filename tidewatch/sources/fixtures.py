@@ -86,3 +86,39 @@ def standin_score(labeled: DataFrame) -> DataFrame:
     return labeled.withColumn(
         "ml_score", F.when(F.col("hit_any_rule") == 0, (sender * 37 % 101).cast("double"))
     )
+
+
+def generous_suppliers(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Suppliers send 4 to 24 times as much, by their number; other amounts stay.
+
+    Without it every bookie takes in far more than goes out.
+    """
+    payers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.concat(F.lit("u"), "s_suppkey").alias("userid"), (4 + F.col("s_suppkey") % 21).alias("_times")
+    )
+    return (
+        rows.join(payers, "userid", "left")
+        .withColumn("amount", F.col("amount") * F.coalesce("_times", F.lit(1)))
+        .select(*rows.columns)
+    )
+
+
+def ip6_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An IPv6 address for every customer; some in no range, some NULL."""
+    key = F.col("c_custkey")
+    address = F.format_string("2001:%x:%x:%x::%x", key % 30, key % 3, key % 5, key)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey", F.when(key % 50 != 7, address).alias("userip")
+    )
+
+
+def ip6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of 2^64 or 2^80 addresses per nation, with the size as text."""
+    key = F.col("n_nationkey")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        F.concat(F.lit("C"), key).alias("country"),
+        F.lit("ipv6").alias("type"),
+        F.format_string("2001:%x:%x::", key, key % 2).alias("start"),
+        F.when(key % 3 == 0, F.lit(str(2**64))).otherwise(F.lit(str(2**80))).alias("value"),
+        key.cast("bigint").alias("seq"),
+    )

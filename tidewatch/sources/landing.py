@@ -20,7 +20,6 @@ RAW_COLUMNS = (
 )
 RAW_SCHEMA = ", ".join(f"{c} STRING" for c in RAW_COLUMNS)
 CSV_GLOB = "*.[cC][sS][vV]"
-RANGE_SCHEMA = "country STRING, type STRING, start STRING, value BIGINT"
 
 # Cell texts that mean "missing" in raw files.
 NA_TOKENS = (
@@ -71,6 +70,14 @@ def header(spark: SparkSession, folder: str) -> list[str]:
     return spark.read.option("header", True).csv(first).columns
 
 
+def _checked_header(spark: SparkSession, folder: str) -> list[str]:
+    columns = header(spark, folder)
+    missing = [c for c in RAW_COLUMNS if c not in columns]
+    if missing:
+        raise ValueError(f"raw files lack columns: {', '.join(missing)}")
+    return columns
+
+
 def read_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
     """All CSV files of a folder, every column as text.
 
@@ -78,10 +85,7 @@ def read_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> Data
     there, others are carried along, and a file with another header is an error.
     ``multi_line`` allows line breaks inside quotes, but then a file is one task.
     """
-    columns = header(spark, folder)
-    missing = [c for c in RAW_COLUMNS if c not in columns]
-    if missing:
-        raise ValueError(f"raw files lack columns: {', '.join(missing)}")
+    columns = _checked_header(spark, folder)
     raw = (
         spark.read.schema(", ".join(f"`{c}` STRING" for c in columns))
         .options(header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
@@ -92,9 +96,17 @@ def read_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> Data
 
 
 def read_raw_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """The same folder as a stream of files; each file is read once."""
+    """The same folder as a stream of files; each file is read once.
+
+    As in a batch, the header of the first file decides the columns; a folder that is
+    still empty gets the usual ones.
+    """
+    try:
+        columns = _checked_header(spark, folder)
+    except FileNotFoundError:
+        columns = list(RAW_COLUMNS)
     raw = (
-        spark.readStream.schema(RAW_SCHEMA)
+        spark.readStream.schema(", ".join(f"`{c}` STRING" for c in columns))
         .options(header=True, quote='"', escape='"', enforceSchema=False)
         .option("pathGlobFilter", CSV_GLOB)
         .option("maxFilesPerTrigger", files_per_trigger)
@@ -106,11 +118,12 @@ def read_raw_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1
 def read_ip_ranges(spark: SparkSession, path: str) -> DataFrame:
     """Range file with ``seq``, a number that grows in file order.
 
-    The country code ``NA`` stays text.
+    The country code ``NA`` stays text.  ``value`` stays text, too: IPv6 ranges have more
+    addresses than a 64-bit number can count.
     """
     row_in_split = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     columns = spark.read.option("header", True).csv(path).columns
-    schema = ", ".join(f"`{c}` {'BIGINT' if c == 'value' else 'STRING'}" for c in columns)
+    schema = ", ".join(f"`{c}` STRING" for c in columns)
     return (
         spark.read.schema(schema)
         .options(header=True, nullValue="\u0000")
@@ -119,7 +132,7 @@ def read_ip_ranges(spark: SparkSession, path: str) -> DataFrame:
             "country",
             "type",
             F.trim("start").alias("start"),
-            "value",
+            F.trim("value").alias("value"),
             (F.col("_metadata.file_block_start") + row_in_split).alias("seq"),
         )
     )

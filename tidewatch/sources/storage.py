@@ -6,8 +6,11 @@ tests, may fall back to a temporary folder of the machine.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +30,31 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dir["dir"]
 
 
+_made = threading.local()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A folder below the work dir that nothing else uses."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_made, "open", ()):
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the intermediate tables that this thread made inside.
+
+    DataFrames that read them are of no use afterwards.
+    """
+    _made.open = [*getattr(_made, "open", ()), paths := []]
+    try:
+        yield
+    finally:
+        _made.open = _made.open[:-1]
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Published tables: validated runs behind a pointer, and their health.
 
-A table is a folder with one sub-folder per run and a small ``CURRENT`` file
-that names the run readers see.  A run becomes visible only after its files
-were read back, so a failed job never replaces good data, and no step depends
-on an atomic rename.
+A table is a folder with one sub-folder per run and a folder ``_runs`` of empty files,
+whose names are numbers and runs; readers see the run with the highest number.  Such a
+file appears whole or not at all and replaces none, so a reader meets the run before or
+the run after.  It is written only after the run's rows were counted in the files, so a
+failed job never replaces good data, and no step depends on an atomic rename.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from datetime import datetime, timezone
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "CURRENT"
+_POINTERS = "_runs"
 # what Spark raises for a failed job or a file it cannot read
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
@@ -34,11 +35,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(target))
 
 
+def published(spark: SparkSession, table: str) -> list[str]:
+    """Runs of a table, oldest first; one small file name each."""
+    fs, folder = _fs_path(spark, f"{table}/{_POINTERS}")
+    if not fs.exists(folder):
+        return []
+    return [name.partition("-")[2] for name in sorted(f.getPath().getName() for f in fs.listStatus(folder))]
+
+
 def current_path(spark: SparkSession, table: str) -> str:
     """Folder of the published run, or ``table`` itself if it is a plain Parquet path."""
-    if not exists(spark, f"{table}/{_POINTER}"):
-        return table
-    return f"{table}/{spark.read.text(f'{table}/{_POINTER}').first()[0].strip()}"
+    runs = published(spark, table)
+    return f"{table}/{runs[-1]}" if runs else table
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
@@ -46,24 +54,28 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
 
 
 def publish(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
-    """Write a new run, read it back, then point the table at it."""
+    """Write a new run, count it in its files, then point the table at it."""
     spark = df.sparkSession
+    sent = Observation()
     run = f"run-{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
     path = f"{table}/{run}"
-    df.write.option("compression", "snappy").partitionBy(*partition_by).parquet(path)
-    spark.read.schema(df.schema).parquet(path).limit(1).collect()
-    fs, pointer = _fs_path(spark, f"{table}/{_POINTER}")
-    out = fs.create(pointer, True)
-    try:
-        out.write(bytearray(run.encode()))
-    finally:
-        out.close()
-    return path
-
-
-def publish_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV report; ``single_file`` only for reports that are filtered down to a few rows."""
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
+    counted = df.observe(sent, F.count(F.lit(1)).alias("rows"))
+    counted.write.option("compression", "snappy").partitionBy(*partition_by).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path).count()
+    if found != sent.get["rows"]:
+        raise OSError(f"{path} holds {found} of {sent.get['rows']} rows")
+    number = len(published(spark, table))
+    while True:
+        fs, pointer = _fs_path(spark, f"{table}/{_POINTERS}/{number:012d}-{run}")
+        number += 1
+        # two writers may take one number; the names then differ by run and both are kept
+        if fs.createNewFile(pointer):
+            return path
+
+
+def publish_csv(df: DataFrame, path: str) -> None:
+    """CSV report, one file per partition."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def table_error(spark: SparkSession, table: str) -> str | None:

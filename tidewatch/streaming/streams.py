@@ -17,6 +17,14 @@ from tidewatch.operators.scoring import Model, score_fixed
 from tidewatch.operators.str_flags import rapid_pairs, rapid_slot
 
 WATERMARK = "1 day"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of later streams on disk instead of in executor memory."""
+    spark.conf.set(
+        _STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
 
 
 def _append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
