@@ -60,3 +60,11 @@ def test_last_step(spark, texts, step):
     rows = [(1, i, "assistant", t) for i, t in enumerate(texts)] + [(1, 99, "user", "Bước 3 hoàn tất")]
     got = G.last_step(spark.createDataFrame(rows, CHAT)).collect()
     assert [(r["conv_id"], r["last_step"]) for r in got] == [(1, step)]
+
+
+def test_ambiguous_turns(spark):
+    from tidewatch.operators.chatlog import ambiguous_turns
+
+    rows = [(1, 1, "user", "Tổng quan đi"), (1, 2, "user", "tong quan bookie"), (1, 3, "user", "amount"), (1, 4, "user", None), (1, 5, "assistant", "tất cả")]
+    got = ambiguous_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["turn"]: r["ambiguous"] for r in got} == {1: True, 2: False, 3: False, 4: False}

@@ -231,3 +231,58 @@ def test_config():
         Config.from_mapping({"nope": 1})
     with pytest.raises(ValueError):
         Config(ipv6_value="x")
+
+
+def test_stages_leave_no_intermediate_tables(run, spark):
+    import os
+
+    from tidewatch.sources.storage import materialize, scratch, work_dir
+
+    folder = work_dir(spark)
+    before = set(os.listdir(folder))
+    run["pipe"].features()
+    run["pipe"].training()
+    assert set(os.listdir(folder)) == before
+    with scratch(spark):
+        inside = materialize(spark.range(3), "inside")
+        with scratch(spark):
+            materialize(spark.range(3), "deeper")
+        assert inside.count() == 3 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
+
+
+def test_model_keeps_its_statistics(run):
+    stats = run["pipe"].training().stats.first()
+    assert stats["rows"] > 0 and 0 <= stats["mean"] <= stats["p95"] <= stats["max"] <= 100
+
+
+def test_readers_see_whole_runs_only(spark, tmp_path):
+    table = str(tmp_path / "t")
+    publish(spark.range(5), table)
+    # files of a run that was never pointed at, as a lost job leaves them
+    spark.range(7).write.parquet(f"{table}/run-lost")
+    assert read_table(spark, table).count() == 5
+    publish(spark.range(9), table)
+    assert read_table(spark, table).count() == 9
+    names = sorted(p.name for p in (tmp_path / "t" / "_runs").iterdir() if not p.name.endswith(".crc"))
+    assert [n[:13] for n in names] == ["000000000000-", "000000000001-"]
+
+
+def test_checked_query_runs_once_and_is_stored(run, spark):
+    cat = Catalog(spark, run["pipe"].root)
+    result = cat.sql_safe("SELECT user_id, user_id, ml_score, NULL AS gap FROM rpt_users")
+    assert result.success, result.error
+    assert result.data.columns == ["user_id", "user_id", "ml_score", "gap"]
+    # what is shown comes from the stored result, not from the reports again
+    assert all("query-result" in f for f in result.data.inputFiles())
+    assert show(result.data, result.rows).startswith(f"{result.rows} rows")
+
+
+def test_every_action_has_a_time_limit(run, spark, tmp_path):
+    cat = Catalog(spark, run["pipe"].root)
+    slow = "SELECT count(*) AS n FROM range(0, 100000000000, 1, 8) WHERE sqrt(id) < 0"
+    assert "ran longer" in cat.save_safe(slow, str(tmp_path / "slow"), timeout=2).error
+    with pytest.raises(ValueError, match="ran longer"):
+        cat.export_csv(slow, datetime(2024, 1, 1), timeout=2)
+    with pytest.raises(ValueError):
+        cat.export_csv("SELECT nothing FROM rpt_users", datetime(2024, 1, 1))

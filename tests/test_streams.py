@@ -95,3 +95,23 @@ def test_slots_of_one_day_merge_across_batches(spark, tmp_path):
     assert {u: r["pairs"] for u, r in got.items()} == {u: n - 1 for u, n in per_user.items()}
     batches = spark.read.parquet(out).select(F.col("batch")).distinct().count()
     assert batches == 3
+
+
+def test_stream_takes_columns_from_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER.strip() + ",branch\n2024-01-01 10:00:00,u1,r0,5,1.0.0.1,,ios,x,north\n")
+    assert read_raw_stream(spark, str(tmp_path)).columns == read_raw(spark, str(tmp_path)).columns
+    (tmp_path / "empty").mkdir()
+    assert len(read_raw_stream(spark, str(tmp_path / "empty")).columns) == 8
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(ValueError, match="lack columns"):
+        read_raw_stream(spark, str(tmp_path / "bad"))
+
+
+def test_heavy_and_missing_addresses_in_a_stream(spark, landing, ranges, tmp_path):
+    """The way for bucket tables too large to broadcast gives the same countries."""
+    big = Config(smurf_senders=3, broadcast_buckets=0)
+    raw = read_raw_stream(spark, landing, files_per_trigger=1)
+    streams.stream_clean(raw, ranges, str(tmp_path / "o"), str(tmp_path / "s"), big).awaitTermination()
+    batch = add_time(clean_transfers(read_raw(spark, landing), ranges, CFG))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "o")).collect())) == sorted(map(str, batch.collect()))
