@@ -25,8 +25,8 @@ _STRIP = b".,;:!?\"'()[]{}<>*&%$#@-_/\\|~`^+="
 @dataclass(frozen=True)
 class Settings:
     #: at most about so many texts of each kind are used for training
-    positives: int = 5_000
-    unlabelled: int = 15_000
+    positives: int = 3_000
+    unlabelled: int = 9_000
     #: a word must occur in so many training texts, and its shares of the positive and of the
     #: unlabelled ones must differ by this log-likelihood ratio
     min_texts: int = 4
@@ -89,23 +89,30 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Model({}, -10.0)
     prior = float(np.clip(prior, 1e-4, 0.9))
-    (p_flat, p_at), (u_flat, u_at) = _rows(positive), _rows(unlabelled)
-    words, place = np.unique(np.concatenate([p_flat, u_flat]), return_inverse=True)
-    in_p = np.bincount(place[: len(p_flat)], minlength=len(words))
-    in_u = np.bincount(place[len(p_flat) :], minlength=len(words))
-    telling = (in_p + in_u >= cfg.min_texts) & (_evidence(in_p, len(positive), in_u, len(unlabelled)) >= cfg.evidence)
-    number = np.where(telling, np.cumsum(telling) - 1, -1)[place]
-    split = len(p_flat)
-    p_flat, p_at = _only(number[:split], p_at)
-    u_flat, u_at = _only(number[split:], u_at)
-    weights, bias = _descend(p_flat, p_at, u_flat, u_at, int(telling.sum()), prior, cfg)
-    return Model(dict(zip(words[telling].tolist(), weights.tolist(), strict=True)), bias)
+    words, in_p, in_u = _texts_with(positive, unlabelled)
+    telling = words[
+        (in_p + in_u >= cfg.min_texts) & (_evidence(in_p, len(positive), in_u, len(unlabelled)) >= cfg.evidence)
+    ]
+    p_flat, p_at = _rows([_number(t, telling) for t in positive])
+    u_flat, u_at = _rows([_number(t, telling) for t in unlabelled])
+    weights, bias = _descend(p_flat, p_at, u_flat, u_at, len(telling), prior, cfg)
+    return Model(dict(zip(telling.tolist(), weights.tolist(), strict=True)), bias)
 
 
-def _only(numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without the words numbered -1."""
-    kept = numbers >= 0
-    return numbers[kept], np.concatenate([[0], np.cumsum(kept)])[starts]
+def _texts_with(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words, and how many texts of either kind have them; one sorted copy at a time."""
+    p_words, p_counts = np.unique(np.concatenate(positive), return_counts=True)
+    u_words, u_counts = np.unique(np.concatenate(unlabelled), return_counts=True)
+    words = np.union1d(p_words, u_words)
+    in_p, in_u = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    in_p[np.searchsorted(words, p_words)] = p_counts
+    in_u[np.searchsorted(words, u_words)] = u_counts
+    return words, in_p, in_u
+
+
+def _number(text: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``telling`` of those words of a text that are there."""
+    return np.flatnonzero(np.isin(telling, text))
 
 
 def _descend(p_flat, p_at, u_flat, u_at, n, prior, cfg) -> tuple[np.ndarray, float]:
@@ -157,7 +164,8 @@ def _ids(texts: DataFrame) -> list[np.ndarray]:
         return pa.array([np.array(sorted(word_ids(t.as_py())), "<u4").tobytes() for t in texts], pa.binary())
 
     rows = texts.select("id", ids("text").alias("f")).collect()
-    return [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in sorted(rows, key=lambda r: (r["id"], r["f"]))]
+    rows.sort(key=lambda r: (r["id"], r["f"]))
+    return [np.frombuffer(r["f"], "<u4") for r in rows]
 
 
 def score(text: Column, model: Model) -> Column:
