@@ -21,7 +21,7 @@ from pyspark.sql.functions import arrow_udf
 @dataclass(frozen=True)
 class Settings:
     #: at most about so many rated texts are used for training
-    texts: int = 12_000
+    texts: int = 6_000
     features: int = 1 << 17
     rounds: int = 25
     batch: int = 256
@@ -153,7 +153,7 @@ def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
     rows = chosen.select("id", "grade", made("text").alias("f")).limit(int(1.2 * cfg.texts) + 100).collect()
     rows.sort(key=lambda r: (r["id"], r["grade"], r["f"]["i"]))
     parsed = [
-        (np.frombuffer(r["f"]["i"], "<u4").astype(np.int64), np.frombuffer(r["f"]["v"], "<f4").astype(np.float64))
+        (np.frombuffer(r["f"]["i"], "<u4"), np.frombuffer(r["f"]["v"], "<f4"))
         for r in rows
     ]
     return fit(parsed, [r["grade"] for r in rows], cfg)
