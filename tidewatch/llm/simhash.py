@@ -9,6 +9,8 @@ whole distance is verified inside the join.  Equal fingerprints are collapsed fi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -140,14 +142,17 @@ def near_duplicates(
     return prints.join(answer, "fp").select("id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates
+) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates: that of the least id.
 
+    ``groups(docs, id_col, text_col)`` says which rows belong together, by ``component_id``.
     Columns are those of ``docs``.  Where rows share the least id, the text with the least
     hash stays, and one of equal rows.  NULL counts as the least id.
     """
     keys = materialize(
-        near_duplicates(
+        groups(
             docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("k")).alias("i"), F.col(text_col).alias("t")),
             "i",
             "t",
