@@ -35,6 +35,44 @@ SELECT d.doc_id, CASE WHEN r.n IS NULL THEN d.text ELSE coalesce(kept.text, '')
 FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: LINE_DEDUP with shorter windows.
+LINE_PASSAGES = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM documents
+),
+f AS (
+  SELECT doc_id, i, trim(line, ' ') AS t, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM l WHERE trim(line, ' ') <> ''
+),
+w AS (
+  SELECT doc_id, i AS first, lead(i, 2) OVER p AS last,
+    t || chr(10) || lead(t, 1) OVER p || chr(10) || lead(t, 2) OVER p AS run
+  FROM f WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+  UNION ALL
+  SELECT doc_id, i, IF(n + lead(n) OVER p >= 50, lead(i) OVER p, NULL), t || chr(10) || lead(t) OVER p
+  FROM f WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+  UNION ALL
+  SELECT doc_id, i, i, t FROM f WHERE n >= 50
+),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS k FROM w WHERE last IS NOT NULL
+),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS i FROM o WHERE k > 1),
+r AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS removed FROM c GROUP BY doc_id
+),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM l ANTI JOIN c USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN r.n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text,
+  CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INT) AS n_lines,
+  CAST(coalesce(r.n, 0) AS INT) AS n_removed, coalesce(r.removed, '') AS removed_lines
+FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 EMBEDDINGS = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -143,6 +181,7 @@ FROM (SELECT doc_id, item_id, max(struct_pack(overlap_words := overlap_words, be
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
+    "op1_line_passages": LINE_PASSAGES,
     "op5_embedding_dedup": EMBEDDINGS,
     "op7_mixing": MIXING,
     "op10_decontamination": DECONTAMINATION,

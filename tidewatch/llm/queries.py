@@ -38,6 +38,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with windows of one and two lines of 50 words and more."""
+    found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), passage_words=50)
+    return found.select(
+        F.col("id").alias("doc_id"), "text", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines")
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from positive and unlabelled texts."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -134,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op1_line_passages,
         op2_toxicity,
         op3_simhash,
         op4_quality,
