@@ -130,14 +130,16 @@ def _edge(x: np.ndarray) -> np.ndarray:
 
 
 def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
-    """Fit on ``id, text, grade``; a hash of the id chooses about ``cfg.texts`` rows, NULL grades never.
+    """Fit on ``id, text, grade``; a hash of all three chooses about ``cfg.texts`` distinct rows, NULL grades never.
 
     Texts become features on the executors; only those of the sample reach the driver.
     """
     cfg = cfg or Settings()
     known = rated.select("id", "text", "grade").where("grade IS NOT NULL AND id IS NOT NULL")
     share = min(1.0, cfg.texts / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    hashed = known.withColumn("h", F.xxhash64("id", "text", "grade", F.lit(cfg.seed)))
+    slot = F.pmod("h", F.lit(1 << 20))
+    chosen = hashed.where(slot < int(share * (1 << 20))).dropDuplicates(["id", "h"])
 
     @arrow_udf("struct<i:binary,v:binary>")
     def made(texts: pa.Array) -> pa.Array:
@@ -150,7 +152,8 @@ def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
             names=["i", "v"],
         )
 
-    rows = chosen.select("id", "grade", made("text").alias("f")).limit(int(1.2 * cfg.texts) + 100).collect()
+    lowest = chosen.orderBy(slot, "h").limit(int(1.2 * cfg.texts) + 100)
+    rows = lowest.select("id", "grade", made("text").alias("f")).collect()
     rows.sort(key=lambda r: (r["id"], r["grade"], r["f"]["i"]))
     parsed = [
         (np.frombuffer(r["f"]["i"], "<u4"), np.frombuffer(r["f"]["v"], "<f4"))

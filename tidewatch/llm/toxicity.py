@@ -150,10 +150,18 @@ def _descend(p_flat, p_at, u_flat, u_at, n, prior, cfg) -> tuple[np.ndarray, flo
 
 
 def _share(frame: DataFrame, bound: int, cfg: Settings) -> DataFrame:
-    """About ``bound`` rows of ``frame`` (``id``), at most 1.2 times as many, chosen by a hash of the id."""
+    """About ``bound`` distinct rows of ``frame``, at most 1.2 times as many: those of the lowest hashes of all columns."""
     share = min(1.0, bound / max(frame.count(), 1))
-    picked = F.pmod(F.xxhash64(F.col("id"), F.lit(cfg.seed)), F.lit(1 << 20)) < int(share * (1 << 20))
-    return frame.where(picked).limit(int(1.2 * bound) + 100)
+    hashed = frame.withColumn("_h", F.xxhash64(*frame.columns, F.lit(cfg.seed)))
+    picked = hashed.where(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates([frame.columns[0], "_h"])
+    return picked.orderBy(F.pmod("_h", F.lit(1 << 20)), "_h").limit(int(1.2 * bound) + 100).drop("_h")
+
+
+def _few_each(frame: DataFrame, bound: int, cfg: Settings) -> DataFrame:
+    """At most ``bound`` distinct rows of ``id, text``, and at most eight of one id, by a hash of both."""
+    hashed = frame.withColumn("h", F.xxhash64("id", "text", F.lit(cfg.seed)))
+    few = hashed.groupBy("id", F.pmod("h", F.lit(8)).alias("part")).agg(F.min(F.struct("h", "text")).alias("m"))
+    return few.select("id", "m.text", "m.h").orderBy("h", "id").limit(bound).drop("h")
 
 
 def _ids(texts: DataFrame) -> list[np.ndarray]:
@@ -199,8 +207,9 @@ def learn(
 ) -> Model:
     """A model from the learnable rows: their toxic labels, and all their texts as unlabelled.
 
-    Of the labels only toxic ones choose texts; all give the prior.  A text is used as often
-    as it is there; NULL ids and texts are not used.
+    Of the labels only toxic ones choose texts; all give the prior.  Rows equal in id and text
+    are used once; NULL ids and texts are not used.  Samples do not depend on row order, and
+    an id has no more than its share of them, or eight positive texts.
     """
     cfg = cfg or Settings()
     open_ = docs.where(learnable & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
@@ -209,5 +218,5 @@ def learn(
     asked = known.join(open_.select("id").distinct(), "id", "left_semi")
     toxic = _share(asked.where("toxic = 1").select("id").distinct(), cfg.positives, cfg)
     # the bound above keeps this broadcast small
-    positive = open_.join(F.broadcast(toxic), "id", "left_semi").limit(2 * cfg.positives)
+    positive = _few_each(open_.join(F.broadcast(toxic), "id", "left_semi"), 2 * cfg.positives, cfg)
     return fit(_ids(positive), _ids(_share(open_, cfg.unlabelled, cfg)), prior_of(asked), cfg)
