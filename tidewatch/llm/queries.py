@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
+    alignment,
     decontaminate,
     embedding_dedup,
     language,
@@ -26,6 +27,13 @@ from tidewatch.llm.common import crc_mod, table
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file; the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _held_out(n: int, rest: int):
     return F.coalesce(crc_mod("doc_id", n) == rest, F.lit(False))
 
@@ -138,6 +146,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "overlap_words", "best_equal")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the winning paths of its host."""
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups of two tokenizers for every document, and how usual their links are in the corpus."""
+    paths = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    digests = aligned.withColumn("groups_sha256", F.coalesce(F.sha2("groups", 256), F.lit(""))).drop("groups")
+    return alignment.score(alignment.store(digests)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -152,5 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_ring_shards,
         op10_decontamination,
+        op11_html_text,
+        op12_conversations,
+        op13_alignment,
     )
 }
