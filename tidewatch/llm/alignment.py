@@ -20,6 +20,7 @@ ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -112,6 +113,8 @@ class ByteLevel:
     """A byte-level tokenizer file; special tokens inside texts are plain text."""
 
     def __init__(self, path: str) -> None:
+        # a task has one core: the library's threads would only spin beside it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
