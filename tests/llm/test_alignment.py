@@ -164,7 +164,7 @@ def test_run_skipping_finds_every_common_end():
             for _ in range(2)
         ]
         ends = sorted(set(sides[0]) & set(sides[1]))
-        got = al.group_ends(*sides)
+        got = al.group_ends(*map(np.array, sides))
         assert [sides[0][i - 1] for i in got[0]] == ends == [sides[1][j - 1] for j in got[1]]
 
 

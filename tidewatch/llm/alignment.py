@@ -2,8 +2,8 @@
 
 Both token sequences of a text cover the same bytes.  Offsets where tokens of both end cut
 them into groups.  The walk compares the two arrays of token ends at the current index
-shift: as long as the tokens are one to one, slices of doubling length are equal, and one
-comparison skips the whole slice.  At the first difference the irregular group is resolved
+shift: as long as the tokens are one to one, slices of exponentially growing length are
+equal, and one comparison skips the whole slice.  At the first difference the irregular group is resolved
 token by token, and the difference of the two indices behind it is the new shift.
 
 Encoders work on segments: a text is cut before a blank that follows something else than
@@ -19,6 +19,7 @@ ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -38,7 +39,9 @@ SCHEMA = (
 #: An id pair is one number: the first tokenizer's id in the high half.
 _HALF = 32
 #: Past so many remembered segments the memory starts anew.
-_SEGMENTS = 400_000
+_SEGMENTS = 600_000
+#: New segments encoded in one text.
+_JOINED = 256
 #: Texts of about so many characters are worked on together.
 _TOGETHER = 1 << 21
 #: Groups with more links are counted from their distinct ids, others link by link.
@@ -64,26 +67,28 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def group_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int]]:
     """How many tokens of either side each group and those before it have.
 
-    Both lists rise strictly and end alike.
+    Both arrays rise strictly and end alike.
     """
+    list_a, list_b = ends_a.tolist(), ends_b.tolist()
+    raw_a, raw_b = ends_a.astype(np.int64).tobytes(), ends_b.astype(np.int64).tobytes()
     i = j = 0
-    n = len(ends_a)
+    n = len(list_a)
     out_a: list[int] = []
     out_b: list[int] = []
     while i < n:
-        x, y = ends_a[i], ends_b[j]
+        x, y = list_a[i], list_b[j]
         if x == y:
-            # the same shift: probe slices of doubling length, then of halving length
-            first, width = i, 1
+            # the same shift: compare slices of 2, 8, 32, ... tokens, then of halving length
+            first, width = i, 2
             i, j = i + 1, j + 1
-            while i + width <= n and ends_a[i : i + width] == ends_b[j : j + width]:
-                i, j, width = i + width, j + width, 2 * width
+            while i + width <= n and raw_a[8 * i : 8 * (i + width)] == raw_b[8 * j : 8 * (j + width)]:
+                i, j, width = i + width, j + width, 4 * width
             while width > 1:
                 width //= 2
-                if i + width <= n and ends_a[i : i + width] == ends_b[j : j + width]:
+                if i + width <= n and raw_a[8 * i : 8 * (i + width)] == raw_b[8 * j : 8 * (j + width)]:
                     i, j = i + width, j + width
             out_a.extend(range(first + 1, i + 1))
             out_b.extend(range(first + 1 + j - i, j + 1))
@@ -91,10 +96,10 @@ def group_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[in
         while x != y:
             if x < y:
                 i += 1
-                x = ends_a[i]
+                x = list_a[i]
             else:
                 j += 1
-                y = ends_b[j]
+                y = list_b[j]
         i, j = i + 1, j + 1
         out_a.append(i)
         out_b.append(j)
@@ -130,10 +135,9 @@ class ByteLevel:
             kind.get("normalizer") is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", False)
         )
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word with a blank in front."""
-        found = self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        return [e.ids for e in found]
+    def encode(self, text: str) -> list[int]:
+        """Ids of blank + text."""
+        return self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
 
 
 class Pieces:
@@ -150,63 +154,116 @@ class Pieces:
         ]
         self.by_segment = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word with a blank in front, also of an empty one, before which the model puts none."""
-        blank = [self.model.piece_to_id("▁")]
-        return [ids or blank for ids in self.model.encode(words, num_threads=1)]
+    def encode(self, text: str) -> list[int]:
+        """Ids of blank + text, also of an empty one, before which the model puts none."""
+        return self.model.encode(text) or [self.model.piece_to_id("▁")]
+
+
+class _Ragged:
+    """Number lists of different lengths, one behind the other in one array."""
+
+    def __init__(self) -> None:
+        self.data, self.ends, self.rows = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+
+    def extend(self, data: np.ndarray, lengths: np.ndarray) -> None:
+        used = self.ends[self.rows]
+        while used + len(data) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        while self.rows + len(lengths) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
+        self.data[used : used + len(data)] = data
+        self.ends[self.rows + 1 : self.rows + 1 + len(lengths)] = used + lengths.cumsum()
+        self.rows += len(lengths)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of ``rows`` behind each other, and the end of each."""
+        starts = self.ends[rows]
+        lengths = self.ends[rows + 1] - starts
+        ends = lengths.cumsum()
+        return self.data[np.repeat(starts - ends + lengths, lengths) + np.arange(lengths.sum())], ends
 
 
 class Aligner:
     """Aligns texts; remembers segments, whose number is bounded."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        self.a, self.b = ByteLevel(path_a), Pieces(path_b)
-        self.lengths_a = np.array([len(s) for s in self.a.spelled], np.int64)
-        self.lengths_b = np.array([len(s) for s in self.b.spelled], np.int64)
-        # the ids as they are written inside a group, at the end of its first and of its second part
-        self.inner_a = np.array([f"{i}," for i in range(len(self.a.spelled))], object)
-        self.last_a = np.array([f"{i}|" for i in range(len(self.a.spelled))], object)
-        self.inner_b = np.array([f"{i}," for i in range(len(self.b.spelled))], object)
-        self.last_b = np.array([f"{i};" for i in range(len(self.b.spelled))], object)
-        self.by_segment = self.a.by_segment and self.b.by_segment
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.sides = ByteLevel(path_a), Pieces(path_b)
+        self.lengths = [np.array([len(s) for s in side.spelled], np.int64) for side in self.sides]
+        # the ids as they are written inside a group, and at the end of its first and of its second part
+        self.inner = [np.array([f"{i}," for i in range(len(side.spelled))], object) for side in self.sides]
+        self.last = [
+            np.array([f"{i}{end}" for i in range(len(side.spelled))], object)
+            for side, end in zip(self.sides, "|;", strict=True)
+        ]
+        self.by_segment = all(side.by_segment for side in self.sides)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = _Ragged(), _Ragged()
         self.odd: set[str] = set()  # segments that one side does not spell
 
     def _learn(self, words: list[str]) -> None:
-        for w, a, b in zip(words, self.a.encode(words), self.b.encode(words), strict=True):
-            whole = (" " + w).encode()
-            if b"".join([self.a.spelled[i] for i in a]) != whole or b"".join([self.b.spelled[i] for i in b]) != whole:
-                self.odd.add(w)
-            self.known[w] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
+        """Encode new segments, many in one text where each may be followed by another."""
+        joinable = [w for w in words if w and not w[-1].isspace()] if self.by_segment else []
+        single = [w for w in words if not w or w[-1].isspace()] if self.by_segment else words
+        for some in [joinable[k : k + _JOINED] for k in range(0, len(joinable), _JOINED)] + [[w] for w in single]:
+            spelled = [(" " + w).encode() for w in some]
+            cuts = np.cumsum([len(s) for s in spelled])
+            whole = b"".join(spelled)
+            found = [np.array(side.encode(" ".join(some)), np.int32) for side in self.sides]
+            ends = [lengths[ids].cumsum() for lengths, ids in zip(self.lengths, found, strict=True)]
+            same = all(
+                b"".join([side.spelled[i] for i in ids.tolist()]) == whole
+                for side, ids in zip(self.sides, found, strict=True)
+            )
+            if not same and len(some) > 1:
+                for w in some:
+                    self._learn([w])
+                continue
+            if not same:
+                self.odd.update(some)
+            for w in some:
+                self.known[w] = len(self.known)
+            for kept, ids, at in zip(self.ids, found, ends, strict=True):
+                stops = np.searchsorted(at, cuts) + 1 if same else np.array([len(ids)])
+                kept.extend(ids, np.diff(stops, prepend=0))
 
     def tokens(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides of each text, or None where a text has no tokens."""
         if len(self.known) > _SEGMENTS:
-            self.known, self.odd = {}, set()
+            self._forget()
         cut = [(segments(t) if self.by_segment else [t]) if t else [] for t in texts]
-        new = {w for words in cut for w in words if w not in self.known}
+        words = [w for some in cut for w in some]
+        places = list(map(self.known.get, words))
+        new = [k for k, place in enumerate(places) if place is None]
         if new:
-            self._learn(list(new))
-        for text, words in zip(texts, cut, strict=True):
-            if not words:
+            self._learn(list(dict.fromkeys([words[k] for k in new])))
+            for k in new:
+                places[k] = self.known[words[k]]
+        rows = np.array(places, np.int64)
+        taken = [kept.take(rows) for kept in self.ids]
+        stops = np.cumsum([len(some) for some in cut])
+        at = [0, 0]
+        for text, some, stop in zip(texts, cut, stops, strict=True):
+            if not some:
                 yield None
                 continue
-            found = [self.known[w] for w in words]
-            a = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-            b = np.frombuffer(b"".join([f[1] for f in found]), np.int32)
-            if self.odd and not self.odd.isdisjoint(words) and not self._spells(text, a, b):
+            a, b = (ids[start : ends[stop - 1]] for (ids, ends), start in zip(taken, at, strict=True))
+            at = [ends[stop - 1] for _, ends in taken]
+            if self.odd and not self.odd.isdisjoint(some) and not self._spells(text, a, b):
                 yield None
             else:
                 yield a, b
 
-    def _spells(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
+    def _spells(self, text: str, *found: np.ndarray) -> bool:
         whole = (" " + text).encode()
-        return (
-            b"".join([self.a.spelled[i] for i in a]) == whole and b"".join([self.b.spelled[i] for i in b]) == whole
+        return all(
+            b"".join([side.spelled[i] for i in ids]) == whole for side, ids in zip(self.sides, found, strict=True)
         )
 
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = group_ends(self.lengths_a[a].cumsum().tolist(), self.lengths_b[b].cumsum().tolist())
+        found = group_ends(self.lengths[0][a].cumsum(), self.lengths[1][b].cumsum())
         return np.array(found[0], np.int64), np.array(found[1], np.int64)
 
     def written(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
@@ -215,13 +272,19 @@ class Aligner:
         starts_b, sizes_a, sizes_b = ends_b - np.diff(ends_b, prepend=0), np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
         at_a = np.arange(len(a)) + np.repeat(starts_b, sizes_a)
         at_b = np.arange(len(b)) + np.repeat(ends_a, sizes_b)
-        out[at_a] = self.inner_a[a]
-        out[at_b] = self.inner_b[b]
-        out[at_a[ends_a - 1]] = self.last_a[a[ends_a - 1]]
-        out[at_b[ends_b - 1]] = self.last_b[b[ends_b - 1]]
+        out[at_a] = self.inner[0][a]
+        out[at_b] = self.inner[1][b]
+        out[at_a[ends_a - 1]] = self.last[0][a[ends_a - 1]]
+        out[at_b[ends_b - 1]] = self.last[1][b[ends_b - 1]]
         return "".join(out.tolist())[:-1]
 
 
+@functools.lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """One a Python worker, so that its tasks share what was learned."""
+    return Aligner(path_a, path_b)
+
+
 def _tally(codes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     keys, where = np.unique(np.concatenate(codes), return_inverse=True)
     sums = np.zeros(len(keys), np.int64)
@@ -287,20 +350,20 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
+        both = aligner(path_a, path_b)
         nothing = np.empty(0, np.int64)
         for frame in frames:
             for ids, texts in _batches(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
                 rows: list[tuple] = []
-                for found in aligner.tokens(texts):
+                for found in both.tokens(texts):
                     if found is None:
                         rows.append((0, 0, 0, 0, None, nothing, nothing))
                         continue
                     a, b = found
-                    ends = aligner.ends(a, b)
+                    ends = both.ends(a, b)
                     pairs, times = linked(a, b, *ends)
                     rows.append(
-                        (len(a), len(b), len(ends[0]), int(times.sum()), aligner.written(a, b, *ends), pairs, times)
+                        (len(a), len(b), len(ends[0]), int(times.sum()), both.written(a, b, *ends), pairs, times)
                     )
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
