@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     alignment,
+    conversations,
     decontaminate,
     embedding_dedup,
     language,
