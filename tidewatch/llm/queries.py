@@ -13,6 +13,7 @@ from tidewatch.llm import (
     conversations,
     decontaminate,
     embedding_dedup,
+    html_text,
     language,
     line_dedup,
     mixing,
