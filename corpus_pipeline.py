@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, mixing, ring_shards, shingle_dedup, simhash, toxicity
+from tidewatch.llm import decontaminate, mixing, ring_shards, simhash, toxicity
 from tidewatch.llm.common import crc_mod, materialize, table
 
 SHARDS = 16
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its five-word shingles, that of the least id."""
-    return simhash.representatives(docs, groups=shingle_dedup.near_copies)
+    """One document of each group of op3, three-word shingles and at most 3 differing bits: that of the least id."""
+    return simhash.representatives(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
