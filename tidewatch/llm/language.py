@@ -15,10 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tidewatch.llm.common import materialize, small
+
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes scored at a time; a text's pieces overlap by the context.
 _PIECE = 1 << 19
@@ -26,7 +28,7 @@ _PIECE = 1 << 19
 
 @dataclass(frozen=True)
 class Settings:
-    #: about so many training texts of each language are used
+    #: at most so many training texts of each language are used
     texts: int = 1_500
     #: of each, whole; a longer context needs more memory
     order: int = 3
@@ -122,16 +124,22 @@ def _bits(model: Model, raw: np.ndarray) -> np.ndarray:
 
 
 def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
-    """Fit on ``id, text, lang``; a hash of the id chooses about ``cfg.texts`` whole texts of each language.
+    """Fit on ``id, text, lang``; a hash of id and text chooses at most ``cfg.texts`` whole texts of each language.
 
     NULL ids, texts and languages are not used.  Grams are counted and summed on the
     executors; the driver gets the distinct ones of the sample.
     """
     cfg = cfg or Settings()
     known = rated.select("id", "text", "lang").where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    share = known.groupBy("lang").count().select("lang", (F.lit(cfg.texts) / F.col("count")).alias("share"))
-    chance = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.join(F.broadcast(share), "lang").where(chance < F.col("share"))
+    counts = known.groupBy("lang").count().select("lang", (F.lit(1.6 * cfg.texts + 100) / F.col("count")).alias("share"))
+    h = F.xxhash64("id", "text", F.lit(cfg.seed))
+    # languages are counted before they are broadcast; a share of 1 and more takes all
+    drawn = known.join(small(materialize(counts, "languages")), "lang").withColumn("h", h)
+    below = F.shiftrightunsigned("h", 1) < (F.least("share", F.lit(1.0)) * F.lit(float(1 << 63))).cast("bigint")
+    drawn = drawn.where(below | (F.col("share") >= 1)).dropDuplicates(["id", "h"])
+    # a language has about 1.6 times the bound here, so its group is small
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h", "id")
+    chosen = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= cfg.texts)
     width = cfg.order + 1
 
     def count(batches):

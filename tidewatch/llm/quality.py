@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tidewatch.llm.common import few_each, lowest
+
 
 @dataclass(frozen=True)
 class Settings:
-    #: at most about so many rated texts are used for training
-    texts: int = 6_000
+    #: at most so many ratings, or twice as many texts of them, are used for training
+    texts: int = 12_000
     features: int = 1 << 17
     rounds: int = 25
     batch: int = 256
@@ -129,17 +131,30 @@ def _edge(x: np.ndarray) -> np.ndarray:
     return np.where(np.isposinf(x), 1.0, np.where(np.isneginf(x), 0.0, _sigmoid(np.nan_to_num(x, posinf=60, neginf=-60))))
 
 
-def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
-    """Fit on ``id, text, grade``; a hash of all three chooses about ``cfg.texts`` distinct rows, NULL grades never.
+def learn(docs: DataFrame, ratings: DataFrame, cfg: Settings | None = None) -> Model:
+    """Fit on the texts of ``docs`` (``id, text``) that ``ratings`` (``id, grade``) has grades of.
 
-    Texts become features on the executors; only those of the sample reach the driver.
+    Rated ids are chosen first, by a hash of id and grade; only their texts are read on, at most
+    eight different ones for an id and grade.  NULL ids and grades are never used.
     """
     cfg = cfg or Settings()
+    known = ratings.select("id", "grade").where("grade IS NOT NULL AND id IS NOT NULL")
+    here = known.join(docs.select("id").distinct(), "id", "left_semi")
+    # the bound of the sample keeps this broadcast small
+    asked = F.broadcast(lowest(here, cfg.texts, cfg.seed))
+    rated = docs.select("id", "text").join(asked, "id")
+    return _fit_rows(few_each(rated, ["id", "grade"], 2 * cfg.texts, cfg.seed), cfg)
+
+
+def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
+    """Fit on ``id, text, grade``; a hash of all three chooses at most ``cfg.texts`` distinct rows, NULL grades never."""
+    cfg = cfg or Settings()
     known = rated.select("id", "text", "grade").where("grade IS NOT NULL AND id IS NOT NULL")
-    share = min(1.0, cfg.texts / max(known.count(), 1))
-    hashed = known.withColumn("h", F.xxhash64("id", "text", "grade", F.lit(cfg.seed)))
-    slot = F.pmod("h", F.lit(1 << 20))
-    chosen = hashed.where(slot < int(share * (1 << 20))).dropDuplicates(["id", "h"])
+    return _fit_rows(lowest(known, cfg.texts, cfg.seed), cfg)
+
+
+def _fit_rows(chosen: DataFrame, cfg: Settings) -> Model:
+    """Texts become features on the executors; only those of the bounded sample reach the driver."""
 
     @arrow_udf("struct<i:binary,v:binary>")
     def made(texts: pa.Array) -> pa.Array:
@@ -152,8 +167,7 @@ def train(rated: DataFrame, cfg: Settings | None = None) -> Model:
             names=["i", "v"],
         )
 
-    lowest = chosen.orderBy(slot, "h").limit(int(1.2 * cfg.texts) + 100)
-    rows = lowest.select("id", "grade", made("text").alias("f")).collect()
+    rows = chosen.select("id", "grade", made("text").alias("f")).collect()
     rows.sort(key=lambda r: (r["id"], r["grade"], r["f"]["i"]))
     parsed = [
         (np.frombuffer(r["f"]["i"], "<u4"), np.frombuffer(r["f"]["v"], "<f4"))

@@ -80,10 +80,8 @@ def ratings(labels: DataFrame) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade of every document, and whether it is probably better than poor."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated = docs.select(F.col("doc_id").alias("id"), "text").join(
-        ratings(labels.where("quality IS NOT NULL")).where(crc_mod("doc_id", 5) != 0).withColumnRenamed("doc_id", "id"), "id"
-    )
-    model = quality.train(rated)
+    rated = ratings(labels.where("quality IS NOT NULL")).where(crc_mod("doc_id", 5) != 0)
+    model = quality.learn(docs.select(F.col("doc_id").alias("id"), "text"), rated.withColumnRenamed("doc_id", "id"))
     graded = docs.select("doc_id", _held_out(5, 0).alias("held_out"), quality.grade(F.col("text"), model).alias("g"))
     return graded.select(
         "doc_id",

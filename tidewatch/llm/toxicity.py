@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tidewatch.llm.common import few_each, lowest
+
 _STRIP = b".,;:!?\"'()[]{}<>*&%$#@-_/\\|~`^+="
 
 
 @dataclass(frozen=True)
 class Settings:
     #: at most about so many texts of each kind are used for training
-    positives: int = 3_000
-    unlabelled: int = 9_000
+    positives: int = 5_000
+    unlabelled: int = 15_000
     #: a word must occur in so many training texts, and its shares of the positive and of the
     #: unlabelled ones must differ by this log-likelihood ratio
     min_texts: int = 4
@@ -149,21 +151,6 @@ def _descend(p_flat, p_at, u_flat, u_at, n, prior, cfg) -> tuple[np.ndarray, flo
     return w, b
 
 
-def _share(frame: DataFrame, bound: int, cfg: Settings) -> DataFrame:
-    """About ``bound`` distinct rows of ``frame``, at most 1.2 times as many: those of the lowest hashes of all columns."""
-    share = min(1.0, bound / max(frame.count(), 1))
-    hashed = frame.withColumn("_h", F.xxhash64(*frame.columns, F.lit(cfg.seed)))
-    picked = hashed.where(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates([frame.columns[0], "_h"])
-    return picked.orderBy(F.pmod("_h", F.lit(1 << 20)), "_h").limit(int(1.2 * bound) + 100).drop("_h")
-
-
-def _few_each(frame: DataFrame, bound: int, cfg: Settings) -> DataFrame:
-    """At most ``bound`` distinct rows of ``id, text``, and at most eight of one id, by a hash of both."""
-    hashed = frame.withColumn("h", F.xxhash64("id", "text", F.lit(cfg.seed)))
-    few = hashed.groupBy("id", F.pmod("h", F.lit(8)).alias("part")).agg(F.min(F.struct("h", "text")).alias("m"))
-    return few.select("id", "m.text", "m.h").orderBy("h", "id").limit(bound).drop("h")
-
-
 def _ids(texts: DataFrame) -> list[np.ndarray]:
     """Feature ids of a bounded frame ``id, text``; made on the executors, and only they reach the driver."""
 
@@ -216,7 +203,7 @@ def learn(
     open_ = open_.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(toxic_col).alias("toxic")).where("toxic IS NOT NULL")
     asked = known.join(open_.select("id").distinct(), "id", "left_semi")
-    toxic = _share(asked.where("toxic = 1").select("id").distinct(), cfg.positives, cfg)
+    toxic = lowest(asked.where("toxic = 1").select("id").distinct(), cfg.positives, cfg.seed)
     # the bound above keeps this broadcast small
-    positive = _few_each(open_.join(F.broadcast(toxic), "id", "left_semi"), 2 * cfg.positives, cfg)
-    return fit(_ids(positive), _ids(_share(open_, cfg.unlabelled, cfg)), prior_of(asked), cfg)
+    positive = few_each(open_.join(F.broadcast(toxic), "id", "left_semi"), ["id"], 2 * cfg.positives, cfg.seed)
+    return fit(_ids(positive), _ids(lowest(open_, cfg.unlabelled, cfg.seed)), prior_of(asked), cfg)
