@@ -143,7 +143,7 @@ def test_empty_table(spark):
 
 def test_segments_spell_the_text_and_encode_alike():
     aligner = al.Aligner(*PATHS)
-    assert aligner.by_segment
+    assert aligner.by_segment and aligner.sides[0].ranked
     for text, found in zip(texts(500, 9), aligner.tokens(texts(500, 9)), strict=True):
         assert "".join(" " + s for s in al.segments(text)) == " " + text
         whole = whole_tokens(text)
@@ -152,6 +152,15 @@ def test_segments_spell_the_text_and_encode_alike():
             assert [i for i, _ in whole[0]] == found[0].tolist() and [i for i, _ in whole[1]] == found[1].tolist()
 
 
+def test_merging_by_rank_equals_the_file(spark):
+    """Every text of a table and odd ones, whole and by either library."""
+    side = al.ByteLevel(PATHS[0])
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    given = [r.text for r in rows if r.text] + texts(2000, 11) + ["a" * 9000, "ab" * 4000 + "é" * 500, " " * 300, "\n \n" * 99]
+    for text in given:
+        assert side.encode(text) == side.tokenizer.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_run_skipping_finds_every_common_end():
     rng = random.Random(5)
     for k in range(400):

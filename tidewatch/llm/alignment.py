@@ -49,6 +49,9 @@ _WIDE = 1 << 12
 #: Links expanded at a time.
 _LINKS = 1 << 20
 
+#: Fixed value: how byte-level tokenizers split texts before merging.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _INNER_BREAK = re.compile(r"(?:^|\s) ")
 
 
@@ -67,7 +70,7 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int]]:
+def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side each group and those before it have.
 
     Both arrays rise strictly and end alike.
@@ -76,13 +79,15 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[
     raw_a, raw_b = ends_a.astype(np.int64).tobytes(), ends_b.astype(np.int64).tobytes()
     i = j = 0
     n = len(list_a)
-    out_a: list[int] = []
-    out_b: list[int] = []
+    # one-to-one stretches, each followed by one irregular group: where both stop
+    stops_a: list[int] = []
+    stops_b: list[int] = []
+    lengths: list[int] = []
     while i < n:
-        x, y = list_a[i], list_b[j]
-        if x == y:
+        first = i
+        if list_a[i] == list_b[j]:
             # the same shift: compare slices of 2, 8, 32, ... tokens, then of halving length
-            first, width = i, 2
+            width = 2
             i, j = i + 1, j + 1
             while i + width <= n and raw_a[8 * i : 8 * (i + width)] == raw_b[8 * j : 8 * (j + width)]:
                 i, j, width = i + width, j + width, 4 * width
@@ -90,9 +95,13 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[
                 width //= 2
                 if i + width <= n and raw_a[8 * i : 8 * (i + width)] == raw_b[8 * j : 8 * (j + width)]:
                     i, j = i + width, j + width
-            out_a.extend(range(first + 1, i + 1))
-            out_b.extend(range(first + 1 + j - i, j + 1))
-            continue
+        stops_a.append(i)
+        stops_b.append(j)
+        lengths.append(i - first)
+        if i == n:
+            break
+        # the irregular group behind it; the new shift is j - i
+        x, y = list_a[i], list_b[j]
         while x != y:
             if x < y:
                 i += 1
@@ -101,9 +110,12 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[
                 j += 1
                 y = list_b[j]
         i, j = i + 1, j + 1
-        out_a.append(i)
-        out_b.append(j)
-    return out_a, out_b
+        stops_a.append(i)
+        stops_b.append(j)
+        lengths.append(1)
+    times = np.array(lengths, np.int64)
+    back = np.repeat(times.cumsum(), times) - np.arange(times.sum()) - 1
+    return np.repeat(np.array(stops_a, np.int64), times) - back, np.repeat(np.array(stops_b, np.int64), times) - back
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -134,9 +146,26 @@ class ByteLevel:
         self.by_segment = (
             kind.get("normalizer") is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", False)
         )
+        self.ranked = self._by_rank(kind["model"]) if self.by_segment else None
+
+    def _by_rank(self, model: dict):
+        """The file's vocabulary for a library that merges by rank, where merges make ids in their order."""
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in merges]
+        letters = sorted(set(model["vocab"].values()) - set(made))[:256]
+        if made != sorted(made) or len(set(made)) < len(made) or not made or letters[-1] >= made[0] or model.get("ignore_merges"):
+            return None
+        import tiktoken
+
+        ranks = {self.spelled[i]: i for i in [*letters, *made]}
+        if len(ranks) != 256 + len(made) or any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
         """Ids of blank + text."""
+        if self.ranked:
+            return self.ranked.encode_ordinary(" " + text)
         return self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
 
 
@@ -208,10 +237,11 @@ class Aligner:
         joinable = [w for w in words if w and not w[-1].isspace()] if self.by_segment else []
         single = [w for w in words if not w or w[-1].isspace()] if self.by_segment else words
         for some in [joinable[k : k + _JOINED] for k in range(0, len(joinable), _JOINED)] + [[w] for w in single]:
-            spelled = [(" " + w).encode() for w in some]
-            cuts = np.cumsum([len(s) for s in spelled])
-            whole = b"".join(spelled)
-            found = [np.array(side.encode(" ".join(some)), np.int32) for side in self.sides]
+            text = " ".join(some)
+            whole = (" " + text).encode()
+            plain = len(whole) == len(text) + 1
+            cuts = np.cumsum([len(w) + 1 for w in some] if plain else [len(w.encode()) + 1 for w in some])
+            found = [np.array(side.encode(text), np.int32) for side in self.sides]
             ends = [lengths[ids].cumsum() for lengths, ids in zip(self.lengths, found, strict=True)]
             same = all(
                 b"".join([side.spelled[i] for i in ids.tolist()]) == whole
@@ -263,8 +293,7 @@ class Aligner:
         )
 
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = group_ends(self.lengths[0][a].cumsum(), self.lengths[1][b].cumsum())
-        return np.array(found[0], np.int64), np.array(found[1], np.int64)
+        return group_ends(self.lengths[0][a].cumsum(), self.lengths[1][b].cumsum())
 
     def written(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``"""
