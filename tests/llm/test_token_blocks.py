@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import token_blocks as tb
 
-FILE = f"{os.environ.get('TOKENIZER_DIR', '/opt/tokenizers')}/word_bpe_49k.json"
+FILE = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 needs_file = pytest.mark.skipif(not os.path.exists(FILE), reason="tokenizer file is not here")
 #: Pieces whose neighbours matter for normalizing, lower case or splitting.
 TRICKY = (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +24,6 @@ from tidewatch.llm import (
 )
 from tidewatch.llm.common import crc_mod, table
 
-#: Folder of the public tokenizers' files; the same on every executor.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
-
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer's file; the same on every executor."""
     import public_tokenizers
@@ -101,7 +96,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to packed blocks and read back."""
     path = token_blocks.block_path(spark)
-    token_blocks.write_blocks(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", path, end_id=1)
+    token_blocks.write_blocks(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path, end_id=1)
     return token_blocks.read_documents(spark, path).withColumnRenamed("id", "doc_id")
 
 

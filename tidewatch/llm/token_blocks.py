@@ -231,8 +231,9 @@ def write_blocks(
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text")
+    # rows equal in id and text may be very many; the number of a row tells them apart, and their order does not matter
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.xxhash64(F.monotonically_increasing_id())})
+    ordered = rows.repartitionByRange(parts, "id", "tie", "row").sortWithinPartitions("id", "tie", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
