@@ -44,7 +44,7 @@ def test_shared_device_or_address(spark, hot):
         {"userid": "f", "userip": None, "deviceid": "w"},
         {"userid": None, "userip": "4", "deviceid": "v"},
     ]
-    got = flags(spark, rows, Config(hot_key_rows=hot))
+    got = flags(spark, rows, Config(hot_share=hot))
     shared = {u: r["str_device_share"] for u, r in got.items()}
     assert shared == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 0, "f": 0, None: 1}
 
