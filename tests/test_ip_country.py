@@ -121,3 +121,10 @@ def test_unreadable_range_is_named(spark, tmp_path, row):
     df = spark.createDataFrame([("1.2.3.4",)], "userip string")
     with pytest.raises(Exception, match="unreadable IP range: XX"):
         add_country(df, read_ip_ranges(spark, str(path)), Config()).collect()
+
+
+def test_lookup_plan_stays_small(spark):
+    """The bounds are stored, so their expressions are not repeated by the interval cuts."""
+    ranges = spark.createDataFrame([("A", "ipv4", "1.0.0.0", 256, 0), ("B", "ipv4", "1.0.0.128", 64, 1)], RANGE)
+    plan = disjoint_ranges(ranges, BROADCAST)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000

@@ -467,11 +467,13 @@ def table_freshness_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 def raw_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Transfers with line items read as a stream of files, day by day in several batches."""
     streams.use_rocksdb(spark)
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines = fixtures.spread(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", "l_partkey")
     path = new_path(spark, "line-items")
     for days in ((0, 1), (2, 3), (4, 5, 6)):
         lines.where((F.col("l_orderkey") % 7).isin(*days)).write.mode("append").parquet(path)
-    lines = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    # every batch has files for all cores
+    lines = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(path)
     return fixtures.transfers_from(lines, spark.read.parquet(f"{sf}/orders.parquet"), *ROW_ID)
 
 

@@ -82,6 +82,14 @@ def parse_ip(text: Column | str) -> Column:
     )
 
 
+def parse_ipv4(text: Column | str) -> Column:
+    """Like :func:`parse_ip` for dotted addresses; any other text gives NULL."""
+    c = F.col(text) if isinstance(text, str) else text
+    dotted = f"^{_IPV4}$"
+    bare = F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.when(c.rlike(dotted), _ipv4_hex(c)).when(bare.rlike(dotted), _ipv4_hex(bare))
+
+
 def ip_bucket(address: Column | str) -> Column:
     """Join bucket of a hex address: a /16 for IPv4, a 24-bit prefix for IPv6."""
     c = F.col(address) if isinstance(address, str) else address

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import ipaddress
 import sys
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import Config
-from tidewatch.functions.ip import V4_DIGITS, V6_DIGITS, ip_bucket, parse_ip
+from tidewatch.functions.ip import V4_DIGITS, V6_DIGITS, ip_bucket, parse_ip, parse_ipv4
 from tidewatch.operators.attach import attach
 from tidewatch.sources.storage import materialize
 
@@ -29,48 +30,31 @@ def _bounds(ranges: DataFrame, ipv6_value: str) -> DataFrame:
 
     ``value`` is a count (or a prefix length) as a number or as text.  A row of a known
     type that cannot be read is an error that shows the row; other types are left out.
+    Python integers hold counts up to 2^128, and the rows are those of a reference file.
     """
-    rows = ranges.select("country", "type", "start", F.col("value").cast("string").alias("value"), "seq")
-    return _bounds_v4(rows.where("type = 'ipv4'")).unionByName(
-        _bounds_v6(rows.where("type = 'ipv6'"), ipv6_value)
-    )
-
-
-def _bounds_v4(ranges: DataFrame) -> DataFrame:
-    first, size = parse_ip("start"), F.col("value").try_cast("decimal(38,0)")
-    # a later filter may be evaluated before the one on the type
-    bad = (F.col("type") == "ipv4") & (first.isNull() | (F.length(first) != V4_DIGITS) | size.isNull())
-    text = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in ("country", "type", "start", "value")])
-    end = F.least(F.conv(first, 16, 10).cast("decimal(38,0)") + size, F.lit(1 << 32)).cast("bigint") - 1
-    # an empty range at the first address has no last one; it still cuts the range before
-    last = F.when(end < 0, F.lit("")).otherwise(F.lpad(F.lower(F.hex(end)), V4_DIGITS, "0"))
-    return ranges.select(
-        "country",
-        "seq",
-        F.when(bad, F.raise_error(F.concat(F.lit("unreadable IP range: "), text))).otherwise(first).alias("first"),
-        last.alias("last"),
-    )
-
-
-def _bounds_v6(ranges: DataFrame, ipv6_value: str) -> DataFrame:
-    """In Python, whose integers hold counts up to 2^128; one row per range of a reference file."""
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for country, kind, start, value, seq in batch.itertuples(index=False):
+                v4 = kind == "ipv4"
+                bits, digits = (32, V4_DIGITS) if v4 else (128, V6_DIGITS)
                 try:
-                    address, size = int(ipaddress.IPv6Address(start.strip())), int(value)
-                    if ipv6_value == "prefix":
-                        size = 1 << (128 - size)
-                except (ValueError, AttributeError, TypeError) as e:
-                    raise ValueError(f"unreadable IP range: {country},{kind},{start},{value}") from e
-                end = min(address + size, 2**128) - 1
-                last = f"{end:0{V6_DIGITS}x}" if end >= 0 else ""
-                rows.append((country, seq, f"{address:0{V6_DIGITS}x}", last))
+                    address = int((ipaddress.IPv4Address if v4 else ipaddress.IPv6Address)(start.strip()))
+                    size = int(decimal.Decimal(value).to_integral_value(decimal.ROUND_HALF_UP)) if v4 else int(value)
+                    if not v4 and ipv6_value == "prefix":
+                        size = 1 << (bits - size)
+                except (ValueError, AttributeError, TypeError, ArithmeticError) as e:
+                    shown = ",".join("" if x is None else x for x in (country, kind, start, value))
+                    raise ValueError(f"unreadable IP range: {shown}") from e
+                end = min(address + size, 1 << bits) - 1
+                # an empty range at the first address has no last one; it still cuts the range before
+                last = f"{end:0{digits}x}" if end >= 0 else ""
+                rows.append((country, seq, f"{address:0{digits}x}", last))
             yield pd.DataFrame(rows, columns=["country", "seq", "first", "last"])
 
-    return ranges.mapInPandas(convert, _BOUNDS)
+    rows = ranges.select("country", "type", "start", F.col("value").cast("string").alias("value"), "seq")
+    return rows.where(F.col("type").isin("ipv4", "ipv6")).mapInPandas(convert, _BOUNDS)
 
 
 def disjoint_ranges(ranges: DataFrame, cfg: Config) -> DataFrame:
@@ -81,8 +65,9 @@ def disjoint_ranges(ranges: DataFrame, cfg: Config) -> DataFrame:
     The next start is found inside the start's bucket; only the last range of a
     bucket looks at the bucket heads, which are few.
     """
+    # stored, for it is read twice and its addresses are compared many times
     bounds = (
-        _bounds(ranges, cfg.ipv6_value)
+        materialize(_bounds(ranges, cfg.ipv6_value), "ip-bounds")
         .withColumn("family", F.length("first"))
         .withColumn("bucket", ip_bucket("first"))
     )
@@ -150,12 +135,15 @@ def add_country(txn: DataFrame, ranges: DataFrame, cfg: Config, ip: str = "useri
     addresses, and the answers are attached to the transfers by address.
     """
     buckets = materialize(bucketed_ranges(ranges, cfg), "ip-buckets")
-    if buckets.count() <= cfg.broadcast_buckets:
-        return _lookup(txn, F.broadcast(buckets), parse_ip(ip))
+    n, widest = buckets.agg(F.count(F.lit(1)), F.max(F.length("first"))).first()
+    # without IPv6 ranges no IPv6 address has an answer, and the long expression is not needed
+    address = parse_ip(ip) if widest == V6_DIGITS else parse_ipv4(ip)
+    if n <= cfg.broadcast_buckets:
+        return _lookup(txn, F.broadcast(buckets), address)
     if txn.isStreaming:
-        return _lookup(txn, buckets, parse_ip(ip), _STREAM_SALTS)
+        return _lookup(txn, buckets, address, _STREAM_SALTS)
     addresses = txn.groupBy(ip).agg(F.count(F.lit(1)).alias("_ip_rows"))
-    answers = _lookup(addresses, buckets, parse_ip(ip))
+    answers = _lookup(addresses, buckets, address)
     return (
         attach(txn, answers, ip, "_ip_rows", cfg)
         .withColumn("iploc", F.coalesce("iploc", F.lit("")))
