@@ -64,7 +64,7 @@ def test_stage_order(run):
 
 
 def test_cleaning_keeps_every_row(run):
-    assert run["counts"] == {"rows_in": 500, "rows_out": 500}
+    assert run["counts"] == {"rows_in": 500, "rows_out": 500, "rows_rejected": 0}
     etl = run["pipe"].table("etl")
     assert etl.columns == [
         "reqdate", "userid", "appuser", "amount", "userip", "iploc", "deviceid", "platform",

@@ -577,6 +577,39 @@ ORACLES |= {
         for t in ("customer", "lineitem", "nation", "orders", "supplier")
     ),
     "stream_etl": ORACLES["etl_transfers"],
+    "stream_closed_days": f"""WITH {FLAGGED}{STR} SELECT appuser, CAST(dt AS VARCHAR) AS dt, senders
+      FROM smurf_in WHERE dt < DATE '2024-01-06'""",
+    "stream_late_rows": f"""WITH {FLAGGED} SELECT CAST(count(*) AS BIGINT) AS late FROM flagged
+      WHERE amount < 500000 AND dt = DATE '2024-01-01'""",
+    "stream_etl_audit": f"""WITH {TXN}{RANGES}, l AS (SELECT coalesce(country, '') AS iploc FROM txn
+        LEFT JOIN located ON located.userip = txn.userip)
+      SELECT 'rows_out' AS metric, CAST(count(*) AS BIGINT) AS value FROM l
+      UNION ALL SELECT 'unmatched', CAST(count(*) AS BIGINT) FROM l WHERE iploc = ''""",
+    "stream_score_repeated": f"""WITH {LABELED} SELECT count(*) AS rows, count(*) AS rows_again,
+      count(*) FILTER (hit_any_rule = 0) AS scored FROM labeled""",
+    "sender_profile_daily": ORACLES["sender_profile"],
+    "receiver_profile_daily": ORACLES["receiver_profile"],
+    "profile_sketches": f"""WITH {FLAGGED} SELECT 'sender' AS side, count(*) AS users, true AS close
+      FROM (SELECT DISTINCT userid FROM flagged) UNION ALL SELECT 'receiver', count(*), true FROM (SELECT DISTINCT appuser FROM flagged)""",
+    "landing_transfers": f"""WITH {TXN} SELECT nullif(reqdate, 'n/a') AS reqdate, userid, appuser, amount, userip, deviceid,
+      platform, description FROM txn""",
+    "landing_rejected": """SELECT 'broken.csv' AS file, CASE WHEN n_nationkey % 2 = 0 THEN 'wrong number of columns'
+      ELSE 'quote without end' END AS reason, CASE WHEN n_nationkey % 2 = 0 THEN 'short,u' || n_nationkey
+      ELSE 'x,u,"open ' || n_nationkey END AS text FROM nation""",
+    "pipeline_labeled": f"""WITH {LABELED} SELECT userid, appuser, nullif(reqdate, 'n/a') AS reqdate, amount, is_bet_tail, desc_has_win,
+      desc_match_b1, desc_match_b2, {_STR}, {_RULES} FROM labeled""",
+    "sql_group_totals": f"""WITH {FLAGGED} SELECT appuser, CAST(dt AS VARCHAR) AS dt, CAST(grouping_id(appuser, dt) AS INT) AS level,
+      count(*) AS transfers, CAST(sum(amount) AS BIGINT) AS total FROM flagged GROUP BY GROUPING SETS ((appuser), (dt), ())""",
+    "export_round_trip": f"""WITH {FLAGGED}, r AS (SELECT userid, count(*) AS transfers, max(amount) AS most FROM flagged
+      GROUP BY userid) SELECT 'csv' AS kind, * FROM r UNION ALL SELECT 'parquet', * FROM r""",
+    "pipeline_lineage": """WITH s(table_name, source) AS (VALUES ('labeled', 'etl'), ('scored', 'labeled'), ('scored', 'models/active'),
+        ('report_users', 'labeled'), ('report_users', 'models/active'), ('report_bookie', 'labeled'), ('report_bookie', 'models/active'))
+      SELECT table_name, source, true AS current, 'before' AS moment FROM s
+      UNION ALL SELECT table_name, source, source <> 'etl', 'after' FROM s
+      UNION ALL VALUES ('maindb', 'stale before', true, 'catalog'), ('rpt_users', 'stale before', true, 'catalog'),
+        ('maindb', 'stale after', false, 'catalog'), ('rpt_users', 'stale after', false, 'catalog')""",
+    "scored_in_order": f"""WITH {TXN} SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS overlapping,
+      CAST(0 AS BIGINT) AS unordered, min(reqdate) AS first, max(reqdate) AS last FROM txn""",
     "stream_smurf_days": ORACLES["smurf_in_days"],
     "stream_rapid_pairs": ORACLES["rapid_pairs"],
     "intent_tags": f"WITH {INTENT} SELECT * FROM tags",

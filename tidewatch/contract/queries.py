@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.config import PATTERN_FLAGS, RULE_FLAGS, STR_FLAGS, Config
 from tidewatch.operators import charts as C
+from tidewatch.operators import daily as daily_profiles
 from tidewatch.operators import chatlog as G
 from tidewatch.operators import etl as E
 from tidewatch.operators import labels as L
@@ -20,10 +23,12 @@ from tidewatch.operators.forest import scaler_stats as forest_scaler_stats
 from tidewatch.operators.forest import training_rows
 from tidewatch.operators.ip_country import add_country
 from tidewatch.plans import canned
-from tidewatch.plans.stages import DROPPED, label_stored
-from tidewatch.sources import fixtures, tables
+from tidewatch.plans.catalog import Catalog
+from tidewatch.plans.stages import DROPPED, Pipeline, label_stored
+from tidewatch.sources import fixtures, landing, ordered, tables
+from tidewatch.sources.fixtures import TXN_COLUMNS
 from tidewatch.sources.storage import materialize, new_path
-from tidewatch.streaming import streams
+from tidewatch.streaming import audit, streams
 
 CFG = Config()
 ROW_ID = ("l_orderkey AS ok", "l_linenumber AS ln")
@@ -526,6 +531,208 @@ def stream_score_agrees(spark: SparkSession, sf: str) -> DataFrame:
     return apart.agg(F.sum(F.col("n") - F.greatest("more", F.lit(0))).alias("equal"), F.sum("n").alias("rows"))
 
 
+def _closed_days(spark: SparkSession, sf: str, reports: audit.StreamAudit) -> str:
+    """Smurf-in days closed by a stream that ran four times: three parts of the week, then the first day again.
+
+    The last part has other senders; its day is closed by then.
+    """
+    streams.use_rocksdb(spark)
+    rows = materialize(flagged(spark, sf).select("userid", "appuser", "amount", "ts"), "in-time")
+    source, path, state = (new_path(spark, name) for name in ("weeks", "closed-days", "state"))
+    stream, day = spark.readStream.schema(rows.schema).parquet, F.dayofmonth("ts")
+    late = rows.where(day == 1).withColumn("userid", F.concat(F.lit("late-"), "userid"))
+    for part in (rows.where(day <= 2), rows.where(day.between(3, 4)), rows.where(day > 4), late):
+        part.write.mode("append").parquet(source)
+        reports.wait(streams.stream_closed_smurf_days(stream(source), path, state, CFG))
+    return path
+
+
+def stream_closed_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Smurf-in days that a watermark of one day has closed; late transfers change none."""
+    with audit.StreamAudit(spark) as reports:
+        return day_text(spark.read.parquet(_closed_days(spark, sf, reports)))
+
+
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """How many transfers came after their day was closed."""
+    with audit.StreamAudit(spark) as reports:
+        _closed_days(spark, sf, reports)
+    return reports.table().where("metric = 'late'").agg(F.sum("value").alias("late"))
+
+
+def stream_etl_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that went through the cleaning stream's batches, and their addresses without a country."""
+    ranges = materialize(fixtures.ip_ranges(spark, sf), "ip-ranges")
+    raw = raw_stream(spark, sf).drop("ok", "ln")
+    with audit.StreamAudit(spark) as reports:
+        reports.wait(streams.stream_clean(raw, ranges, new_path(spark, "stream-etl"), new_path(spark, "state"), CFG))
+    told = reports.table().where("metric IN ('rows_out', 'unmatched')")
+    return told.groupBy("metric").agg(F.sum("value").alias("value"))
+
+
+def stream_score_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the published scores before and after the last batch was sent again, and its batches."""
+    rows, model, _ = _trained(spark, sf)
+    source, table = new_path(spark, "labeled-parts"), new_path(spark, "scores")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    streams.stream_score_published(stream, model, table, new_path(spark, "state")).awaitTermination()
+    once = tables.read_batches(spark, table).agg(F.count(F.lit(1)).alias("rows"))
+    last = len(tables.published(spark, table)) - 1
+    streams.score_batch(spark.read.parquet(source), last, model, table)
+    again = tables.read_batches(spark, table).agg(
+        F.count(F.lit(1)).alias("rows_again"), F.count_if(F.col("ml_score").isNotNull()).alias("scored")
+    )
+    return once.crossJoin(again)
+
+
+# --- day partials
+
+
+def daily(spark: SparkSession, sf: str) -> daily_profiles.DailyProfiles:
+    """Day partials of three batches of days; the second is added twice."""
+    rows = materialize(flagged(spark, sf), "flagged")
+    store = daily_profiles.DailyProfiles(spark, new_path(spark, "daily"))
+    parts = [rows.where((F.col("ok") % 7).isin(*days)) for days in ((0, 1), (2, 3), (4, 5, 6))]
+    for batch, part in ((0, parts[0]), (1, parts[1]), (1, parts[1]), (2, parts[2])):
+        store.add(part, batch)
+    return store
+
+
+def sender_profile_daily(spark: SparkSession, sf: str) -> DataFrame:
+    profile = daily(spark, sf).profile("sender").drop("sender_rows")
+    return rounded(profile, {"sender_std_amount": 0})
+
+
+def receiver_profile_daily(spark: SparkSession, sf: str) -> DataFrame:
+    profile = daily(spark, sf).profile("receiver").drop("recv_rows")
+    return rounded(profile, {"recv_std_amount": 0})
+
+
+def profile_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Users by side, and whether the united sketches are within 3 % of every exact distinct count."""
+    store = daily(spark, sf)
+    told = []
+    for side, key, names in (
+        ("sender", "userid", ("sender_unique_receivers", "sender_unique_ips")),
+        ("receiver", "appuser", ("recv_unique_senders",)),
+    ):
+        exact, near = (store.profile(side, approx).select(key, *names) for approx in (False, True))
+        both = exact.join(near.select(F.col(key).alias("k"), *[F.col(n).alias(f"{n}_near") for n in names]), F.col(key).eqNullSafe(F.col("k")))
+        off = F.greatest(*[F.abs(F.col(f"{n}_near") - F.col(n)) / F.col(n) for n in names], F.lit(0.0))
+        told.append(both.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("users"), (F.max(off) <= 0.03).alias("close")))
+    return told[0].unionByName(told[1])
+
+
+# --- the pipeline and its catalog, from CSV files of the given transfers
+
+
+def _csv(df: DataFrame, path: str) -> str:
+    df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return path
+
+
+def _landed(spark: SparkSession, sf: str) -> str:
+    """A folder of CSV files: the given transfers, and one broken line for each nation."""
+    folder = _csv(fixtures.transfers(spark, sf), new_path(spark, "landing"))
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey")
+    broken = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("short,u"), "n_nationkey")).otherwise(
+        F.concat(F.lit('x,u,"open '), "n_nationkey")
+    )
+    head = spark.createDataFrame([(0, ",".join(TXN_COLUMNS))], "at int, value string")
+    lines = head.unionByName(nations.select((F.col("n_nationkey") + 1).cast("int").alias("at"), broken.alias("value")))
+    text = new_path(spark, "broken")
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(text)
+    fs = spark._jvm.org.apache.hadoop.fs
+    source, conf = fs.Path(text), spark._jsc.hadoopConfiguration()
+    system = source.getFileSystem(conf)
+    part = next(f.getPath() for f in system.listStatus(source) if f.getPath().getName().startswith("part-"))
+    fs.FileUtil.copy(system, part, system, fs.Path(f"{folder}/broken.csv"), False, conf)
+    return folder
+
+
+def landing_transfers(spark: SparkSession, sf: str) -> DataFrame:
+    """Transfers read back from CSV files; rows that cannot be read are not among them."""
+    return landing.accepted(landing.read_landing(spark, _landed(spark, sf)))
+
+
+def landing_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """The broken lines with their reason, by file."""
+    bad = landing.rejected(landing.read_landing(spark, _landed(spark, sf)))
+    files = F.regexp_extract("source_file", r"([^/]+)$", 1)
+    return bad.select(files.alias("file"), "reason", "text")
+
+
+def _pipeline(spark: SparkSession, sf: str, *stages: str) -> Pipeline:
+    """A pipeline whose cleaned transfers are published from CSV files, and the named stages after it."""
+    ranges = fixtures.ip_ranges(spark, sf).orderBy("seq").drop("seq").coalesce(1)
+    pipe = Pipeline(spark, new_path(spark, "root"), CFG)
+    pipe.etl(_landed(spark, sf), _csv(ranges, new_path(spark, "ranges")))
+    for stage in stages:
+        getattr(pipe, stage)()
+    return pipe
+
+
+def pipeline_labeled(spark: SparkSession, sf: str) -> DataFrame:
+    """The published labels, read through the catalog: transfers and users of every rule."""
+    sql = Catalog(spark, _pipeline(spark, sf, "features").root)
+    return sql.sql("SELECT * FROM maindb").select("userid", "appuser", "reqdate", "amount", *[F.col(c).cast("int").alias(c) for c in (*PATTERN_FLAGS, *STR_FLAGS, *RULE_FLAGS, "hit_any_rule")])
+
+
+def sql_group_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals by receiver, by day and of everything in one pass, through the catalog."""
+    sql = Catalog(spark, _pipeline(spark, sf, "features").root)
+    query = """SELECT appuser, CAST(dt AS STRING) AS dt, CAST(grouping_id() AS INT) AS level, count(*) AS transfers,
+      sum(amount) AS total FROM transactions GROUP BY GROUPING SETS ((appuser), (dt), ())"""
+    return sql.sql_safe(query).data
+
+
+def export_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A result exported as CSV, and saved as Parquet, read back."""
+    sql = Catalog(spark, _pipeline(spark, sf, "features").root)
+    query = "SELECT userid, count(*) AS transfers, max(amount) AS most FROM maindb GROUP BY userid"
+    csv = spark.read.option("header", True).schema("userid string, transfers bigint, most bigint").csv(
+        sql.export_csv(query, datetime(2024, 1, 2, 3, 4, 5))
+    )
+    path = new_path(spark, "saved")
+    sql.save_safe(query, path)
+    kinds = (("csv", csv), ("parquet", spark.read.parquet(path)))
+    told = [df.select(F.lit(kind).alias("kind"), "userid", "transfers", "most") for kind, df in kinds]
+    return told[0].unionByName(told[1])
+
+
+def pipeline_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of the published tables, current and after new transfers were published."""
+    pipe = _pipeline(spark, sf, "features", "training", "promote", "reports")
+    names = ("labeled", "scored", "report_users", "report_bookie")
+    sql = Catalog(spark, pipe.root)
+    before = [(n, sql.stale(n) is None) for n in ("maindb", "rpt_users")]
+    first = materialize(tables.lineage(spark, pipe.root, names).drop("run"), "lineage")
+    tables.publish(pipe.table("etl"), pipe.path("etl"))
+    after = [(n, sql.stale(n) is None) for n in ("maindb", "rpt_users")]
+    second = tables.lineage(spark, pipe.root, names).drop("run")
+    checks = spark.createDataFrame(
+        [(n, moment, ok) for moment, seen in (("stale before", before), ("stale after", after)) for n, ok in seen],
+        "table_name string, source string, current boolean",
+    )
+    told = [df.withColumn("moment", F.lit(m)) for df, m in ((first, "before"), (second, "after"), (checks, "catalog"))]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+def scored_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored transfers published in time order: their files' rows, overlaps and rows out of order."""
+    path = new_path(spark, "scored")
+    ordered.publish_ordered(materialize(scored(spark, sf), "standin"), path, ["reqdate"])
+    files = ordered.file_ranges(spark, path, "reqdate")
+    return files.agg(
+        F.sum("rows").alias("rows"),
+        F.count_if("overlaps_next").alias("overlapping"),
+        F.sum("unordered").alias("unordered"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+    )
+
+
 # --- chat log
 
 # Phrases that occur in the given conversations.
@@ -652,6 +859,20 @@ QUERIES = {
         stream_rapid_pairs,
         stream_score,
         stream_score_agrees,
+        stream_closed_days,
+        stream_late_rows,
+        stream_etl_audit,
+        stream_score_repeated,
+        sender_profile_daily,
+        receiver_profile_daily,
+        profile_sketches,
+        landing_transfers,
+        landing_rejected,
+        pipeline_labeled,
+        sql_group_totals,
+        export_round_trip,
+        pipeline_lineage,
+        scored_in_order,
         intent_tags,
         intent_counts,
         recent_turns,

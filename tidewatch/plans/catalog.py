@@ -12,13 +12,16 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources.storage import materialize
 from tidewatch.sources.tables import (
     SPARK_ERRORS,
+    made_from,
     modified,
+    outdated,
     publish_csv,
     read_table,
     table_error,
@@ -36,6 +39,7 @@ DEFAULT_TABLES = {
 ALIASES = {"total_flagged_tx": "txn_flg", "transactions": "maindb"}
 REPORT_TABLES = ("rpt_users", "txn_flg", "highmls")
 TABLES_ENV = "TIDEWATCH_TABLES"
+_PLAN = "org.apache.spark.sql.catalyst.plans.QueryPlan"
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,42 @@ def clean_sql(text: str) -> str:
     return body[start.start() :].strip() if start else body.strip()
 
 
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """Lower-case names of the tables in a query, common table expressions left out.
+
+    Spark parses the text; nothing is looked up or run.  A name that an inner query defines
+    by WITH is not a table inside that query and is one elsewhere.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except SPARK_ERRORS:
+        return set()
+    found: set[str] = set()
+    waiting = [(plan, frozenset())]
+
+    def items(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    while waiting:
+        node, defined = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            parts = items(node.multipartIdentifier())
+            if len(parts) > 1 or parts[0].lower() not in defined:
+                found.add(parts[-1].lower())
+            continue
+        if kind == "UnresolvedWith":
+            for named in items(node.cteRelations()):
+                waiting.append((named._2(), defined))
+                defined = defined | {named._1().lower()}
+        if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+            waiting.append((node.plan(), defined))
+        waiting.extend((child, defined) for child in items(node.children()))
+        if is_instance_of(spark.sparkContext._gateway, node, _PLAN):
+            waiting.extend((e, defined) for e in items(node.expressions()))
+    return found
+
+
 def split_export(text: str) -> tuple[str, bool]:
     """SQL and whether it ends in the export mark ``[e]``."""
     body = re.sub(r"^\s*\[query\]", "", text, flags=re.IGNORECASE)
@@ -136,19 +176,22 @@ class Catalog:
         return {name: self.register_safe(name, path, overwrite) for name, path in tables.items()}
 
     def referenced(self, sql: str) -> list[str]:
-        """Known tables whose name, or alias, occurs in the text."""
+        """Known tables that the query reads, by its parsed plan; a text that is no query names none."""
         known = {**self.tables, **self.paths}
-        names = {name: name for name in known}
-        names.update({a: t for a, t in ALIASES.items() if t in known})
-        found = {
-            target
-            for name, target in names.items()
-            if re.search(rf"\b{re.escape(name)}\b", sql, flags=re.IGNORECASE)
-        }
-        return sorted(found)
+        targets = {name.lower(): name for name in known}
+        targets.update({a: t for a, t in ALIASES.items() if t in known})
+        return sorted({targets[n] for n in relations(self.spark, sql) if n in targets})
 
     def stale(self, name: str) -> str | None:
-        """Why a table is older than what it was made from, or None."""
+        """Why a table is older than what it was made from, or None.
+
+        By the recorded runs; by file times for a table without a record.
+        """
+        path = self.paths.get(name) or self.tables.get(name, "")
+        if path.startswith(f"{self.root}/") and made_from(self.spark, path) is not None:
+            source = outdated(self.spark, self.root, path[len(self.root) + 1 :])
+            step = "features, then reports" if name in REPORT_TABLES else "features"
+            return source and f"{name} is older than its data: {source} has a newer run; run {step} again"
         etl = modified(self.spark, f"{self.root}/etl")
         labeled = modified(self.spark, self.paths.get("maindb") or self.tables.get("maindb", ""))
         if name == "maindb":

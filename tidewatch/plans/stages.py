@@ -14,6 +14,7 @@ from tidewatch.operators import reports as RP
 from tidewatch.operators import str_flags as S
 from tidewatch.operators.charts import (
     bookie_flow,
+    chart_catalog,
     gambler_tails,
     group_volume,
     pnl_bands,
@@ -27,15 +28,19 @@ from tidewatch.operators.labels import label_summary, label_transfers, rule_user
 from tidewatch.operators.patterns import add_patterns, flag_summary
 from tidewatch.operators.profiles import identifiers, pairs, receiver_profile, sender_profile
 from tidewatch.operators.scoring import Model, score, train, train_stats
-from tidewatch.sources.landing import read_ip_ranges, read_raw
+from tidewatch.sources.landing import REJECTED, accepted, read_ip_ranges, read_landing, rejected
+from tidewatch.sources.ordered import publish_ordered
 from tidewatch.sources.storage import materialize, scratch
 from tidewatch.sources.tables import (
     current_path,
+    made_from,
     modified,
+    outdated,
     publish,
     publish_csv,
     published,
     read_table,
+    runs_of,
     table_error,
     validate_outputs,
 )
@@ -100,7 +105,7 @@ class Pipeline:
             return None
         if table_error(self.spark, self.path("labeled")):
             return "no labelled transfers yet: run features first"
-        if modified(self.spark, self.path("labeled")) < modified(self.spark, self.path("etl")):
+        if self._labels_outdated():
             return "labelled transfers are older than the cleaned ones: run features first"
         if stage == "reports" and not published(self.spark, self.path("models/active")):
             return "no active model: run training and promote it"
@@ -108,10 +113,19 @@ class Pipeline:
 
     def next_stage(self) -> str:
         """The first of etl, features, reports whose input is newer than its output."""
-        etl, labeled = (modified(self.spark, self.path(t)) for t in ("etl", "labeled"))
-        if etl is None:
+        if modified(self.spark, self.path("etl")) is None:
             return "etl"
-        return "features" if labeled is None or labeled < etl else "reports"
+        no_labels = modified(self.spark, self.path("labeled")) is None
+        return "features" if no_labels or self._labels_outdated() else "reports"
+
+    def _labels_outdated(self) -> bool:
+        """By the recorded runs; by file times for labels that have no record."""
+        if made_from(self.spark, self.path("labeled")) is not None:
+            return outdated(self.spark, self.root, "labeled") is not None
+        return modified(self.spark, self.path("labeled")) < modified(self.spark, self.path("etl"))
+
+    def _runs(self, *names: str) -> dict[str, str]:
+        return runs_of(self.spark, self.root, names)
 
     def _require(self, stage: str) -> None:
         if reason := self.blocked(stage):
@@ -121,16 +135,22 @@ class Pipeline:
 
     @_stage
     def etl(self, raw_dir: str, ip_ranges: str) -> dict[str, int]:
-        """Raw folder to cleaned transfers; returns the row counts in and out."""
+        """Raw folder to cleaned transfers; returns the row counts in, out and rejected.
+
+        Rows that do not have the header's columns go to the table ``rejected`` with a reason.
+        """
         started = time.time()
         read, written = Observation("read"), Observation("written")
-        raw = read_raw(self.spark, raw_dir).observe(read, F.count(F.lit(1)).alias("rows"))
+        landed = read_landing(self.spark, raw_dir)
+        bad = rejected(landed)
+        publish(bad, self.path(REJECTED))
+        raw = accepted(landed).observe(read, F.count(F.lit(1)).alias("rows"))
         ranges = materialize(read_ip_ranges(self.spark, ip_ranges), "ip-ranges")
         clean = add_time(clean_transfers(raw, ranges, self.cfg))
         clean = clean.observe(written, F.count(F.lit(1)).alias("rows"))
         publish(clean, self.path("etl"))
         log.info("etl took %.1f s", time.time() - started)
-        return {"rows_in": read.get["rows"], "rows_out": written.get["rows"]}
+        return {"rows_in": read.get["rows"], "rows_out": written.get["rows"], "rows_rejected": bad.count()}
 
     @_stage
     def features(self, by_day: bool = False) -> str:
@@ -142,11 +162,12 @@ class Pipeline:
         """
         self._require("features")
         started = time.time()
+        sources = self._runs("etl")
         labeled = label_stored(self.table("etl"), self.cfg).drop(*DROPPED)
         if by_day:
-            path = publish(labeled.hint("rebalance", "dt"), self.path("labeled"), ["dt"])
+            path = publish(labeled.hint("rebalance", "dt"), self.path("labeled"), ["dt"], sources)
         else:
-            path = publish(labeled, self.path("labeled"))
+            path = publish(labeled, self.path("labeled"), made_from=sources)
         log.info("features took %.1f s", time.time() - started)
         return path
 
@@ -192,16 +213,19 @@ class Pipeline:
         """Score the labelled transfers and publish all reports and chart datasets."""
         self._require("reports")
         started = time.time()
+        sources = self._runs("labeled", "models/active")
         scored = score(self.table("labeled"), self.active_model(), keep=RP.FLAGGED_COLUMNS)
+        publish_ordered(scored, self.path("scored"), ["reqdate"], sources)
+        scored = self.table("scored")
         report = materialize(RP.user_report(scored, materialize(pairs(scored), "pairs")), "user-report")
         high = RP.high_score_users(report, self.cfg).withColumn(
             "threshold", F.lit(float(self.cfg.score_threshold))
         )
         bookies = RP.bookie_report(report)
-        publish(RP.flagged_transfers(scored), self.path("transactions_flagged"))
-        publish(RP.ranked_users(report), self.path("report_users"))
-        publish(high, self.path("report_high_score_users"))
-        publish(bookies, self.path("report_bookie"))
+        publish(RP.flagged_transfers(scored), self.path("transactions_flagged"), made_from=sources)
+        publish(RP.ranked_users(report), self.path("report_users"), made_from=sources)
+        publish(high, self.path("report_high_score_users"), made_from=sources)
+        publish(bookies, self.path("report_bookie"), made_from=sources)
         publish_csv(RP.flagged_users(report), self.path("csv/report_flagged_users"))
         publish_csv(high, self.path("csv/report_high_score_users"))
         publish_csv(bookies, self.path("csv/report_bookie"))
@@ -216,6 +240,7 @@ class Pipeline:
             "gambler_tails": gambler_tails(scored),
         }
         for name, data in charts.items():
-            publish(data, self.path(f"charts/{name}"))
+            publish(data, self.path(f"charts/{name}"), made_from=sources)
+        publish(chart_catalog(self.spark).coalesce(1), self.path("charts/captions"))
         log.info("reports took %.1f s", time.time() - started)
         return validate_outputs(self.spark, {t: self.path(t) for t in REPORTS})

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.storage import materialize
+
 RAW_COLUMNS = (
     "reqdate",
     "userid",
@@ -95,6 +97,73 @@ def read_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> Data
     return blank_to_null(raw)
 
 
+#: Table of raw rows that could not be read.
+REJECTED = "rejected"
+_PLACE = ("source_file", "source_row")
+_BROKEN = "_unread"
+#: A row per file is broadcast up to so many.
+_BROADCAST_FILES = 100_000
+#: Whole values and commas, then a quoted value that does not end.
+_OPEN_QUOTE = r"""^(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+)?+,)*+"[^"]*+(?:""[^"]*+)*+$"""
+
+
+def read_landing(spark: SparkSession, folder: str) -> DataFrame:
+    """Like :func:`read_raw`, with the place of every row and the text of rows that cannot be read.
+
+    ``source_row`` rises along a file; it is the byte at which a task's share of the file begins
+    plus the line's number in the task.  A line with too few or too many columns, or with a quoted
+    value that does not end, keeps its text in one more column, which is NULL for all others.
+    Empty lines are left out; a file whose first line is another header is an error.
+
+    The lines are read and stored here, once; the result reads the stored rows.
+    """
+    columns = _checked_header(spark, folder)
+    line_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = (
+        spark.read.option("pathGlobFilter", CSV_GLOB)
+        .text(folder)
+        .select(
+            F.col("_metadata.file_path").alias(_PLACE[0]),
+            (F.col("_metadata.file_block_start") + line_in_task).alias(_PLACE[1]),
+            "value",
+        )
+        .where(F.trim("value") != "")
+    )
+    schema = ", ".join(f"`{c}` STRING" for c in (*columns, _BROKEN))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    values = [F.col(f"_row.`{c}`") for c in columns]
+    unread = F.when(F.col("value").rlike(_OPEN_QUOTE) | F.col(f"_row.{_BROKEN}").isNotNull(), F.col("value"))
+    stored = materialize(
+        lines.withColumn("_row", F.from_csv("value", F.lit(schema), options)).select(
+            *_PLACE,
+            *[F.when(~v.isin(*NA_TOKENS), v).alias(c) for v, c in zip(values, columns, strict=True)],
+            unread.alias(_BROKEN),
+            F.coalesce(F.array(*values) == F.array(*[F.lit(c) for c in columns]), F.lit(False)).alias("_named"),
+        ),
+        "landed",
+    )
+    # a row per file
+    heads = materialize(
+        stored.groupBy(_PLACE[0]).agg(F.min(_PLACE[1]).alias(_PLACE[1]), F.min_by("_named", _PLACE[1]).alias("named")), "heads"
+    )
+    if other := heads.where("NOT named").select(_PLACE[0]).first():
+        raise ValueError(f"{other[0]} has another header than the first file")
+    few = F.broadcast(heads) if heads.count() <= _BROADCAST_FILES else heads
+    return stored.join(few.select(*_PLACE), list(_PLACE), "left_anti").drop("_named")
+
+
+def accepted(landed: DataFrame, places: bool = False) -> DataFrame:
+    """Raw transfers of :func:`read_landing`, with ``source_file`` and ``source_row`` if asked for."""
+    return landed.where(F.col(_BROKEN).isNull()).drop(_BROKEN, *(() if places else _PLACE))
+
+
+def rejected(landed: DataFrame) -> DataFrame:
+    """``source_file, source_row, reason, text`` of the rows that could not be read."""
+    text = F.col(_BROKEN)
+    reason = F.when(text.rlike(_OPEN_QUOTE), "quote without end").otherwise("wrong number of columns")
+    return landed.where(text.isNotNull()).select(*_PLACE, reason.alias("reason"), text.alias("text"))
+
+
 def read_raw_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """The same folder as a stream of files; each file is read once.
 

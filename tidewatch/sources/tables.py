@@ -10,7 +10,7 @@ failed job never replaces good data, and no step depends on an atomic rename.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime, timezone
 
 from py4j.java_gateway import JavaObject
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _POINTERS = "_runs"
+_SOURCES = "_made_from"
 # what Spark raises for a failed job or a file it cannot read
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
@@ -53,17 +54,52 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(current_path(spark, table))
 
 
-def publish(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
-    """Write a new run, count it in its files, then point the table at it."""
+def publish(
+    df: DataFrame, table: str, partition_by: Sequence[str] = (), made_from: Mapping[str, str] | None = None
+) -> str:
+    """Write a new run, count it in its files, then point the table at it.
+
+    ``made_from`` names the runs that ``df`` was made from, by source table; see :func:`runs_of`.
+    """
+    run = f"run-{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    return _publish_run(df, table, run, partition_by, made_from)
+
+
+def publish_batch(df: DataFrame, table: str, batch_id: int) -> str:
+    """Add one batch of a stream to a table of batches; a batch that is there already is left alone.
+
+    A batch that died before its pointer was written is written anew.  Readers of
+    :func:`read_batches` see whole batches only.
+    """
+    run = f"batch-{batch_id:012d}"
+    if run in published(df.sparkSession, table):
+        return f"{table}/{run}"
+    return _publish_run(df, table, run, (), None)
+
+
+def read_batches(spark: SparkSession, table: str) -> DataFrame:
+    """All batches of a table."""
+    runs = published(spark, table)
+    if not runs:
+        raise FileNotFoundError(f"{table} has no batch yet")
+    return spark.read.parquet(*[f"{table}/{run}" for run in dict.fromkeys(runs)])
+
+
+def _publish_run(
+    df: DataFrame, table: str, run: str, partition_by: Sequence[str], made_from: Mapping[str, str] | None
+) -> str:
     spark = df.sparkSession
     sent = Observation()
-    run = f"run-{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
     path = f"{table}/{run}"
     counted = df.observe(sent, F.count(F.lit(1)).alias("rows"))
-    counted.write.option("compression", "snappy").partitionBy(*partition_by).parquet(path)
+    writer = counted.write.mode("overwrite").option("compression", "snappy")
+    writer.partitionBy(*partition_by).parquet(path)
     found = spark.read.schema(df.schema).parquet(path).count()
     if found != sent.get["rows"]:
         raise OSError(f"{path} holds {found} of {sent.get['rows']} rows")
+    if made_from is not None:
+        sources = spark.createDataFrame(sorted(made_from.items()), "source string, run string")
+        sources.coalesce(1).write.mode("overwrite").parquet(f"{table}/{_SOURCES}/{run}")
     number = len(published(spark, table))
     while True:
         fs, pointer = _fs_path(spark, f"{table}/{_POINTERS}/{number:012d}-{run}")
@@ -73,6 +109,44 @@ def publish(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
             return path
 
 
+def runs_of(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, str]:
+    """The published run of each table below ``root``; tables without runs are left out."""
+    runs = {name: published(spark, f"{root}/{name}") for name in names}
+    return {name: found[-1] for name, found in runs.items() if found}
+
+
+def made_from(spark: SparkSession, table: str) -> dict[str, str] | None:
+    """The runs that the published run of a table was made from, or None if it has no record."""
+    runs = published(spark, table)
+    if not runs or not exists(spark, f"{table}/{_SOURCES}/{runs[-1]}"):
+        return None
+    return {r["source"]: r["run"] for r in spark.read.parquet(f"{table}/{_SOURCES}/{runs[-1]}").collect()}
+
+
+def outdated(spark: SparkSession, root: str, name: str) -> str | None:
+    """The first source of a table that has a newer run by now, or whose own sources have; else None.
+
+    Runs are compared, not file times, so copies and equal seconds do not mislead.  A table
+    without a record is taken as current.
+    """
+    for source, run in sorted((made_from(spark, f"{root}/{name}") or {}).items()):
+        if runs_of(spark, root, [source]).get(source) != run:
+            return source
+        if above := outdated(spark, root, source):
+            return above
+    return None
+
+
+def lineage(spark: SparkSession, root: str, names: Iterable[str]) -> DataFrame:
+    """(table_name, source, run, current) for every recorded source of the published runs."""
+    rows = [
+        (name, source, run, runs_of(spark, root, [source]).get(source) == run)
+        for name in names
+        for source, run in sorted((made_from(spark, f"{root}/{name}") or {}).items())
+    ]
+    return spark.createDataFrame(rows, "table_name string, source string, run string, current boolean")
+
+
 def publish_csv(df: DataFrame, path: str) -> None:
     """CSV report, one file per partition."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -15,6 +15,8 @@ from tidewatch.config import Config
 from tidewatch.operators.etl import add_time, clean_transfers
 from tidewatch.operators.scoring import Model, score_fixed
 from tidewatch.operators.str_flags import rapid_pairs, rapid_slot
+from tidewatch.sources.tables import publish_batch
+from tidewatch.streaming.audit import cleaning_metrics, observed
 
 WATERMARK = "1 day"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -41,8 +43,9 @@ def _append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def stream_clean(
     raw: DataFrame, ranges: DataFrame, path: str, checkpoint: str, cfg: Config
 ) -> StreamingQuery:
-    """Landing folder to cleaned transfers, each file once."""
-    return _append(add_time(clean_transfers(raw, ranges, cfg)), path, checkpoint)
+    """Landing folder to cleaned transfers, each file once; batches report rows and unmatched addresses."""
+    clean = add_time(clean_transfers(raw, ranges, cfg))
+    return _append(observed(clean, "cleaning", **cleaning_metrics(clean)), path, checkpoint)
 
 
 def stream_score(labeled: DataFrame, model: Model, path: str, checkpoint: str) -> StreamingQuery:
@@ -50,6 +53,51 @@ def stream_score(labeled: DataFrame, model: Model, path: str, checkpoint: str) -
     return _append(score_fixed(labeled, model), path, checkpoint)
 
 
+def score_batch(batch: DataFrame, batch_id: int, model: Model, table: str) -> None:
+    """Publish one micro-batch's scores; a repeated batch changes nothing."""
+    publish_batch(score_fixed(batch, model), table, batch_id)
+
+
+def stream_score_published(labeled: DataFrame, model: Model, table: str, checkpoint: str) -> StreamingQuery:
+    """Scores into a table of batches, whose readers see whole batches only."""
+    return (
+        labeled.writeStream.foreachBatch(lambda batch, batch_id: score_batch(batch, batch_id, model, table))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_closed_smurf_days(
+    txn: DataFrame, path: str, checkpoint: str, cfg: Config, delay: str = WATERMARK
+) -> StreamingQuery:
+    """Smurf-in days (``appuser, dt, senders``), each written once: when the watermark closes the day.
+
+    A day is closed when a transfer came whose time is later than its end by ``delay``.
+    Senders of an open day are kept once; transfers of closed days are dropped and counted
+    as late in the stream's progress.
+    """
+    # the wall clock of the transfers as an instant, whatever the session's time zone
+    instant = F.timestamp_seconds(
+        F.unix_date(F.col("ts").cast("date")) * 86_400 + F.hour("ts") * 3_600 + F.minute("ts") * 60 + F.second("ts")
+    )
+    seen = (
+        txn.where((F.col("amount") < cfg.smurf_in_amount) & F.col("ts").isNotNull())
+        .select("appuser", "userid", instant.alias("at"))
+        .withWatermark("at", delay)
+        .select("appuser", "userid", F.window("at", "1 day").alias("day"))
+        .dropDuplicates(["appuser", "userid", "day"])
+    )
+    dt = F.date_from_unix_date((F.unix_seconds("day.start") / 86_400).cast("int"))
+    days = (
+        seen.groupBy("appuser", "day")
+        .agg(F.count(F.lit(1)).alias("senders"))
+        .where(F.col("senders") > cfg.smurf_senders)
+        .select("appuser", dt.alias("dt"), "senders")
+    )
+    return _append(days, path, checkpoint)
+
+
 def stream_small_senders(
     txn: DataFrame, path: str, checkpoint: str, cfg: Config, watermark: str = WATERMARK
 ) -> StreamingQuery:
