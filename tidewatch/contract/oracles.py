@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 
+from tidewatch.operators.charts import CHARTS
 from tidewatch.operators.chatlog import DEFAULT, Vocabulary, phrases
 
 TXN = """
@@ -602,6 +603,24 @@ ORACLES |= {
       count(*) AS transfers, CAST(sum(amount) AS BIGINT) AS total FROM flagged GROUP BY GROUPING SETS ((appuser), (dt), ())""",
     "export_round_trip": f"""WITH {FLAGGED}, r AS (SELECT userid, count(*) AS transfers, max(amount) AS most FROM flagged
       GROUP BY userid) SELECT 'csv' AS kind, * FROM r UNION ALL SELECT 'parquet', * FROM r""",
+    "pipeline_report": f"""WITH {REPORT} SELECT user_id, user_group, total_sent_tx, total_sent_amount, total_recv_tx,
+      unique_senders, user_id IN (SELECT user_id FROM bookie_rep) AS in_bookie_report FROM report""",
+    "chart_captions": "SELECT chart, caption, count(*) > 0 AS filled FROM lineitem, (VALUES "
+    + ", ".join(f"('{name}', '{text}')" for name, text in CHARTS.items())
+    + ") c(chart, caption) GROUP BY chart, caption",
+    "registration_results": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, true AS success, count(*) AS rows FROM {t}"
+        for t in ("customer", "lineitem", "nation", "orders", "supplier")
+    )
+    + " UNION ALL VALUES ('absent', false, NULL), ('damaged', false, NULL)",
+    "preflight_results": """WITH n AS (SELECT count(*) AS orders, count(DISTINCT o_custkey) AS users FROM orders)
+      SELECT 'column named like a table' AS query, 'before' AS moment, true AS success, users AS rows FROM n
+      UNION ALL SELECT 'by alias', 'before', true, orders FROM n
+      UNION ALL SELECT 'defined in the query', 'before', true, orders FROM n
+      UNION ALL SELECT q, m, false, NULL FROM (VALUES ('missing table', 'before'), ('unknown column', 'before'),
+        ('column named like a table', 'after new transfers'), ('by alias', 'after new transfers'),
+        ('missing table', 'after new transfers'), ('defined in the query', 'after new transfers'),
+        ('unknown column', 'after new transfers')) v(q, m)""",
     "pipeline_lineage": """WITH s(table_name, source) AS (VALUES ('labeled', 'etl'), ('scored', 'labeled'), ('scored', 'models/active'),
         ('report_users', 'labeled'), ('report_users', 'models/active'), ('report_bookie', 'labeled'), ('report_bookie', 'models/active'))
       SELECT table_name, source, true AS current, 'before' AS moment FROM s

@@ -701,9 +701,71 @@ def export_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return told[0].unionByName(told[1])
 
 
+def _reported(spark: SparkSession, sf: str) -> Pipeline:
+    return _pipeline(spark, sf, "features", "training", "promote", "reports")
+
+
+def pipeline_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The published bookie report and user groups, as far as no model decides them, through the catalog."""
+    sql = Catalog(spark, _reported(spark, sf).root)
+    sql.register("bookies", "report_bookie")
+    return sql.sql("""SELECT r.user_id, user_group, total_sent_tx, total_sent_amount, r.total_recv_tx, unique_senders,
+      b.user_id IS NOT NULL AS in_bookie_report FROM rpt_users r LEFT JOIN bookies b ON b.user_id = r.user_id""")
+
+
+def chart_captions(spark: SparkSession, sf: str) -> DataFrame:
+    """Published captions, and whether each one's dataset has rows."""
+    pipe = _reported(spark, sf)
+    captions = pipe.table("charts/captions")
+    filled = None
+    for name in C.CHARTS:
+        one = pipe.table(f"charts/{name}").agg(F.lit(name).alias("chart"), (F.count(F.lit(1)) > 0).alias("filled"))
+        filled = one if filled is None else filled.unionByName(one)
+    return captions.join(filled, "chart")
+
+
+def registration_results(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of registering the given tables, a missing one and one of damaged files; rows by SQL."""
+    damaged = new_path(spark, "damaged")
+    spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").cast("string").alias("value")).coalesce(1).write.text(damaged)
+    sql = Catalog(spark, new_path(spark, "root"), {})
+    names = {t: f"{sf}/{t}.parquet" for t in GIVEN} | {"absent": f"{sf}/absent.parquet", "damaged": damaged}
+    told = None
+    for name, outcome in sql.register_all_safe(names).items():
+        counted = sql.sql(f"SELECT count(*) AS rows FROM {name}") if outcome.success else spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))
+        one = counted.select(F.lit(name).alias("table_name"), F.lit(outcome.success).alias("success"), "rows")
+        told = one if told is None else told.unionByName(one)
+    return told
+
+
+def preflight_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Which queries the catalog runs: by the tables that they read, their runs and their SQL."""
+    root = new_path(spark, "root")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    tables.publish(orders, f"{root}/etl")
+    tables.publish(orders, f"{root}/labeled", made_from=tables.runs_of(spark, root, ["etl"]))
+    users = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total_flagged_tx"))
+    tables.publish(users, f"{root}/report_users", made_from=tables.runs_of(spark, root, ["labeled"]))
+    sql = Catalog(spark, root)
+    queries_ = {
+        "column named like a table": "SELECT total_flagged_tx FROM rpt_users",
+        "by alias": "SELECT * FROM transactions",
+        "missing table": "SELECT * FROM txn_flg",
+        "defined in the query": "WITH txn_flg AS (SELECT 1 AS n FROM maindb) SELECT * FROM txn_flg",
+        "unknown column": "SELECT nothing FROM maindb",
+    }
+    found = [(name, "before", sql.sql_safe(q)) for name, q in queries_.items()]
+    tables.publish(orders.where("false"), f"{root}/etl")
+    found += [(name, "after new transfers", sql.sql_safe(q)) for name, q in queries_.items()]
+    return spark.createDataFrame(
+        [(name, moment, r.success, r.rows) for name, moment, r in found],
+        "query string, moment string, success boolean, rows bigint",
+    )
+
+
 def pipeline_lineage(spark: SparkSession, sf: str) -> DataFrame:
     """Sources of the published tables, current and after new transfers were published."""
-    pipe = _pipeline(spark, sf, "features", "training", "promote", "reports")
+    pipe = _reported(spark, sf)
     names = ("labeled", "scored", "report_users", "report_bookie")
     sql = Catalog(spark, pipe.root)
     before = [(n, sql.stale(n) is None) for n in ("maindb", "rpt_users")]
@@ -871,6 +933,10 @@ QUERIES = {
         pipeline_labeled,
         sql_group_totals,
         export_round_trip,
+        pipeline_report,
+        chart_captions,
+        registration_results,
+        preflight_results,
         pipeline_lineage,
         scored_in_order,
         intent_tags,
