@@ -23,10 +23,14 @@ _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keep the state of later streams on disk instead of in executor memory."""
+    """Keep the state of later streams on disk instead of in executor memory.
+
+    A batch stores what it changed, and not all of the state anew.
+    """
     spark.conf.set(
         _STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", True)
 
 
 def _append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
