@@ -3,12 +3,15 @@
 A seed is a fixed mask over neighbouring words; words under its gaps are ignored, so a
 replaced word does not hide a hit.  The two masks are chosen such that any aligned stretch
 of 15 words with at most 3 replaced ones is hit (checked over all 455 cases in the tests),
-hence every overlap of 15 words and more in which at least 0.8 of the words agree.  Hits
+hence every overlap of 15 words and more in which at least 0.8 of the words agree.  Items of
+fewer than 15 words have masks over the whole item, by its length (``short_masks``).  Hits
 give a document, an item and a shift; the overlap around them is verified word by word.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from tidewatch.llm.common import materialize, small, text_key
 
 #: Word positions that count.  The first mask alone finds exact runs of five words.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
+#: Items with fewer words have masks of their own.
+_LONG = 15
 #: Seeds of the benchmark are broadcast up to this many rows of about 40 bytes.
 SEED_ROWS = 500_000
 
@@ -35,12 +40,50 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over a whole item of ``n`` words: whichever ``n // 5`` of them are replaced, one mask ignores all these."""
+    return [tuple(k for k in range(n) if k % 5 not in gone) for gone in combinations(range(5), n // 5)]
+
+
+def _whole(n: int, tokens: str, at: str) -> str:
+    """SQL of the array of seeds of an item of ``n`` words that begins at ``at``."""
+    seeds = (
+        f"xxhash64({n}, {m}, {', '.join(f'{tokens}[{at} + {k}]' for k in mask)})" for m, mask in enumerate(short_masks(n))
+    )
+    return f"array({', '.join(seeds)})"
+
+
+def _short_lengths(items: DataFrame) -> list[int]:
+    """Which lengths below 15 words occur."""
+    return sorted(r["n"] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < _LONG).distinct().collect())
+
+
+def _short_item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """``item_key, item_at, seed`` of the items of ``lengths``."""
+    cases = " ".join(f"WHEN {n} THEN {_whole(n, 'item_words', '0')}" for n in lengths)
+    seeds = F.expr(f"CASE size(item_words) {cases} END")
+    short = items.where(F.size("item_words") < _LONG)
+    return short.select("item_key", F.lit(0).alias("item_at"), F.explode(seeds).alias("seed"))
+
+
+def _short_places(items: DataFrame, seeds: DataFrame, lengths: list[int]) -> str:
+    """SQL of the places of ``t`` with those whole-item seeds that may be an item's."""
+    # a mask begins at one of the first three words
+    first = items.where(F.size("item_words") < _LONG).select(F.explode(F.slice("item_words", 1, 3)).alias("h"))
+    begins = " OR ".join(_in_slot("b.first", f"get(t, i + {k})") for k in range(3))
+    each = ", ".join(f"IF(i + {n} <= size(t), {_whole(n, 't', 'i')}, array())" for n in lengths)
+    at = f"struct(i AS i, filter(flatten(array({each})), s -> {_in_slot('b.seeds', 's')}) AS seeds)"
+    present = f"named_struct('first', {_present(first)}, 'seeds', {_present(seeds.select(F.col('seed').alias('h')))})"
+    places = f"filter(sequence(0, size(t) - 1), i -> {begins})"
+    return f"transform(array({present}), b -> filter(transform({places}, i -> {at}), p -> size(p.seeds) > 0))[0]"
+
+
 def _seed(mask: tuple[int, ...], number: int, tokens: str) -> str:
     return f"xxhash64({number}, {', '.join(f'{tokens}[i + {k}]' for k in mask)})"
 
 
-def _seeds(frame: DataFrame, tokens: str, *keep: str, where: str = "true") -> DataFrame:
-    """``keep``, ``seed, at``: a row per mask and each place in the array ``t`` that passes ``where``.
+def _seeds(frame: DataFrame, tokens: str, *keep: str, where: str = "true", more: str = "") -> DataFrame:
+    """``keep``, ``seed, at``: a row per mask and each place in the array ``t`` that passes ``where``, and those of ``more``.
 
     ``tokens`` is SQL for the array.  It is bound to ``t`` by a lambda, because a column could
     be replaced by its definition and then be evaluated for every element.
@@ -51,8 +94,8 @@ def _seeds(frame: DataFrame, tokens: str, *keep: str, where: str = "true") -> Da
         for m, mask in enumerate(MASKS)
     )
     places = f"filter(sequence(0, size(t) - {least}), i -> {where})"
-    found = f"""transform(array({tokens}), t -> IF(size(t) < {least}, NULL,
-        transform({places}, i -> struct(i AS i, array({per_place}) AS seeds))))[0]"""
+    long = f"IF(size(t) < {least}, array(), transform({places}, i -> struct(i AS i, array({per_place}) AS seeds)))"
+    found = f"transform(array({tokens}), t -> {f'concat({long}, {more})' if more else long})[0]"
     each = frame.select(*keep, F.explode(F.expr(found)).alias("at"))
     return each.select(*keep, F.col("at.i").alias("at"), F.explode("at.seeds").alias("seed")).where("seed IS NOT NULL")
 
@@ -65,14 +108,19 @@ def _present(values: DataFrame) -> str:
     return f"X'{found.hex()}'"
 
 
+def _in_slot(present: str, h: str) -> str:
+    """SQL whether the slot of hash ``h`` is set in ``present``."""
+    return f"substring({present}, CAST(pmod({h}, {_SLOTS}) AS INT) + 1, 1) = X'01'"
+
+
 def _plausible(items: DataFrame) -> str:
     """Whether a seed of an item can begin at ``t[i]``: its first word, then its first three, occur there."""
+    items = items.where(F.size("item_words") >= len(MASKS[0]))
     word = items.select(F.explode("item_words").alias("h"))
     run = "xxhash64({0}[i], {0}[i + 1], {0}[i + 2])"
     runs = f"transform(sequence(0, size(item_words) - {MASKS[0][-1] + 1}), i -> {run.format('item_words')})"
     three = items.select(F.explode(F.expr(runs)).alias("h"))
-    slot = "substring({0}, CAST(pmod({1}, " + str(_SLOTS) + ") AS INT) + 1, 1) = X'01'"
-    return f"{slot.format(_present(word), 't[i]')} AND {slot.format(_present(three), run.format('t'))}"
+    return f"{_in_slot(_present(word), 't[i]')} AND {_in_slot(_present(three), run.format('t'))}"
 
 
 # Slides a stretch of ``least`` words over an alignment.  ``best`` is the largest number of
@@ -115,23 +163,33 @@ def overlaps(
     of which at least 0.8 are equal.  ``shift`` is where the item would begin in the document,
     ``overlap_words`` the number of its words in such stretches, ``best_equal`` the most equal
     words in one of them.  With fewer than 15 ``min_words`` some of them may have no hit.
-    Items with fewer than five words, NULL and empty texts overlap with nothing.  Rows equal
-    in id and text, and items equal in id and text, count once.
+    Items of one to four words have to agree in all of them and are reported at their first
+    place in a document.  A run of letters without blanks is one word.  NULL texts and texts
+    without words overlap with nothing.  Rows equal in id and text, and items equal in id and
+    text, count once.
     """
     items = materialize(
         benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text_col)).alias("item_words"))
-        .where(F.size("item_words") >= len(MASKS[0]))
+        .where(F.size("item_words") > 0)
         .distinct()
         .withColumn("item_key", F.xxhash64("item", "item_words")),
         "items",
     )
-    seeds = materialize(_seeds(items, "item_words", "item_key").withColumnRenamed("at", "item_at"), "item-seeds")
+    seeds = _seeds(items, "item_words", "item_key").withColumnRenamed("at", "item_at")
+    lengths, more = _short_lengths(items), ""
+    if lengths:
+        short = materialize(_short_item_seeds(items, lengths), "short-seeds")
+        seeds, more = seeds.unionByName(short), _short_places(items, short, lengths)
+    once = items.select("item_key", (F.size("item_words") < len(MASKS[0])).alias("once"))
+    seeds = materialize(seeds.join(small(once), "item_key"), "item-seeds")
     named = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     hits = materialize(
-        _seeds(named, _WORDS, "id", "key", where=_plausible(items))
+        _seeds(named, _WORDS, "id", "key", where=_plausible(items), more=more)
         .join(small(seeds, SEED_ROWS), "seed")
-        .select("id", "key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"))
-        .distinct(),
+        .withColumn("shift", F.col("at") - F.col("item_at"))
+        .groupBy("id", "key", "item_key", F.when(~F.col("once"), F.col("shift")).alias("place"))
+        .agg(F.min("shift").alias("shift"))
+        .drop("place"),
         "hits",
     )
     here = hits.join(small(items), "item_key").select(

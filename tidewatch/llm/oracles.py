@@ -141,7 +141,7 @@ WITH dt AS (
 bt AS (
   SELECT item_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (
     SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+'),
-      lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5
+      lambda x: x <> '') AS w FROM benchmark)
 ),
 ds AS (
   SELECT doc_id, p, concat_ws(' ', t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 4) OVER o) AS s,
@@ -156,6 +156,9 @@ bs AS (
 hits AS (
   SELECT DISTINCT ds.doc_id, bs.item_id, ds.p - bs.p AS shift
   FROM ds JOIN bs ON ds.s = bs.s AND (ds.x = bs.x OR ds.y = bs.y) WHERE bs.z IS NOT NULL
+  UNION
+  SELECT dt.doc_id, bt.item_id, dt.p - bt.p FROM dt JOIN bt ON dt.t = bt.t AND bt.n < 15
+  GROUP BY dt.doc_id, bt.item_id, dt.p - bt.p HAVING 5 * count(*) >= 4 * max(bt.n)
 ),
 al AS (
   SELECT h.doc_id, h.item_id, h.shift, bt.p, least(15, bt.n) AS least,
