@@ -10,7 +10,7 @@ from tidewatch.operators import str_flags as S
 from tidewatch.operators.etl import add_time, clean_description, clean_transfers, fill_device_id
 from tidewatch.operators.patterns import add_patterns
 from tidewatch.sources.landing import read_raw, read_raw_stream
-from tidewatch.streaming import streams
+from tidewatch.streaming import rapid_days, streams
 
 CFG = Config(smurf_senders=3)
 HEADER = "reqdate,userid,appuser,amount,userip,deviceid,platform,description\n"
@@ -115,3 +115,38 @@ def test_heavy_and_missing_addresses_in_a_stream(spark, landing, ranges, tmp_pat
     streams.stream_clean(raw, ranges, str(tmp_path / "o"), str(tmp_path / "s"), big).awaitTermination()
     batch = add_time(clean_transfers(read_raw(spark, landing), ranges, CFG))
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "o")).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_rapid_days_are_written_once_when_closed(spark, tmp_path):
+    """Out of order over batches, a NULL sender, gaps at the limit, midnight, a late transfer."""
+    fields = "userid string, ts timestamp_ntz, dt date"
+    at = lambda day, clock: f"2024-01-{day:02d} {clock}"
+    batches = [
+        [("a", at(1, "23:59:58")), ("a", at(1, "10:00:09.5")), (None, at(1, "08:00:00")), ("b", at(1, "09:00:00"))],
+        [("a", at(1, "10:00:00")), ("a", at(2, "00:00:01")), (None, at(1, "08:00:05")), ("b", at(1, "09:00:10"))],
+        [("a", at(1, "10:00:19.499999")), ("a", at(2, "00:00:01")), ("b", at(1, "09:00:19.999999")), ("c", None)],
+        [("z", at(20, "00:00:00"))],
+        [("a", at(1, "10:00:01"))],  # its day is closed
+    ]
+    frames = [
+        spark.createDataFrame([(u, t) for u, t in b], "userid string, t string")
+        .selectExpr("userid", "to_timestamp_ntz(t) AS ts", "CAST(to_timestamp_ntz(t) AS DATE) AS dt")
+        for b in batches
+    ]
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    old = spark.conf.get(streams._STORE, None)
+    streams.use_rocksdb(spark)
+    try:
+        for frame in frames:
+            frame.write.mode("append").parquet(source)
+            stream = spark.readStream.schema(fields).parquet(source)
+            query = rapid_days.stream_rapid_days(stream, out, state, CFG)
+            query.awaitTermination()
+    finally:
+        spark.conf.unset(streams._STORE) if old is None else spark.conf.set(streams._STORE, old)
+    on_time = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    want = by(S.rapid_pairs(S.rapid_slots(on_time, CFG), CFG), "userid", "dt")
+    assert by(spark.read.parquet(out), "userid", "dt") == want and len(want) == 4
+    assert spark.read.parquet(out).count() == 4
+    walked = [s for s in query.lastProgress.stateOperators if s.operatorName.startswith("transformWithState")]
+    assert [s.numRowsTotal for s in walked] == [0]

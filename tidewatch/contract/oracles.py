@@ -631,6 +631,7 @@ ORACLES |= {
       CAST(0 AS BIGINT) AS unordered, min(reqdate) AS first, max(reqdate) AS last FROM txn""",
     "stream_smurf_days": ORACLES["smurf_in_days"],
     "stream_rapid_pairs": ORACLES["rapid_pairs"],
+    "stream_rapid_days": ORACLES["rapid_pairs"],
     "intent_tags": f"WITH {INTENT} SELECT * FROM tags",
     "intent_counts": f"WITH {INTENT} SELECT intent, count(*) AS turns FROM tags GROUP BY intent",
     "intent_tags_worded": f"WITH {_WORDED}, {_intent(DEFAULT, 'worded')} SELECT * FROM tags",

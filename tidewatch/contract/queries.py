@@ -28,7 +28,7 @@ from tidewatch.plans.stages import DROPPED, Pipeline, label_stored
 from tidewatch.sources import fixtures, landing, ordered, tables
 from tidewatch.sources.fixtures import TXN_COLUMNS
 from tidewatch.sources.storage import materialize, new_path
-from tidewatch.streaming import audit, streams
+from tidewatch.streaming import audit, rapid_days, streams
 
 CFG = Config()
 ROW_ID = ("l_orderkey AS ok", "l_linenumber AS ln")
@@ -560,6 +560,23 @@ def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
     return reports.table().where("metric = 'late'").agg(F.sum("value").alias("late"))
 
 
+def stream_rapid_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Close pairs of each sender's closed day; four runs, half of each day's transfers come with the next day's."""
+    streams.use_rocksdb(spark)
+    rows = materialize(flagged(spark, sf).where("ts IS NOT NULL").select("userid", "ts", "dt", "ln"), "in-time")
+    source, path, state = (new_path(spark, name) for name in ("weeks", "rapid-days", "state"))
+    stream, comes = spark.readStream.schema(rows.schema).parquet, F.dayofmonth("ts") + F.col("ln") % 2
+    # a transfer of a later week closes all days
+    after = rows.agg(F.max("ts").alias("ts")).select(
+        F.lit("clock").alias("userid"), (F.col("ts") + F.expr("INTERVAL 7 DAY")).alias("ts")
+    )
+    clock = after.select("userid", "ts", F.col("ts").cast("date").alias("dt"), F.lit(0).alias("ln"))
+    for part in (rows.where(comes <= 3), rows.where(comes.between(4, 5)), rows.where(comes > 5), clock):
+        part.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]).write.mode("append").parquet(source)
+        rapid_days.stream_rapid_days(stream(source), path, state, CFG).awaitTermination()
+    return day_text(spark.read.parquet(path))
+
+
 def stream_etl_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that went through the cleaning stream's batches, and their addresses without a country."""
     ranges = materialize(fixtures.ip_ranges(spark, sf), "ip-ranges")
@@ -919,6 +936,7 @@ QUERIES = {
         stream_etl,
         stream_smurf_days,
         stream_rapid_pairs,
+        stream_rapid_days,
         stream_score,
         stream_score_agrees,
         stream_closed_days,
