@@ -70,6 +70,25 @@ def test_repeated_and_null_keys(spark):
     assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("run", [7, 4_096])
+def test_hot_key_is_cut_into_runs(spark, monkeypatch, run):
+    """A third of all rows share a key; the walk by arcs is the same, whatever the length of a run."""
+    monkeypatch.setattr(rs, "_RUN", run)
+    n = 300 if run == 7 else 15_000
+    ids = [5] * n + list(range(10, 10 + 2 * n))
+    rows = rs.assign(keys(spark, ids), 6, 8).collect()
+    assert Counter(r["key"] for r in rows) == Counter(ids)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(ids) // 6)) for s in slots.values()) and len(slots) == 6
+    parts = rs.ring(spark, 6, 8)
+    near = rs.position(F.col("key")).between(F.col("low"), F.col("high"))
+    homes = {r["key"]: r["arc"] for r in keys(spark, sorted(set(ids))).join(parts, near).collect()}
+    assert Counter((r["shard"], homes[r["key"]]) for r in rows) == +slow(spark, ids, 6, 8)
+    assert told(rs.assign(keys(spark, ids[::-1]).repartition(5), 6, 8)) == told(rs.assign(keys(spark, ids), 6, 8))
+
+
 def test_one_more_shard_moves_a_limited_share(spark):
     ids = list(range(6000))
     a = {r["key"]: r["shard"] for r in rs.assign(keys(spark, ids), 16).collect()}

@@ -8,7 +8,7 @@ rows, so shard sizes do, too; only the overflow leaves the shard of its arc.
 The walk around the ring needs the number of keys of each arc only: one row with
 ``shards x points`` counts, whatever the data.  Places inside an arc are found in two
 levels (cells of an arc, then keys of a cell), so no arc is sorted in one task.  Equal rows
-are counted before they are shuffled.
+are counted before they are shuffled, and their runs are cut before they are written out.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tidewatch.llm.common import materialize
 _RING_BITS = 60
 #: Leading bits of a position that tell which part of the ring it lies in.
 _PART_BITS = 12
+#: Equal rows that are placed together; more of them are several runs.
+_RUN = 4_096
 
 
 def position(key: Column) -> Column:
@@ -165,10 +167,15 @@ def assign(keys: DataFrame, shards: int = 16, points: int = 64) -> DataFrame:
         .where("_at BETWEEN _low AND _high")
         .drop("_part", "_low", "_high")
     )
+    # a long run of equal rows goes on as pieces, which other cells and so other tasks take
+    classes = classes.withColumn("_piece", F.explode(F.expr(f"sequence(0, (_n - 1) div {_RUN})"))).withColumn(
+        "_n", F.least(F.lit(_RUN).cast("bigint"), F.col("_n") - F.col("_piece") * _RUN)
+    )
     classes = materialize(classes.withColumn("_mix", F.xxhash64(*columns)), "ring-keys")
     # a cell has about as many keys as an arc has cells
     cells = int((classes.count() / (shards * points)) ** 0.5) + 1
-    classes = classes.withColumn("_cell", F.pmod("_mix", F.lit(cells)))
+    cell = F.pmod(F.pmod("_mix", F.lit(cells)) + F.col("_piece"), F.lit(cells))
+    classes = classes.withColumn("_cell", cell)
     per_cell = materialize(classes.groupBy("_arc", "_cell").agg(F.sum("_n").alias("n")), "cells")
     before = Window.partitionBy("_arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(
@@ -184,7 +191,7 @@ def assign(keys: DataFrame, shards: int = 16, points: int = 64) -> DataFrame:
         .fillna(0, ["n"])
     )
     segments = materialize(walk(counts, shards), "segments")
-    inside = Window.partitionBy("_arc", "_cell").orderBy("_mix", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_arc", "_cell").orderBy("_mix", *columns, "_piece").rowsBetween(Window.unboundedPreceding, -1)
     ranked = classes.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     ranked = ranked.join(starts, (F.col("_arc") == F.col("a")) & (F.col("_cell") == F.col("c"))).withColumn(
         "_rank", F.col("start") + F.col("_in")
