@@ -68,3 +68,13 @@ def test_ambiguous_turns(spark):
     rows = [(1, 1, "user", "Tổng quan đi"), (1, 2, "user", "tong quan bookie"), (1, 3, "user", "amount"), (1, 4, "user", None), (1, 5, "assistant", "tất cả")]
     got = ambiguous_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {r["turn"]: r["ambiguous"] for r in got} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_step_reports_name_every_stage(spark):
+    """Each sentence as the only turn of its conversation."""
+    told = G.step_reports(G.DEFAULT)
+    chats = spark.createDataFrame([(k, 1, "assistant", t) for k, t in enumerate(told)], CHAT)
+    got = {told[r["conv_id"]]: r["last_step"] for r in G.last_step(chats).collect()}
+    assert set(got.values()) == {0, 1, 2, 3}
+    assert got["buoc 3"] == 0 and got["buoc 3 hoan tat"] == 3
+    assert got["labeled.parquet"] == 2 and got["chua co labeled.parquet"] == 0

@@ -180,3 +180,27 @@ def test_chart_datasets(spark, report, scored):
     assert flow["num_bookies"] == 2 and flow["total_gamblers"] == 5
     assert C.chart_catalog(spark).count() == 6
     assert by(C.risk_scatter(report), "user_id").keys() >= {"bet", "win", "p", "q"}
+
+
+@pytest.mark.parametrize("user", ["bet", "win", "g2", "p", "q", "n", "many", "nobody"])
+def test_profile_without_labels_equals_profile_of_labels(spark, labeled, user):
+    txn = flagged_frame(spark, ROWS)
+    got = canned.profile_of_unlabeled(txn, user, CFG).collect()
+    assert got == canned.profile_of(labeled, user).select(got[0].__fields__).collect()
+
+
+def test_flags_of_one_user_equal_flags_of_all(spark):
+    """Shared and own addresses and devices, a NULL one, a NULL user, and rapid and smurfing days."""
+    rows = [{"userid": u, "userip": ip, "deviceid": d} for u, ip, d in (
+        ("a", "1.1.1.1", "d1"), ("a", "1.1.1.2", "d2"), ("a", "1.1.1.3", "d3"), ("a", None, "d4"), ("b", "1.1.1.3", "d5"),
+        ("c", "2.2.2.2", None), ("d", "3.3.3.3", None), (None, "2.2.2.2", "d9"), ("e", None, None))]
+    rows += [{"userid": f"s{k}", "appuser": "smurf", "amount": "100"} for k in range(30)]
+    rows += [{"userid": "smurf", "appuser": "z", "amount": "999999999"}] * 40
+    txn = flagged_frame(spark, rows)
+    ids = identifiers(txn)
+    slow = by(S.user_flags(txn, ids, CFG), "userid")
+    for user in ("a", "b", "c", "d", "e", "smurf", "s1"):
+        got = canned.profile_of_unlabeled(txn, user, CFG).first()
+        flags = ("str_ip_change", "str_device_share", "str_smurfing", "str_rapid_tx")
+        assert [got[c] for c in flags] == [slow[user][c] for c in flags], user
+    assert slow["smurf"]["str_smurfing"] == slow["smurf"]["str_rapid_tx"] == 1

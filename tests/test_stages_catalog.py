@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import Config
 from tidewatch.plans.catalog import Catalog, clean_sql, show, split_export
 from tidewatch.plans.stages import REPORTS, Pipeline
-from tidewatch.sources.landing import landing_name, read_ip_ranges, read_raw
+from tidewatch.sources.landing import csv_files, landing_name, place_csv, read_ip_ranges, read_raw
 from tidewatch.sources.tables import publish, read_table, table_error, validate_outputs
 
 HEADER = "reqdate,userid,appuser,amount,userip,deviceid,platform,description\n"
@@ -287,3 +287,21 @@ def test_every_action_has_a_time_limit(run, spark, tmp_path):
         cat.export_csv(slow, datetime(2024, 1, 1), timeout=2)
     with pytest.raises(ValueError):
         cat.export_csv("SELECT nothing FROM rpt_users", datetime(2024, 1, 1))
+
+
+def test_placed_files_never_overwrite(spark, tmp_path):
+    """Clashing names, a name that another session has claimed, and a file of another kind."""
+    now, folder = datetime(2024, 1, 2, 3, 4, 5), tmp_path / "drop"
+    source = tmp_path / "in.csv"
+    for text, name in (("a\n1\n", "x.csv"), ("a\n2\n", "x.CSV"), ("a\n3\n", "deep/x.csv")):
+        source.write_text(text)
+        place_csv(spark, str(source), str(folder), name, now)
+    (folder / ".y.csv.claim").write_text("")
+    assert place_csv(spark, str(source), str(folder), "y.csv", now).endswith("/y_20240102_030405_1.csv")
+    assert place_csv(spark, str(source), str(folder), now=now).endswith("/in.csv")
+    with pytest.raises(ValueError):
+        place_csv(spark, str(source), str(folder), "x.exe", now)
+    got = {p.name: p.read_text() for p in folder.iterdir() if not p.name.startswith(".")}
+    assert got["x.csv"] == "a\n1\n" and got["x_20240102_030405_1.csv"] == "a\n2\n" and got["x_20240102_030405_2.csv"] == "a\n3\n"
+    assert len(got) == 5 == csv_files(spark, str(folder)).count()
+    assert not [p for p in folder.iterdir() if p.name.endswith(".uploading")]

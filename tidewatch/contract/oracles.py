@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 
 from tidewatch.operators.charts import CHARTS
-from tidewatch.operators.chatlog import DEFAULT, Vocabulary, phrases
+from tidewatch.operators.chatlog import DEFAULT, Vocabulary, phrases, step_reports
 
 TXN = """
 txn AS (
@@ -451,11 +451,17 @@ _SPOKEN = dataclasses.replace(
 )
 INTENT = _intent(_SPOKEN, "conversations")
 _PHRASES = phrases(DEFAULT)
-_WORDED = f"""worded AS (
+
+
+def _words_behind(name: str, words: list[str]) -> str:
+    return f"""{name} AS (
   SELECT * REPLACE (coalesce(text, '') || ' '
-    || [{", ".join(f"'{p}'" for p in _quoted(_PHRASES))}][(conv_id * 31 + turn * 7) % {len(_PHRASES)} + 1] AS text)
+    || [{", ".join(f"'{p}'" for p in _quoted(words))}][(conv_id * 31 + turn * 7) % {len(words)} + 1] AS text)
   FROM conversations)"""
 
+
+_WORDED = _words_behind("worded", _PHRASES)
+
 # The report on the table ``paid`` instead of ``labeled``.
 _PAID_REPORT = REPORT.removeprefix(LABELED).replace("FROM labeled", "FROM paid")
 _FLAG_NAMES = ("is_bet_tail", "desc_has_win", "desc_match_b1", "desc_match_b2", *_RULE_NAMES)
@@ -652,4 +658,15 @@ ORACLES |= {
       SELECT t.conv_id, CAST(coalesce((SELECT arg_max(step, turn) FROM steps s
         WHERE s.conv_id = t.conv_id AND step IS NOT NULL), 0) AS INT) AS last_step
       FROM (SELECT DISTINCT conv_id FROM t) t""",
+    "last_step_worded": f"""WITH {_words_behind("told", step_reports(DEFAULT))},
+      t AS (SELECT conv_id, turn, role, {_ACCENT_FREE} AS c FROM told),
+      steps AS (SELECT conv_id, turn, CASE {" ".join(
+        f"WHEN ({_says('c', *names)} AND {_says('c', *DEFAULT.done)})"
+        + "".join(f" OR (contains(c, '{f}') AND NOT {_says('c', *DEFAULT.negative)})" for f in files)
+        + "".join(f" OR contains(c, '{m}')" for m in marks) + f" THEN {step}"
+        for step, names, files, marks in DEFAULT.steps)} END AS step FROM t WHERE role = 'assistant')
+      SELECT conv_id, CAST(coalesce(max_by(step, turn) FILTER (step IS NOT NULL), 0) AS INT) AS last_step
+      FROM (SELECT DISTINCT conv_id FROM t) LEFT JOIN steps USING (conv_id) GROUP BY conv_id""",
+    "landing_placed": """SELECT 'Giao_d_ch_1' AS stem, 'orders' AS kind, o_orderkey AS key FROM orders
+      UNION ALL SELECT 'Giao_d_ch_1', 'part', p_partkey FROM part UNION ALL SELECT 'upload', 'orders', o_orderkey FROM orders""",
 }

@@ -418,8 +418,8 @@ def user_txn_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_profile_360(spark: SparkSession, sf: str) -> DataFrame:
-    rows = materialize(labeled(spark, sf), "labeled")
-    return plain(canned.profile_of(rows, "u10"))
+    """From the transfers of that user; the others are not labelled."""
+    return plain(canned.profile_of_unlabeled(flagged(spark, sf), "u10", CFG))
 
 
 def user_assessment(spark: SparkSession, sf: str) -> DataFrame:
@@ -680,6 +680,21 @@ def landing_rejected(spark: SparkSession, sf: str) -> DataFrame:
     return bad.select(files.alias("file"), "reason", "text")
 
 
+def landing_placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders and parts placed under names that clash, read back by file."""
+    folder, now = new_path(spark, "drop"), datetime(2024, 1, 2, 3, 4, 5)
+    drops = (("orders", "o_orderkey", "../Giao dịch (1).CSV"), ("part", "p_partkey", "Giao_d_ch_1.csv"), ("orders", "o_orderkey", "é.csv"))
+    for name, key, wanted in drops:
+        rows = spark.read.parquet(f"{sf}/{name}.parquet").select(F.lit(name).alias("kind"), F.col(key).alias("key"))
+        # each part file of a table is dropped under the same name
+        for path in sorted(r["path"] for r in landing.csv_files(spark, _csv(rows, new_path(spark, name))).select("path").collect()):
+            landing.place_csv(spark, path, folder, wanted, now)
+    read = spark.read.schema("kind string, key bigint").option("header", True).csv(folder)
+    # parts of a table get numbered names; how many there are depends on the session
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    return read.select(F.regexp_replace(name, r"(_20240102_030405(_\d+)?)*\.csv$", "").alias("stem"), "kind", "key")
+
+
 def _pipeline(spark: SparkSession, sf: str, *stages: str) -> Pipeline:
     """A pipeline whose cleaned transfers are published from CSV files, and the named stages after it."""
     ranges = fixtures.ip_ranges(spark, sf).orderBy("seq").drop("seq").coalesce(1)
@@ -848,11 +863,10 @@ def recent_turns(spark: SparkSession, sf: str) -> DataFrame:
     return G.recent_turns(chats(spark, sf))
 
 
-def worded_chats(spark: SparkSession, sf: str) -> DataFrame:
+def worded_chats(spark: SparkSession, sf: str, phrases: list[str] = G.phrases(G.DEFAULT)) -> DataFrame:
     """The given turns, each with one of the real phrases put behind its text."""
-    phrases = F.array(*[F.lit(p) for p in G.phrases(G.DEFAULT)])
-    pick = F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(len(G.phrases(G.DEFAULT))))
-    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.get(phrases, pick.cast("int")))
+    pick = F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(len(phrases)))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.get(F.array(*[F.lit(p) for p in phrases]), pick.cast("int")))
     return chats(spark, sf).withColumn("text", said)
 
 
@@ -868,6 +882,10 @@ def last_step(spark: SparkSession, sf: str) -> DataFrame:
     return G.last_step(chats(spark, sf), SPOKEN)
 
 
+def last_step_worded(spark: SparkSession, sf: str) -> DataFrame:
+    return G.last_step(worded_chats(spark, sf, G.step_reports(G.DEFAULT)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -963,5 +981,7 @@ QUERIES = {
         intent_tags_worded,
         ambiguous_turns,
         last_step,
+        last_step_worded,
+        landing_placed,
     )
 }

@@ -130,6 +130,16 @@ def phrases(words: Vocabulary) -> list[str]:
     return [p for one in lists for p in one]
 
 
+def step_reports(words: Vocabulary) -> list[str]:
+    """Sentences about a stage: its names with and without the words for "done", its files with and without a denial."""
+    found = [*words.done, *words.negative]
+    for _, names, files, marks in words.steps:
+        found += [f"{n}{d}" for n in names for d in ("", *(f" {d}" for d in words.done))]
+        found += [f"{d}{f}" for f in files for d in ("", *(f"{d} " for d in words.negative))]
+        found += marks
+    return found
+
+
 def _any(text: Column, phrases: Phrases) -> Column:
     """Whether any phrase occurs; one pass over the text for the whole list."""
     if not phrases:

@@ -84,6 +84,16 @@ def rule_labels(flagged: DataFrame, pair: DataFrame, cfg: Config) -> DataFrame:
     return _with_rules(attach(flagged, receivers, "appuser", "recv_rows", cfg).drop("recv_rows"))
 
 
+def label_received(received: DataFrame, sent: DataFrame, pair: DataFrame, cfg: Config) -> DataFrame:
+    """Rule labels of the transfers to one user, from those transfers and the ones that the user sent.
+
+    ``pair`` has the user's distinct senders.
+    """
+    scores = bookie_scores(received_stats(received, pair), sent_stats(sent), cfg).select("appuser", _is_bookie(cfg))
+    # a single user, so a single row
+    return _with_rules(received.join(F.broadcast(scores), "appuser"))
+
+
 def scores_from_profiles(senders: DataFrame, receivers: DataFrame, cfg: Config) -> DataFrame:
     """The bookie score from profiles that exist already; the transfers are not read again."""
     received = receivers.select(

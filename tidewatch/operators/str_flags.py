@@ -37,6 +37,19 @@ def identifier_flags(ids: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
+def identifier_flags_of(own: DataFrame, others: DataFrame, cfg: Config) -> DataFrame:
+    """The same two flags of one user, in one row without the user's name.
+
+    ``own`` has the user's distinct (kind, value), ``others`` those of everybody else.
+    """
+    shared = own.join(others.select("kind", "value", F.lit(True).alias("shared")), ["kind", "value"], "left")
+    counts = [F.count_if(F.col("kind") == kind) for kind in ("ip", "device")]
+    return shared.agg(
+        (F.greatest(*counts) >= cfg.str_change_min).cast("byte").alias("str_ip_change"),
+        F.coalesce(F.max("shared"), F.lit(False)).cast("byte").alias("str_device_share"),
+    )
+
+
 def smurf_in_days(txn: DataFrame, cfg: Config) -> DataFrame:
     """Receiver days with more than ``smurf_senders`` distinct small-amount senders."""
     return (

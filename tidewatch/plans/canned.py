@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import PATTERN_FLAGS, RULE_FLAGS, STR_FLAGS, Config
 from tidewatch.functions.columns import ratio
+from tidewatch.operators import str_flags as S
 from tidewatch.operators.attach import attach
+from tidewatch.operators.labels import label_received
+from tidewatch.operators.profiles import identifiers, pairs
+from tidewatch.sources.storage import materialize
 
 
 def users_in_group(report: DataFrame, group: str) -> DataFrame:
@@ -63,8 +67,7 @@ def flagged_with_users(
     return attach(rows, users, side, weight, cfg).drop(weight).where(F.col(side).isNotNull())
 
 
-def profile_of(labeled: DataFrame, user: str) -> DataFrame:
-    """One user seen as sender and as receiver, in one row."""
+def _both_sides(sent: DataFrame, received: DataFrame, *flags: Column) -> DataFrame:
     ratios = {"bet_tail": "is_bet_tail", "win_desc": "desc_has_win"}
 
     def side(other: str, prefix: str, partners: str, total: str) -> list:
@@ -77,17 +80,45 @@ def profile_of(labeled: DataFrame, user: str) -> DataFrame:
             *[F.avg(c).alias(f"{prefix}_{n}_ratio") for n, c in ratios.items()],
         ]
 
-    sent = labeled.where(F.col("userid") == user).agg(
-        *side("appuser", "sender", "sender_unique_receivers", "sender_total_sent"),
-        *[F.max(c).alias(c) for c in STR_FLAGS],
+    # one row each
+    return sent.agg(*side("appuser", "sender", "sender_unique_receivers", "sender_total_sent"), *flags).crossJoin(
+        received.agg(
+            *side("userid", "recv", "recv_unique_senders", "recv_total_received"),
+            F.max("is_bookie_tx").alias("is_bookie"),
+            F.max("is_gambler_tx").alias("is_gambler"),
+            F.max("hit_any_rule").alias("hit_any_rule"),
+        )
     )
-    received = labeled.where(F.col("appuser") == user).agg(
-        *side("userid", "recv", "recv_unique_senders", "recv_total_received"),
-        F.max("is_bookie_tx").alias("is_bookie"),
-        F.max("is_gambler_tx").alias("is_gambler"),
-        F.max("hit_any_rule").alias("hit_any_rule"),
-    )
-    return sent.crossJoin(received)
+
+
+def profile_of(labeled: DataFrame, user: str) -> DataFrame:
+    """One user seen as sender and as receiver, in one row."""
+    sent, received = labeled.where(F.col("userid") == user), labeled.where(F.col("appuser") == user)
+    return _both_sides(sent, received, *[F.max(c).alias(c) for c in STR_FLAGS])
+
+
+def profile_of_unlabeled(flagged: DataFrame, user: str, cfg: Config) -> DataFrame:
+    """The same from transfers that have pattern flags only; nobody else's transfers are labelled.
+
+    Only the transfers from and to the user are stored.  What the flags need of the others is
+    whether they use one of the user's addresses or devices; these are read as distinct values.
+    """
+    is_sender, is_receiver = F.col("userid").eqNullSafe(user), F.col("appuser").eqNullSafe(user)
+    own = materialize(flagged.where(is_sender | is_receiver), "transfers-of-user")
+    sent, received = own.where(is_sender), own.where(is_receiver)
+    used = identifiers(sent).select("kind", "value")
+    others = identifiers(flagged.where(~is_sender)).select("kind", "value").distinct()
+    marks = [
+        S.smurf_users(own, cfg).where(is_sender).agg(F.count(F.lit(1)).cast("byte").alias("str_smurfing")),
+        S.rapid_users(sent, cfg).agg(F.count(F.lit(1)).cast("byte").alias("str_rapid_tx")),
+    ]
+    flags = S.identifier_flags_of(used, others, cfg)
+    for mark in marks:
+        flags = flags.crossJoin(mark)  # one row each
+    none_sent = F.col("sender_tx_count") == 0
+    labeled = label_received(received, sent, pairs(received), cfg)
+    both = _both_sides(sent, labeled).crossJoin(flags)
+    return both.withColumns({c: F.when(~none_sent, F.col(c)) for c in STR_FLAGS})
 
 
 def user_assessment(report: DataFrame) -> DataFrame:

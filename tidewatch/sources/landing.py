@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources.storage import materialize
+from tidewatch.sources.tables import fs_path
 
 RAW_COLUMNS = (
     "reqdate",
@@ -219,3 +223,47 @@ def landing_name(filename: str, taken: set[str], now: datetime) -> str:
         counter += 1
         name = f"{stem}_{stamp}_{counter}.csv"
     return name
+
+
+def place_csv(spark: SparkSession, source: str, folder: str, filename: str | None = None, now: datetime | None = None) -> str:
+    """Put one CSV file into the landing folder under a safe, unused name; returns its path.
+
+    No file is ever overwritten, also not by two sessions at a time: a hidden claim on the name,
+    which only one of them can create, is held until the file is there.  The bytes go to a hidden
+    file first and are renamed, so a stream over the folder sees whole files only.  A claim that a
+    lost session left behind just leads to the next name.  Like an upload, the copy goes through
+    this process; it is streamed, never held.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    (from_fs, origin), (fs, target) = fs_path(spark, source), fs_path(spark, folder)
+    now, wanted = now or datetime.now(), filename or origin.getName()
+    landing_name(wanted, set(), now)  # refuses other kinds of files before anything is written
+    if not fs.mkdirs(target):
+        raise OSError(f"cannot make {folder}")
+    hidden = hadoop.Path(target, f".{uuid.uuid4().hex}.uploading")
+    hadoop.FileUtil.copy(from_fs, origin, fs, hidden, False, False, conf)
+    taken = {f.getPath().getName() for f in fs.listStatus(target)}
+    while True:
+        name = landing_name(wanted, taken, now)
+        placed, claim = hadoop.Path(target, name), hadoop.Path(target, f".{name}.claim")
+        taken.add(name)
+        if not _claimed(fs, claim):
+            continue
+        try:
+            if fs.exists(placed):
+                continue
+            if not fs.rename(hidden, placed):
+                raise OSError(f"cannot place {name} in {folder}")
+            return placed.toString()
+        finally:
+            fs.delete(claim, False)
+
+
+def _claimed(fs: JavaObject, claim: JavaObject) -> bool:
+    """Whether the empty file was created by this call."""
+    try:
+        return bool(fs.createNewFile(claim))
+    except Py4JJavaError:
+        if fs.exists(claim):
+            return False
+        raise

@@ -25,20 +25,20 @@ _SOURCES = "_made_from"
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
 
-def _fs_path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+def fs_path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     hadoop = spark._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _fs_path(spark, path)
+    fs, target = fs_path(spark, path)
     return bool(fs.exists(target))
 
 
 def published(spark: SparkSession, table: str) -> list[str]:
     """Runs of a table, oldest first; one small file name each."""
-    fs, folder = _fs_path(spark, f"{table}/{_POINTERS}")
+    fs, folder = fs_path(spark, f"{table}/{_POINTERS}")
     if not fs.exists(folder):
         return []
     return [name.partition("-")[2] for name in sorted(f.getPath().getName() for f in fs.listStatus(folder))]
@@ -102,7 +102,7 @@ def _publish_run(
         sources.coalesce(1).write.mode("overwrite").parquet(f"{table}/{_SOURCES}/{run}")
     number = len(published(spark, table))
     while True:
-        fs, pointer = _fs_path(spark, f"{table}/{_POINTERS}/{number:012d}-{run}")
+        fs, pointer = fs_path(spark, f"{table}/{_POINTERS}/{number:012d}-{run}")
         number += 1
         # two writers may take one number; the names then differ by run and both are kept
         if fs.createNewFile(pointer):
