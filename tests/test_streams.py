@@ -1,6 +1,8 @@
 import os
 from collections import defaultdict
+from datetime import date
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,13 @@ def test_rapid_days_are_written_once_when_closed(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
     walked = [s for s in query.lastProgress.stateOperators if s.operatorName.startswith("transformWithState")]
     assert [s.numRowsTotal for s in walked] == [0]
+
+
+def test_one_call_walks_all_senders_of_a_bucket():
+    """Rows of a day come in any order and in several chunks; no state is asked for."""
+    day = date(2024, 1, 1)
+    slots = [("b", 1, 100, 100), (None, 2, 5, 9), ("a", 1, 40, 40), ("b", 3, 0, 9), ("a", 1, 50, 50), (None, 1, 18, 18)]
+    chunks = [pd.DataFrame(part, columns=["userid", "n", "first", "last"]) for part in (slots[:2], slots[2:])]
+    got = pd.concat(rapid_days.DayWalk(10).handleInputRows((day, 7), iter(chunks), None))
+    assert set(got["dt"]) == {day}
+    assert dict(zip(got["userid"], got["pairs"], strict=True)) == {"a": 0, "b": 2, None: 2}

@@ -1,61 +1,57 @@
-"""Rapid transfers of closed days: a walk with keyed state and a timer a day.
+"""Rapid transfers of closed days, walked once when the watermark closes the day.
 
-Transfers are first counted in event-time slots as wide as the gap limit, which is a plain
+Transfers are first counted in slots of the day as wide as the gap limit, which is a plain
 streaming aggregation: a busy sender is one partial row per task and slot before the shuffle.
-The watermark closes slots in time order, so the walk of a sender's day needs no buffer beyond
-the slots that one batch closes (a day has ``86400 / rapid_seconds``), and its state is two
-numbers.  A timer at the end of the day writes the day once and clears the state.
+The slots of a day leave that aggregation in the batch in which the watermark passes the day's
+end, all of them at once.  So the walk needs no state of its own and no timer: it gets the whole
+days of one bucket of senders at a time, a sender's day being ``86400 / rapid_seconds`` slots at most.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from datetime import date
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidewatch.config import Config
+from tidewatch.operators.str_flags import rapid_slot
 from tidewatch.streaming.streams import WATERMARK, _append
 
 # executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_EPOCH = date(1970, 1, 1).toordinal()
-_DAY_MS = 86_400_000
+#: Buckets of senders that a day is walked in; a call to Python and back is paid per bucket, not per sender.
+BUCKETS = 4_096
 
 
 class DayWalk(StatefulProcessor):
-    """Counts neighbours closer than ``limit`` microseconds over the slots of one sender's day."""
+    """Counts neighbours closer than ``limit`` microseconds over the slots of a closed day's senders."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.walked = handle.getValueState("walked", "pairs long, last long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seen = self.walked.get()
-        if seen is None:
-            # slots of the day are closed at its end at the latest, and come before timers
-            self.handle.registerTimer((key[1].toordinal() - _EPOCH + 1) * _DAY_MS)
-        pairs, last = seen or (0, None)
-        for slot in sorted(rows, key=lambda row: row["first"]):
-            pairs += slot["n"] - 1
-            if last is not None and slot["first"] - last < self.limit:
-                pairs += 1
-            last = slot["last"]
-        self.walked.update((pairs, last))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        pairs, _ = self.walked.get()
-        self.walked.clear()
-        yield Row(userid=key[0], dt=key[1], pairs=pairs)
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        slots = pd.concat(list(rows), ignore_index=True)
+        # a NULL sender is a sender
+        code, users = pd.factorize(slots["userid"], use_na_sentinel=False)
+        first, last = slots["first"].to_numpy(np.int64), slots["last"].to_numpy(np.int64)
+        order = np.lexsort((first, code))
+        code, first, last = code[order], first[order], last[order]
+        pairs = slots["n"].to_numpy(np.int64)[order] - 1
+        pairs[1:] += (code[1:] == code[:-1]) & (first[1:] - last[:-1] < self.limit)
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        yield pd.DataFrame(
+            {"userid": pd.Series(users, dtype=object), "dt": key[0], "pairs": np.add.reduceat(pairs, starts)}
+        )
 
 
 def wall_micros(ts: str) -> Column:
@@ -65,26 +61,27 @@ def wall_micros(ts: str) -> Column:
 
 
 def stream_rapid_days(
-    txn: DataFrame, path: str, checkpoint: str, cfg: Config, delay: str = WATERMARK
+    txn: DataFrame, path: str, checkpoint: str, cfg: Config, delay: str = WATERMARK, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Close pairs (``userid, dt, pairs``) of each sender's day, written once: when the watermark closes the day.
 
-    Transfers may come in any order up to ``delay``; later ones are dropped and counted as late
-    in the stream's progress.  Rows without a time are left out, as in the batch.  A NULL sender
-    is a sender.  Needs the on-disk state store (``use_rocksdb``).
+    Transfers may come in any order up to ``delay``; those of a closed day are dropped and counted
+    as late in the stream's progress.  Rows without a time are left out, as in the batch.  A NULL
+    sender is a sender.  Needs the on-disk state store (``use_rocksdb``).
     """
     slots = (
         txn.where(F.col("ts").isNotNull())
-        .select("userid", "dt", wall_micros("ts").alias("micros"))
+        .select("userid", "dt", rapid_slot(cfg).alias("slot"), wall_micros("ts").alias("micros"))
         .withColumn("at", F.timestamp_micros("micros"))
         .withWatermark("at", delay)
-        .groupBy("userid", "dt", F.window("at", f"{cfg.rapid_seconds} seconds"))
+        .groupBy("userid", "dt", "slot", F.window("at", "1 day"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("micros").alias("first"), F.max("micros").alias("last"))
     )
+    bucket = F.pmod(F.xxhash64("userid"), F.lit(buckets)).cast("int")
     days = (
-        slots.select("userid", "dt", F.window_time("window").alias("at"), "n", "first", "last")
-        .groupBy("userid", "dt")
-        .transformWithState(
+        slots.select("userid", "dt", bucket.alias("bucket"), F.window_time("window").alias("at"), "n", "first", "last")
+        .groupBy("dt", "bucket")
+        .transformWithStateInPandas(
             DayWalk(int(cfg.rapid_seconds * 1_000_000)), "userid string, dt date, pairs long", "Append", "eventTime"
         )
     )
