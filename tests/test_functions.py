@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import parse_reqdate
-from tidewatch.functions.ip import ip_bucket, parse_ip
+from tidewatch.functions.ip import ip_bucket, parse_ip, parse_ipv4
 from tidewatch.functions.text import normalize_description, strip_accents
 
 
@@ -116,3 +116,12 @@ def test_buckets_of_both_families_are_apart(spark):
 def test_request_time(spark, text, expected):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(parse_reqdate("t").cast("string")).first()[0] == expected
+
+
+def test_dotted_addresses_are_split_once(spark):
+    """Four splits of each text made whole stages too long to be compiled."""
+    df = spark.createDataFrame([("1.2.3.4",), ("255.255.255.255",), ("0.0.0.0",), ("1.2.3",), (None,)], "ip string")
+    found = df.select("ip", parse_ip("ip").alias("hex"))
+    assert [r["hex"] for r in found.collect()] == ["01020304", "ffffffff", "00000000", None, None]
+    plan = df.select(parse_ipv4("ip").alias("hex"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2

@@ -26,11 +26,9 @@ def _byte(text: Column, pattern: str, group: int) -> Column:
 
 
 def _ipv4_hex(text: Column) -> Column:
-    """Hex of text that is known to be a dotted address."""
-    octets = F.split(text, r"\.")
-    value = F.lit(0)
-    for i in range(4):
-        value = value * 256 + F.get(octets, F.lit(i)).cast("bigint")
+    """Hex of text that is known to be a dotted address, which is split once."""
+    zero = F.lit(0).cast("bigint")
+    value = F.aggregate(F.split(text, r"\."), zero, lambda sum_, octet: sum_ * 256 + octet.cast("bigint"))
     return F.lower(F.lpad(F.hex(value), V4_DIGITS, "0"))
 
 
