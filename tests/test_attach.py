@@ -59,3 +59,39 @@ def test_broadcast_holds_only_keys_above_an_average_partition(spark, skewed):
     rows = skewed.where("key is not null").count()
     hot = keyed.where(F.col("key").isNotNull() & (F.col("n") >= rows / partitions)).collect()
     assert [r["key"] for r in hot] == ["hot"] and len(hot) <= partitions
+
+
+@pytest.mark.parametrize("share", [1e-6, 1.0])
+def test_a_key_table_over_the_limit_is_shuffled(spark, skewed, share):
+    keyed = keyed_of(skewed).where("key <> 'k7' or key is null")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = attach(skewed, keyed, "key", "n", Config(hot_share=share, broadcast_keys=10))
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        want = skewed.join(keyed, "key", "left").select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_stay_where_they_are_for_a_small_key_table(spark, skewed):
+    """The shuffle moved every column of every row."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame(skewed.collect(), skewed.schema)
+        plan = attach(rows, keyed_of(skewed), "key", "n", Config())._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_rows_of_a_large_key_table_are_spread(spark, skewed):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = attach(skewed, keyed_of(skewed), "key", "n", Config(broadcast_keys=0))
+        sizes = joined.where("key = 'hot'").groupBy(F.spark_partition_id()).count().select("count").collect()
+        assert sum(r[0] for r in sizes) == 2000 and max(r[0] for r in sizes) < 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import Config
 from tidewatch.plans.catalog import Catalog, clean_sql, show, split_export
+from tidewatch.operators.etl import add_time, clean_description, fill_device_id
+from tidewatch.plans import stages
 from tidewatch.plans.stages import REPORTS, Pipeline
 from tidewatch.sources.landing import csv_files, landing_name, place_csv, read_ip_ranges, read_raw
 from tidewatch.sources.tables import publish, read_table, table_error, validate_outputs
@@ -305,3 +307,17 @@ def test_placed_files_never_overwrite(spark, tmp_path):
     assert got["x.csv"] == "a\n1\n" and got["x_20240102_030405_1.csv"] == "a\n2\n" and got["x_20240102_030405_2.csv"] == "a\n3\n"
     assert len(got) == 5 == csv_files(spark, str(folder)).count()
     assert not [p for p in folder.iterdir() if p.name.endswith(".uploading")]
+
+
+def test_labels_read_the_cleaned_transfers_once(spark, tmp_path, monkeypatch):
+    """Pairs and identifiers come from the stored flags, so cleaned transfers need not be stored for them."""
+    raw = spark.createDataFrame(
+        [("2024-01-01 10:00:00", "u1", "r1", "5", "1.0.0.1", None, "ios", "x"), (None, None, "r1", "7", None, "d", "ios", None)],
+        "reqdate string, userid string, appuser string, amount string, userip string, deviceid string, platform string, description string",
+    )
+    path, sources = str(tmp_path / "etl"), []
+    add_time(clean_description(fill_device_id(raw))).write.parquet(path)
+    store = stages.materialize
+    monkeypatch.setattr(stages, "materialize", lambda df, name: (sources.append((name, df.inputFiles())), store(df, name))[1])
+    assert stages.label_stored(spark.read.parquet(path), CFG).count() == 2
+    assert [name for name, files in sources if any(path in f for f in files)] == ["flagged"]

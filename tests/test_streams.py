@@ -161,4 +161,5 @@ def test_one_call_walks_all_senders_of_a_bucket():
     chunks = [pd.DataFrame(part, columns=["userid", "n", "first", "last"]) for part in (slots[:2], slots[2:])]
     got = pd.concat(rapid_days.DayWalk(10).handleInputRows((day, 7), iter(chunks), None))
     assert set(got["dt"]) == {day}
-    assert dict(zip(got["userid"], got["pairs"], strict=True)) == {"a": 0, "b": 2, None: 2}
+    pairs = {None if pd.isna(user) else user: n for user, n in zip(got["userid"], got["pairs"], strict=True)}
+    assert pairs == {"a": 0, "b": 2, None: 2}

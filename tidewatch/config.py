@@ -105,6 +105,8 @@ class Config:
     ipv6_value: str = "count"
     # physical limits: what may be broadcast, and when a key counts as hot
     broadcast_buckets: int = 1_000_000
+    # a key table of so many rows is sent to the transfers instead of shuffling them
+    broadcast_keys: int = 500_000
     # a key is hot if it has this many times the rows of an average shuffle partition
     hot_share: float = 1.0
 

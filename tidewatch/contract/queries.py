@@ -81,7 +81,7 @@ def stored_etl(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labeled(spark: SparkSession, sf: str) -> DataFrame:
-    return label_stored(stored_etl(spark, sf), CFG)
+    return label_stored(etl(spark, sf), CFG)
 
 
 def receivers(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,8 +259,7 @@ def txn_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def labeled_transfers(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled table as the pipeline publishes it, with the country."""
-    clean = materialize(located(spark, sf), "etl")
-    rows = label_stored(clean, CFG).drop(*DROPPED, "dt")
+    rows = label_stored(located(spark, sf), CFG).drop(*DROPPED, "dt")
     return plain(rounded(rows, {"sender_std_amount": 0, "recv_std_amount": 0}))
 
 
@@ -608,7 +607,8 @@ def stream_score_repeated(spark: SparkSession, sf: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf: str) -> daily_profiles.DailyProfiles:
     """Day partials of three batches of days; the second is added twice."""
-    rows = materialize(flagged(spark, sf), "flagged")
+    needed = ("ok", "userid", "appuser", "userip", "amount", "dt", *PATTERN_FLAGS)
+    rows = materialize(flagged(spark, sf).select(*needed), "flagged")
     store = daily_profiles.DailyProfiles(spark, new_path(spark, "daily"))
     parts = [rows.where((F.col("ok") % 7).isin(*days)) for days in ((0, 1), (2, 3), (4, 5, 6))]
     for batch, part in ((0, parts[0]), (1, parts[1]), (1, parts[1]), (2, parts[2])):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 _JAMO_L, _JAMO_V, _JAMO_T = 0x1100, 0x1161, 0x11A7
 _N_V, _N_T = 21, 28
+#: Any character from the first combining mark (U+0300) on.
+_ABOVE_LATIN = r"[^\x{0}-\x{2ff}]"
 
 
 @lru_cache(maxsize=1)
@@ -61,7 +63,8 @@ def strip_accents(text: Column) -> Column:
     """Canonical decomposition without combining marks; letters such as đ stay.
 
     One translation settles composed letters.  Only texts that still hold
-    marks, Hangul or a letter with several parts pay for the rest.
+    marks, Hangul or a letter with several parts pay for the rest.  None of
+    these lies below the first combining mark, which most texts stay below.
     """
     source, target, longer = _decompositions()
     folded = F.translate(text, source, target)
@@ -70,7 +73,7 @@ def strip_accents(text: Column) -> Column:
     for ch, base in longer.items():
         expanded = F.replace(expanded, F.lit(ch), F.lit(base))
     unmarked = F.regexp_replace(_split_hangul(expanded), r"\p{Mn}+", "")
-    return F.when(folded.rlike(rare), unmarked).otherwise(folded)
+    return F.when(folded.rlike(_ABOVE_LATIN) & folded.rlike(rare), unmarked).otherwise(folded)
 
 
 def normalize_description(text: Column | str) -> Column:

@@ -2,7 +2,8 @@
 
 One key may hold a third of all rows.  A plain shuffle join would send those
 rows to one task, and adaptive skew splitting does not apply when the key
-table is an aggregate that already has the join's partitioning.  So:
+table is an aggregate that already has the join's partitioning.  So, unless the
+key table has at most ``broadcast_keys`` rows and is broadcast whole:
 
 * keys with more rows than an average partition are broadcast; their rows are
   answered before the shuffle and then spread evenly;
@@ -29,12 +30,14 @@ _SALTS = 32
 def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str, cfg: Config) -> DataFrame:
     """``rows LEFT JOIN keyed USING (key)``; ``weight`` is the key's row count in ``keyed``.
 
-    ``keyed`` is stored first, as it is read three times.
+    ``keyed`` is stored first, as it is read up to three times.
     """
     values = [c for c in keyed.columns if c != key]
     keyed = materialize(keyed.where(F.col(key).isNotNull()), "keyed")
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    n, total = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if n <= cfg.broadcast_keys:
+        return rows.join(F.broadcast(keyed), key, "left").select(*rows.columns, *values)
     hot = (
         keyed.where(F.col(weight) >= max(1.0, cfg.hot_share * total / partitions))
         .select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))

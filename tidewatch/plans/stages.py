@@ -53,15 +53,15 @@ STAGES = ("etl", "features", "reports", "training")
 
 
 def label_stored(etl: DataFrame, cfg: Config) -> DataFrame:
-    """Labelled transfers from a stored table of cleaned ones.
+    """Labelled transfers from cleaned ones, which are read once and need not be stored.
 
-    Amounts and pattern flags are evaluated once and stored, for they are read five times.
+    Amounts and pattern flags are evaluated once and stored, for they are read six times.
     The user level frames are written, too: each is used several times and is far smaller
     than the transfers.
     """
     flagged = materialize(add_patterns(etl, cfg), "flagged")
-    pair = materialize(pairs(etl), "pairs")
-    ids = materialize(identifiers(etl), "identifiers")
+    pair = materialize(pairs(flagged), "pairs")
+    ids = materialize(identifiers(flagged), "identifiers")
     senders = materialize(sender_profile(flagged, pair, ids), "senders")
     receivers = materialize(receiver_profile(flagged, pair), "receivers")
     flags = materialize(S.user_flags(flagged, ids, cfg), "user-flags")
@@ -150,7 +150,7 @@ class Pipeline:
         clean = clean.observe(written, F.count(F.lit(1)).alias("rows"))
         publish(clean, self.path("etl"))
         log.info("etl took %.1f s", time.time() - started)
-        return {"rows_in": read.get["rows"], "rows_out": written.get["rows"], "rows_rejected": bad.count()}
+        return {"rows_in": read.get["rows"], "rows_out": written.get["rows"], "rows_rejected": self.table(REJECTED).count()}
 
     @_stage
     def features(self, by_day: bool = False) -> str:
