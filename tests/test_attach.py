@@ -95,3 +95,19 @@ def test_hot_rows_of_a_large_key_table_are_spread(spark, skewed):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize(("keys", "sorts"), [(200, False), (1, True)])
+def test_rows_are_sorted_only_for_more_keys_than_fit_in_memory(spark, skewed, keys, sorts):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        keyed = keyed_of(skewed)
+        got = attach(skewed, keyed, "key", "n", Config(broadcast_keys=keys))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == sorts and ("ShuffledHashJoin" in plan) != sorts
+        want = skewed.join(keyed, "key", "left").select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.config import FALLBACK_FEATURES, Config
+from tidewatch.operators import forest
 from tidewatch.operators import scoring as M
 from tidewatch.operators.forest import (
     Forest,
@@ -123,6 +124,41 @@ def test_paths_match_a_plain_walk():
         assert value == pytest.approx(2 ** (-(total / trees) / mean_path(16)))
 
 
+def test_rows_of_several_chunks_score_like_single_rows(monkeypatch):
+    """Also trees with fewer levels than those compared with all rows, NaN and infinite thresholds."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(forest, "_CHUNK", 16)
+    for depth in (1, 2, 3, 5):
+        splits = (1 << depth) - 1
+        feature = rng.integers(0, 4, (3, splits))
+        threshold = rng.normal(size=(3, splits)).astype(np.float32)
+        threshold[0, 0] = np.inf
+        path = rng.random((3, splits + 1))
+        x = rng.normal(size=(50, 4)).astype(np.float32)
+        x[3, 1] = np.nan
+        got = anomaly((feature, threshold, path), 2.0, x)
+        for row, score in zip(x, got):
+            lengths = []
+            for f, t, p in zip(feature, threshold, path):
+                node = 0
+                for _ in range(depth):
+                    node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+                lengths.append(p[node - splits])
+            assert score == pytest.approx(2.0 ** (-np.mean(lengths) / 2.0))
+
+
+def test_the_first_levels_are_not_looked_up_by_row(monkeypatch):
+    """They are compared with whole columns, a batch at a time."""
+    taken = []
+    real = np.take
+    monkeypatch.setattr(forest.np, "take", lambda *a, **k: taken.append(1) or real(*a, **k))
+    depth, trees, rng = 8, 5, np.random.default_rng(1)
+    feature = rng.integers(0, 3, (trees, 255))
+    anomaly((feature, rng.random((trees, 255)).astype(np.float32), rng.random((trees, 256))), 2.0,
+            rng.random((10_000, 3)).astype(np.float32))
+    assert len(taken) <= trees * (3 * (depth - 2) + 1)
+
+
 def test_scaler_uses_population_deviation(table):
     rows = training_rows(table, SMALL, F.lit(0))
     got = {r["feature"]: r for r in scaler_stats(rows, SMALL.features).collect()}

@@ -163,3 +163,18 @@ def test_one_call_walks_all_senders_of_a_bucket():
     assert set(got["dt"]) == {day}
     pairs = {None if pd.isna(user) else user: n for user, n in zip(got["userid"], got["pairs"], strict=True)}
     assert pairs == {"a": 0, "b": 2, None: 2}
+
+
+def test_file_stream_has_three_batches_of_a_stored_table(spark, tmp_path):
+    """However many files; batches of three files left most cores idle."""
+    from tidewatch.contract.queries import _file_stream
+
+    path = str(tmp_path / "rows")
+    spark.range(0, 1200, 1, 12).write.parquet(path)
+    stream = _file_stream(spark, spark.read.parquet(path))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [400, 400, 400]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1200

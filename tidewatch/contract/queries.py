@@ -284,8 +284,9 @@ def scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, sf: str) -> tuple[DataFrame, M.Model, DataFrame]:
-    """Stored labelled transfers, a model of them, and their raw scores from the training."""
-    rows = materialize(labeled(spark, sf), "labeled")
+    """Stored labelled transfers (what a model reads of them), a model, and their raw scores from the training."""
+    needed = dict.fromkeys(("ok", "ln", "reqdate", "userid", "appuser", *CFG.features, "hit_any_rule", "is_bookie_tx"))
+    rows = materialize(labeled(spark, sf).select(*needed), "labeled")
     key = F.xxhash64("ok", "ln", "reqdate", "userid", "appuser", "amount")
     return rows, *M.fit(rows, CFG, key, keep=("ok", "ln", "hit_any_rule"))
 
@@ -505,13 +506,21 @@ def stream_rapid_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return day_text(streams.rapid_pairs_seen(spark, path, CFG))
 
 
+SCORE_COLUMNS = ("ok", "ln", "hit_any_rule")
+
+
+def _file_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A stored table as a stream of its files in three batches, so that every batch has files for all cores."""
+    files = rows.inputFiles()
+    source = files[0].rpartition("/")[0]
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-len(files) // 3)).parquet(source)
+
+
 def _stream_scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, M.Model]:
     """Labelled transfers scored as a stream of their files; the transfers and the model."""
     rows, model, _ = _trained(spark, sf)
-    source, path = new_path(spark, "labeled-parts"), new_path(spark, "stream-score")
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(source)
-    streams.stream_score(stream, model, path, new_path(spark, "state")).awaitTermination()
+    path = new_path(spark, "stream-score")
+    streams.stream_score(_file_stream(spark, rows), model, path, new_path(spark, "state"), SCORE_COLUMNS).awaitTermination()
     return spark.read.parquet(path), rows, model
 
 
@@ -522,7 +531,7 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
 def stream_score_agrees(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose streamed score equals the batch's on the same scale, and all rows."""
     streamed, rows, model = _stream_scored(spark, sf)
-    batch = M.score_fixed(rows, model)
+    batch = M.score_fixed(rows, model, SCORE_COLUMNS)
     told = [df.select("ok", "ln", "ml_score", F.lit(sign).alias("sign")) for df, sign in ((streamed, 1), (batch, -1))]
     apart = told[0].unionByName(told[1]).groupBy("ok", "ln", "ml_score").agg(
         F.count_if(F.col("sign") == 1).alias("n"), F.sum("sign").alias("more")
@@ -589,13 +598,12 @@ def stream_etl_audit(spark: SparkSession, sf: str) -> DataFrame:
 def stream_score_repeated(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the published scores before and after the last batch was sent again, and its batches."""
     rows, model, _ = _trained(spark, sf)
-    source, table = new_path(spark, "labeled-parts"), new_path(spark, "scores")
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(source)
-    streams.stream_score_published(stream, model, table, new_path(spark, "state")).awaitTermination()
+    table = new_path(spark, "scores")
+    stream = _file_stream(spark, rows)
+    streams.stream_score_published(stream, model, table, new_path(spark, "state"), SCORE_COLUMNS).awaitTermination()
     once = tables.read_batches(spark, table).agg(F.count(F.lit(1)).alias("rows"))
     last = len(tables.published(spark, table)) - 1
-    streams.score_batch(spark.read.parquet(source), last, model, table)
+    streams.score_batch(rows, last, model, table, SCORE_COLUMNS)
     again = tables.read_batches(spark, table).agg(
         F.count(F.lit(1)).alias("rows_again"), F.count_if(F.col("ml_score").isNotNull()).alias("scored")
     )

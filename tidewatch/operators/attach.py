@@ -7,7 +7,8 @@ key table has at most ``broadcast_keys`` rows and is broadcast whole:
 
 * keys with more rows than an average partition are broadcast; their rows are
   answered before the shuffle and then spread evenly;
-* every other key goes through the ordinary shuffle join;
+* every other key goes through a shuffle join, without sorting unless a partition has more than
+  ``broadcast_keys`` keys;
 * rows with a NULL key match nothing and are spread the same way.
 
 What is hot follows from the stored keys: those with ``hot_share`` times the rows of an
@@ -56,6 +57,9 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str, cfg: Config
         F.concat(F.lit("k"), F.col(key).cast("string")).alias("_join_key"),
         *[F.col(c).alias(f"_cold_{c}") for c in values],
     )
+    # keys are one row each: a partition's are looked up in memory, and the rows need not be sorted
+    if n <= cfg.broadcast_keys * partitions:
+        cold = cold.hint("shuffle_hash")
     return tagged.join(cold, "_join_key", "left").select(
         *[F.col(c) for c in rows.columns],
         *[F.coalesce(F.col("_hot")[c], F.col(f"_cold_{c}")).alias(c) for c in values],

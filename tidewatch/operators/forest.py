@@ -28,7 +28,8 @@ from tidewatch.config import Config
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _EULER = 0.5772156649015329
-_CHUNK = 2_048  # rows walked together, so that their features stay in cache
+_CHUNK = 10_000  # rows walked together: an Arrow batch of the usual size
+_TOP_LEVELS = 2  # levels of a tree whose nodes are compared with all rows
 _NODES = "tree int, feature array<int>, threshold array<float>, path array<double>"
 
 
@@ -182,29 +183,54 @@ class Forest:
         )
 
 
+def _first_levels(columns: np.ndarray, feature: np.ndarray, threshold: np.ndarray, levels: int) -> np.ndarray:
+    """Position of every row among the nodes below the first ``levels`` levels of one tree.
+
+    So few nodes are compared with all rows at once; a row then picks its own node's answer
+    by the answers above it, the nearest one first.
+    """
+    answers: list[np.ndarray] = []
+    place = np.zeros(columns.shape[1], dtype=np.intp)
+    for level in range(levels):
+        first = (1 << level) - 1
+        bits = [columns[feature[i]] > threshold[i] for i in range(first, 2 * first + 1)]
+        for above in reversed(answers):
+            bits = [left ^ ((left ^ right) & above) for left, right in zip(bits[::2], bits[1::2])]
+        answers.append(bits[0])
+        place += place
+        place += bits[0]
+    return place
+
+
 def anomaly(
     trees: tuple[np.ndarray, np.ndarray, np.ndarray], norm: float, x: np.ndarray
 ) -> np.ndarray:
     """2^(-E[path] / c(n)): near 1 for outliers, below 0.5 for the crowd."""
     depth = trees[2].shape[1].bit_length() - 1
+    top = min(_TOP_LEVELS, depth)
     total = np.zeros(len(x))
     for start in range(0, len(x), _CHUNK):
-        part = x[start : start + _CHUNK]
-        values, base = part.ravel(), np.arange(len(part)) * x.shape[1]
+        # a column per feature, so that neighbouring rows at one node read neighbouring values
+        columns = np.ascontiguousarray(x[start : start + _CHUNK].T)
+        n = columns.shape[1]
+        values, base, sums = columns.ravel(), np.arange(n), total[start : start + n]
         at = np.empty_like(base)
-        value, cut = np.empty((2, len(part)), dtype=values.dtype)
-        for feature, threshold, path in zip(*trees):
-            node = np.zeros_like(base)
-            for _ in range(depth):
+        value, cut = np.empty((2, n), dtype=values.dtype)
+        above, length = np.empty(n, dtype=bool), np.empty(n)
+        for feature, threshold, begin, path in zip(trees[0], trees[1], trees[0] * n, trees[2]):
+            place = _first_levels(columns, feature, threshold, top)
+            for level in range(top, depth):
+                nodes = slice((1 << level) - 1, (2 << level) - 1)
                 # "clip" skips the bounds check; every index is in range anyway
-                np.take(feature, node, out=at, mode="clip")
+                np.take(begin[nodes], place, out=at, mode="clip")
                 at += base
                 np.take(values, at, out=value, mode="clip")
-                np.take(threshold, node, out=cut, mode="clip")
-                node *= 2
-                node += 1
-                node += value > cut
-            total[start : start + _CHUNK] += path[node - (len(path) - 1)]
+                np.take(threshold[nodes], place, out=cut, mode="clip")
+                np.greater(value, cut, out=above)
+                place += place
+                place += above
+            np.take(path, place, out=length, mode="clip")
+            sums += length
     return 2.0 ** (-(total / len(trees[2])) / norm)
 
 

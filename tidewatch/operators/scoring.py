@@ -163,14 +163,11 @@ def score(labeled: DataFrame, model: Model, keep: Sequence[str] | None = None) -
     return normalize(materialize(raw, "raw-scores"))
 
 
-def score_fixed(labeled: DataFrame, model: Model) -> DataFrame:
-    """``labeled`` plus ``ml_score`` on the scale fixed at training; works on streams."""
+def score_fixed(labeled: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
+    """``keep`` columns (default all) plus ``ml_score`` on the scale fixed at training; works on streams."""
     low, high = F.lit(model.low), F.lit(model.high)
-    return (
-        raw_scores(labeled, model)
-        .withColumn("ml_score", scaled(F.col("raw"), low, high))
-        .drop("raw")
-    )
+    columns = labeled.columns if keep is None else keep
+    return raw_scores(labeled, model).select(*columns, scaled(F.col("raw"), low, high).alias("ml_score"))
 
 
 def train_stats(scored: DataFrame) -> DataFrame:

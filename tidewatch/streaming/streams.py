@@ -7,6 +7,8 @@ merge by count, minimum and maximum, whichever batch they came from.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -48,20 +50,24 @@ def stream_clean(
     return _append(observed(clean, "cleaning", **cleaning_metrics(clean)), path, checkpoint)
 
 
-def stream_score(labeled: DataFrame, model: Model, path: str, checkpoint: str) -> StreamingQuery:
-    """Scores on the scale fixed at training."""
-    return _append(score_fixed(labeled, model), path, checkpoint)
+def stream_score(
+    labeled: DataFrame, model: Model, path: str, checkpoint: str, keep: Sequence[str] | None = None
+) -> StreamingQuery:
+    """``keep`` columns (default all) with scores on the scale fixed at training."""
+    return _append(score_fixed(labeled, model, keep), path, checkpoint)
 
 
-def score_batch(batch: DataFrame, batch_id: int, model: Model, table: str) -> None:
+def score_batch(batch: DataFrame, batch_id: int, model: Model, table: str, keep: Sequence[str] | None = None) -> None:
     """Publish one micro-batch's scores; a repeated batch changes nothing."""
-    publish_batch(score_fixed(batch, model), table, batch_id)
+    publish_batch(score_fixed(batch, model, keep), table, batch_id)
 
 
-def stream_score_published(labeled: DataFrame, model: Model, table: str, checkpoint: str) -> StreamingQuery:
+def stream_score_published(
+    labeled: DataFrame, model: Model, table: str, checkpoint: str, keep: Sequence[str] | None = None
+) -> StreamingQuery:
     """Scores into a table of batches, whose readers see whole batches only."""
     return (
-        labeled.writeStream.foreachBatch(lambda batch, batch_id: score_batch(batch, batch_id, model, table))
+        labeled.writeStream.foreachBatch(lambda batch, batch_id: score_batch(batch, batch_id, model, table, keep))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
