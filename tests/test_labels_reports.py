@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import by
 from tests.test_patterns_profiles import flagged_frame
-from tidewatch.config import RULE_FLAGS, Config
+from tidewatch.config import PATTERN_FLAGS, RULE_FLAGS, Config
 from tidewatch.operators import charts as C
 from tidewatch.operators import labels as L
 from tidewatch.operators import reports as RP
@@ -204,3 +204,22 @@ def test_flags_of_one_user_equal_flags_of_all(spark):
         flags = ("str_ip_change", "str_device_share", "str_smurfing", "str_rapid_tx")
         assert [got[c] for c in flags] == [slow[user][c] for c in flags], user
     assert slow["smurf"]["str_smurfing"] == slow["smurf"]["str_rapid_tx"] == 1
+
+
+def test_report_queries_store_only_what_they_read(spark, monkeypatch, tmp_path):
+    """Neither the descriptions nor device, address and time are stored on the way to a user report."""
+    from tidewatch.contract import queries as Q
+
+    spark.range(40).selectExpr(
+        "id div 4 AS l_orderkey", "id % 7 AS l_partkey", "id % 3 AS l_suppkey",
+        "CAST(id % 4 AS INT) AS l_linenumber", "CAST(id AS DOUBLE) AS l_quantity",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(10).selectExpr("id AS o_orderkey", "id % 5 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    stored = {}
+    real = Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name: stored.setdefault(name, df.columns) and real(df, name))
+    got = by(Q.report(spark, str(tmp_path)), "user_id")
+    assert got["u0"]["total_sent_tx"] + got["u0"]["total_recv_tx"] > 0
+    assert set(stored["scored"]) == {"userid", "appuser", "amount", "ml_score", *RULE_FLAGS}
+    assert set(stored["flagged"]) == {"userid", "appuser", "amount", *PATTERN_FLAGS}
+    assert set(stored["pairs"]) == {"userid", "appuser"}

@@ -104,13 +104,20 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.standin_score(ruled(spark, sf))
 
 
-def report_of(rows: DataFrame) -> DataFrame:
-    stored = materialize(rows, "scored")
-    return RP.user_report(stored, R.pairs(stored))
+REPORT_COLUMNS = ("userid", "appuser", "amount", *PATTERN_FLAGS)
+
+
+def report_of(rows: DataFrame, pair: DataFrame | None = None) -> DataFrame:
+    """The user report; only what it reads of the scored transfers is stored, and their pairs once."""
+    stored = materialize(rows.select("userid", "appuser", "amount", "ml_score", *RULE_FLAGS), "scored")
+    return RP.user_report(stored, materialize(R.pairs(stored), "pairs") if pair is None else pair)
 
 
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    return report_of(scored(spark, sf))
+    """Patterns are matched once: the flagged transfers are stored, in the columns that rules and report read."""
+    rows = materialize(flagged(spark, sf).select(*REPORT_COLUMNS), "flagged")
+    pair = materialize(R.pairs(rows), "pairs")
+    return report_of(fixtures.standin_score(L.rule_labels(rows, pair, CFG)), pair)
 
 
 def bookie_rows(spark: SparkSession, sf: str) -> DataFrame:
