@@ -198,3 +198,13 @@ def test_days_are_closed_once_and_late_rows_counted(spark, tmp_path):
     assert seen[0] == seen[1] == [] and seen[2] == seen[3] == [("2024-03-30", 3), ("2024-03-31", 4)]
     told = reports.table().where("metric = 'late'").agg(F.sum("value")).first()[0]
     assert told == 5
+
+
+def test_only_lines_with_a_quote_are_matched_for_an_open_one(spark):
+    lines = ['a,b', '"a",b', 'a,"b', '"a ""b",c', 'a"b,c', 'a,"b ""', '', '"', None, 'a,b"c"', ',,"x']
+    told = spark.createDataFrame([(v,) for v in lines], "v string").select(
+        landing._quote_open(F.col("v")).alias("got"), F.col("v").rlike(landing._OPEN_QUOTE).alias("want")
+    )
+    rows = told.collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    assert {r["got"] for r in rows} == {True, False, None}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 import uuid
 from datetime import datetime
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources.storage import materialize
@@ -51,6 +53,11 @@ NA_TOKENS = (
 )
 
 
+def _quote_open(line: Column) -> Column:
+    """Whether a quoted value of a line does not end; most lines have no quote and are not matched."""
+    return line.contains('"') & line.rlike(_OPEN_QUOTE)
+
+
 def blank_to_null(df: DataFrame) -> DataFrame:
     """Missing-value texts to NULL in every column."""
     return df.select(
@@ -136,13 +143,15 @@ def read_landing(spark: SparkSession, folder: str) -> DataFrame:
     schema = ", ".join(f"`{c}` STRING" for c in (*columns, _BROKEN))
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
     values = [F.col(f"_row.`{c}`") for c in columns]
-    unread = F.when(F.col("value").rlike(_OPEN_QUOTE) | F.col(f"_row.{_BROKEN}").isNotNull(), F.col("value"))
+    unread = F.when(_quote_open(F.col("value")) | F.col(f"_row.{_BROKEN}").isNotNull(), F.col("value"))
+    # column by column, so that a transfer is told from a header by its first value
+    named = functools.reduce(operator.and_, [v.eqNullSafe(F.lit(c)) for v, c in zip(values, columns, strict=True)])
     stored = materialize(
         lines.withColumn("_row", F.from_csv("value", F.lit(schema), options)).select(
             *_PLACE,
             *[F.when(~v.isin(*NA_TOKENS), v).alias(c) for v, c in zip(values, columns, strict=True)],
             unread.alias(_BROKEN),
-            F.coalesce(F.array(*values) == F.array(*[F.lit(c) for c in columns]), F.lit(False)).alias("_named"),
+            named.alias("_named"),
         ),
         "landed",
     )
@@ -164,7 +173,7 @@ def accepted(landed: DataFrame, places: bool = False) -> DataFrame:
 def rejected(landed: DataFrame) -> DataFrame:
     """``source_file, source_row, reason, text`` of the rows that could not be read."""
     text = F.col(_BROKEN)
-    reason = F.when(text.rlike(_OPEN_QUOTE), "quote without end").otherwise("wrong number of columns")
+    reason = F.when(_quote_open(text), "quote without end").otherwise("wrong number of columns")
     return landed.where(text.isNotNull()).select(*_PLACE, reason.alias("reason"), text.alias("text"))
 
 
