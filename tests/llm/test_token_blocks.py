@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import zlib
@@ -52,6 +53,18 @@ def test_memory_starts_anew(monkeypatch):
         assert by_words([text])[0].tolist() == whole([text])[0].tolist()
 
 
+@needs_file
+def test_new_words_get_their_number_by_the_look_up():
+    by_words, whole = tb.WordEncoder(FILE, json.loads(open(FILE, encoding="utf-8").read())), tb.TextEncoder(FILE)
+    batches = (["one two, two one", "three. 4"], ["two three", ""], ["four, one.", "four . ,"])
+    for texts in batches:
+        for a, b in zip(by_words(texts), whole(texts), strict=True):
+            assert a.tolist() == b.tolist()
+        # nothing is asked for again: parts of a word follow the words of their batch
+        assert by_words.learnt == len(by_words.known) == len(set(by_words.known.values()))
+    assert list(by_words.known) == "one|two,|two|three.|4|three|,|.||four,|one.|four".split("|")
+
+
 ROWS = [(7, "The quick fox"), (3, None), (5, ""), (-2, "w" * 3000), (9, "long text " * 5000), (None, "no id"), (3, "again"), (3, "again"), (4, "ünï cödé")]
 
 

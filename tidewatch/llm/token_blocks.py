@@ -20,6 +20,7 @@ import itertools
 import json
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,17 +130,36 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
-        self.letters = 0
-
-    def _learn(self, new: set[str]) -> None:
+        # a word that is asked for the first time gets the next number; what it holds is learnt after the asking
+        self.known: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.learnt = self.used = self.letters = 0
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.starts, self.lengths = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _unlearnt(self, since: int) -> list[str]:
+        """Words from number ``since`` on, in the order of their numbers."""
+        return list(itertools.islice(reversed(self.known), len(self.known) - since))[::-1]
+
+    def _learn(self) -> None:
+        """Ids of all words that have a number but no ids yet."""
+        first = self.learnt
+        new = self._unlearnt(first)
         # a word with one stop or comma is put together from its parts
-        tailed = [w for w in new if w[-1:] in (",", ".") and w[:-1].isalpha()]
-        plain = new.difference(tailed).union([w[:-1] for w in tailed], (",", "."))
-        plain = [w for w in plain if w not in self.known]
-        split = [[w] if w.isalpha() else self.pattern.findall(w) for w in plain]
-        pieces = [p if p.isascii() and p.isprintable() else _byte_letters(p) for parts in split for p in parts]
+        heads = [w[:-1] if w.endswith((",", ".")) else "" for w in new]
+        tailed = [k for k, head in enumerate(heads) if head.isalpha()]
+        if tailed:
+            parts = np.empty((len(tailed), 2), np.int64)
+            parts[:, 0] = self._numbers([heads[k] for k in tailed])
+            parts[:, 1] = self._numbers([new[k][-1] for k in tailed])
+            new += self._unlearnt(first + len(new))
+        plain = np.ones(len(new), bool)
+        plain[tailed] = False
+        words = list(itertools.compress(new, plain))
+        split = [[w] if w.isalpha() else self.pattern.findall(w) for w in words]
+        pieces = [p if p.isascii() and p.isprintable() else _byte_letters(p) for p in itertools.chain.from_iterable(split)]
         found = [np.zeros(0, np.uint32)]
         sizes = [np.zeros(0, np.int64)]
         for at in range(0, len(pieces), 4096):
@@ -149,29 +169,27 @@ class WordEncoder:
             sizes.append(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(some)))
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         ends = ends[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
-        self._add(plain, np.concatenate(found), ends)
+        self.learnt = len(self.known)
+        self._add(first + np.flatnonzero(plain), np.concatenate(found), np.diff(ends, prepend=0))
         if tailed:
-            parts = np.empty((len(tailed), 2), np.int64)
-            parts[:, 0] = np.fromiter((self.known[w[:-1]] for w in tailed), np.int64, len(tailed))
-            parts[:, 1] = np.fromiter((self.known[w[-1]] for w in tailed), np.int64, len(tailed))
             ids, sizes = self._gather(parts.ravel())
-            self._add(tailed, ids, np.cumsum(sizes)[1::2])
+            self._add(first + np.array(tailed), ids, sizes[::2] + sizes[1::2])
+        self.letters += sum(map(len, new))
 
-    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        n, base = len(self.known), int(self.starts[len(self.known)])
-        while n + len(words) + 1 > len(self.starts):
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.learnt > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while base + len(ids) > len(self.flat):
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[base : base + len(ids)] = ids
-        self.starts[n + 1 : n + 1 + len(words)] = base + ends
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        self.letters += sum(map(len, words))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.used += len(ids)
 
     def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words by number, one after the other, and how many each has."""
-        begin = self.starts[words]
-        length = self.starts[words + 1] - begin
+        """Ids of learnt words by number, one after the other, and how many each has."""
+        begin, length = self.starts[words], self.lengths[words]
         place = np.repeat(begin - np.cumsum(length) + length, length)
         place += np.arange(len(place))
         return self.flat[place], length
@@ -186,11 +204,10 @@ class WordEncoder:
             [] if o else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().replace("\n", " ").split(" ")
             for t, o in zip(texts, odd, strict=True)
         ]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(new)
-        flat = list(itertools.chain.from_iterable(split))
-        ids, length = self._gather(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)))
+        words = self._numbers(list(itertools.chain.from_iterable(split)))
+        if len(self.known) > self.learnt:
+            self._learn()
+        ids, length = self._gather(words)
         ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *map(len, split)])]
         return [
             self.whole([text])[0] if o else ids[ends[k] : ends[k + 1]] for k, (text, o) in enumerate(zip(texts, odd, strict=True))
