@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.config import FALLBACK_FEATURES, Config
+from tidewatch.contract import queries
 from tidewatch.operators import forest
 from tidewatch.operators import scoring as M
 from tidewatch.operators.forest import (
@@ -18,6 +19,34 @@ from tidewatch.operators.forest import (
 SMALL = Config(features=("f1", "f2", "f3"), trees=40, tree_rows=64, min_train_rows=1)
 
 
+def test_scaler_over_many_parts(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(5, 2, 5000), np.full(5000, 0.1), 1e9 + rng.integers(0, 50, 5000) * 64]).astype(np.float32)
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<float>").repartition(7).union(spark.createDataFrame([], "x array<float>"))
+    stats = scaler_stats(rows, SMALL.features)
+    got = {r["feature"]: r for r in stats.collect()}
+    for i, name in enumerate(SMALL.features):
+        assert got[name]["rows"] == 5000
+        assert got[name]["mean"] == pytest.approx(x[:, i].astype(float).mean(), rel=1e-12)
+    assert got["f1"]["scale"] == pytest.approx(x[:, 0].astype(float).std(), rel=1e-12)
+    assert got["f2"]["scale"] == 1.0 and got["f2"]["mean"] == float(np.float32(0.1))
+    assert got["f3"]["scale"] == pytest.approx(x[:, 2].astype(float).std(), rel=1e-9)
+    # features are no columns of an aggregate, however many there are
+    assert "Aggregate" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    none = scaler_stats(rows.where("false"), SMALL.features).collect()
+    assert [(r["feature"], r["mean"], r["scale"], r["rows"]) for r in none] == [(f, None, 1.0, 0) for f in SMALL.features]
+
+
+def test_scaler_query_stores_what_labels_need(spark, monkeypatch):
+    stored = []
+    rows = spark.createDataFrame([(1.0, 0)], "amount double, hit_any_rule int")
+    monkeypatch.setattr(queries, "etl", lambda *_: spark.createDataFrame([], ", ".join(f"{c} string" for c in (*queries.LABEL_COLUMNS, "platform", "reqdate"))))
+    monkeypatch.setattr(queries, "label_stored", lambda clean, _: stored.append(clean.columns) or rows)
+    monkeypatch.setattr(queries, "CFG", Config(features=("amount",)))
+    assert [tuple(r) for r in queries.scaler_stats(spark, "").collect()] == [("amount", 1.0, 1.0)]
+    assert stored == [list(queries.LABEL_COLUMNS)]
+
+
 @pytest.fixture(scope="module")
 def table(spark, tmp_path_factory):
     """3,000 ordinary transfers, 5 far away, 100 hit by a rule; f3 never varies."""

@@ -1,4 +1,5 @@
 import statistics
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,17 @@ def test_descriptions(spark, text, win, b1, b2):
     assert (row["desc_has_win"], row["desc_match_b1"], row["desc_match_b2"]) == (win, b1, b2)
 
 
+def test_patterns_are_tried_where_their_word_is_found(spark):
+    rows = raw_frame(spark, [{"description": d} for d in ("win1", "gain 7", "chuyen tien 12345", "chuyen khoan 123456")])
+    etl = clean_description(rows)
+    plan = add_patterns(etl, CFG)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"Contains(desc_clean" in plan and f", {word})" in plan for word in ("win", "chuyen"))
+    # the word of another pattern is not known, so it is tried on every text
+    other = add_patterns(etl, replace(CFG, win_pattern=r"gain \d", pattern_b1="^win"))
+    got = [(r["desc_has_win"], r["desc_match_b1"], r["desc_match_b2"]) for r in other.collect()]
+    assert got == [(0, 1, 0), (1, 0, 0), (0, 0, 1), (0, 0, 0)]
+
+
 def test_missing_device_uses_user_and_address(spark):
     rows = [
         {"deviceid": None},

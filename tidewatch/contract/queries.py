@@ -280,10 +280,13 @@ def label_user_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- anomaly model
 
+#: What labels and features follow from; the rest of a transfer need not be stored for the scaler.
+LABEL_COLUMNS = ("userid", "appuser", "amount", "userip", "deviceid", "ts", "dt", "desc_clean")
+
 
 def scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Seven significant digits, as sums of doubles depend on their order."""
-    rows = training_rows(labeled(spark, sf), CFG, F.lit(0))
+    rows = training_rows(label_stored(etl(spark, sf).select(*LABEL_COLUMNS), CFG), CFG, F.lit(0))
     stats = forest_scaler_stats(rows, CFG.features).drop("rows")
     return stats.withColumns(
         {c: F.format_string("%.6e", c).cast("double") for c in ("mean", "scale")}

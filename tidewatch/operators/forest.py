@@ -144,19 +144,58 @@ def grow_trees(sample: DataFrame, cfg: Config, rows_per_tree: int) -> DataFrame:
     return sample.groupBy("tree").applyInPandas(build, _NODES)
 
 
+def _merged(moments: Iterator[tuple[int, np.ndarray, np.ndarray]], width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and sums of squared deviations of all parts, from those of each; equal means stay exactly equal."""
+    n, mean, m2 = 0, np.zeros(width), np.zeros(width)
+    for k, part_mean, part_m2 in moments:
+        if k:
+            off, total = part_mean - mean, n + k
+            mean = mean + off * (k / total)
+            m2 = m2 + part_m2 + off * off * (n * (k / total))
+            n = total
+    return n, mean, m2
+
+
 def scaler_stats(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """Mean and population deviation per feature, and the number of rows; the scale of a constant is 1."""
-    stats = []
-    for i, name in enumerate(features):
-        v = F.get("x", F.lit(i)).cast("double")
-        stats.append(
-            F.struct(
-                F.lit(name).alias("feature"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")
-            )
+    """Mean and population deviation per feature, and the number of rows; the scale of a constant is 1.
+
+    Rows are reduced batch by batch, all features at once, to one row a task: as aggregates of Spark, the
+    features would need too many columns for generated code.
+    """
+    width = len(features)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+                    mean = x.mean(axis=0)
+                    yield len(x), mean, np.square(x - mean).sum(axis=0)
+
+        n, mean, m2 = _merged(each(), width)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "mean": [mean.tolist()], "m2": [m2.tolist()]})
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (p for batch in batches for p in batch.to_pylist())
+        n, mean, m2 = _merged(((p["n"], np.array(p["mean"]), np.array(p["m2"])) for p in parts), width)
+        known = n > 0
+        yield pa.RecordBatch.from_pydict(
+            {
+                "feature": list(features),
+                "mean": pa.array(mean.tolist() if known else [None] * width, pa.float64()),
+                "std": pa.array(np.sqrt(m2 / n).tolist() if known else [None] * width, pa.float64()),
+                "rows": pa.array([n] * width, pa.int64()),
+            }
         )
+
+    nothing = F.array(*[F.lit(0.0)] * width)
+    # a part without rows, so that an empty table has an answer too
+    empty = rows.sparkSession.range(0, 1, 1, 1).select(F.lit(0).cast("bigint").alias("n"), nothing.alias("mean"), nothing.alias("m2"))
+    parts = rows.select("x").mapInArrow(moments, "n bigint, mean array<double>, m2 array<double>").unionByName(empty)
+    # one row a task meets here
     return (
-        rows.agg(F.array(*stats).alias("stats"), F.count(F.lit(1)).alias("rows"))
-        .select("rows", F.inline("stats"))
+        parts.repartition(1)
+        .mapInArrow(told, "feature string, mean double, std double, rows bigint")
         .withColumn("scale", F.when(F.col("std") > 0, F.col("std")).otherwise(1.0))
         .select("feature", "mean", "scale", "rows")
     )
