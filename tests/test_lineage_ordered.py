@@ -1,5 +1,6 @@
 import os
 import random
+import re
 import shutil
 from collections import Counter
 from datetime import datetime, timedelta
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.config import PATTERN_FLAGS, Config
+from tidewatch.contract import queries
 from tidewatch.operators import daily, profiles
 from tidewatch.plans.catalog import Catalog, relations
 from tidewatch.sources import landing, ordered, tables
@@ -117,6 +119,32 @@ def test_profiles_of_appended_batches(spark, tmp_path):
                     assert x[c] == y[c] or x[c] == pytest.approx(y[c], rel=1e-9), (side, approx, c, x[c], y[c])
 
 
+def test_stored_transfers_are_not_stored_again(spark, tmp_path, monkeypatch):
+    rows = flagged_rows(spark, 100, 5)
+    once, again = (daily.DailyProfiles(spark, str(tmp_path / name)) for name in ("once", "again"))
+    again.add(rows, 0)
+    monkeypatch.setattr(daily, "materialize", lambda *_: pytest.fail("stored a second time"))
+    once.add(rows, 0, stored=True)
+    for side in ("sender", "receiver"):
+        a, b = (sorted(map(str, store.profile(side).collect())) for store in (once, again))
+        assert a == b
+
+
+def test_batches_of_the_daily_queries_read_their_own_files(spark, monkeypatch):
+    added = []
+    rows = flagged_rows(spark, 90, 6).withColumn("ok", F.monotonically_increasing_id() % 9 - 1)  # some in no batch
+    monkeypatch.setattr(queries, "flagged", lambda *_: rows)
+    monkeypatch.setattr(daily.DailyProfiles, "add", lambda self, part, batch, stored=False: added.append((batch, part, stored)))
+    queries.daily(spark, "")
+    days = {0: (0, 1), 1: (2, 3), 2: (4, 5, 6)}
+    assert [batch for batch, _, _ in added] == [0, 1, 1, 2]
+    for batch, part, stored in added:
+        scan = part._jdf.queryExecution().executedPlan().toString()
+        assert stored and re.search(rf"PartitionFilters: \[[^]]*\(part#\d+ = {batch}\)", scan)
+        mine = rows.where((F.col("ok") % 7).isin(*days[batch])).select("userid", "appuser", "amount")
+        assert sorted(map(str, part.select(*mine.columns).collect())) == sorted(map(str, mine.collect()))
+
+
 def test_sketches_of_many_partners(spark, tmp_path):
     rows = spark.range(60_000).select(
         F.lit("hot").alias("userid"), F.concat(F.lit("r"), F.col("id") % 40_000).alias("appuser"), F.lit("1").alias("userip"),

@@ -71,12 +71,16 @@ class DailyProfiles:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def add(self, flagged: DataFrame, batch: int) -> None:
-        """Fold in new transfers, flagged and with their addresses; only these are read."""
+    def add(self, flagged: DataFrame, batch: int, stored: bool = False) -> None:
+        """Fold in new transfers, flagged and with their addresses; only these are read.
+
+        They are read four times, so they are stored first, unless they are files of their own already (``stored``).
+        """
         if f"batch-{batch:012d}" in published(self.spark, self._path("done")):
             return
         rows = flagged.select("userid", "appuser", "userip", "amount", "dt", *PATTERN_FLAGS)
-        rows = materialize(rows, "new-transfers")
+        if not stored:
+            rows = materialize(rows, "new-transfers")
         for side in _SIDES:
             publish_batch(day_partials(rows, side), self._path(f"{side}_days"), batch)
         publish_batch(rows.select("userid", "appuser").distinct(), self._path("pairs"), batch)

@@ -57,8 +57,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: later plans start at the files."""
+def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: later plans start at the files.
+
+    With ``partition_by`` a filter on these columns reads the files of its values only.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
