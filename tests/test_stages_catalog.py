@@ -1,3 +1,6 @@
+import glob
+import os
+import pathlib
 import random
 import time
 from datetime import datetime, timedelta
@@ -6,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.config import Config
+from tidewatch.contract import queries
 from tidewatch.plans.catalog import Catalog, clean_sql, show, split_export
 from tidewatch.operators.etl import add_time, clean_description, fill_device_id
 from tidewatch.plans import stages
 from tidewatch.plans.stages import REPORTS, Pipeline
 from tidewatch.sources.landing import csv_files, landing_name, place_csv, read_ip_ranges, read_raw
-from tidewatch.sources.tables import publish, read_table, table_error, validate_outputs
+from tidewatch.sources import storage
+from tidewatch.sources.tables import publish, publish_csv, read_table, table_error, validate_outputs
 
 HEADER = "reqdate,userid,appuser,amount,userip,deviceid,platform,description\n"
 CFG = Config(trees=20, tree_rows=32, min_train_rows=1)
@@ -321,3 +326,57 @@ def test_labels_read_the_cleaned_transfers_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stages, "materialize", lambda df, name: (sources.append((name, df.inputFiles())), store(df, name))[1])
     assert stages.label_stored(spark.read.parquet(path), CFG).count() == 2
     assert [name for name, files in sources if any(path in f for f in files)] == ["flagged"]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    """A kept reference holds back the collection of garbage, as a busy driver's does."""
+    kept = spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("id").alias("n"))
+    before, setting = shuffle_files(spark), spark.conf.get(storage._FREED, None)
+    storage.materialize(kept, "freed")
+    publish(kept, str(tmp_path / "t"))
+    publish_csv(kept, str(tmp_path / "csv"))
+    for _ in range(50):  # executors remove the files a moment later
+        # the count of the published rows may leave some of one row
+        left = shuffle_files(spark) - before
+        if len({name.split("_")[1] for name in left}) <= 1:
+            break
+        time.sleep(0.1)
+    assert len({name.split("_")[1] for name in left}) <= 1
+    assert spark.conf.get(storage._FREED, None) == setting
+
+
+def test_columns_that_labels_leave_out_are_not_stored_again(run, spark, monkeypatch):
+    etl, store, stored = run["pipe"].table("etl"), stages.materialize, {}
+    monkeypatch.setattr(stages, "materialize", lambda df, name: (stored.setdefault(name, df.columns), store(df, name))[1])
+    narrow = stages.label_stored(etl, CFG, stages.DROPPED)
+    assert not set(stored["flagged"]) & {*stages.DROPPED, "desc_clean"}
+    whole = stages.label_stored(etl, CFG).drop(*stages.DROPPED)
+    assert narrow.columns == whole.columns
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_raw_scores_are_gone_before_the_reports(run, monkeypatch):
+    seen, rank = [], stages.RP.user_report
+    monkeypatch.setattr(stages.RP, "user_report", lambda *args: (seen.append(glob.glob(f"{storage.work_dir(run['pipe'].spark)}/raw-scores-*".removeprefix("file:"))), rank(*args))[1])
+    before = glob.glob(f"{storage.work_dir(run['pipe'].spark)}/raw-scores-*".removeprefix("file:"))
+    run["pipe"].reports()
+    assert seen == [before]
+
+
+def test_files_that_a_query_lands_are_gone_after_the_cleaning(spark, monkeypatch):
+    landed = []
+    monkeypatch.setattr(queries, "_landed", lambda spark, _: landed.append(storage.new_path(spark, "landing")) or write_landing(landed[0]))
+    monkeypatch.setattr(queries.fixtures, "ip_ranges", lambda spark, _: spark.createDataFrame([("VN", "ipv4", "1.0.0.0", "256", 0)], "country string, type string, start string, value string, seq int"))
+    pipe = queries._pipeline(spark, "")
+    assert not os.path.exists(landed[0]) and pipe.table("etl").count() == 40
+
+
+def write_landing(folder):
+    os.makedirs(folder)
+    write_raw(pathlib.Path(folder), "a.csv", 40, 7)
+    return folder

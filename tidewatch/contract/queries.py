@@ -27,7 +27,7 @@ from tidewatch.plans.catalog import Catalog
 from tidewatch.plans.stages import DROPPED, Pipeline, label_stored
 from tidewatch.sources import fixtures, landing, ordered, tables
 from tidewatch.sources.fixtures import TXN_COLUMNS
-from tidewatch.sources.storage import materialize, new_path
+from tidewatch.sources.storage import materialize, new_path, scratch
 from tidewatch.streaming import audit, rapid_days, streams
 
 CFG = Config()
@@ -719,7 +719,8 @@ def _pipeline(spark: SparkSession, sf: str, *stages: str) -> Pipeline:
     """A pipeline whose cleaned transfers are published from CSV files, and the named stages after it."""
     ranges = fixtures.ip_ranges(spark, sf).orderBy("seq").drop("seq").coalesce(1)
     pipe = Pipeline(spark, new_path(spark, "root"), CFG)
-    pipe.etl(_landed(spark, sf), _csv(ranges, new_path(spark, "ranges")))
+    with scratch(spark):  # no stage reads the files again
+        pipe.etl(_landed(spark, sf), _csv(ranges, new_path(spark, "ranges")))
     for stage in stages:
         getattr(pipe, stage)()
     return pipe

@@ -16,7 +16,7 @@ from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.sources.storage import materialize
+from tidewatch.sources.storage import materialize, shuffles_freed
 from tidewatch.sources.tables import (
     SPARK_ERRORS,
     made_from,
@@ -283,7 +283,8 @@ class Catalog:
 
     def save(self, query: str, path: str) -> None:
         """Result as Parquet; never passes through the driver."""
-        self.spark.sql(query).write.mode("overwrite").parquet(path)
+        with shuffles_freed(self.spark):
+            self.spark.sql(query).write.mode("overwrite").parquet(path)
 
     def save_safe(self, query: str, path: str, timeout: float | None = None) -> Result:
         def run() -> Result:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import logging
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -52,19 +53,25 @@ REPORTS = ("transactions_flagged", "report_users", "report_high_score_users", "r
 STAGES = ("etl", "features", "reports", "training")
 
 
-def label_stored(etl: DataFrame, cfg: Config) -> DataFrame:
+def label_stored(etl: DataFrame, cfg: Config, dropped: Sequence[str] = ()) -> DataFrame:
     """Labelled transfers from cleaned ones, which are read once and need not be stored.
 
     Amounts and pattern flags are evaluated once and stored, for they are read six times.
     The user level frames are written, too: each is used several times and is far smaller
     than the transfers.
+
+    ``dropped`` names columns that the result leaves out.  With them ``etl`` has to be a stored
+    table: users' flags read these columns there, and they are not stored a second time.
     """
-    flagged = materialize(add_patterns(etl, cfg), "flagged")
+    patterned = add_patterns(etl, cfg)
+    flagged = materialize(patterned.drop(*dropped), "flagged")
+    # no pattern is matched again, as the flags below use none
+    whole = patterned if dropped else flagged
     pair = materialize(pairs(flagged), "pairs")
-    ids = materialize(identifiers(flagged), "identifiers")
+    ids = materialize(identifiers(whole), "identifiers")
     senders = materialize(sender_profile(flagged, pair, ids), "senders")
     receivers = materialize(receiver_profile(flagged, pair), "receivers")
-    flags = materialize(S.user_flags(flagged, ids, cfg), "user-flags")
+    flags = materialize(S.user_flags(whole, ids, cfg), "user-flags")
     return label_transfers(flagged, senders, receivers, flags, cfg)
 
 
@@ -163,7 +170,7 @@ class Pipeline:
         self._require("features")
         started = time.time()
         sources = self._runs("etl")
-        labeled = label_stored(self.table("etl"), self.cfg).drop(*DROPPED)
+        labeled = label_stored(self.table("etl"), self.cfg, DROPPED)
         if by_day:
             path = publish(labeled.hint("rebalance", "dt"), self.path("labeled"), ["dt"], sources)
         else:
@@ -214,8 +221,9 @@ class Pipeline:
         self._require("reports")
         started = time.time()
         sources = self._runs("labeled", "models/active")
-        scored = score(self.table("labeled"), self.active_model(), keep=RP.FLAGGED_COLUMNS)
-        publish_ordered(scored, self.path("scored"), ["reqdate"], sources)
+        with scratch(self.spark):  # the raw scores are not needed any more once they are published in order
+            scored = score(self.table("labeled"), self.active_model(), keep=RP.FLAGGED_COLUMNS)
+            publish_ordered(scored, self.path("scored"), ["reqdate"], sources)
         scored = self.table("scored")
         report = materialize(RP.user_report(scored, materialize(pairs(scored), "pairs")), "user-report")
         high = RP.high_score_users(report, self.cfg).withColumn(

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dir: dict[str, str] = {}
 
 
@@ -57,11 +58,30 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Writes inside remove their shuffle files when they end, not whenever the driver collects garbage.
+
+    A write plans its frame anew, so no other job reads these files.
+    """
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREED)
+        else:
+            spark.conf.set(_FREED, before)
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: later plans start at the files.
 
     With ``partition_by`` a filter on these columns reads the files of its values only.
     """
     path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        # nobody else reads these files, so they are packed closer than published ones
+        df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,6 +19,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.storage import shuffles_freed
+
 _POINTERS = "_runs"
 _SOURCES = "_made_from"
 # what Spark raises for a failed job or a file it cannot read
@@ -93,7 +95,8 @@ def _publish_run(
     path = f"{table}/{run}"
     counted = df.observe(sent, F.count(F.lit(1)).alias("rows"))
     writer = counted.write.mode("overwrite").option("compression", "snappy")
-    writer.partitionBy(*partition_by).parquet(path)
+    with shuffles_freed(spark):
+        writer.partitionBy(*partition_by).parquet(path)
     found = spark.read.schema(df.schema).parquet(path).count()
     if found != sent.get["rows"]:
         raise OSError(f"{path} holds {found} of {sent.get['rows']} rows")
@@ -149,7 +152,8 @@ def lineage(spark: SparkSession, root: str, names: Iterable[str]) -> DataFrame:
 
 def publish_csv(df: DataFrame, path: str) -> None:
     """CSV report, one file per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def table_error(spark: SparkSession, table: str) -> str | None:
