@@ -13,6 +13,7 @@ from tidewatch.contract import queries
 from tidewatch.operators import daily, profiles
 from tidewatch.plans.catalog import Catalog, relations
 from tidewatch.sources import landing, ordered, tables
+from tidewatch.sources.storage import work_dir
 from tidewatch.streaming import audit, streams
 
 
@@ -236,3 +237,31 @@ def test_only_lines_with_a_quote_are_matched_for_an_open_one(spark):
     rows = told.collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
     assert {r["got"] for r in rows} == {True, False, None}
+
+
+def test_plain_lines_are_split_like_the_parser_reads_them(spark, tmp_path):
+    """Odd characters, quotes and broken text, against the CSV parser line by line; nothing is stored but the headers."""
+    rng = random.Random(5)
+    bits = ["a", "NA", " ", "\t", '"', '""', ",", "é", " ", "\x85", "\0", "﻿", "#", "\\", "'", "\x0b", "\U0001f600", "\xa0", "-nan"]
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    for name in "ab":
+        lines = [landing.RAW_COLUMNS]
+        for _ in range(1500):
+            lines.append(["".join(rng.choice(bits) for _ in range(rng.randrange(3))) for _ in range(rng.choice([8, 8, 8, 7, 9]))])
+        raw = [",".join(line).encode() for line in lines]
+        raw = [r[:3] + b"\xff\xc3" + r[3:] if k % 40 == 39 else r for k, r in enumerate(raw)]
+        (folder / f"{name}.csv").write_bytes(b"\n".join([b"", *raw]))
+    before = set(os.listdir(work_dir(spark).removeprefix("file:")))
+    landed = landing.read_landing(spark, str(folder))
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(work_dir(spark).removeprefix("file:"))) - before} == {"heads"}
+    schema = ", ".join(f"{c} string" for c in (*landing.RAW_COLUMNS, "unread"))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unread"}
+    lines = spark.read.text(str(folder)).where("trim(value) != ''").withColumn("r", F.from_csv("value", F.lit(schema), options))
+    lines = lines.where(F.col("value") != ",".join(landing.RAW_COLUMNS))
+    wrong = F.col("r.unread").isNotNull() | F.col("value").rlike(landing._OPEN_QUOTE)
+    want = landing.blank_to_null(lines.where(~wrong).select("r.*").drop("unread"))
+    assert Counter(map(tuple, landing.accepted(landed).collect())) == Counter(map(tuple, want.collect()))
+    bad = landing.rejected(landed).select("text")
+    assert Counter(bad.collect()) == Counter(lines.where(wrong).select("value").collect())
+    assert want.count() > 500 and bad.count() > 500

@@ -29,7 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _EULER = 0.5772156649015329
 _CHUNK = 10_000  # rows walked together: an Arrow batch of the usual size
-_TOP_LEVELS = 2  # levels of a tree whose nodes are compared with all rows
+_TOP_LEVELS = 3  # levels of a tree whose nodes are compared with all rows
 _NODES = "tree int, feature array<int>, threshold array<float>, path array<double>"
 
 

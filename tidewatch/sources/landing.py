@@ -6,6 +6,7 @@ import functools
 import operator
 import re
 import uuid
+from collections.abc import Collection
 from datetime import datetime
 
 from py4j.java_gateway import JavaObject
@@ -53,15 +54,23 @@ NA_TOKENS = (
 )
 
 
+def _odd(line: Column) -> Column:
+    """Whether a line may be more than values between commas."""
+    return line.contains('"') | line.contains("\0")
+
+
 def _quote_open(line: Column) -> Column:
     """Whether a quoted value of a line does not end; most lines have no quote and are not matched."""
     return line.contains('"') & line.rlike(_OPEN_QUOTE)
 
 
-def blank_to_null(df: DataFrame) -> DataFrame:
-    """Missing-value texts to NULL in every column."""
+def blank_to_null(df: DataFrame, columns: Collection[str] | None = None) -> DataFrame:
+    """Missing-value texts to NULL in every column, or in the named ones."""
     return df.select(
-        *[F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in df.columns]
+        *[
+            F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(c) if columns is None or c in columns else c
+            for c in df.columns
+        ]
     )
 
 
@@ -118,6 +127,37 @@ _BROADCAST_FILES = 100_000
 _OPEN_QUOTE = r"""^(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+)?+,)*+"[^"]*+(?:""[^"]*+)*+$"""
 
 
+def _parsed(lines: DataFrame, columns: list[str], odd: Column) -> DataFrame:
+    """Place and values of each line, missing-value texts as NULL; the text of a line that cannot be read in one more column.
+
+    A plain line is split at its commas; only an odd one needs the CSV parser.
+    """
+    schema = ", ".join(f"`{c}` STRING" for c in (*columns, _BROKEN))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    text = F.col("value")
+    row = F.from_csv(text, F.lit(schema), options)
+    # by the text alone, so that a filter on this column does not split the lines a second time
+    commas = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(","), F.lit("")))
+    unread = F.when(odd, _quote_open(text) | row[_BROKEN].isNotNull()).otherwise(commas != len(columns) - 1)
+    plain = F.col("_cells").isNotNull()
+    values = [F.when(plain, F.get("_cells", F.lit(i))).otherwise(F.col(f"_row.`{c}`")) for i, c in enumerate(columns)]
+    cut = lines.withColumns({"_row": F.when(odd, row), "_cells": F.when(~odd, F.split(text, ",", -1))})
+    return blank_to_null(cut.select(*_PLACE, *[v.alias(c) for v, c in zip(values, columns, strict=True)], F.when(unread, text).alias(_BROKEN)), columns)
+
+
+def _named(columns: list[str], odd: Column) -> Column:
+    """Whether a line holds the names of the columns."""
+    schema = ", ".join(f"`{c}` STRING" for c in columns)
+    row = F.from_csv("value", F.lit(schema), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    same = functools.reduce(operator.and_, [row[c].eqNullSafe(F.lit(c)) for c in columns])
+    joined = ",".join(columns)
+    # a name has no comma or quote in a plain line
+    plain = (F.col("value") == joined) | F.col("value").startswith(f"{joined},")
+    if '"' in joined or joined.count(",") != len(columns) - 1:
+        return odd & same
+    return F.when(odd, F.col("value").contains(columns[0]) & same).otherwise(plain)
+
+
 def read_landing(spark: SparkSession, folder: str) -> DataFrame:
     """Like :func:`read_raw`, with the place of every row and the text of rows that cannot be read.
 
@@ -126,7 +166,8 @@ def read_landing(spark: SparkSession, folder: str) -> DataFrame:
     value that does not end, keeps its text in one more column, which is NULL for all others.
     Empty lines are left out; a file whose first line is another header is an error.
 
-    The lines are read and stored here, once; the result reads the stored rows.
+    The files are listed here, once, and their headers checked; the lines are not stored, as
+    splitting them again costs less.  Each use of the result reads the same files.
     """
     columns = _checked_header(spark, folder)
     line_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -140,29 +181,18 @@ def read_landing(spark: SparkSession, folder: str) -> DataFrame:
         )
         .where(F.trim("value") != "")
     )
-    schema = ", ".join(f"`{c}` STRING" for c in (*columns, _BROKEN))
-    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    values = [F.col(f"_row.`{c}`") for c in columns]
-    unread = F.when(_quote_open(F.col("value")) | F.col(f"_row.{_BROKEN}").isNotNull(), F.col("value"))
-    # column by column, so that a transfer is told from a header by its first value
-    named = functools.reduce(operator.and_, [v.eqNullSafe(F.lit(c)) for v, c in zip(values, columns, strict=True)])
-    stored = materialize(
-        lines.withColumn("_row", F.from_csv("value", F.lit(schema), options)).select(
-            *_PLACE,
-            *[F.when(~v.isin(*NA_TOKENS), v).alias(c) for v, c in zip(values, columns, strict=True)],
-            unread.alias(_BROKEN),
-            named.alias("_named"),
-        ),
-        "landed",
-    )
+    odd = _odd(F.col("value"))
     # a row per file
     heads = materialize(
-        stored.groupBy(_PLACE[0]).agg(F.min(_PLACE[1]).alias(_PLACE[1]), F.min_by("_named", _PLACE[1]).alias("named")), "heads"
+        lines.groupBy(_PLACE[0]).agg(
+            F.min(_PLACE[1]).alias(_PLACE[1]), F.min(F.when(_named(columns, odd), F.col(_PLACE[1]))).alias("first_named")
+        ),
+        "heads",
     )
-    if other := heads.where("NOT named").select(_PLACE[0]).first():
+    if other := heads.where(f"NOT (first_named <=> {_PLACE[1]})").select(_PLACE[0]).first():
         raise ValueError(f"{other[0]} has another header than the first file")
     few = F.broadcast(heads) if heads.count() <= _BROADCAST_FILES else heads
-    return stored.join(few.select(*_PLACE), list(_PLACE), "left_anti").drop("_named")
+    return _parsed(lines, columns, odd).join(few.select(*_PLACE), list(_PLACE), "left_anti")
 
 
 def accepted(landed: DataFrame, places: bool = False) -> DataFrame:
